@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from recollect.llm.decontam import contamination
+from recollect.llm.mixing import mix_plan
+from recollect.llm.sharding import shards
 from recollect.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +21,35 @@ def _query(fn: Query) -> Query:
     return fn
 
 
+#: The shard limit of op1: small enough that the smallest tables split as well.
+SHARD_BYTES = 1 << 20
+
+
+@_query
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard, each of at most SHARD_BYTES bytes of text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return shards(docs, SHARD_BYTES).select("doc_id", "shard_id", "depth", "shard_docs", "shard_bytes")
+
+
+ORACLES["op1_sharding"] = """
+WITH d AS (SELECT doc_id, CAST('0x' || md5(CAST(doc_id AS VARCHAR))[1:15] AS BIGINT) AS h, coalesce(strlen(text), 0) AS b FROM documents),
+p AS (SELECT doc_id, h, b, depth, h >> (60 - depth) AS prefix FROM d, range(0, 61) r(depth)),
+s AS (SELECT depth, prefix, sum(b) AS shard_bytes, count(*) AS shard_docs FROM p GROUP BY ALL HAVING sum(b) <= 1048576 OR min(h) = max(h)),
+f AS (SELECT doc_id, min(p.depth) AS depth FROM p JOIN s USING (depth, prefix) GROUP BY doc_id)
+SELECT doc_id, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(prefix), CAST(depth AS INTEGER), '0') END AS shard_id,
+       CAST(depth AS INTEGER) AS depth, shard_docs, CAST(shard_bytes AS BIGINT) AS shard_bytes
+FROM f JOIN p USING (doc_id, depth) JOIN s USING (depth, prefix)
+"""
+
+
+@_query
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document the mix takes."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mix_plan(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
 @_query
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that lie in 10-word windows of the benchmark."""
