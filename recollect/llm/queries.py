@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from recollect.llm.decontam import contamination
 from recollect.llm.mixing import mix_plan
 from recollect.llm.neardup import near_duplicates
+from recollect.llm.quality import quality_scores
 from recollect.llm.sharding import shards
 from recollect.sources.tables import table
 
@@ -106,3 +108,11 @@ c AS (SELECT u, min(v) AS component_id FROM reach GROUP BY u)
 SELECT w.doc_id, coalesce(n, 0) AS n_shingles, component_id, w.doc_id = component_id AS kept
 FROM w JOIN c ON c.u = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id
 """
+
+
+@_query
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score of every document, learned without the labels of held-out documents."""
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    scored = quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out)
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
