@@ -13,6 +13,7 @@ from recollect.llm.mixing import mix_plan
 from recollect.llm.neardup import near_duplicates
 from recollect.llm.quality import quality_scores
 from recollect.llm.sharding import shards
+from recollect.llm.suffixes import repeated_spans
 from recollect.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -126,3 +127,21 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = langid.predict(docs, langid.train(docs, ~held_out))
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@_query
+def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spans of 50 words and more that documents share with others."""
+    return repeated_spans(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op5_repeated_passages"] = r"""
+WITH d AS (
+  SELECT doc_id, hash(text) AS h, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL)),
+g AS (SELECT doc_id, h, i, md5(array_to_string(w[i + 1 : i + 50], ' ')) AS g FROM (SELECT doc_id, h, w, unnest(range(0, len(w) - 49)) AS i FROM d WHERE len(w) >= 50)),
+r AS (SELECT g FROM g GROUP BY g HAVING count(DISTINCT (doc_id, h)) > 1),
+m AS (SELECT doc_id, h, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id, h ORDER BY i) <= 50 THEN 0 ELSE 1 END AS fresh FROM g SEMI JOIN r USING (g)),
+s AS (SELECT doc_id, h, i, sum(fresh) OVER (PARTITION BY doc_id, h ORDER BY i) AS span FROM m)
+SELECT doc_id, min(i) AS start_word, max(i) + 50 - min(i) AS n_words FROM s GROUP BY doc_id, h, span
+"""
