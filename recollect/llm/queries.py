@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.llm.decontam import contamination
 from recollect.llm import langid
+from recollect.llm.annsearch import search
+from recollect.llm.decontam import contamination
 from recollect.llm.mixing import mix_plan
 from recollect.llm.neardup import near_duplicates
 from recollect.llm.quality import quality_scores
@@ -145,3 +146,20 @@ m AS (SELECT doc_id, h, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id, h ORD
 s AS (SELECT doc_id, h, i, sum(fresh) OVER (PARTITION BY doc_id, h ORDER BY i) AS span FROM m)
 SELECT doc_id, min(i) AS start_word, max(i) + 50 - min(i) AS n_words FROM s GROUP BY doc_id, h, span
 """
+
+
+@_query
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors found for every twentieth vec_id."""
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+#: Exact search: the result wherever the table has no more entries than the index visits.
+ORACLES["op4_nearest"] = """
+WITH v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
+"""
