@@ -15,6 +15,7 @@ from recollect.llm.neardup import near_duplicates
 from recollect.llm.quality import quality_scores
 from recollect.llm.sharding import shards
 from recollect.llm.suffixes import repeated_spans
+from recollect.llm.urlrules import judge
 from recollect.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -163,3 +164,49 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS sco
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
 """
+
+
+URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+
+
+@_query
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's url judged by the listed rules and, where none fits, by rules mined from the labels."""
+    labels = table(spark, sf_dir, "labels").filter("doc_id is not null and (quality is not null or toxic is not null)")
+    bad = F.max((F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1))
+    labelled = labels.groupBy(F.col("doc_id").alias("page_id")).agg(bad.alias("bad"))
+    return judge(table(spark, sf_dir, "pages").select("page_id", "url"), labelled, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+ORACLES["op6_url_filter"] = r"""
+WITH RECURSIVE p AS (
+  SELECT page_id, url, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path
+  FROM pages),
+t AS (
+  SELECT page_id, host, path, CASE WHEN contains(url, '://') THEN list_sort(list_distinct(list_concat(
+    ['s:' || regexp_extract(url, '(?s)^(.*?)://', 1)],
+    list_transform(list_filter(string_split(host, '.'), lambda s: s <> ''), lambda s: 'h:' || s),
+    list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: 'p:' || regexp_replace(s, '[0-9]+', '#', 'g')),
+    list_transform(list_filter(string_split(regexp_extract(url, '(?s)^.*?://[^?#]*\?([^#]*)', 1), '&'), lambda s: s <> ''), lambda s: 'q:' || string_split(s, '=')[1]),
+    CASE WHEN contains(url, '#') THEN ['f:'] ELSE [] END))) ELSE [] END AS items
+  FROM p),
+l AS (
+  SELECT doc_id, max(coalesce(quality, 1) = 0 OR coalesce(toxic, 0) = 1) AS bad FROM labels WHERE quality IS NOT NULL OR toxic IS NOT NULL GROUP BY doc_id),
+e AS (SELECT page_id, items, bad FROM t JOIN l ON doc_id = page_id WHERE len(items) > 0),
+least AS (SELECT greatest(5, ceil(0.005 * count(*))) AS k FROM e),
+sub AS (
+  SELECT page_id, items, 0 AS i, CAST([] AS VARCHAR[]) AS s FROM e WHERE bad
+  UNION ALL
+  SELECT page_id, items, i + 1, x FROM (SELECT page_id, items, i, unnest([s, list_append(s, items[i + 1])]) AS x FROM sub WHERE i < len(items))),
+f AS (SELECT s, count(*) AS n FROM sub WHERE i = len(items) AND len(s) > 0 GROUP BY s HAVING count(*) >= (SELECT k FROM least)),
+rules AS (SELECT s FROM f JOIN e ON list_has_all(e.items, f.s) GROUP BY s, n HAVING n / count(*) >= 0.6),
+hit AS (SELECT DISTINCT page_id FROM t JOIN rules ON list_has_all(t.items, rules.s)),
+listed(verdict, rule) AS (VALUES ('block', 'com/en/'), ('allow', 'example.com/en/7'), ('block', 'net/de/'), ('block', 'example.net/de/8'), ('block', 'org/es/')),
+fits AS (
+  SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict
+  FROM p JOIN listed ON (host = split_part(rule, '/', 1) OR ends_with(host, '.' || split_part(rule, '/', 1))) AND starts_with(path, substr(rule, strpos(rule, '/')))
+  GROUP BY page_id)
+SELECT p.page_id, host, path, rule, coalesce(verdict, CASE WHEN hit.page_id IS NULL THEN 'allow' ELSE 'block' END) AS verdict
+FROM p LEFT JOIN fits USING (page_id) LEFT JOIN hit USING (page_id)
+"""
