@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from recollect.llm import langid
 from recollect.llm.annsearch import search
 from recollect.llm.decontam import contamination
+from recollect.llm.extraction import main_text
 from recollect.llm.mixing import mix_plan
 from recollect.llm.neardup import near_duplicates
 from recollect.llm.quality import quality_scores
@@ -210,3 +211,9 @@ fits AS (
 SELECT p.page_id, host, path, rule, coalesce(verdict, CASE WHEN hit.page_id IS NULL THEN 'allow' ELSE 'block' END) AS verdict
 FROM p LEFT JOIN fits USING (page_id) LEFT JOIN hit USING (page_id)
 """
+
+
+@_query
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return main_text(table(spark, sf_dir, "pages"))
