@@ -33,3 +33,6 @@ def q_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").filter(F.col("lang") != "quarantine-pending")
     return docs.groupBy(F.col("lang").alias("wing"), F.col("source").alias("room")).agg(F.count("*").alias("n"))
+
+
+from recollect.plans import text_queries  # noqa: E402, F401
