@@ -36,7 +36,7 @@ from recollect.llm.staging import Staged
 
 WEIGHTS, TOTAL, REPEATS = (3.0, 1.0, 2.0), 1.5, 2
 BLOCK_WORDS, SHARD_SLOTS, SEED = 64, 1 << 14, 20
-BUCKET_ROWS, MAX_SOURCES = 4096, 1_000_000
+BUCKET_ROWS, MAX_SOURCES, TASK_SLOTS = 4096, 1_000_000, 250_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -137,7 +137,7 @@ def mix_plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float
     for r in drawn.groupBy("src").agg(F.sum("slots").alias("n")).collect():
         got[r["src"]] = r["n"]
     taken = (
-        _running(drawn, "src", "bucket", ["shard"], "slots", "start").select("src", "start", "slots")
+        _running(drawn, "src", "bucket", ["shard"], "slots", "start").select("src", "start", "slots").repartition(min(20_000, max(1, slots // TASK_SLOTS)), "src", "start")
         .mapInPandas(lambda it: _slots(it, got, quota, n_blocks, seed), "src long, block long").groupBy("src", "block").agg(F.count("*").alias("times"))
     )
     pieces = (
@@ -146,7 +146,7 @@ def mix_plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float
         .withColumn("words", F.least(F.col("size"), (F.col("block") + 1) * block_words - F.col("pos")) - F.col("at"))
         .select("src", "pos", "block", "at", "words")
     )
-    per_doc = pieces.join(taken, ["src", "block"]).groupBy("src", "pos").agg(F.sum(F.col("words") * F.col("times")).alias("taken"), F.array_sort(F.collect_list(F.struct("at", "words", "times"))).alias("pieces"))
+    per_doc = pieces.join(taken.hint("merge"), ["src", "block"]).groupBy("src", "pos").agg(F.sum(F.col("words") * F.col("times")).alias("taken"), F.array_sort(F.collect_list(F.struct("at", "words", "times"))).alias("pieces"))
     out = laid.withColumn("key_pos", F.when(F.col("size") > 0, F.col("pos"))).join(per_doc.withColumnRenamed("pos", "key_pos"), ["src", "key_pos"], "left")
     return out.select("doc_id", "row_key", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("pieces", F.array().cast("array<struct<at:long,words:long,times:long>>")).alias("pieces"))
 
@@ -178,10 +178,10 @@ def _cut(batches: Iterator[pa.RecordBatch], names: list[str], schema: pa.Schema
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: rows like docs whose texts are the words taken, one row for each pass over a document."""
-    plan = mix_plan(docs, **options).filter("taken > 0").select("row_key", F.col("pieces").alias("_x_pieces"))
-    plan = plan.withColumn("_x_copy", F.row_number().over(Window.partitionBy("row_key").orderBy("_x_pieces")))
-    keyed = docs.withColumn("row_key", F.xxhash64(F.col("doc_id").cast("long"), "text"))
+    plan = mix_plan(docs, **options).filter("taken > 0").select(F.col("row_key").alias("_x_row"), F.col("pieces").alias("_x_pieces"))
+    plan = plan.withColumn("_x_copy", F.row_number().over(Window.partitionBy("_x_row").orderBy("_x_pieces")))
+    keyed = docs.withColumn("_x_row", F.xxhash64(F.col("doc_id").cast("long"), "text"))
     first, more = plan.filter("_x_copy = 1").drop("_x_copy"), plan.filter("_x_copy > 1").drop("_x_copy")
-    one_each = keyed.dropDuplicates(["row_key"])
-    joined = keyed.join(first, "row_key") if more.isEmpty() else one_each.join(plan.drop("_x_copy"), "row_key")
-    return joined.drop("row_key").mapInArrow(lambda it, names=docs.columns: _cut(it, names), docs.schema)
+    one_each = keyed.dropDuplicates(["_x_row"])
+    joined = keyed.join(first, "_x_row") if more.isEmpty() else one_each.join(plan.drop("_x_copy"), "_x_row")
+    return joined.drop("_x_row").mapInArrow(lambda it, names=docs.columns: _cut(it, names), docs.schema)
