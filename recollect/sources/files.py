@@ -14,7 +14,7 @@ NOISE = ("", "progress", "file-history-snapshot", "queue-operation")
 
 def text_files(spark: SparkSession, path: str) -> DataFrame:
     """(source, text) of every file below a folder with a mined extension, dot-files left out."""
-    rows = spark.read.option("recursiveFileLookup", "true").option("wholetext", "true").text(path).select(F.input_file_name().alias("source"), F.col("value").alias("text"))
+    rows = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.input_file_name().alias("source"), F.col("value").alias("text"))
     name = F.regexp_extract("source", "([^/]*)$", 1)
     hidden = F.rlike(F.regexp_replace("source", "^[a-z]+:", ""), F.lit(r"/\.[^/]"))
     return rows.filter(F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1)).isin(MINED) & ~hidden)
@@ -22,7 +22,7 @@ def text_files(spark: SparkSession, path: str) -> DataFrame:
 
 def transcripts(spark: SparkSession, path: str) -> DataFrame:
     """Messages of *.jsonl transcripts: source, line, id, role, speaker, text, timestamp. Blank, malformed and noise lines are skipped."""
-    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").option("wholetext", "true").text(path)
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(path, wholetext=True)
     lines = raw.select(F.input_file_name().alias("source"), F.posexplode(F.split("value", "\n")).alias("line", "json"))
     return messages(lines)
 
