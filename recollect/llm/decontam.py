@@ -139,7 +139,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, length: int = LENGTH, g
     )
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if windows.df.count() > max_shipped:
-        return _joined(docs, windows.df, length, gram)
+        return _joined(docs, windows.df, length, gram).drop("row_key")
     index = docs.sparkSession.sparkContext.broadcast(_Index(windows.df.toPandas(), length))
     windows.drop()
     return docs.mapInArrow(lambda it: _scan_documents(it, index.value, length, gram), REPORT)
@@ -191,7 +191,7 @@ def _joined(docs: DataFrame, windows: DataFrame, length: int, gram: int) -> Data
     sizes = keyed.mapInArrow(_counts, "doc_id long, row_key long, n_words long")
     found = sizes.join(covered, "row_key", "left").join(items, "row_key", "left")
     return found.select(
-        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
+        "row_key", "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.coalesce(F.array_join("own", ","), F.lit("")), 256).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"),
     )
 
@@ -210,8 +210,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = LENGTH, g
     )
     if windows.df.count() > max_shipped:
         keyed = docs.withColumn("_row_key", F.xxhash64(F.col("doc_id").cast("long"), "text"))
-        bad = _joined(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), windows.df, length, gram).filter("contaminated").select("doc_id").distinct()
-        return keyed.join(bad, "doc_id", "left_anti").drop("_row_key")
+        found = _joined(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), windows.df, length, gram)
+        bad = found.filter("contaminated").select(F.col("row_key").alias("_row_key")).distinct()
+        return keyed.join(bad, "_row_key", "left_anti").drop("_row_key")
     index = docs.sparkSession.sparkContext.broadcast(_Index(windows.df.toPandas(), length))
     windows.drop()
     return docs.mapInArrow(lambda it: _flag_documents(it, index.value, length, gram), docs.schema)
