@@ -25,16 +25,15 @@ def duplicate_groups(records: DataFrame) -> DataFrame:
     return records.filter(F.col("wing") != QUARANTINE).groupBy("fp").agg(F.count("*").alias("n"), F.min("id").alias("keeps")).filter("n > 1")
 
 
-def merged_occurrences(groups: Column) -> Column:
-    """The union of occurrence lists (content_date, filed_at): one for each date, the undated first."""
-    flat = F.array_sort(F.array_distinct(F.flatten(groups)), lambda a, b: F.when(F.coalesce(a["content_date"], F.lit("")) < F.coalesce(b["content_date"], F.lit("")), -1).when(F.coalesce(a["content_date"], F.lit("")) > F.coalesce(b["content_date"], F.lit("")), 1).when(a["filed_at"] < b["filed_at"], -1).when(a["filed_at"] > b["filed_at"], 1).otherwise(0))
-    return F.filter(flat, lambda x, i: (i == 0) | ~F.get(flat, i - 1)["content_date"].eqNullSafe(x["content_date"]))
-
-
 def deduplicated(records: DataFrame) -> DataFrame:
-    """Survivors of duplicate groups (the least id) with the occurrences of all they stand for."""
-    grouped = records.groupBy("fp").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.collect_list("occurrences").alias("o"))
-    return grouped.select("id", "n", merged_occurrences(F.col("o")).alias("occurrences"))
+    """Survivors of duplicate groups (the least id) with the occurrences (content_date, filed_at) of all they stand for:
+    one for each date, the first filed, the undated first. Dates are merged before they are gathered, so a group's
+    list grows with its dates, not with its copies."""
+    groups = records.groupBy("fp").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+    dated = records.select("fp", F.explode("occurrences").alias("o")).groupBy("fp", "o.content_date").agg(F.min("o.filed_at").alias("filed_at"))
+    lists = dated.groupBy("fp").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("content_date", F.lit("")).alias("k"), "content_date", "filed_at"))).alias("o"))
+    merged = F.transform("o", lambda x: F.struct(x["content_date"].alias("content_date"), x["filed_at"].alias("filed_at")))
+    return groups.join(lists, "fp").select("id", "n", merged.alias("occurrences"))
 
 
 def expired(records: DataFrame, policies: DataFrame, now: Column) -> DataFrame:

@@ -110,21 +110,22 @@ def top(hits: DataFrame, score: str, limit: int, offset: int = 0) -> DataFrame:
     return ranked.filter(F.col("rank") > offset)
 
 
-def capped(hits: DataFrame, group: str, score: str, cap: int) -> DataFrame:
-    """Hits reordered (column place): at most cap of each group first, then the rest, each by score."""
+def capped(hits: DataFrame, group: str, score: str, cap: int, depth: int) -> DataFrame:
+    """The first ``depth`` places: at most cap of each group first, then the rest, each by score. Only the per-group
+    ranking shuffles; the places are a bounded sort."""
     own = F.row_number().over(Window.partitionBy(group).orderBy(F.desc(score), "id"))
-    marked = hits.withColumn("spare", (own > cap).cast("int"))
-    return marked.withColumn("place", F.row_number().over(Window.orderBy("spare", F.desc(score), "id"))).drop("spare")
+    head = hits.withColumn("spare", (own > cap).cast("int")).orderBy("spare", F.desc(score), "id").limit(depth)
+    return head.withColumn("place", F.row_number().over(Window.orderBy("spare", F.desc(score), "id"))).drop("spare")
 
 
-def first_of_group(ranked: DataFrame, group: str) -> DataFrame:
-    """(group, rank) in the order in which groups first appear."""
-    best = ranked.groupBy(group).agg(F.min("rank").alias("seen"))
+def first_of_group(ranked: DataFrame, group: str, depth: int) -> DataFrame:
+    """The first ``depth`` groups in the order in which they appear, with their rank."""
+    best = ranked.groupBy(group).agg(F.min("rank").alias("seen")).orderBy("seen").limit(depth)
     return best.select(group, F.row_number().over(Window.orderBy("seen")).alias("rank"))
 
 
 def rescored(ranked: DataFrame, late: Column, n: int) -> DataFrame:
-    """The first n ranks in the order of a second score, the others as they were."""
+    """A page of ranked hits with its first n ranks in the order of a second score, the others as they were."""
     head = F.when(F.col("rank") <= n, late)
     return ranked.withColumn("late", head).withColumn("place", F.row_number().over(Window.orderBy((F.col("rank") > n).cast("int"), F.desc_nulls_last("late"), "rank")))
 
@@ -145,6 +146,6 @@ def search(records: DataFrame, options: SearchOptions, trust: DataFrame | None =
     hits = hits.withColumn("lexical", squash(F.coalesce("bm25", F.lit(0.0)))).filter(admitted(F.col("lexical"), F.lit(0.0), F.col("semantic"), options.gate))
     hits = hits.withColumn("score", fuse(F.col("lexical"), F.col("semantic"), options.semantic_weight)).drop("bm25")
     if options.room_cap:
-        page = capped(hits, "room", "score", options.room_cap).withColumnRenamed("place", "rank")
-        return page.filter((F.col("rank") > options.offset) & (F.col("rank") <= options.offset + options.limit))
+        page = capped(hits, "room", "score", options.room_cap, options.offset + options.limit).withColumnRenamed("place", "rank")
+        return page.filter(F.col("rank") > options.offset)
     return top(hits, "score", options.limit, options.offset)

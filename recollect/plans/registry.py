@@ -11,7 +11,7 @@ from recollect.sources.tables import table
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-FLAGSHIP = "q_taxonomy"
+FLAGSHIP = "q_search"
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:

@@ -87,7 +87,7 @@ SELECT id, label, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() O
 def q_room_cap(spark, sf_dir):
     """At most two hits of a label first, then refilled by score."""
     hits = _nearest(spark, sf_dir).filter("query_id = 0")
-    return S.capped(hits, "label", "score", 2).filter("place <= 30").select("id", "label", "place")
+    return S.capped(hits, "label", "score", 2, 30).select("id", "label", "place")
 
 
 @query(f"""WITH {_KNN}, r AS (SELECT label, row_number() OVER (ORDER BY score DESC, id) AS rank FROM k WHERE query_id = 0)
@@ -96,7 +96,7 @@ def q_session_rank(spark, sf_dir):
     """Labels in the order in which their vectors first appear."""
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     ranked = _nearest(spark, sf_dir).filter("query_id = 0").withColumn("rank", F.row_number().over(w))
-    return S.first_of_group(ranked, "label")
+    return S.first_of_group(ranked, "label", 100)
 
 
 @query(f"""WITH {_KNN}, r AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM k WHERE query_id < 2)
