@@ -389,6 +389,20 @@ def within_one_edit(a: Column, b: Column) -> Column:
     return (a == b) | near
 
 
+#: Inflections taken off the ends of words, by language; our own short lists.
+SUFFIXES = {
+    "en": "ings ing edly ed ies es s ly", "de": "ungen ung heiten heit keiten keit lichen liche lich en er es em e n s", "nl": "ingen ing heden heid en er s e", "it": "zioni zione mente are ere ire i e a o",
+    "es": "ciones ción mente ados adas ado ada os as es ar er ir o a s", "fr": "tions tion ments ment ements eaux aux es er ez é és ée ées s e", "pt": "ções ção mente ados adas ado ada os as es ar er ir o a s",
+    "tr": "ların lerin lar ler ın in un ün da de dan den ı i u ü", "ru": "ами ями ого его ому ему ых их ой ей ам ям ах ях ы и а я у ю е о", "el": "ους ων ες ος ας ης α η ο", "hi": "ों ें ीं ो े ी ा", "ka": "ების ები ის ს ი", "ko": "에서 으로 에게 은 는 이 가 을 를 의",
+}
+
+
+def stem(token: Column, language: str) -> Column:
+    """A token without its first listed suffix that leaves three characters."""
+    listed = "|".join(sorted(SUFFIXES[language].split(), key=lambda s: (-len(s), s)))
+    return F.regexp_replace(token, f"^(.{{3,}}?)(?:{listed})$", "$1")
+
+
 def locate(claim: Column, text: Column) -> Column:
     """Byte span (offset, len) of a claim in a text; null where it isn't there."""
     at = F.instr(text, claim)

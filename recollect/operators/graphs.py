@@ -7,6 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def tunnelled(edges: DataFrame, new: DataFrame, gone: DataFrame | None = None) -> DataFrame:
+    """Edges with new ones (from_wing, to_wing, label) added once, under an id of their parts, and those of ``gone`` (id) removed."""
+    key = F.substring(F.sha2(F.concat_ws("\u001f", F.least("from_wing", "to_wing"), F.greatest("from_wing", "to_wing"), "label"), 256), 1, 32)
+    out = edges.select("from_wing", "to_wing", "label").unionByName(new).withColumn("id", key).dropDuplicates(["id"])
+    return out if gone is None else out.join(gone, "id", "left_anti")
+
+
 def followed(edges: DataFrame, node) -> DataFrame:
     """Neighbours of a node along undirected edges (from_wing, to_wing, label)."""
     there = edges.filter(F.col("from_wing") == node).select(F.col("to_wing").alias("wing"), "label")

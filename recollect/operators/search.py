@@ -32,6 +32,8 @@ class SearchOptions:
     limit: int = 10
     offset: int = 0
     room_cap: int | None = None
+    language: str | None = None
+    vector: tuple[float, ...] | None = None
     semantic_weight: float = 0.6
     gate: float = V.GATE
 
@@ -79,6 +81,38 @@ def bm25(pool: DataFrame, query_terms: list[str]) -> DataFrame:
     return rows.select("id", score.alias("bm25"))
 
 
+def approximate(pool: DataFrame, query_terms: list[str], language: str | None) -> DataFrame:
+    """(id, morph) of pool rows (id, tokens) without the word itself but with one of its stem, or one edit away:
+    half the weight of exact evidence, and at most one occurrence for each query word."""
+    near = F.lit(0.0)
+    for t in query_terms:
+        word = F.lit(t)
+        near = near + F.when(~F.array_contains("tokens", t) & _any_like(F.col("tokens"), word, language), 0.5).otherwise(0.0)
+    return pool.select("id", near.alias("morph")).filter("morph > 0")
+
+
+def _any_like(tokens: Column, word: Column, language: str | None) -> Column:
+    if language is None:
+        return F.exists(tokens, lambda x: X.within_one_edit(x, word))
+    return F.exists(tokens, lambda x: (X.stem(x, language) == X.stem(word, language)) | X.within_one_edit(x, word))
+
+
+def external(records: DataFrame, vector: list[float], limit: int, offset: int = 0) -> DataFrame:
+    """Hits of a vector that the caller computed; a vector of another length than the records' is refused."""
+    sizes = records.agg(F.min(F.size("embedding")).alias("lo"), F.max(F.size("embedding")).alias("hi")).first()
+    if sizes["lo"] is not None and not sizes["lo"] == sizes["hi"] == len(vector):
+        raise ValueError(f"the vector has {len(vector)} components, the records have {sizes['lo']} to {sizes['hi']}")
+    probe = F.array(*(F.lit(float(x)) for x in vector))
+    return top(records.withColumn("score", V.semantic(V.cosine(F.col("embedding"), probe))), "score", limit, offset)
+
+
+def pool_size(live: int, scoped: int | None = None) -> tuple[int, int]:
+    """Rows of the first and second candidate stage: shares of what is live, or of a scope within bounds."""
+    if scoped is not None:
+        return min(scoped, 2048), min(scoped, 1024)
+    return max(live // 64, 1), max(live // 512, 1)
+
+
 def squash(score: Column) -> Column:
     """[0, inf) to [0, 1)."""
     return score / (score + 1)
@@ -137,14 +171,22 @@ def search(records: DataFrame, options: SearchOptions, trust: DataFrame | None =
         pool = above_floor(pool, trust, options.min_trust)
     terms = list(dict.fromkeys(t for t in X.segment_text(X.fold_key(options.query))[0] if len(t.encode()) > 1))
     scored = pool.withColumn("tokens", X.words(X.search_key(F.col("content"))))
+    mask = X.script_mask(F.lit(options.query))
+    disjoint = X.scripts_disjoint(X.script_mask(F.col("content")), mask).alias("disjoint") if any(c.isalpha() and not c.isascii() for c in options.query) else F.lit(False).alias("disjoint")
     lexical = bm25(scored, terms) if terms else scored.select("id", F.lit(0.0).alias("bm25")).limit(0)
     if "embedding" in records.columns:
-        probe = F.array(*(F.lit(float(x)) for x in V.hash_embed(options.query)))
-        hits = scored.select("id", "wing", "room", V.semantic(V.cosine(F.col("embedding"), probe)).alias("semantic")).join(lexical, "id", "left")
+        probe = F.array(*(F.lit(float(x)) for x in options.vector or V.hash_embed(options.query)))
+        hits = scored.select("id", "wing", "room", disjoint, V.semantic(V.cosine(F.col("embedding"), probe)).alias("semantic")).join(lexical, "id", "left")
+    else:
+        hits = scored.select("id", "wing", "room", disjoint, F.lit(0.5).alias("semantic")).join(lexical, "id", "left" if options.language else "inner")
+    if terms and options.language:
+        hits = hits.join(approximate(scored, terms, options.language), "id", "left")
     else:
-        hits = scored.select("id", "wing", "room", F.lit(0.5).alias("semantic")).join(lexical, "id")
-    hits = hits.withColumn("lexical", squash(F.coalesce("bm25", F.lit(0.0)))).filter(admitted(F.col("lexical"), F.lit(0.0), F.col("semantic"), options.gate))
-    hits = hits.withColumn("score", fuse(F.col("lexical"), F.col("semantic"), options.semantic_weight)).drop("bm25")
+        hits = hits.withColumn("morph", F.lit(0.0))
+    hits = hits.fillna({"morph": 0.0, "bm25": 0.0}).withColumn("lexical", squash(F.col("bm25") + F.col("morph")))
+    hits = hits.filter(admitted(F.col("bm25"), F.col("morph"), F.col("semantic"), options.gate))
+    blend = fuse(F.col("lexical"), F.col("semantic"), options.semantic_weight, F.col("disjoint"))
+    hits = hits.withColumn("score", blend).drop("bm25", "morph", "disjoint")
     if options.room_cap:
         page = capped(hits, "room", "score", options.room_cap, options.offset + options.limit).withColumnRenamed("place", "rank")
         return page.filter(F.col("rank") > options.offset)

@@ -173,3 +173,13 @@ def q_support(spark, sf_dir):
     """Three-way grounding of a claim: where it stands, or that it doesn't."""
     s = records(spark, sf_dir).select("id", X.locate(F.lit("of "), F.col("content")).alias("s"))
     return s.select("id", F.when(F.col("s").isNotNull(), F.array("s.offset", "s.len")).alias("span"), F.when(F.col("s").isNotNull(), "grounded").otherwise("absent").alias("state"))
+
+
+@query("SELECT least(a, b) || '-' || greatest(a, b) AS pair FROM (SELECT CAST(n_nationkey AS VARCHAR) AS a, CAST(n_regionkey AS VARCHAR) AS b FROM nation UNION ALL SELECT CAST(n_regionkey AS VARCHAR), CAST(n_nationkey AS VARCHAR) FROM nation) WHERE a <> '7' AND b <> '7' GROUP BY 1")
+def q_tunnels(spark, sf_dir):
+    """Edges added twice are kept once; those of one wing are removed."""
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("from_wing"), F.col("n_regionkey").cast("string").alias("to_wing"), F.lit("x").alias("label"))
+    back = n.select(F.col("to_wing").alias("from_wing"), F.col("from_wing").alias("to_wing"), "label")
+    both = G.tunnelled(n, back)
+    out = G.tunnelled(n, back, both.filter("from_wing = '7' or to_wing = '7'").select("id"))
+    return out.select(F.concat_ws("-", F.least("from_wing", "to_wing"), F.greatest("from_wing", "to_wing")).alias("pair"))

@@ -240,3 +240,34 @@ def q_dedup_refresh(spark, sf_dir):
     pairs = new.alias("n").join(old.alias("o"), [F.col("n.wing") == F.col("o.wing"), F.col("n.room") == F.col("o.room")])
     close = pairs.select(F.col("n.id").alias("id"), F.col("o.id").alias("refreshes"), V.dot(F.col("n.v"), F.col("o.v")).alias("score")).filter("score >= 0.9")
     return close.groupBy("id").agg(F.max_by("refreshes", F.struct("score", -F.col("refreshes"))).alias("refreshes"), F.max("score").alias("score"))
+
+
+@query()
+def q_search_morph(spark, sf_dir):
+    """Search in a declared language: inflected and mistyped words count half."""
+    return S.search(records(spark, sf_dir), S.SearchOptions(query="whands edlys", wing="en", limit=30, language="en"))
+
+
+@query("SELECT vec_id AS id, (1 + list_cosine_similarity(embedding::DOUBLE[], [1.0, 2.0] || list_resize([0.0], 62, 0.0))) / 2 AS score, CAST(row_number() OVER (ORDER BY list_cosine_similarity(embedding::DOUBLE[], [1.0, 2.0] || list_resize([0.0], 62, 0.0)) DESC, vec_id) AS INTEGER) AS rank FROM embeddings QUALIFY rank <= 10")
+def q_external_vector(spark, sf_dir):
+    """Search by a vector of the caller's."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return S.external(rows, [1.0, 2.0] + [0.0] * 62, 10).select("id", "score", "rank")
+
+
+@query()
+def q_calibration(spark, sf_dir):
+    """The floor and gate of the hash embedder, and the share of document pairs above the gate."""
+    floor = V.semantic_floor()
+    d = table(spark, sf_dir, "documents").select("doc_id", V.embed(F.col("text")).alias("v"))
+    after = d.select((F.col("doc_id") + 1).alias("doc_id"), F.col("v").alias("w"))
+    pairs = d.join(after, "doc_id").select(V.semantic(V.dot(F.col("v"), F.col("w")), floor).alias("s"))
+    return pairs.agg(F.lit(floor).alias("floor"), F.lit(V.GATE).alias("gate"), F.avg((F.col("s") > V.GATE).cast("double")).alias("admitted"))
+
+
+@query("SELECT vec_id, list_sum(list_transform(list_zip(embedding, list_transform(embedding, lambda x: round(x::DOUBLE / (list_max(list_transform(embedding, lambda y: abs(y::DOUBLE))) / 127)) * (list_max(list_transform(embedding, lambda y: abs(y::DOUBLE))) / 127))), lambda p: abs(p[1]::DOUBLE - p[2]))) / 64 < 0.005 AS close FROM embeddings")
+def q_dequantize(spark, sf_dir):
+    """Whether int8 codes come back close to their vectors."""
+    e = table(spark, sf_dir, "embeddings").withColumn("back", V.dequantize(V.quantize(F.col("embedding"))))
+    off = F.aggregate(F.zip_with("embedding", "back", lambda a, b: F.abs(a.cast("double") - b)), F.lit(0.0), lambda s, x: s + x)
+    return e.select("vec_id", (off / 64 < 0.005).alias("close"))

@@ -323,3 +323,12 @@ def q_update_delete(spark, sf_dir):
     r = records(spark, sf_dir).select("id", H.content_fp(F.col("content")).alias("content"))
     out = G.updated(r, r.filter("id % 10 = 0").select("id", F.lit("changed").alias("content")))
     return out.join(r.filter("id % 17 = 0").select("id"), "id", "left_anti")
+
+
+@query("SELECT user_id || '/0' AS chain, count(*) AS faults FROM events WHERE user_id < 40 AND user_id % 10 = 3 GROUP BY user_id")
+def q_verify_chain(spark, sf_dir):
+    """Chains in which a tag was altered after the fact, with how many heads no longer hold."""
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    a = table(spark, sf_dir, "events").filter("user_id < 40").select(F.col("user_id").alias("chain"), F.row_number().over(w).cast("long").alias("seq"), F.sha2(F.col("event_id").cast("string"), 256).alias("tag"))
+    forged = a.withColumn("tag", F.when((F.col("chain") % 10 == 3) & (F.col("seq") == 1), "forged").otherwise(F.col("tag")))
+    return G.verified(forged, G.chain_heads(a)).groupBy("chain").agg(F.count("*").alias("faults"))
