@@ -225,11 +225,18 @@ def q_fde(spark, sf_dir):
     return rows.mapInPandas(score, "doc long, fde double, maxsim double")
 
 
-@query()
+@query(r"""WITH t AS (SELECT doc_id, regexp_extract_all(replace(strip_accents(lower(text)), 'ß', 'ss'), '[\p{L}\p{N}]+') AS w FROM documents),
+f AS (SELECT doc_id, 'u:' || unnest(w) AS f FROM t
+UNION ALL SELECT doc_id, 'b:' || w[i] || ' ' || w[i + 1] FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM t)
+UNION ALL SELECT doc_id, 't:' || substr(x, i, 3) FROM (SELECT doc_id, x, unnest(range(1, length(x) - 1)) AS i FROM (SELECT doc_id, unnest(w) AS x FROM t) WHERE length(x) > 3)),
+h AS (SELECT doc_id, sha256(f) AS h FROM f),
+s AS (SELECT doc_id, CAST('0x' || h[7:8] || h[5:6] || h[3:4] || h[1:2] AS BIGINT) % 384 AS slot, abs(sum(CASE WHEN CAST('0x' || h[9:10] AS BIGINT) % 2 = 0 THEN 1 ELSE -1 END)) AS x FROM h GROUP BY ALL)
+SELECT t.doc_id, CASE WHEN max(x) IS NULL THEN 0.0 ELSE 1.0 END AS norm, coalesce(min(slot) FILTER (x = m), 0) AS slot FROM t LEFT JOIN (SELECT *, max(x) OVER (PARTITION BY doc_id) AS m FROM s) s ON s.doc_id = t.doc_id GROUP BY t.doc_id""")
 def q_hash_embed(spark, sf_dir):
     """Hash embeddings of documents, with their length and the slot of the largest component."""
     e = table(spark, sf_dir, "documents").select("doc_id", V.embed(F.col("text")).alias("v"))
-    return e.select("doc_id", F.round(F.sqrt(V.dot(F.col("v"), F.col("v"))), 9).alias("norm"), (F.array_position("v", F.array_max("v")) - 1).alias("slot"))
+    e = e.withColumn("a", F.transform("v", lambda x: F.abs(x)))
+    return e.select("doc_id", F.round(F.sqrt(V.dot(F.col("v"), F.col("v"))), 9).alias("norm"), (F.array_position("a", F.array_max("a")) - 1).alias("slot"))
 
 
 @query()
@@ -238,7 +245,7 @@ def q_dedup_refresh(spark, sf_dir):
     rows = records(spark, sf_dir).withColumn("v", V.embed(F.col("content")))
     new, old = rows.filter("id % 20 = 0"), rows.filter("id % 20 <> 0")
     pairs = new.alias("n").join(old.alias("o"), [F.col("n.wing") == F.col("o.wing"), F.col("n.room") == F.col("o.room")])
-    close = pairs.select(F.col("n.id").alias("id"), F.col("o.id").alias("refreshes"), V.dot(F.col("n.v"), F.col("o.v")).alias("score")).filter("score >= 0.9")
+    close = pairs.select(F.col("n.id").alias("id"), F.col("o.id").alias("refreshes"), V.dot(F.col("n.v"), F.col("o.v")).alias("score")).filter("score >= 0.5")
     return close.groupBy("id").agg(F.max_by("refreshes", F.struct("score", -F.col("refreshes"))).alias("refreshes"), F.max("score").alias("score"))
 
 

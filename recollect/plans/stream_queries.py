@@ -21,7 +21,10 @@ def _turns(spark, sf_dir):
     return c.select("conv_id", "turn", X.speaker_label(F.lit(None).cast("string"), F.col("role")).alias("label"), "text", stamp.alias("timestamp"))
 
 
-@query()
+@query(r"""WITH RECURSIVE m AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, upper(role[1]) || role[2:] || ': ' || text AS b FROM conversations),
+f AS (SELECT conv_id, turn, i, b, 0 AS c, strlen(b) AS size FROM m WHERE i = 1
+UNION ALL SELECT m.conv_id, m.turn, m.i, m.b, CASE WHEN f.size + strlen(m.b) + 2 <= 800 THEN f.c ELSE f.c + 1 END, CASE WHEN f.size + strlen(m.b) + 2 <= 800 THEN f.size + strlen(m.b) + 2 ELSE strlen(m.b) END FROM f JOIN m ON m.conv_id = f.conv_id AND m.i = f.i + 1)
+SELECT conv_id, CAST(c AS BIGINT) AS chunk_index, min(turn) AS first_turn, max(turn) AS last_turn, strftime(TIMESTAMP '2024-05-01 08:00:00' + to_hours(conv_id) + to_minutes(min(turn)), '%Y-%m-%dT%H:%M:%SZ') AS started_at, string_agg(b, chr(10) || chr(10) ORDER BY i) AS content FROM f GROUP BY conv_id, c""")
 def q_chunk_exchanges(spark, sf_dir):
     """Conversations packed into chunks on message boundaries."""
     return R.exchanges(_turns(spark, sf_dir))

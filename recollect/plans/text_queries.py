@@ -188,7 +188,7 @@ def q_token_f1(spark, sf_dir):
     return b.join(after, "item_id").select("item_id", X.token_f1(F.col("t"), F.col("next")).alias("f1"))
 
 
-@query()
+@query("""SELECT event_id, [replace(props, ': ', ':'), '{"type":"' || event_type || '"}'] AS objects FROM events WHERE event_id % 10 = 0""")
 def q_lenient_json(spark, sf_dir):
     """Objects saved from fenced, chatty or cut-off model output built from events."""
     e = table(spark, sf_dir, "events").filter("event_id % 10 = 0")
