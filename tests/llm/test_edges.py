@@ -94,7 +94,7 @@ def test_contamination_both_ways(docs, empty, bench):
 
 
 def test_near_duplicates(docs, empty):
-    got = near_duplicates(docs).collect()
+    got = near_duplicates(docs, shingle=2).collect()
     by = {(r.doc_id, r.n_shingles): r for r in got}
     assert len(got) == len(ROWS) and by[1, 0].component_id == 1 and by[2, 0].kept and by[3, 0].kept
     assert [r.component_id for r in got if r.doc_id in (4, 5)] == [4, 4, 4] and by[8, 15].component_id == 7

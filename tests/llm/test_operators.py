@@ -197,7 +197,7 @@ def test_group_of_many_near_copies(spark):
             text[at] = f"new{i}x{at}"
         data.append((i, " ".join(text)))
     data += [(1000 + i, " ".join(_words(rng, 150))) for i in range(100)]
-    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(data, "doc_id long, text string"), small=16).collect()}
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(data, "doc_id long, text string"), shingle=2, small=16).collect()}
     sets = {i: {(a, b) for a, b in zip(t.split(), t.split()[1:], strict=False)} for i, t in data}
     ids, parent = list(sets), {i: i for i in sets}
 
