@@ -15,7 +15,7 @@ from recollect.functions import text as X
 from recollect.operators.search import QUARANTINE
 
 
-def palace_stats(records: DataFrame) -> DataFrame:
+def record_totals(records: DataFrame) -> DataFrame:
     """Records, wings and rooms outside the quarantine wing, in one aggregate."""
     return records.filter(F.col("wing") != QUARANTINE).agg(F.count("*").alias("records"), F.countDistinct("wing").alias("wings"), F.countDistinct("wing", "room").alias("rooms"))
 

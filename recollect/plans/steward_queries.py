@@ -31,9 +31,9 @@ def q_taxonomy_nested(spark, sf_dir):
 
 
 @query(f"SELECT count(*) AS records, count(DISTINCT wing) AS wings, count(DISTINCT (wing, room)) AS rooms FROM {_R}")
-def q_palace_stats(spark, sf_dir):
+def q_totals(spark, sf_dir):
     """Totals outside quarantine."""
-    return G.palace_stats(records(spark, sf_dir))
+    return G.record_totals(records(spark, sf_dir))
 
 
 @query("SELECT event_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 25")
