@@ -1,11 +1,15 @@
 """Durable intermediate results in the folder that driver and executors share.
 
 Lineage is cut by writing Parquet below ``spark.checkpoint.dir`` and reading it back: the files
-outlive a lost executor, are compressed, and give the optimiser real sizes.
+outlive a lost executor, are compressed, and give the optimiser real sizes. Results read some of them
+lazily, so they stay until the folder is cleaned (Spark's checkpoint folders are, by whoever runs the
+cluster); a folder of our own goes with the process.
 """
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -16,7 +20,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``; a folder of this machine only where none is set."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="recollect-")
+        own = tempfile.mkdtemp(prefix="recollect-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        named = "file://" + own
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
