@@ -176,11 +176,17 @@ def match_key(text: Column) -> Column:
 
 def _script(c: str) -> str:
     code = ord(c)
-    return next((s for s, a, b in ATTACHING if a <= code <= b), "other") if code >= 0x590 else "other"
+    return "other" if code < 0x590 else next((s for s, a, b in ATTACHING if a <= code <= b), "other")
+
+
+_ASCII_WORDS = re.compile("[A-Za-z0-9]+")
 
 
 def segment_text(text: str) -> tuple[list[str], list[bool], int]:
     """Tokens, whether each is a fragment of a longer word, and the length in content units."""
+    if text.isascii():
+        words = _ASCII_WORDS.findall(text)
+        return words, [False] * len(words), len(words)
     tokens: list[str] = []
     fragment: list[bool] = []
     length, run = 0, ""

@@ -114,21 +114,53 @@ def embed(text: pd.Series) -> pd.Series:
     return text.map(lambda t: hash_embed(t or "").tolist())
 
 
+def _signed(feature: str) -> int:
+    """A feature's slot, doubled, plus one where its sign is negative; remembered."""
+    if feature not in _slots:
+        if len(_slots) > 200_000:
+            _slots.clear()
+        _slots[feature] = _slot(feature)
+    at, sign = _slots[feature]
+    return 2 * at + (sign < 0)
+
+
+def window_scores(text: str, known: np.ndarray) -> list[tuple[int, float]]:
+    """(character offset, best cosine with the known vectors) of each window of words; every word's features are made once."""
+    words = [(m.start(), m.group()) for m in re.finditer(r"\S+", text)]
+    tokens, owner = [], []
+    for i, (_, word) in enumerate(words):
+        own = segment_text(fold_key(word))[0]
+        tokens += own
+        owner += [i] * len(own)
+    features, at = [], []
+    for k, (token, i) in enumerate(zip(tokens, owner, strict=True)):
+        mine = [f"u:{token}"] + ([f"t:{token[j : j + 3]}" for j in range(len(token) - 2)] if len(token) > 3 else [])
+        features += [_signed(f) for f in mine]
+        at += [(i, i)] * len(mine)
+        if k:
+            features.append(_signed(f"b:{tokens[k - 1]} {token}"))
+            at.append((owner[k - 1], i))
+    slots, span = np.array(features, np.int64), np.array(at, np.int64).reshape(-1, 2)
+    out = []
+    for w in range(0, len(words), FIXTURE_STRIDE):
+        inside = (span[:, 0] >= w) & (span[:, 1] < w + FIXTURE_WORDS)
+        n = np.bincount(slots[inside], minlength=2 * DIM)
+        v = (n[::2] - n[1::2]).astype(float)
+        size = np.sqrt(v @ v)
+        out.append((words[w][0], float((known @ v).max() / size) if size else 0.0))
+        if w + FIXTURE_WORDS >= len(words):
+            break
+    return out
+
+
 @F.pandas_udf(T.LongType())
 def attack_window(text: pd.Series) -> pd.Series:
     """Byte offset of the window most like a known attack, where it is like enough; else null."""
     known = np.stack([hash_embed(a) for a in ATTACKS])
 
     def one(value: str | None) -> int | None:
-        starts = [m.start() for m in re.finditer(r"\S+", value)] if isinstance(value, str) else []
-        best, where = -1.0, None
-        for w in range(0, len(starts), FIXTURE_STRIDE):
-            stop = starts[w + FIXTURE_WORDS] if w + FIXTURE_WORDS < len(starts) else len(value)
-            score = float((known @ hash_embed(value[starts[w] : stop])).max())
-            if score > best:
-                best, where = score, starts[w]
-            if w + FIXTURE_WORDS >= len(starts):
-                break
+        scores = window_scores(value, known) if isinstance(value, str) else []
+        where, best = max(scores, key=lambda s: s[1], default=(0, -1.0))
         return len(value[:where].encode()) if best >= FIXTURE_MIN else None
 
     return text.map(one).astype("Int64")
