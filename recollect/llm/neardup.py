@@ -6,16 +6,18 @@ tokens. Independent trees branch the classes: every node picks one coordinate, a
 probability 1/4 a second one, from a hash of its path, and sends a class to the child that its
 minwise token there names (1.25 branches on average, so a pair at similarity 0.8 keeps one shared
 child on average at any depth). Nodes of at most ``SMALL`` classes are compared exhaustively;
-larger ones branch on, and those still large at the last level are compared in blocks of ``SMALL``
-that all hold the node's ``LEADERS`` first classes, so work stays linear in a group of many near
-copies. Trees repeat until the target recall (``TREES``; a pair at exactly 0.8 is missed by all of
+larger ones branch on, and those still large at the last level are first compared in blocks of ``SMALL``
+that all hold the node's ``LEADERS`` first classes, which connects a group of many near copies in
+linear work; what is then still apart is compared block by block, so no pair of a node is left out. Trees repeat until the target recall (``TREES``; a pair at exactly 0.8 is missed by all of
 them about once in several thousand).
 
 Comparing is in two steps: minwise agreement proposes, the full sets confirm. First every class is
 checked against one earlier partner in each node. With the components these links make known, the
-classes with partners are then compared by ``FINE`` minwise tokens: at first each with its ``PARTNERS``
-nearest in other components, at last all proposed pairs that still lie in different components. So
-each proposed pair is confirmed, refuted or already connected, while groups of copies don't expand
+classes with partners, and all of large nodes, are then compared by ``FINE`` minwise tokens: at first each with its ``PARTNERS``
+nearest in other components, at last all proposed pairs that still lie in different components. Large
+nodes are then split into blocks of ``WIDE`` classes by component and each two blocks that hold
+different components meet in a task of their own: work grows with the pairs between components, up to
+the square of a node whose members are alike but not linked. So each proposed pair is confirmed, refuted or already connected, while groups of copies don't expand
 into pairs.
 
 Edge cases: null or wordless texts have an empty set and are linked with nothing; texts of fewer
@@ -41,7 +43,7 @@ from recollect.llm.staging import Staged
 SHINGLE, PERCENT = 5, 80
 COORDS, TREES, FIRST_LEVEL, LAST_LEVEL = 64, 12, 3, 5
 SMALL, LEADERS, AGREE, SURE = 64, 16, 40, 52
-FINE, FINE_AGREE, PARTNERS = 512, 374, 4
+FINE, FINE_AGREE, PARTNERS, WIDE = 512, 374, 4, 256
 _U = np.uint64
 _FACTORS = ts.mix(np.arange(1, COORDS + FINE + 1, dtype=np.uint64) * _U(0xE7037ED1A0B428DB)) | _U(1)
 
@@ -121,14 +123,14 @@ def _deeper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _nodes(reps: DataFrame, trees: int, small: int) -> DataFrame:
-    """(path, block, cls, lead): the nodes to compare, each of at most small + LEADERS classes; lead marks a
-    large node's leaders in blocks that aren't their own."""
+    """(path, block, cls, lead, large): the nodes to compare first, each of at most about small + LEADERS classes; large
+    marks the blocks of a large node, lead its leaders in blocks that aren't their own."""
     rows = reps.select("cls", "sig").mapInArrow(lambda it: _rooted(it, trees, FIRST_LEVEL), "path long, cls long").hint("merge")
     out = None
     for level in range(FIRST_LEVEL, LAST_LEVEL + 1):
         counts = Staged(rows.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1"), "path-counts").df
         kept = Staged(rows.join(counts, "path"), "path-rows").df
-        leaves = kept.filter(F.col("n") <= small).select("path", F.lit(0).cast("long").alias("block"), "cls", F.lit(False).alias("lead"))
+        leaves = kept.filter(F.col("n") <= small).select("path", F.lit(0).cast("long").alias("block"), "cls", F.lit(False).alias("lead"), F.lit(False).alias("large"))
         out = leaves if out is None else out.union(leaves)
         large = kept.filter(F.col("n") > small)
         if counts.filter(F.col("n") > small).isEmpty():
@@ -142,7 +144,7 @@ def _nodes(reps: DataFrame, trees: int, small: int) -> DataFrame:
     dealt = large.select("path", F.pmod(F.xxhash64("cls"), blocks).alias("block"), "cls", F.lit(False).alias("lead"))
     least = large.groupBy("path", F.pmod(F.xxhash64("cls"), F.lit(LEADERS)).alias("lane")).agg(F.min("cls").alias("cls"), F.first("n").alias("n"))
     led = least.select("path", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"), "cls", F.lit(True).alias("lead"))
-    return out.union(dealt.union(led).groupBy("path", "block", "cls").agg(F.min("lead").alias("lead")))
+    return out.union(dealt.union(led).groupBy("path", "block", "cls").agg(F.min("lead").alias("lead")).withColumn("large", F.lit(True)))
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -188,28 +190,28 @@ def _first_partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def _other_partners(batches: Iterator[pa.RecordBatch], percent: int, partners: int | None) -> Iterator[pa.RecordBatch]:
     """Pairs of classes of different components whose sizes and fine signatures allow a link: of each class its
-    nearest ``partners``, or all. A pair that shares several nodes is made in the least of them only (``places``
-    lists a class's nodes), but for pairs with a leader."""
+    nearest ``partners``, or all. A pair that shares several nodes is made in the least of them only (``paths``
+    lists a class's nodes). Classes of sides 0 and 1 meet the other side only, those of side 2 one another."""
     for table in _runs(batches):
         begin, end = _bounds(table)
-        cls, root, size, here = (table.column(c).to_numpy() for c in ("cls", "root", "n", "place"))
-        lead, places = table.column("lead").to_numpy(), table.column("places").combine_chunks()
+        cls, root, size, here, side = (table.column(c).to_numpy() for c in ("cls", "root", "n", "path", "side"))
+        paths = table.column("paths").combine_chunks()
         fine = np.frombuffer(b"".join(table.column("fine").to_pylist()), np.uint8).reshape(-1, FINE)
         left, right, kept = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], {}
 
-        def nodes(i: int, places=places, kept=kept) -> np.ndarray:
+        def nodes(i: int, paths=paths, kept=kept) -> frozenset[int]:
             if i not in kept:
-                kept[i] = np.array(places[i].as_py(), np.int64)
+                kept[i] = frozenset(paths[i].as_py())
             return kept[i]
 
         for a, b in zip(begin, end, strict=True):
-            of, n = root[a:b], size[a:b]
+            of, n, on = root[a:b], size[a:b], side[a:b]
             if (of == of[0]).all():
                 continue
             agree = np.zeros((b - a, b - a), np.int64)
             for i in range(b - a):
                 agree[i] = (fine[a + i] == fine[a:b]).sum(1)
-            fits = (of[:, None] != of[None, :]) & (100 * np.minimum(n[:, None], n) >= percent * np.maximum(n[:, None], n))
+            fits = (of[:, None] != of[None, :]) & ((on[:, None] != on) | (on == 2)[:, None]) & (100 * np.minimum(n[:, None], n) >= percent * np.maximum(n[:, None], n))
             agree[~fits] = 0
             if partners is not None and b - a > partners:
                 bar = np.partition(agree, b - a - partners, axis=1)[:, b - a - partners]
@@ -217,7 +219,7 @@ def _other_partners(batches: Iterator[pa.RecordBatch], percent: int, partners: i
             near = agree >= FINE_AGREE
             i, j = np.nonzero(np.triu(near | near.T, 1))
             i, j = a + i, a + j
-            first = [lead[x] or lead[y] or np.intersect1d(nodes(x), nodes(y)).min() == here[x] for x, y in zip(i.tolist(), j.tolist(), strict=True)]
+            first = [min(nodes(x) & nodes(y)) == here[x] for x, y in zip(i.tolist(), j.tolist(), strict=True)]
             left.append(i[np.array(first, bool)])
             right.append(j[np.array(first, bool)])
         yield _pairs(cls, left, right)
@@ -239,12 +241,38 @@ def _by_node(rows: DataFrame) -> DataFrame:
     return rows.repartition("path", "block").sortWithinPartitions("path", "block", "cls")
 
 
-def _further(nodes: DataFrame, fine: DataFrame, roots: DataFrame, tried: DataFrame, percent: int, partners: int | None) -> DataFrame:
+def _tasks(nodes: DataFrame, roots: DataFrame, wide: int) -> DataFrame:
+    """(path, block, cls, side): small nodes whole, and of large nodes every two blocks of classes that hold different
+    components. Components of at least ``wide`` classes have blocks of their own, the others share theirs."""
+    rows = nodes.filter("not lead").join(roots, "cls")
+    small = rows.filter("not large").select("path", "block", "cls", F.lit(2).alias("side"))
+    sizes = rows.filter("large").groupBy("path", "root").agg(F.count("*").alias("n"))
+    sizes = Staged(sizes.select("path", "root", "n", F.when(F.col("n") >= wide, F.col("root")).alias("own")), "node-components").df
+    if sizes.isEmpty():
+        return small
+    groups = sizes.groupBy("path", "own").agg(F.ceil(F.sum("n") / wide).cast("long").alias("blocks"))
+    key = F.xxhash64("path", "own", "i")
+    blocks = groups.select("path", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("i")).select("path", "own", key.alias("key"))
+    p, q = blocks.toDF("path", "own_p", "p"), blocks.toDF("path", "own_q", "q")
+    same = (F.col("p") == F.col("q")) & F.col("own_p").isNull()
+    two = (F.col("p") < F.col("q")) & ~F.coalesce(F.col("own_p") == F.col("own_q"), F.lit(False))
+    met = p.join(q, "path").filter(same | two).withColumn("block", F.xxhash64("p", "q"))
+    met = met.filter("p <> q").select("path", "block", F.explode(F.create_map(F.col("p"), F.lit(0), F.col("q"), F.lit(1))).alias("key", "side")).union(
+        met.filter("p = q").select("path", "block", F.col("p").alias("key"), F.lit(2).alias("side"))
+    )
+    members = (
+        rows.filter("large").select("path", "cls", "root").join(sizes.select("path", "root", "own"), ["path", "root"])
+        .join(groups.withColumnRenamed("own", "of"), "path").filter("own <=> of")
+        .withColumn("i", F.pmod(F.xxhash64("cls"), F.col("blocks"))).select("path", key.alias("key"), "cls")
+    )
+    return small.unionByName(members.join(met, ["path", "key"]).select("path", "block", "cls", "side"))
+
+
+def _further(nodes: DataFrame, fine: DataFrame, roots: DataFrame, tried: DataFrame, percent: int, partners: int | None, wide: int = WIDE) -> DataFrame:
     """Untried pairs between components."""
     known = fine.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    place = F.xxhash64("path", "block")
-    listed = nodes.filter("not lead").groupBy("cls").agg(F.collect_list(place).alias("places"))  # a few for each tree
-    rows = nodes.withColumn("place", place).join(known.join(listed, "cls", "left").withColumn("places", F.coalesce("places", F.array().cast("array<long>"))), "cls")
+    listed = nodes.filter("not lead").groupBy("cls").agg(F.collect_list("path").alias("paths"))  # a few for each tree
+    rows = _tasks(nodes, known.select("cls", "root"), wide).join(known.join(listed, "cls"), "cls")
     pairs = _by_node(rows).mapInArrow(lambda it: _other_partners(it, percent, partners), "a long, b long").distinct()
     return Staged(pairs.join(tried, ["a", "b"], "left_anti"), "more-pairs").df
 
@@ -287,9 +315,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     classes = Staged(rows.filter("cls is not null and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes").df
     reps = classes.select(F.col("rep").alias("cls"), "sig")  # from here on a class goes by its least doc_id
     nodes = Staged(_nodes(reps, trees, small), "nodes").df
-    first = _by_node(nodes.drop("lead").join(reps, "cls")).mapInArrow(_first_partners, "a long, b long").distinct()
+    first = _by_node(nodes.drop("lead", "large").join(reps, "cls")).mapInArrow(_first_partners, "a long, b long").distinct()
     first = Staged(first, "pairs").df
-    involved = Staged(first.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "involved").df
+    involved = Staged(first.select(F.explode(F.array("a", "b")).alias("cls")).union(nodes.filter("large").select("cls")).distinct(), "involved").df
     bitmap = docs.sparkSession.sparkContext.broadcast(sieve(involved.select(F.xxhash64("cls").alias("h")), "h"))
     sets = docs.withColumn("h", F.xxhash64("doc_id")).mapInArrow(lambda it: _full_sets(it, shingle, bitmap.value), "cls long, n long, fine binary, shingles binary")
     sets = Staged(sets.join(involved, "cls", "left_semi").dropDuplicates(["cls"]), "sets").df

@@ -214,6 +214,19 @@ def test_group_of_many_near_copies(spark):
     assert got == {i: find(i) for i in ids}
 
 
+def test_pairs_in_a_family_below_the_threshold(spark):
+    """A template of 240 words and 40 own ones (similarity 0.75), of which 13 to 20 are shared by two texts (0.82 to 0.86)."""
+    template, data = [f"t{i}" for i in range(240)], []
+    for i in range(300):
+        both = 13 + i // 2 % 8
+        data.append((i, " ".join(template + [f"s{i // 2}x{k}" for k in range(both)] + [f"o{i}x{k}" for k in range(40 - both)])))
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(data, "doc_id long, text string"), shingle=1, small=16).collect()}
+    sets = [set(t.split()) for _, t in data]
+    near = {(i, j) for i in range(300) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    assert near == {(i + 1, i) for i in range(0, 300, 2)}
+    assert got == {i: i // 2 * 2 for i in range(300)}
+
+
 def test_components(spark):
     rng = np.random.default_rng(4)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 200, (150, 2))] + [(i, i + 1) for i in range(300, 340)]
