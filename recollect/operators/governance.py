@@ -93,14 +93,30 @@ def _chained(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"chain": chain, "seq": part["seq"].to_numpy(), "head": heads})
 
 
-def chain_heads(audit: DataFrame, segment: int = 10_000) -> DataFrame:
-    """(chain, seq, head) of audit rows (chain, seq, tag): a fold in order of seq. Chains are folded apart,
-    each in segments of seq that begin a chain of their own, so no task holds more than one segment."""
-    cut = audit.select(F.concat_ws("/", F.col("chain").cast("string"), F.expr(f"seq div {segment}").cast("string")).alias("chain"), "seq", "tag")
+def _carried(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Heads of rows sorted by chain and seq; the head goes on from batch to batch."""
+    at, head = None, ""
+    for pdf in batches:
+        heads = []
+        for chain, tag in zip(pdf["chain"], pdf["tag"], strict=True):
+            head = hashlib.sha256(((head if chain == at else "") + "\x1f" + tag).encode()).hexdigest()
+            at = chain
+            heads.append(head)
+        yield pd.DataFrame({"chain": pdf["chain"], "seq": pdf["seq"], "head": heads})
+
+
+def chain_heads(audit: DataFrame, segment: int | None = None) -> DataFrame:
+    """(chain, seq, head) of audit rows (chain, seq, tag): a fold in order of seq, the chain named with '/0'. A chain is
+    sorted and streamed through the fold, so a task holds one batch of it, whatever its length. With ``segment``, chains
+    are folded in segments of seq instead, each a chain of its own that is named with the segment's number."""
+    part = F.lit("0") if segment is None else F.expr(f"seq div {segment}").cast("string")
+    cut = audit.select(F.concat_ws("/", F.col("chain").cast("string"), part).alias("chain"), "seq", "tag")
+    if segment is None:
+        return cut.repartition("chain").sortWithinPartitions("chain", "seq").mapInPandas(_carried, "chain string, seq long, head string")
     return cut.groupBy("chain").applyInPandas(lambda pdf: next(_chained(iter([pdf]))), "chain string, seq long, head string")
 
 
-def verified(audit: DataFrame, heads: DataFrame, segment: int = 10_000) -> DataFrame:
+def verified(audit: DataFrame, heads: DataFrame, segment: int | None = None) -> DataFrame:
     """Rows whose recomputed head differs from the stored one."""
     again = chain_heads(audit, segment).withColumnRenamed("head", "now")
     return heads.join(again, ["chain", "seq"], "full").filter(~F.col("head").eqNullSafe(F.col("now")))

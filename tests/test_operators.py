@@ -1,5 +1,7 @@
 """Operators on small hand-made cases."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,6 +66,16 @@ def test_chain_detects_a_change(spark):
     assert sorted(r.seq for r in G.verified(forged, heads, 10).collect()) == [15, 16, 17, 18, 19]
 
 
+def test_long_chain_is_one_fold(spark):
+    a = spark.range(20_050).selectExpr("'c' AS chain", "id AS seq", "concat('t', id) AS tag")
+    head, want = "", {}
+    for i in range(20_050):
+        want[i] = head = hashlib.sha256(f"{head}\x1ft{i}".encode()).hexdigest()
+    heads = G.chain_heads(a.unionByName(a.filter("seq < 3").withColumn("chain", F.lit("b"))))
+    assert {r.seq: r.head for r in heads.filter("chain = 'c/0'").collect()} == want
+    assert {r.seq: r.head for r in heads.filter("chain = 'b/0'").collect()} == {i: want[i] for i in range(3)}
+
+
 def test_snapshots(spark):
     stamps = spark.createDataFrame([(f"2024-{m:02}",) for m in range(1, 13)], "stamp string")
     assert sorted(r.stamp for r in files.surplus_snapshots(stamps).collect()) == ["2024-01", "2024-02"]
