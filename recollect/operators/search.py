@@ -152,9 +152,10 @@ def capped(hits: DataFrame, group: str, score: str, cap: int, depth: int) -> Dat
     return head.withColumn("place", F.row_number().over(Window.orderBy("spare", F.desc(score), "id"))).drop("spare")
 
 
-def first_of_group(ranked: DataFrame, group: str, depth: int) -> DataFrame:
-    """The first ``depth`` groups in the order in which they appear, with their rank."""
-    best = ranked.groupBy(group).agg(F.min("rank").alias("seen")).orderBy("seen").limit(depth)
+def first_of_group(ranked: DataFrame, group: str, depth: int | None = None) -> DataFrame:
+    """The first ``depth`` groups, or all, in the order in which they appear, with their rank."""
+    best = ranked.groupBy(group).agg(F.min("rank").alias("seen"))
+    best = best if depth is None else best.orderBy("seen").limit(depth)
     return best.select(group, F.row_number().over(Window.orderBy("seen")).alias("rank"))
 
 

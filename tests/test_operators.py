@@ -9,6 +9,7 @@ from recollect.functions import vectors as V
 from recollect.operators import evaluation as E
 from recollect.operators import governance as G
 from recollect.operators import search as S
+from recollect.plans import registry
 from recollect.sources import files
 from recollect.streaming import pipelines as P
 
@@ -24,6 +25,19 @@ def test_covering_rank_needs_the_union(spark):
     assert {r.query_id: (r["rank"], r.bucket) for r in E.covering_rank(hits, wanted).collect()} == {1: (2, 10), 2: (None, None)}
 
 
+def test_session_rank_has_all_labels(spark, tmp_path):
+    rows = [(i, [1.0, i / 100], i) for i in range(150)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert sorted(r.label for r in registry.QUERIES["q_session_rank"](spark, str(tmp_path)).collect()) == list(range(1, 150))
+
+
+def test_alignment_takes_whole_texts(spark, tmp_path):
+    texts = [(i, " ".join([f"s{k}" for k in range(20)] + [f"w{i}x{k}" for k in range(200)])) for i in (5, 10)]
+    spark.createDataFrame(texts, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = registry.QUERIES["q_greedy_align"](spark, str(tmp_path)).collect()
+    assert sorted((r.p, r.g, r.f1) for r in got) == [(5, 5, 1.0), (10, 10, 1.0)]
+
+
 def test_alignment_is_one_to_one(spark):
     p = spark.createDataFrame([(1, 1, ["a", "b"]), (1, 2, ["a", "b", "c"])], "group long, p long, p_tokens array<string>")
     g = spark.createDataFrame([(1, 7, ["a", "b"]), (1, 8, ["c", "d"])], "group long, g long, g_tokens array<string>")
