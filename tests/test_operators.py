@@ -2,6 +2,7 @@
 
 import hashlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,6 +32,19 @@ def test_session_rank_has_all_labels(spark, tmp_path):
     assert sorted(r.label for r in registry.QUERIES["q_session_rank"](spark, str(tmp_path)).collect()) == list(range(1, 150))
 
 
+def _vectors(spark, path, x):
+    rows = [(20 * i + (i % 7 > 0), [float(v) for v in r], i % 5) for i, r in enumerate(x)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{path}/embeddings.parquet")
+    return {i for i, _, _ in rows if i % 20 == 0}
+
+
+@pytest.mark.parametrize("name", ["q_pq_search", "q_ivf_probe"])
+def test_every_twentieth_vector_is_asked(spark, tmp_path, name):
+    asked = _vectors(spark, tmp_path, np.random.default_rng(3).normal(size=(400, 64)))
+    got = registry.QUERIES[name](spark, str(tmp_path)).toPandas()
+    assert len(asked) > 20 and set(got["query_id"]) == asked and (got["query_id"] != got["id"]).all()
+
+
 def test_alignment_takes_whole_texts(spark, tmp_path):
     texts = [(i, " ".join([f"s{k}" for k in range(20)] + [f"w{i}x{k}" for k in range(200)])) for i in (5, 10)]
     spark.createDataFrame(texts, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
