@@ -14,8 +14,8 @@ The benchmark's window table is shipped to the executors only while it has at mo
 ``max_shipped`` windows; beyond that, fingerprints and windows meet in shuffle joins (``_joined``).
 Both ways give the same rows.
 
-Edge cases: a null or wordless text has no words and no hits; null or wordless items have no
-windows; repeated items each count, repeated item ids once; repeated documents each get their own
+Edge cases: a null or wordless text has no words and no hits; null or wordless texts of items have
+no windows; items with a null item_id hit like others, but are not listed or counted as items; repeated items each count, repeated item ids once; repeated documents each get their own
 row; other columns of either table are ignored.
 """
 
@@ -63,6 +63,11 @@ def _item_windows(batches: Iterator[pa.RecordBatch], length: int, gram: int) ->
             )
 
 
+def _table(windows: DataFrame) -> pd.DataFrame:
+    """The windows with item ids as nullable integers (toPandas would make floats of them)."""
+    return windows.toArrow().to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get)
+
+
 class _Index:
     """The benchmark's windows, sorted for lookup: windows by (width, hash) with their items."""
 
@@ -72,9 +77,12 @@ class _Index:
             part = part.drop_duplicates(["whole", "item_id"]).sort_values(["whole", "item_id"])
             key = part["whole"].to_numpy(np.int64).view(np.uint64)
             order = np.argsort(key, kind="stable")
-            key, item = key[order], part["item_id"].to_numpy(np.int64)[order]
-            uniq, first = np.unique(key, return_index=True)
-            self.by_width[int(width)] = (uniq, np.append(first, len(key)), item)
+            key, item = key[order], part["item_id"].to_numpy()[order]
+            uniq = np.unique(key)
+            known = ~pd.isna(item)
+            first = np.searchsorted(key[known], np.append(uniq, uniq[-1:]), "left")
+            first[-1] = known.sum()
+            self.by_width[int(width)] = (uniq, first, item[known].astype(np.int64))
         fp = np.unique(pdf.loc[pdf["width"] == length, "fp"].to_numpy(np.int64).view(np.uint64))
         self.fp, self.seen = fp, np.zeros(1 << 20, bool)
         self.seen[fp >> np.uint64(44)] = True
@@ -134,13 +142,13 @@ def _scan_documents(batches: Iterator[pa.RecordBatch], index: _Index, length: in
 def contamination(docs: DataFrame, benchmark: DataFrame, length: int = LENGTH, gram: int = GRAM, max_shipped: int = MAX_SHIPPED) -> DataFrame:
     """One row per document: how many of its words lie in benchmark windows, and of which items."""
     windows = Staged(
-        benchmark.select("item_id", "text").filter(F.col("item_id").isNotNull()).mapInArrow(lambda it: _item_windows(it, length, gram), "item_id long, width int, fp long, whole long"),
+        benchmark.select("item_id", "text").mapInArrow(lambda it: _item_windows(it, length, gram), "item_id long, width int, fp long, whole long"),
         "benchmark-windows",
     )
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if windows.df.count() > max_shipped:
         return _joined(docs, windows.df, length, gram).drop("row_key")
-    index = docs.sparkSession.sparkContext.broadcast(_Index(windows.df.toPandas(), length))
+    index = docs.sparkSession.sparkContext.broadcast(_Index(_table(windows.df), length))
     windows.drop()
     return docs.mapInArrow(lambda it: _scan_documents(it, index.value, length, gram), REPORT)
 
@@ -185,7 +193,7 @@ def _joined(docs: DataFrame, windows: DataFrame, length: int, gram: int) -> Data
         .select("row_key", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("width") - 1)).alias("word"))
         .distinct().groupBy("row_key").agg(F.count("*").alias("n_hit"))
     )
-    items = hits.select("row_key", "item_id").distinct().groupBy("row_key").agg(
+    items = hits.select("row_key", "item_id").filter("item_id is not null").distinct().groupBy("row_key").agg(
         F.count("*").alias("n_items"), F.array_sort(F.collect_list(F.col("item_id").cast("string"))).alias("own")
     )
     sizes = keyed.mapInArrow(_counts, "doc_id long, row_key long, n_words long")
@@ -205,7 +213,7 @@ def _flag_documents(batches: Iterator[pa.RecordBatch], index: _Index, length: in
 def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = LENGTH, gram: int = GRAM, max_shipped: int = MAX_SHIPPED) -> DataFrame:
     """The documents without a hit, all columns kept."""
     windows = Staged(
-        benchmark.select("item_id", "text").filter(F.col("item_id").isNotNull()).mapInArrow(lambda it: _item_windows(it, length, gram), "item_id long, width int, fp long, whole long"),
+        benchmark.select("item_id", "text").mapInArrow(lambda it: _item_windows(it, length, gram), "item_id long, width int, fp long, whole long"),
         "benchmark-windows",
     )
     if windows.df.count() > max_shipped:
@@ -213,6 +221,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = LENGTH, g
         found = _joined(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), windows.df, length, gram)
         bad = found.filter("contaminated").select(F.col("row_key").alias("_row_key")).distinct()
         return keyed.join(bad, "_row_key", "left_anti").drop("_row_key")
-    index = docs.sparkSession.sparkContext.broadcast(_Index(windows.df.toPandas(), length))
+    index = docs.sparkSession.sparkContext.broadcast(_Index(_table(windows.df), length))
     windows.drop()
     return docs.mapInArrow(lambda it: _flag_documents(it, index.value, length, gram), docs.schema)

@@ -1,5 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing extra columns, for every operator and stage."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,6 +95,17 @@ def test_contamination_both_ways(docs, empty, bench):
         assert sorted(r.text or "" for r in kept.collect()) == sorted(t or "" for i, t, _, _ in ROWS if i not in (6, 7, 8))
 
 
+@pytest.mark.parametrize("shipped", [10**6, 0])
+def test_items_without_an_id_hit(spark, shipped):
+    big = 2**60 + 1  # not a float
+    docs = spark.createDataFrame([(1, "x lazy dog y"), (2, "clean"), (3, "a cat b lazy dog")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "lazy dog"), (big, "cat")], "item_id long, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in contamination(docs, bench, max_shipped=shipped).collect()}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert got == {1: (2, 0, sha(""), True), 2: (0, 0, sha(""), False), 3: (3, 1, sha(str(big)), True)}
+    assert [r.doc_id for r in decontaminate(docs, bench, max_shipped=shipped).collect()] == [2]
+
+
 def test_near_duplicates(docs, empty):
     got = near_duplicates(docs, shingle=2).collect()
     by = {(r.doc_id, r.n_shingles): r for r in got}
