@@ -207,6 +207,10 @@ def q_ivf_probe(spark, sf_dir):
 
     probed = q.mapInPandas(probe, "query_id long, list_id int, probe array<float>")
     hits = listed.join(probed, "list_id").filter("query_id <> vec_id").select("query_id", F.col("vec_id").alias("id"), V.cosine(F.col("probe"), F.col("embedding")).alias("score"))
+    enough = hits.groupBy("query_id").agg(F.count("*").alias("n")).filter("n >= 5").select("query_id")
+    few = q.join(enough, "query_id", "left_anti")
+    again = listed.join(few, F.col("query_id") != F.col("vec_id")).select("query_id", F.col("vec_id").alias("id"), V.cosine(F.col("probe"), F.col("embedding")).alias("score"))
+    hits = hits.join(enough, "query_id", "left_semi").unionByName(again)
     return hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).filter("rank <= 5").select("query_id", "id", "score", "rank")
 
 

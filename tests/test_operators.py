@@ -45,6 +45,14 @@ def test_every_twentieth_vector_is_asked(spark, tmp_path, name):
     assert len(asked) > 20 and set(got["query_id"]) == asked and (got["query_id"] != got["id"]).all()
 
 
+def test_a_query_whose_lists_hold_too_few_goes_to_all(spark, tmp_path):
+    x = np.random.default_rng(0).normal(size=(2, 64))
+    rows = [(i, [float(v) for v in x[int(i > 0)]], 0) for i in range(100)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = registry.QUERIES["q_ivf_probe"](spark, str(tmp_path)).toPandas()
+    assert got.groupby("query_id").size().to_dict() == {q: 5 for q in (0, 20, 40, 60, 80)}
+
+
 def test_alignment_takes_whole_texts(spark, tmp_path):
     texts = [(i, " ".join([f"s{k}" for k in range(20)] + [f"w{i}x{k}" for k in range(200)])) for i in (5, 10)]
     spark.createDataFrame(texts, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
