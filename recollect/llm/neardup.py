@@ -326,7 +326,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     for partners in (PARTNERS, None):
         more = _further(nodes, sets.select("cls", "n", "fine"), roots, first, percent, partners)
         if more.isEmpty():
-            break
+            continue
         extra = Staged(_confirmed(more, sets, percent), "more-links").df
         first = first.union(more)
         if not extra.isEmpty():

@@ -23,6 +23,7 @@ from recollect.llm.extraction import Model, _truth, labelled_pages, train
 from recollect.llm.htmltree import parse
 from recollect.llm.langid import viterbi
 from recollect.llm.mixing import permuted, targets
+from recollect.llm import neardup
 from recollect.llm.neardup import near_duplicates
 from recollect.llm.quality import fit
 from recollect.llm.sharding import shards
@@ -227,6 +228,14 @@ def test_pairs_in_a_family_below_the_threshold(spark):
     assert got == {i: i // 2 * 2 for i in range(300)}
 
 
+def test_all_pairs_are_asked_for_after_an_empty_round(spark, monkeypatch):
+    asked, further = [], neardup._further
+    monkeypatch.setattr(neardup, "_further", lambda *args: asked.append(args[5]) or further(*args))
+    docs = spark.createDataFrame([(i, f"a{i} b{i} c{i}") for i in range(4)], "doc_id long, text string")
+    assert near_duplicates(docs, shingle=1).filter("kept").count() == 4
+    assert asked == [neardup.PARTNERS, None]
+
+
 def test_components(spark):
     rng = np.random.default_rng(4)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 200, (150, 2))] + [(i, i + 1) for i in range(300, 340)]
