@@ -1,25 +1,30 @@
 """Durable intermediate results in the folder that driver and executors share.
 
 Lineage is cut by writing Parquet below ``spark.checkpoint.dir`` and reading it back: the files
-outlive a lost executor, are compressed, and give the optimiser real sizes. Results read some of them
-lazily, so they stay until the folder is cleaned (Spark's checkpoint folders are, by whoever runs the
-cluster); a folder of our own goes with the process.
+outlive a lost executor, are compressed, and give the optimiser real sizes. Tables staged inside a
+``Scratch`` block go when it ends, but for those it is told to keep. What a result still reads lazily
+stays until the folder is cleaned (Spark's checkpoint folders are, by whoever runs the cluster); a
+folder of our own, which only a session on one machine gets, goes with the process.
 """
 
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a folder of this machine only where none is set."""
+    """The session's ``spark.checkpoint.dir``; where none is set, a folder of this machine, but never on a cluster."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="recollect-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         named = "file://" + own
@@ -27,6 +32,30 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+_scratch = threading.local()
+
+
+class Scratch:
+    """Drops, at its end, the tables staged inside it that weren't kept."""
+
+    def __enter__(self) -> Scratch:
+        self._held: list[Staged] = []
+        _scratch.open = [*getattr(_scratch, "open", []), self]
+        return self
+
+    def keep(self, table: Staged) -> DataFrame:
+        """The table's rows, which outlive this block (an outer block, if any, drops them)."""
+        self._held.remove(table)
+        if len(_scratch.open) > 1:
+            _scratch.open[-2]._held.append(table)
+        return table.df
+
+    def __exit__(self, *exc) -> None:
+        _scratch.open = _scratch.open[:-1]
+        for table in self._held:
+            table.drop()
+
+
 class Staged:
     """A written table: ``df`` reads it, ``drop()`` removes its files."""
 
@@ -35,6 +64,8 @@ class Staged:
         self.path = f"{shared_dir(self._spark)}/recollect/{label}-{uuid.uuid4().hex}"
         df.write.parquet(self.path)
         self.df = self._spark.read.schema(df.schema).parquet(self.path)
+        if getattr(_scratch, "open", None):
+            _scratch.open[-1]._held.append(self)
 
     def drop(self) -> None:
         jvm, conf = self._spark._jvm, self._spark._jsc.hadoopConfiguration()

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 1_000_000
 _MULT = 0x9E3779B97F4A7C15 | 1
 _GRAM = 0xD6E8FEB86659FD93 | 1
 _U = np.uint64
@@ -35,7 +35,7 @@ def _power(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i for i < n at least, modulo 2**64; kept by the worker process."""
     have = _powers.get(base)
     if have is None or len(have[0]) < n:
-        n = max(n, 1 << 21)
+        n = max(n, 1 << 20)
         up, down = np.full(n, base, np.uint64), np.full(n, pow(base, -1, 1 << 64), np.uint64)
         up[0] = down[0] = 1
         _powers[base] = have = (np.cumprod(up), np.cumprod(down))
@@ -152,3 +152,15 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
         out = np.minimum(out[:-step], out[step:])
         have += step
     return out
+
+
+def sliding_argmin(x: np.ndarray, w: int) -> np.ndarray:
+    """Where the first least of each w consecutive values is, by doubling."""
+    if len(x) < w:
+        return np.zeros(0, np.int64)
+    at, have = np.arange(len(x)), 1
+    while have < w:
+        step = min(have, w - have)
+        a, b = at[:-step], at[step:]
+        at, have = np.where(x[b] < x[a], b, a), have + step
+    return at
