@@ -5,23 +5,22 @@ a query, the pairs are visited in order of their summed score (inner products of
 their centroids) by the multi-sequence heap, until the cells visited hold enough vectors. The vectors
 of those cells are reranked by the exact measure in double precision. What is enough is measured:
 the true neighbours of ``TRIAL_QUERIES`` queries, found by one exact pass over all rows, show how far the
-heap has to go for ``target`` of them (``candidates`` at least). On clustered vectors that is a small
-share of the rows; vectors without structure need a large one, whatever the index.
+heap has to go for ``target`` of them. On clustered vectors that is a small share of the rows; vectors
+without structure need a large one, whatever the index.
 
 The codebooks are fitted on at most ``FIT_ROWS`` vectors, those of the least hashes; every vector is
-indexed. Equal vectors are one entry that keeps its ``top + 1`` least ids, which is all that any
-query can return of them, so a vector with a third of all rows is one candidate. Cells are
-compared by their left centroid in pages of about ``PAGE`` entries: a crowded one is many pages, none
-left out, and a query is sent to a page once, with the cells it visits there. Codebooks
-(2 * ``centroids`` half vectors) and the cell counts (at most centroids**2) are all that is shipped.
-
-Where the table has no more than ``candidates`` entries the heap runs through all cells and the result
-is exact.
+indexed. They hold a power of two of centroids, so that a cell holds about ``CELL`` entries, up to
+``MAX_CENTROIDS``. Equal vectors are one entry that keeps its ``top + 1`` least ids, which is all that any
+query can return of them, so a vector with a third of all rows is one candidate. Entries are
+compared by their left centroid in pages of about ``PAGE`` entries with pages of about ``PAGE`` queries:
+a crowded centroid is many pages, none left out, and a query is sent to a page once, with the cells it
+visits there. Of a page each query keeps its ``top + 1`` best entries, ties by least id. Codebooks (2 *
+centroids half vectors) and the cell counts (centroids**2) are all that is shipped.
 
 Edge cases: vectors that are null, zero, of another length than most, or that hold null or non-finite
 components take no part, neither as queries nor as candidates; fewer candidates than ``top`` give
-fewer rows; ties go to the lesser id; rows repeated under one id count once; an empty table gives no
-rows; other columns are ignored.
+fewer rows; ties go to the lesser id; of several vectors under one id the one of least hash counts; an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,10 +34,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from recollect.llm.staging import Staged
+from recollect.llm.staging import Scratch, Staged
 
-TOP, CENTROIDS, CANDIDATES = 20, 32, 6000
-FIT_ROWS, ROUNDS, PAGE = 20_000, 12, 4096
+TOP, CELL, MAX_CENTROIDS = 20, 16, 1024
+FIT_ROWS, ROUNDS, PAGE = 20_000, 12, 16_384
 TRIAL_QUERIES, TARGET = 256, 0.96
 
 
@@ -59,6 +58,11 @@ def _nearest(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
     return ((centre * centre).sum(1)[None, :] - 2 * x @ centre.T).argmin(1)
 
 
+def n_centroids(entries: int) -> int:
+    """The centroids of a half: the least power of two whose square holds the entries in cells of ``CELL``."""
+    return min(MAX_CENTROIDS, 1 << max(1, (max(entries, 1) // CELL).bit_length() + 1 >> 1))
+
+
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy().reshape(-1, dim).astype(np.float64)
 
@@ -94,7 +98,7 @@ class Index:
 def _assigned(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         cell = index.cells(_matrix(batch.column("v"), index.dim)) if batch.num_rows else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), batch.column("entry"), batch.column("v")], names=["cell", "entry", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), *(batch.column(c) for c in ("entry", "least", "v"))], names=["cell", "entry", "least", "v"])
 
 
 def _probed(batches: Iterator[pa.RecordBatch], index: Index, enough: int, pages: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -121,45 +125,51 @@ def _probed(batches: Iterator[pa.RecordBatch], index: Index, enough: int, pages:
             )
 
 
-def dot(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Inner products of rows of x with rows of y, summed component by component."""
-    out = np.zeros((len(x), len(y)))
+def paired(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Inner products of the rows of x with those of y, summed component by component."""
+    out = np.zeros(len(x))
     for d in range(x.shape[1]):
-        out += x[:, d, None] * y[None, :, d]
+        out += x[:, d] * y[:, d]
     return out
 
 
-def _best(query: np.ndarray, entry: np.ndarray, score: np.ndarray, keep: int) -> np.ndarray:
-    """Rows with a score at least that of the query's keep-th best."""
-    order = np.lexsort((-score, query))
-    q, s = query[order], score[order]
+def _best(query: np.ndarray, score: np.ndarray, least: np.ndarray, keep: int) -> np.ndarray:
+    """Each query's first ``keep`` rows by falling score, then least id."""
+    order = np.lexsort((least, -score, query))
+    q = query[order]
     begin = np.flatnonzero(np.append(True, q[1:] != q[:-1])) if len(q) else np.zeros(0, np.int64)
-    size = np.diff(np.append(begin, len(q)))
-    bar = np.repeat(s[np.minimum(begin + keep, begin + size) - 1], size)
-    return order[s >= bar]
+    place = np.arange(len(q)) - np.repeat(begin, np.diff(np.append(begin, len(q))))
+    return order[place < keep]
 
 
 def _reranked(queries: pa.Table, entries: pa.Table, dim: int, top: int) -> pa.Table:
-    """Each query's best entries of one page, top + 1 with the ties of the last."""
-    none = pa.table({"query": pa.array([], pa.int64()), "entry": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+    """Each query's top + 1 best entries of one page. Matrix products choose those that may be among them, with a
+    margin for rounding; the measure itself decides."""
     if not entries.num_rows or not queries.num_rows:
-        return none
+        return pa.table({"query": pa.array([], pa.int64()), "entry": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
     x, y = (_matrix(t.column("v").combine_chunks(), dim) for t in (queries, entries))
-    ids, own, cell = entries.column("entry").to_numpy(), queries.column("query").to_numpy(), entries.column("right").to_numpy()
+    ids, least, own, cell = entries.column("entry").to_numpy(), entries.column("least").to_numpy(), queries.column("query").to_numpy(), entries.column("right").to_numpy()
+    margin = 1e-12 * dim * np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1).max()
     asked = queries.column("cells").combine_chunks()
     who, wanted = np.repeat(np.arange(len(x)), asked.value_lengths().to_numpy()), asked.flatten().to_numpy()
-    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    i_all, j_all, s_all = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    parts: list[tuple[np.ndarray, ...]] = []
     for c in np.unique(cell):
         rows, members = who[wanted == c], np.flatnonzero(cell == c)
         for at in range(0, len(rows), 500):
             part = rows[at : at + 500]
-            score = dot(x[part], y[members])
+            about = x[part] @ y[members].T
             keep = min(top + 1, len(members))
-            i, j = np.nonzero(score >= -np.partition(-score, keep - 1, axis=1)[:, keep - 1, None])
-            out.append((own[part[i]], ids[members[j]], score[i, j]))
-    q, e, s = (np.concatenate([o[k] for o in out]) for k in range(3))
-    keep = _best(q, e, s, top + 1)
-    return pa.table({"query": q[keep], "entry": e[keep], "score": s[keep]})
+            i, j = np.nonzero(about >= (-np.partition(-about, keep - 1, axis=1)[:, keep - 1] - 2 * margin[part])[:, None])
+            i, j = part[i], members[j]
+            score = paired(x[i], y[j])
+            first = _best(i, score, least[j], top + 1)
+            parts.append((i[first], j[first], score[first]))
+        if len(parts) > 64 or c == cell.max():
+            i_all, j_all, s_all = (np.concatenate([a, *(p[k] for p in parts)]) for k, a in enumerate((i_all, j_all, s_all)))
+            first = _best(i_all, s_all, least[j_all], top + 1)
+            i_all, j_all, s_all, parts = i_all[first], j_all[first], s_all[first], []
+    return pa.table({"query": own[i_all], "entry": ids[j_all], "score": s_all})
 
 
 def _trials(batches: Iterator[pa.RecordBatch], ids: np.ndarray, x: np.ndarray, top: int) -> Iterator[pa.RecordBatch]:
@@ -198,36 +208,46 @@ def usable(v: Column, dim: int) -> Column:
     return F.coalesce((F.size(v) == dim) & ok, F.lit(False))
 
 
-def search(vectors: DataFrame, queries: Column, top: int = TOP, centroids: int = CENTROIDS, candidates: int = CANDIDATES, target: float = TARGET) -> DataFrame:
+def search(vectors: DataFrame, queries: Column, top: int = TOP, centroids: int | None = None, target: float = TARGET, page: int = PAGE) -> DataFrame:
     """query_id, rank, vec_id and score of the nearest found of each row for which ``queries`` (on vec_id) holds."""
+    with Scratch() as scratch:
+        return scratch.keep(Staged(_search(vectors, queries, top, centroids, target, page), "ann-found"))
+
+
+def _search(vectors: DataFrame, queries: Column, top: int, centroids: int | None, target: float, page: int) -> DataFrame:
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).filter("vec_id is not null")
     width = rows.filter("size(v) > 0").groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
     dim = width["dim"] if width else 1
-    rows = rows.filter(usable(F.col("v"), dim)).withColumn("h", F.xxhash64("v"))
-    ids = rows.select("h", "vec_id").distinct()
-    least = ids.withColumn("r", F.row_number().over(Window.partitionBy("h").orderBy("vec_id"))).filter(F.col("r") <= top + 1).select("h", "vec_id")
+    rows = rows.filter(usable(F.col("v"), dim)).groupBy("vec_id").agg(F.min(F.struct(F.xxhash64("v").alias("h"), "v")).alias("one"))
+    rows = Staged(rows.select("vec_id", "one.h", "one.v"), "ann-rows").df
+    least = rows.select("h", "vec_id").withColumn("r", F.row_number().over(Window.partitionBy("h").orderBy("vec_id"))).filter(F.col("r") <= top + 1).select("h", "vec_id")
     members = Staged(least, "ann-members").df
-    entries = Staged(rows.groupBy("h").agg(F.first("v").alias("v")).select(F.col("h").alias("entry"), "v"), "ann-entries").df
+    entries = Staged(rows.groupBy("h").agg(F.first("v").alias("v"), F.min("vec_id").alias("least")).select(F.col("h").alias("entry"), "least", "v"), "ann-entries").df
     sample = entries.orderBy("entry").limit(FIT_ROWS).select("v").toArrow().column("v").combine_chunks()
     if not len(sample):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     x = _matrix(sample, dim)
+    centroids = centroids or n_centroids(entries.count())
     cut = (dim + 1) // 2 if dim > 1 else 1
     right = kmeans(x[:, cut:], centroids) if dim > 1 else np.zeros((1, 0))
     index = Index(kmeans(x[:, :cut], centroids), right)
-    celled = Staged(entries.mapInArrow(lambda it: _assigned(it, index), "cell int, entry long, v array<double>"), "ann-cells").df
+    celled = Staged(entries.mapInArrow(lambda it: _assigned(it, index), "cell int, entry long, least long, v array<double>"), "ann-cells").df
     for r in celled.groupBy("cell").agg(F.count("*").alias("n")).toArrow().to_pylist():  # at most centroids**2 rows
         index.size[r["cell"]] = r["n"]
-    asked = rows.filter(queries).select(F.col("vec_id").alias("query"), "h", "v").dropDuplicates(["query"])
-    enough = max(candidates, _enough(celled, index, asked, top, target))
+    asked = Staged(rows.filter(queries).select(F.col("vec_id").alias("query"), "h", "v"), "ann-queries").df
+    enough = max(top + 1, _enough(celled, index, asked, top, target))
     n_right = len(index.right)
-    pages = np.maximum(1, -(-index.size.reshape(-1, n_right).sum(1) // PAGE))
-    paged = celled.select(F.expr(f"cell div {n_right}").cast("int").alias("left"), (F.col("cell") % n_right).alias("right"), "entry", "v")
+    pages = np.maximum(1, -(-index.size.reshape(-1, n_right).sum(1) // page))
+    query_pages = max(1, -(-asked.count() // page))
+    paged = celled.select(F.expr(f"cell div {n_right}").cast("int").alias("left"), (F.col("cell") % n_right).alias("right"), "entry", "least", "v")
     paged = paged.withColumn("page", F.pmod(F.xxhash64("entry", F.lit(1)), F.element_at(F.lit(pages.tolist()), F.col("left") + 1)).cast("int"))
+    paged = paged.withColumn("asking", F.explode(F.sequence(F.lit(0), F.lit(query_pages - 1))))
     shipped = spark.sparkContext.broadcast(index)
-    probes = asked.mapInArrow(lambda it: _probed(it, shipped.value, enough, pages), "left int, page int, query long, v array<double>, cells array<int>")
-    found = probes.groupBy("left", "page").cogroup(paged.groupBy("left", "page")).applyInArrow(lambda a, b: _reranked(a, b, dim, top), "query long, entry long, score double")
+    probes = asked.select("query", "v").mapInArrow(lambda it: _probed(it, shipped.value, enough, pages), "left int, page int, query long, v array<double>, cells array<int>")
+    probes = probes.withColumn("asking", F.pmod(F.xxhash64("query"), F.lit(query_pages)).cast("int"))
+    met = ["left", "page", "asking"]
+    found = probes.groupBy(*met).cogroup(paged.groupBy(*met)).applyInArrow(lambda a, b: _reranked(a, b, dim, top), "query long, entry long, score double")
     listed = found.join(members.withColumnRenamed("h", "entry"), "entry").filter("query <> vec_id")
     ranked = listed.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))).filter(F.col("rank") <= top)
     return ranked.select(F.col("query").alias("query_id"), F.col("rank").cast("int").alias("rank"), "vec_id", "score")
