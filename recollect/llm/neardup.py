@@ -1,29 +1,35 @@
 """Near-duplicate documents by a chosen-path set similarity join.
 
 A document's set holds its distinct word shingles. Documents with the same set are one class, found
-by a fingerprint of the set, so copies never meet one another. Each class carries ``COORDS`` minwise
-tokens. Independent trees branch the classes: every node picks one coordinate, and with
+by a 128-bit fingerprint of the set, so copies never meet one another. Each class carries ``COORDS``
+minwise tokens. Independent trees branch the classes: every node picks one coordinate, and with
 probability 1/4 a second one, from a hash of its path, and sends a class to the child that its
 minwise token there names (1.25 branches on average, so a pair at similarity 0.8 keeps one shared
-child on average at any depth). Nodes of at most ``SMALL`` classes are compared exhaustively;
-larger ones branch on, and those still large at the last level are first compared in blocks of ``SMALL``
-that all hold the node's ``LEADERS`` first classes, which connects a group of many near copies in
-linear work; what is then still apart is compared block by block, so no pair of a node is left out. Trees repeat until the target recall (``TREES``; a pair at exactly 0.8 is missed by all of
-them about once in several thousand).
+child on average at any depth). Nodes of at most ``SMALL`` classes are compared exhaustively, larger
+ones branch on. Trees repeat until the target recall (``TREES``; a pair at exactly 0.8 is missed by
+all of them about once in several thousand).
+
+Classes that a node still crowds at the last level are alike, and no minwise token tells them apart;
+branching on would only copy them. They are compared by their rarest shingles instead, which is
+exact: of two sets that link, each holds a shared shingle among its first ``n - 0.8 n + 1`` in any
+common order, and in the order of rising frequency among the crowded classes those are the ones that
+a family doesn't share. Where the first shared shingle stands too late in either set for enough
+others to follow, the pair can't link and isn't made.
 
 Comparing is in two steps: minwise agreement proposes, the full sets confirm. First every class is
-checked against one earlier partner in each node. With the components these links make known, the
-classes with partners, and all of large nodes, are then compared by ``FINE`` minwise tokens: at first each with its ``PARTNERS``
-nearest in other components, at last all proposed pairs that still lie in different components. Large
-nodes are then split into blocks of ``WIDE`` classes by component and each two blocks that hold
-different components meet in a task of their own: work grows with the pairs between components, up to
-the square of a node whose members are alike but not linked. So each proposed pair is confirmed, refuted or already connected, while groups of copies don't expand
-into pairs.
+checked against one earlier partner in each node, in large nodes in blocks of ``SMALL`` that all hold
+the node's ``LEADERS`` first classes: linear work that connects most of a group of many near copies.
+What is then still in different components is compared by ``FINE`` minwise tokens: at first each
+class with its ``PARTNERS`` nearest, at last all. Buckets of a shingle that are larger than ``WIDE``
+are split by component, and each two blocks that hold different components meet in a task of their
+own. So each proposed pair is confirmed, refuted or already connected, while groups of copies don't
+expand into pairs.
 
 Edge cases: null or wordless texts have an empty set and are linked with nothing; texts of fewer
 words than a shingle are one shingle of all their words; repeated rows share a class; rows without a
 doc_id make no class, join that of their text, and stay in ``unique_documents``; different texts
-under one doc_id are one node of the graph, compared by one of the texts; an empty table gives no rows; other columns are ignored.
+under one doc_id are linked each by its own text, and each is judged for itself (of repeated rows
+one stays); an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,11 +40,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from recollect.llm import textscan as ts
 from recollect.llm.components import components
 from recollect.llm.sieve import maybe, sieve
-from recollect.llm.staging import Staged
+from recollect.llm.staging import Scratch, Staged
 
 SHINGLE, PERCENT = 5, 80
 COORDS, TREES, FIRST_LEVEL, LAST_LEVEL = 64, 12, 3, 5
@@ -62,28 +70,34 @@ def _sets(words: ts.Block, k: int) -> list[np.ndarray]:
     return out
 
 
-def _class_of(x: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    return ts.mix(np.add.reduceat(ts.mix(x + _U(0x51ED270B)), starts) + sizes.astype(np.uint64)).view(np.int64)
+def _class_of(own: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The two halves of the fingerprint of each set; 0 for empty ones."""
+    sizes = np.array([len(s) for s in own], np.int64)
+    full, out = np.flatnonzero(sizes), np.zeros((2, len(own)), np.int64)
+    if len(full):
+        x, starts = np.concatenate([own[r] for r in full]), np.cumsum(sizes[full]) - sizes[full]
+        for half, salt in enumerate((0x51ED270B, 0x2F3A5C9D7B1E)):
+            out[half, full] = ts.mix(np.add.reduceat(ts.mix(x + _U(salt)), starts) + sizes[full].astype(np.uint64)).view(np.int64)
+    return out[0], out[1]
 
 
 def _profiles(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """(doc_id, n_shingles, cls, sig); cls and sig are null for empty sets."""
+    """(doc_id, n_shingles, cls, cls2, sig); the last three are null for empty sets."""
     for batch in batches:
         for words in ts.blocks(batch.column("text"), ts.NON_SPACE):
             own = _sets(words, k)
             sizes = np.array([len(s) for s in own], np.int64)
             full = np.flatnonzero(sizes)
-            cls, sig = np.zeros(words.rows, np.int64), np.zeros((words.rows, COORDS), np.uint16)
+            (cls, cls2), sig = _class_of(own), np.zeros((words.rows, COORDS), np.uint16)
             if len(full):
                 x, starts = np.concatenate([own[r] for r in full]), np.cumsum(sizes[full]) - sizes[full]
-                cls[full] = _class_of(x, starts, sizes[full])
                 for i in range(COORDS):
                     sig[full, i] = (np.minimum.reduceat(x * _FACTORS[i], starts) * _U(0x9E3779B97F4A7C15)) >> _U(48)
             empty = pa.array(sizes == 0)
             packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * COORDS), words.rows, [None, pa.py_buffer(sig.tobytes())]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(words.row0, words.rows), pa.array(sizes), pa.array(cls, mask=sizes == 0), pa.compute.if_else(empty, pa.scalar(None, pa.binary()), packed)],
-                names=["doc_id", "n_shingles", "cls", "sig"],
+                [batch.column("doc_id").slice(words.row0, words.rows), pa.array(sizes), pa.array(cls, mask=sizes == 0), pa.array(cls2, mask=sizes == 0), pa.compute.if_else(empty, pa.scalar(None, pa.binary()), packed)],
+                names=["doc_id", "n_shingles", "cls", "cls2", "sig"],
             )
 
 
@@ -189,39 +203,40 @@ def _first_partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _other_partners(batches: Iterator[pa.RecordBatch], percent: int, partners: int | None) -> Iterator[pa.RecordBatch]:
-    """Pairs of classes of different components whose sizes and fine signatures allow a link: of each class its
-    nearest ``partners``, or all. A pair that shares several nodes is made in the least of them only (``paths``
-    lists a class's nodes). Classes of sides 0 and 1 meet the other side only, those of side 2 one another."""
+    """Pairs of classes of different components whose sizes, places and fine signatures allow a link: of each class
+    its nearest ``partners``, or all. A pair that meets in several nodes is made in the first of them only (``paths``
+    lists those of a class), one that meets in several shingles not where the shingle before is shared as well.
+    Classes of sides 0 and 1 meet the other side only, those of side 2 one another."""
     for table in _runs(batches):
         begin, end = _bounds(table)
-        cls, root, size, here, side = (table.column(c).to_numpy() for c in ("cls", "root", "n", "path", "side"))
+        cls, root, size, here, side, pos = (table.column(c).to_numpy() for c in ("cls", "root", "n", "path", "side", "pos"))
+        before, none_before = table.column("before").fill_null(0).to_numpy(), table.column("before").is_null().to_numpy()
         paths = table.column("paths").combine_chunks()
         fine = np.frombuffer(b"".join(table.column("fine").to_pylist()), np.uint8).reshape(-1, FINE)
-        left, right, kept = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], {}
-
-        def nodes(i: int, paths=paths, kept=kept) -> frozenset[int]:
-            if i not in kept:
-                kept[i] = frozenset(paths[i].as_py())
-            return kept[i]
-
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for a, b in zip(begin, end, strict=True):
-            of, n, on = root[a:b], size[a:b], side[a:b]
+            of, n, on, room, last = root[a:b], size[a:b], side[a:b], (size - np.maximum(pos, 0))[a:b], before[a:b]
             if (of == of[0]).all():
                 continue
-            agree = np.zeros((b - a, b - a), np.int64)
+            agree = np.zeros((b - a, b - a), np.int32)
             for i in range(b - a):
-                agree[i] = (fine[a + i] == fine[a:b]).sum(1)
-            fits = (of[:, None] != of[None, :]) & ((on[:, None] != on) | (on == 2)[:, None]) & (100 * np.minimum(n[:, None], n) >= percent * np.maximum(n[:, None], n))
-            agree[~fits] = 0
+                fits = (of != of[i]) & ((on != on[i]) | (on == 2)) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
+                fits &= ((100 + percent) * np.minimum(room, room[i]) >= percent * (n + n[i])) & (none_before[a:b] | none_before[a + i] | (last != last[i]))
+                to = np.flatnonzero(fits)
+                agree[i, to] = (fine[a + i] == fine[a + to]).sum(1)
             if partners is not None and b - a > partners:
-                bar = np.partition(agree, b - a - partners, axis=1)[:, b - a - partners]
-                agree[(agree < bar[:, None])] = 0
+                nearest = np.argpartition(-agree, partners - 1, axis=1)[:, :partners]
+                near_only = np.zeros_like(agree)
+                np.put_along_axis(near_only, nearest, np.take_along_axis(agree, nearest, 1), 1)
+                agree = near_only
             near = agree >= FINE_AGREE
             i, j = np.nonzero(np.triu(near | near.T, 1))
-            i, j = a + i, a + j
-            first = [min(nodes(x) & nodes(y)) == here[x] for x, y in zip(i.tolist(), j.tolist(), strict=True)]
-            left.append(i[np.array(first, bool)])
-            right.append(j[np.array(first, bool)])
+            if pos[a] < 0 and len(i):
+                lists = {k: set(paths[a + k].as_py()) for k in np.unique(np.concatenate([i, j])).tolist()}
+                first = np.array([min(lists[x] & lists[y]) == here[a] for x, y in zip(i.tolist(), j.tolist(), strict=True)], bool)
+                i, j = i[first], j[first]
+            left.append(a + i)
+            right.append(a + j)
         yield _pairs(cls, left, right)
 
 
@@ -241,13 +256,37 @@ def _by_node(rows: DataFrame) -> DataFrame:
     return rows.repartition("path", "block").sortWithinPartitions("path", "block", "cls")
 
 
-def _tasks(nodes: DataFrame, roots: DataFrame, wide: int) -> DataFrame:
-    """(path, block, cls, side): small nodes whole, and of large nodes every two blocks of classes that hold different
-    components. Components of at least ``wide`` classes have blocks of their own, the others share theirs."""
-    rows = nodes.filter("not lead").join(roots, "cls")
-    small = rows.filter("not large").select("path", "block", "cls", F.lit(2).alias("side"))
-    sizes = rows.filter("large").groupBy("path", "root").agg(F.count("*").alias("n"))
-    sizes = Staged(sizes.select("path", "root", "n", F.when(F.col("n") >= wide, F.col("root")).alias("own")), "node-components").df
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cls, n, token), a row for each shingle."""
+    for batch in batches:
+        cls, n = batch.column("cls").to_numpy(), batch.column("n").to_numpy()
+        ends = np.cumsum(n)
+        for a, b in zip(*(lambda cut: (cut[:-1], cut[1:]))(np.unique(np.append(np.searchsorted(ends, np.arange(0, ends[-1] if len(n) else 0, 200_000)), [0, len(n)]))), strict=True):
+            tokens = np.frombuffer(b"".join(batch.column("shingles").slice(a, b - a).to_pylist()), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(cls[a:b], n[a:b])), pa.array(np.repeat(n[a:b], n[a:b])), pa.array(tokens)], names=["cls", "n", "token"])
+
+
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(cls, skipped, tokens): the rarest shingles of each set that a link must share one of, in the common order;
+    the ``skipped`` before them are in no other set."""
+    tokens = sets.select("cls", "n", "shingles").mapInArrow(_unpacked, "cls long, n long, token long")
+    often = tokens.groupBy("token").agg(F.count("*").alias("f")).filter("f > 1")
+    ranked = tokens.join(often.hint("merge"), "token").groupBy("cls").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("f", "token"))).alias("shared"))
+    skipped = F.col("n") - F.size("shared")
+    length = F.floor(F.col("n") * (100 - percent) / 100).cast("long") + 1 - skipped
+    return ranked.withColumn("skipped", skipped).withColumn("tokens", F.expr("transform(shared, x -> x.token)")).filter(length > 0).select("cls", "skipped", F.slice("tokens", F.lit(1), length.cast("int")).alias("tokens"))
+
+
+def _tasks(rows: DataFrame, roots: DataFrame, wide: int) -> DataFrame:
+    """(path, block, cls, side, pos, before) of the nodes and buckets (path, cls, pos, before) that hold different components: those of
+    at most ``wide`` classes whole, and of larger ones every two blocks of classes that hold different components.
+    Components of at least ``wide`` classes have blocks of their own, the others share theirs."""
+    rows = rows.join(roots, "cls")
+    live = rows.groupBy("path").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("classes")).filter("lo <> hi").select("path", "classes")
+    rows = Staged(rows.join(live, "path"), "node-rows").df
+    small = rows.filter(F.col("classes") <= wide).select("path", F.lit(0).cast("long").alias("block"), "cls", F.lit(2).alias("side"), "pos", "before")
+    rows = rows.filter(F.col("classes") > wide)
+    sizes = Staged(rows.groupBy("path", "root").agg(F.count("*").alias("n")).select("path", "root", "n", F.when(F.col("n") >= wide, F.col("root")).alias("own")), "node-components").df
     if sizes.isEmpty():
         return small
     groups = sizes.groupBy("path", "own").agg(F.ceil(F.sum("n") / wide).cast("long").alias("blocks"))
@@ -261,19 +300,24 @@ def _tasks(nodes: DataFrame, roots: DataFrame, wide: int) -> DataFrame:
         met.filter("p = q").select("path", "block", F.col("p").alias("key"), F.lit(2).alias("side"))
     )
     members = (
-        rows.filter("large").select("path", "cls", "root").join(sizes.select("path", "root", "own"), ["path", "root"])
+        rows.select("path", "cls", "root", "pos", "before").join(sizes.select("path", "root", "own"), ["path", "root"])
         .join(groups.withColumnRenamed("own", "of"), "path").filter("own <=> of")
-        .withColumn("i", F.pmod(F.xxhash64("cls"), F.col("blocks"))).select("path", key.alias("key"), "cls")
+        .withColumn("i", F.pmod(F.xxhash64("cls"), F.col("blocks"))).select("path", key.alias("key"), "cls", "pos", "before")
     )
-    return small.unionByName(members.join(met, ["path", "key"]).select("path", "block", "cls", "side"))
+    return small.unionByName(members.join(met, ["path", "key"]).select("path", "block", "cls", "side", "pos", "before"))
 
 
-def _further(nodes: DataFrame, fine: DataFrame, roots: DataFrame, tried: DataFrame, percent: int, partners: int | None, wide: int = WIDE) -> DataFrame:
+def _further(nodes: DataFrame, prefixes: DataFrame, fine: DataFrame, roots: DataFrame, tried: DataFrame, percent: int, partners: int | None, wide: int = WIDE) -> DataFrame:
     """Untried pairs between components."""
     known = fine.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    listed = nodes.filter("not lead").groupBy("cls").agg(F.collect_list("path").alias("paths"))  # a few for each tree
-    rows = _tasks(nodes, known.select("cls", "root"), wide).join(known.join(listed, "cls"), "cls")
-    pairs = _by_node(rows).mapInArrow(lambda it: _other_partners(it, percent, partners), "a long, b long").distinct()
+    own = nodes.filter("not large").select("path", "cls")
+    placed = prefixes.select("cls", "skipped", "tokens", F.posexplode("tokens").alias("at", "path"))
+    placed = placed.select("path", "cls", (F.col("skipped") + F.col("at")).alias("pos"), F.expr("try_element_at(tokens, nullif(at, 0))").alias("before"))
+    rows = own.select("path", "cls", F.lit(-1).cast("long").alias("pos"), F.lit(None).cast("long").alias("before")).union(placed)
+    listed = own.groupBy("cls").agg(F.collect_list("path").alias("paths"))  # a few for each tree
+    tasks = _tasks(rows, known.select("cls", "root"), wide).join(known, "cls").join(listed, "cls", "left")
+    tasks = tasks.withColumn("paths", F.when(F.col("pos") < 0, F.col("paths")))
+    pairs = _by_node(tasks).mapInArrow(lambda it: _other_partners(it, percent, partners), "a long, b long").distinct()
     return Staged(pairs.join(tried, ["a", "b"], "left_anti"), "more-pairs").df
 
 
@@ -281,15 +325,13 @@ def _full_sets(batches: Iterator[pa.RecordBatch], k: int, bitmap: np.ndarray) ->
     for batch in batches:
         batch = batch.filter(pa.array(maybe(bitmap, batch.column("h").to_numpy())))
         for words in ts.blocks(batch.column("text"), ts.NON_SPACE):
-            own = _sets(words, k)
-            full = [r for r, s in enumerate(own) if len(s)]
-            if not full:
+            own = [s for s in _sets(words, k) if len(s)]
+            if not own:
                 continue
-            ids = batch.column("doc_id").take(pa.array(np.array(full) + words.row0))
-            sizes = np.array([len(own[r]) for r in full])
-            x, starts = np.concatenate([own[r] for r in full]), np.cumsum(sizes) - sizes
+            sizes = np.array([len(s) for s in own])
+            x, starts = np.concatenate(own), np.cumsum(sizes) - sizes
             fine = np.stack([(np.minimum.reduceat(x * f, starts) * _U(0x9E3779B97F4A7C15)) >> _U(56) for f in _FACTORS[COORDS:]], 1).astype(np.uint8)
-            columns = [ids, pa.array(sizes), pa.array([f.tobytes() for f in fine], pa.binary()), pa.array([own[r].tobytes() for r in full], pa.binary())]
+            columns = [pa.array(_class_of(own)[0]), pa.array(sizes), pa.array([f.tobytes() for f in fine], pa.binary()), pa.array([s.tobytes() for s in own], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["cls", "n", "fine", "shingles"])
 
 
@@ -310,21 +352,28 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, trees: int = TREES, small: int = SMALL) -> DataFrame:
     """One row per document: doc_id, n_shingles, class id, component_id (least doc_id) and whether it is kept."""
+    with Scratch() as scratch:
+        return scratch.keep(_near_duplicates(docs, shingle, percent, trees, small))
+
+
+def _near_duplicates(docs: DataFrame, shingle: int, percent: int, trees: int, small: int) -> Staged:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = Staged(docs.mapInArrow(lambda it: _profiles(it, shingle), "doc_id long, n_shingles long, cls long, sig binary"), "profiles").df
-    classes = Staged(rows.filter("cls is not null and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes").df
-    reps = classes.select(F.col("rep").alias("cls"), "sig")  # from here on a class goes by its least doc_id
-    nodes = Staged(_nodes(reps, trees, small), "nodes").df
-    first = _by_node(nodes.drop("lead", "large").join(reps, "cls")).mapInArrow(_first_partners, "a long, b long").distinct()
+    rows = Staged(docs.mapInArrow(lambda it: _profiles(it, shingle), "doc_id long, n_shingles long, cls long, cls2 long, sig binary"), "profiles").df
+    classes = Staged(rows.filter("cls is not null and doc_id is not null").groupBy("cls", "cls2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes").df
+    nodes = Staged(_nodes(classes.select("cls", "sig"), trees, small), "nodes").df
+    first = _by_node(nodes.drop("lead", "large").join(classes.select("cls", "sig"), "cls")).mapInArrow(_first_partners, "a long, b long").distinct()
     first = Staged(first, "pairs").df
-    involved = Staged(first.select(F.explode(F.array("a", "b")).alias("cls")).union(nodes.filter("large").select("cls")).distinct(), "involved").df
-    bitmap = docs.sparkSession.sparkContext.broadcast(sieve(involved.select(F.xxhash64("cls").alias("h")), "h"))
+    crowded = Staged(nodes.filter("large").select("cls").distinct(), "crowded").df
+    involved = first.select(F.explode(F.array("a", "b")).alias("cls")).union(crowded).distinct()
+    involved = Staged(involved.join(classes.select("cls", "rep"), "cls"), "involved").df
+    bitmap = docs.sparkSession.sparkContext.broadcast(sieve(involved.select(F.xxhash64("rep").alias("h")), "h"))
     sets = docs.withColumn("h", F.xxhash64("doc_id")).mapInArrow(lambda it: _full_sets(it, shingle, bitmap.value), "cls long, n long, fine binary, shingles binary")
     sets = Staged(sets.join(involved, "cls", "left_semi").dropDuplicates(["cls"]), "sets").df
     links = Staged(_confirmed(first.filter("a <> b"), sets, percent), "links").df
     roots = components(links.toDF("u", "v"))
+    prefixes = Staged(_prefixes(sets.join(crowded, "cls", "left_semi"), percent), "prefixes").df
     for partners in (PARTNERS, None):
-        more = _further(nodes, sets.select("cls", "n", "fine"), roots, first, percent, partners)
+        more = _further(nodes, prefixes, sets.select("cls", "n", "fine"), roots, first, percent, partners)
         if more.isEmpty():
             continue
         extra = Staged(_confirmed(more, sets, percent), "more-links").df
@@ -332,19 +381,32 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
         if not extra.isEmpty():
             links = links.union(extra)
             roots = components(links.toDF("u", "v"))
-    ids = classes.select("cls", F.col("rep").alias("node")).join(roots, "node", "left").select("cls", F.coalesce("root", "node").alias("component_id"))
-    out = rows.select("doc_id", "n_shingles", "cls").join(ids, "cls", "left")
+    known = classes.select("cls", "cls2", "rep").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    ids = known.join(known.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("cls", "cls2", "component_id")
+    out = rows.select("doc_id", "n_shingles", "cls", "cls2").join(ids, ["cls", "cls2"], "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", F.col("cls").alias("class_id"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+    out = out.select("doc_id", "n_shingles", F.col("cls").alias("class_id"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+    return Staged(out, "near-duplicates")
+
+
+def _classed(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        cls = [_class_of(_sets(words, k))[0] for words in ts.blocks(batch.column("text"), ts.NON_SPACE)]
+        yield batch.append_column("_x_class", pa.array(np.concatenate([np.zeros(0, np.int64), *cls])))
 
 
-def unique_documents(docs: DataFrame, **options) -> DataFrame:
-    """One document of each near-duplicate group, the one of least doc_id; all columns kept."""
-    found = Staged(near_duplicates(docs, **options).select("doc_id", "kept"), "near-duplicates").df
+def unique_documents(docs: DataFrame, shingle: int = SHINGLE, **options) -> DataFrame:
+    """One document of each near-duplicate group, the one of least doc_id; all columns kept. Of different texts under
+    one doc_id each is judged for itself; of rows with the same doc_id and set the first by a hash of all columns stays."""
+    found = near_duplicates(docs, shingle, **options).select("doc_id", "class_id", "kept")
+    repeated = Staged(found.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "repeated-ids").df
     gone = found.filter("not kept").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti")
-    repeated = found.filter("kept").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
+    single = docs.join(gone, "doc_id", "left_anti")
     if repeated.isEmpty():
-        return left
-    again = left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return left.join(repeated, "doc_id", "left_anti").unionByName(again)
+        return single
+    again = docs.join(repeated, "doc_id", "left_semi")
+    again = again.mapInArrow(lambda it: _classed(it, shingle), T.StructType([*again.schema, T.StructField("_x_class", T.LongType())]))
+    stay = found.filter("kept").select("doc_id", F.coalesce("class_id", F.lit(0)).alias("_x_class")).distinct()
+    least = Window.partitionBy("doc_id", "_x_class").orderBy(F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
+    again = again.join(stay, ["doc_id", "_x_class"], "left_semi").withColumn("_x_first", F.row_number().over(least)).filter("_x_first = 1")
+    return single.join(repeated, "doc_id", "left_anti").unionByName(again.drop("_x_class", "_x_first"))

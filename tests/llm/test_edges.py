@@ -14,6 +14,7 @@ from recollect.llm.mixing import mix_plan, mixed_documents
 from recollect.llm.neardup import near_duplicates, unique_documents
 from recollect.llm.quality import keep_quality, quality_scores
 from recollect.llm.sharding import shards
+from recollect.llm.staging import Scratch, Staged
 from recollect.llm.suffixes import repeated_spans
 from recollect.llm.urlrules import judge
 
@@ -115,6 +116,19 @@ def test_near_duplicates(docs, empty):
     kept = unique_documents(docs)
     assert set(kept.columns) == set(docs.columns) and kept.filter("doc_id in (4, 5)").count() == 1
     assert unique_documents(empty).count() == 0
+    assert kept.filter("doc_id = 7").count() == 2 and unique_documents(docs, shingle=2).filter("doc_id in (7, 8)").count() == 2  # two texts under one id
+
+
+def test_scratch_tables_go(spark, tmp_path):
+    with Scratch():
+        inner = Staged(spark.range(3), "gone")
+        with Scratch() as scratch:
+            kept = scratch.keep(Staged(spark.range(2), "kept"))
+            assert kept.count() == 2
+        assert kept.count() == inner.df.count() - 1 == 2
+    for df in (inner.df, kept):
+        with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FILE_NOT_EXIST"):
+            df.count()
 
 
 def test_repeated_spans(docs, empty):

@@ -15,6 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from recollect.llm import annsearch
 from recollect.llm import queries as Q
 from recollect.llm import textscan as ts
 from recollect.llm.annsearch import search
@@ -23,7 +24,7 @@ from recollect.llm.extraction import Model, _truth, labelled_pages, train
 from recollect.llm.htmltree import parse
 from recollect.llm.langid import viterbi
 from recollect.llm.mixing import permuted, targets
-from recollect.llm import neardup
+from recollect.llm import neardup, quality, suffixes
 from recollect.llm.neardup import near_duplicates
 from recollect.llm.quality import fit
 from recollect.llm.sharding import shards
@@ -154,23 +155,89 @@ def test_held_out_language(spark, sf_dir):
 # --- nearest neighbours ---
 
 
-def test_recall_beyond_the_budget(spark):
+def _nearest(x: np.ndarray, ids: np.ndarray, query: int, top: int = 20) -> dict[int, float]:
+    score = x.astype(float) @ x[query].astype(float)
+    score[query] = -np.inf
+    return {int(ids[i]): score[i] for i in np.lexsort((ids, -score))[:top]}
+
+
+@pytest.mark.parametrize("kind", ["clustered", "uniform"])
+def test_recall_of_unseen_queries(spark, monkeypatch, kind):
+    """The budget is measured on some of the queries only; recall is taken over the others."""
     rng = np.random.default_rng(5)
     centre = rng.normal(size=(60, 16))
-    x = (centre[rng.integers(0, 60, 4000)] + 0.3 * rng.normal(size=(4000, 16))).astype(np.float32)
-    v = spark.createDataFrame(pd.DataFrame({"vec_id": range(4000), "embedding": list(x)}))
-    got = search(v, F.col("vec_id") % 200 == 0, candidates=50).toPandas()
-    hits = 0
-    for q in range(0, 4000, 200):
-        score = x.astype(float) @ x[q].astype(float)
-        score[q] = -np.inf
-        hits += len(set(np.argsort(-score)[:20]) & set(got[got["query_id"] == q]["vec_id"]))
-    assert hits / 400 >= 0.9
+    x = (centre[rng.integers(0, 60, 6000)] + 0.3 * rng.normal(size=(6000, 16)) if kind == "clustered" else rng.normal(size=(6000, 16))).astype(np.float32)
+    monkeypatch.setattr(annsearch, "TRIAL_QUERIES", 100)
+    visited, enough = [], annsearch._enough
+    monkeypatch.setattr(annsearch, "_enough", lambda *args: visited.append(enough(*args)) or visited[-1])
+    v = spark.createDataFrame(pd.DataFrame({"vec_id": range(6000), "embedding": list(x)}))
+    got = search(v, F.col("vec_id") % 20 == 0, page=1000).toPandas()
+    seen = set(v.filter("vec_id % 20 = 0").select("vec_id", F.xxhash64(F.col("embedding").cast("array<double>")).alias("h")).orderBy(F.xxhash64("h", F.lit(5))).limit(100).toPandas()["vec_id"])
+    unseen = [q for q in range(0, 6000, 20) if q not in seen]
+    hits = sum(len(set(_nearest(x, np.arange(6000), q)) & set(got[got["query_id"] == q]["vec_id"])) for q in unseen)
+    assert len(unseen) == 200 and hits / 4000 >= 0.9 and visited[0] < (1500 if kind == "clustered" else 5500)
+
+
+def test_nearest_against_brute_force(spark, sf_dir):
+    got = Q.op4_nearest(spark, sf_dir).toPandas().sort_values(["query_id", "rank"])
+    v = pd.read_parquet(f"{sf_dir}/embeddings.parquet").sort_values("vec_id")
+    x, ids, hits, n = np.stack(v["embedding"].to_numpy()), v["vec_id"].to_numpy(), 0, 0
+    assert set(got["query_id"]) == set(ids[ids % 20 == 0])
+    for q, own in got.groupby("query_id"):
+        at = int(np.flatnonzero(ids == q)[0])
+        every = _nearest(x, ids, at, len(ids) - 1)
+        assert own["rank"].tolist() == list(range(1, 21)) and q not in set(own["vec_id"])
+        assert own["score"].to_numpy() == pytest.approx([every[i] for i in own["vec_id"]], abs=1e-12)
+        assert own["score"].is_monotonic_decreasing
+        hits, n = hits + len(set(list(every)[:20]) & set(own["vec_id"])), n + 20
+    assert hits / n >= 0.9
 
 
 # --- repeated passages, near duplicates: planted cases ---
 
 
+@pytest.mark.parametrize("seed", range(12))
+def test_suffix_neighbours_and_open_windows(seed):
+    """Windows that neighbours match and open ones settled by their words, against every window of every text."""
+    rng, size, gram = np.random.default_rng(seed), 20, 6
+    lines = [" ".join(f"w{i}" for i in rng.integers(0, 60, int(rng.integers(5, 40)))) for _ in range(6)]
+    texts = [" ".join(lines[int(rng.integers(0, 6))] if rng.random() < 0.7 else f"u{rng.integers(0, 10**6)}" for _ in range(int(rng.integers(1, 9)))) for _ in range(14)]
+    words, holders = [t.split() for t in texts], {}
+    for d, w in enumerate(words):
+        for i in range(len(w) - size + 1):
+            holders.setdefault(tuple(w[i : i + size]), set()).add(d)
+    want = [{i for i in range(len(w) - size + 1) if len(holders[tuple(w[i : i + size])]) > 1} for w in words]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["row_key", "text"])
+    every = np.full(1 << 20, ~np.uint64(0), np.uint64)
+    order = [(c, "ascending") for c in ("key", "right", "left", "row_key", "at")]
+    suffix = pa.Table.from_batches(list(suffixes._suffixes(iter([batch]), size, gram, every))).sort_by(order).combine_chunks()
+    got, opened = [set() for _ in texts], set()
+    for out in suffixes._compared(iter(suffix.to_batches(max_chunksize=int(rng.integers(1, 12)))), size):
+        for r in out.to_pylist():
+            got[r["row_key"]] |= {r["at"] - back for back in range(64) if r["matched"] >> back & 1}
+            opened |= {(w["w1"], w["w2"]) for w in r["open"]}
+    assert all(g <= w for g, w in zip(got, want, strict=True))
+    same, by = pa.Table.from_batches(list(suffixes._same_windows(iter([batch]), size, gram, every, every))).to_pylist(), {}
+    for r in same:
+        by.setdefault((r["w1"], r["w2"]), set()).add(r["row_key"])
+    for r in same:
+        if (r["w1"], r["w2"]) in opened and len(by[r["w1"], r["w2"]]) > 1:
+            got[r["row_key"]].add(r["at"] - r["back"])
+    assert got == want
+
+
+def test_a_passage_that_fills_many_tasks(spark):
+    """300 texts around one passage, sorted in 16 ranges; each text has one part of it or the whole."""
+    rng, shared = np.random.default_rng(18), [f"p{i}" for i in range(90)]
+    data = [(i, " ".join([f"a{i}x{k}" for k in range(int(rng.integers(0, 60)))] + shared[i % 4 * 10 : 90 - i % 3 * 10] + [f"b{i}x{k}" for k in range(30)])) for i in range(300)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.doc_id: r.n_words for r in repeated_spans(spark.createDataFrame(data, "doc_id long, text string").repartition(7)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == {i: 90 - i % 4 * 10 - i % 3 * 10 for i in range(300) if 90 - i % 4 * 10 - i % 3 * 10 >= 50}
+
+
 def _words(rng, n: int) -> list[str]:
     return [f"w{int(i)}" for i in rng.integers(0, 500, n)]
 
@@ -228,9 +295,29 @@ def test_pairs_in_a_family_below_the_threshold(spark):
     assert got == {i: i // 2 * 2 for i in range(300)}
 
 
+def test_recall_in_a_crowd_at_the_threshold(spark):
+    """A template of 172 words, one word of each pair and 21 own ones: 0.8037 within pairs, below 0.796 between others."""
+    data = [(i, " ".join([f"t{k}" for k in range(172)] + [f"s{i // 2}"] + [f"o{i}x{k}" for k in range(21)])) for i in range(800)]
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(data, "doc_id long, text string"), shingle=2).collect()}
+    assert set(got[i] for i in range(0, 800, 2)) == set(range(0, 800, 2)), "no link that isn't one"
+    assert sum(got[i] == i - 1 for i in range(1, 800, 2)) >= 0.99 * 400
+
+
+def test_blocks_of_a_large_bucket_meet(spark):
+    """300 classes that share one rare shingle, in components of different sizes: every pair of components is proposed once."""
+    rows = spark.createDataFrame([(7, i, 0, None) for i in range(300)], "path long, cls long, pos long, before long")
+    root = {i: 0 if i < 120 else 120 + (i - 120) // 3 for i in range(300)}
+    met = neardup._tasks(rows, spark.createDataFrame(list(root.items()), "cls long, root long"), 50).toPandas()
+    pairs = Counter()
+    for _, part in met.groupby("block"):
+        own = list(zip(part["cls"], part["side"], strict=True))
+        pairs.update((a, b) for a, x in own for b, y in own if a < b and (x != y or x == 2) and root[a] != root[b])
+    assert pairs == Counter({(a, b): 1 for a in range(300) for b in range(a + 1, 300) if root[a] != root[b]})
+
+
 def test_all_pairs_are_asked_for_after_an_empty_round(spark, monkeypatch):
     asked, further = [], neardup._further
-    monkeypatch.setattr(neardup, "_further", lambda *args: asked.append(args[5]) or further(*args))
+    monkeypatch.setattr(neardup, "_further", lambda *args: asked.append(args[6]) or further(*args))
     docs = spark.createDataFrame([(i, f"a{i} b{i} c{i}") for i in range(4)], "doc_id long, text string")
     assert near_duplicates(docs, shingle=1).filter("kept").count() == 4
     assert asked == [neardup.PARTNERS, None]
@@ -303,6 +390,61 @@ def test_risk_finds_positives_among_unlabelled():
     assert right.mean() > 0.9
 
 
+@pytest.mark.parametrize("true", [0.3, 0.6, 0.85])
+def test_prior_from_positives_and_unlabelled(spark, true):
+    """Labels tell only that some texts are good; the prior comes from how far unlabelled texts look like them."""
+    rng = np.random.default_rng(16)
+    good = rng.random(6000) < true
+    x = np.where(good[:, None], rng.beta(5, 2, (6000, quality.FEATURES)), rng.beta(2, 5, (6000, quality.FEATURES)))
+    marked = rng.random(6000) < 0.3
+    rows = spark.createDataFrame(pd.DataFrame({"doc_id": range(6000), "x": list(x.astype(np.float32))}), "doc_id long, x array<float>")
+    labels = spark.createDataFrame([(int(i), 1) for i in np.flatnonzero(good & marked)], "doc_id long, quality int")
+    unlabelled = good[~(good & marked)].mean()
+    model, prior = quality.train(rows, labels, F.lit(True))
+    assert abs(prior - unlabelled) < 0.05
+    assert ((model.score(x) >= 0.5) == good).mean() > 0.97
+
+
+def test_passes_cover_all_unlabelled_rows(spark, monkeypatch):
+    """A start on 40 rows of each kind misses what most rows show; the passes over all rows find it."""
+    rng = np.random.default_rng(26)
+    good = rng.random(4000) < 0.7
+    x = rng.normal(size=(4000, quality.FEATURES)) + 3
+    x[:, :3] += np.where(good, 0.7, -0.7)[:, None]
+    rows = spark.createDataFrame(pd.DataFrame({"doc_id": range(4000), "x": list(x.astype(np.float32))}), "doc_id long, x array<float>")
+    labels = spark.createDataFrame([(int(i), int(good[i])) for i in range(0, 4000, 2)], "doc_id long, quality int")
+    monkeypatch.setattr(quality, "START", 40)
+    right = []
+    for passes in (1, 24):
+        monkeypatch.setattr(quality, "PASSES", passes)
+        model, _ = quality.train(rows, labels, F.lit(True))
+        right.append(((model.score(x) >= 0.5) == good)[1::2].mean())
+    assert right[1] > right[0] + 0.02 and right[1] > 0.8
+
+
+def test_quality_against_a_plain_version(spark, sf_dir):
+    """The query's rows, from the operator's functions on whole tables in one process."""
+    got = Q.op10_quality(spark, sf_dir).toPandas().set_index("doc_id")
+    docs, labels = pd.read_parquet(f"{sf_dir}/documents.parquet"), pd.read_parquet(f"{sf_dir}/labels.parquet")
+    x = np.concatenate([quality._features(w) for w in ts.blocks(pa.array(docs["text"]), ts.NON_SPACE, lower=False)]).astype(float)
+    teaches = np.array([zlib.crc32(str(i).encode()) % 4 != 2 for i in docs["doc_id"]])
+    known = docs["doc_id"].map(labels.groupby("doc_id")["quality"].mean()).where(teaches)
+    positive, unlabelled = x[known >= 0.5], x[known.isna()]
+    prior, cut = (known.dropna() >= 0.5).mean(), np.linspace(0, 1, quality.BINS + 2)[1:-1]
+    bits = np.sort(np.concatenate([positive, unlabelled]).astype(np.float32).view(np.uint32) >> 16, axis=0)
+    edges = np.stack([((bits[np.maximum(np.ceil(cut * len(bits)).astype(int) - 1, 0), i] + 1) << 16).astype(np.uint32).view(np.float32) for i in range(x.shape[1])]).astype(float)
+    model = quality.fit(positive, unlabelled, prior, edges)
+    risk, theta, seen = quality.Risk(prior, len(model.weights) + 1), np.append(model.weights, model.bias), []
+    cells, is_positive = model.cells(np.concatenate([positive, unlabelled])), np.arange(len(positive) + len(unlabelled)) < len(positive)
+    curvature = risk.curvature(model.cells(unlabelled), theta)
+    for _ in range(quality.PASSES):
+        step = np.linalg.solve(curvature, risk.gradient(risk.sums(cells, is_positive, theta), theta))
+        theta = theta - step * min(1, quality.REACH / np.abs(step).max())
+        seen.append(theta)
+    want = quality._model(edges, np.mean(seen[quality.PASSES // 2 :], axis=0)).score(x)
+    assert got.loc[docs["doc_id"], "score"].to_numpy() == pytest.approx(want, abs=1e-6)
+
+
 def test_held_out_quality(spark, sf_dir):
     got = Q.op10_quality(spark, sf_dir).toPandas().merge(pd.read_parquet(f"{sf_dir}/labels.parquet"))
     own = got[got["held_out"]]
