@@ -36,7 +36,7 @@ from pyspark.sql.window import Window
 
 from recollect.llm.staging import Scratch, Staged
 
-TOP, CELL, MAX_CENTROIDS = 20, 16, 1024
+TOP, CELL, MAX_CENTROIDS = 20, 64, 1024
 FIT_ROWS, ROUNDS, PAGE = 20_000, 12, 16_384
 TRIAL_QUERIES, TARGET = 256, 0.96
 
@@ -151,25 +151,25 @@ def _reranked(queries: pa.Table, entries: pa.Table, dim: int, top: int) -> pa.Ta
     ids, least, own, cell = entries.column("entry").to_numpy(), entries.column("least").to_numpy(), queries.column("query").to_numpy(), entries.column("right").to_numpy()
     margin = 1e-12 * dim * np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1).max()
     asked = queries.column("cells").combine_chunks()
-    who, wanted = np.repeat(np.arange(len(x)), asked.value_lengths().to_numpy()), asked.flatten().to_numpy()
-    i_all, j_all, s_all = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    parts: list[tuple[np.ndarray, ...]] = []
-    for c in np.unique(cell):
-        rows, members = who[wanted == c], np.flatnonzero(cell == c)
-        for at in range(0, len(rows), 500):
-            part = rows[at : at + 500]
-            about = x[part] @ y[members].T
-            keep = min(top + 1, len(members))
-            i, j = np.nonzero(about >= (-np.partition(-about, keep - 1, axis=1)[:, keep - 1] - 2 * margin[part])[:, None])
-            i, j = part[i], members[j]
-            score = paired(x[i], y[j])
-            first = _best(i, score, least[j], top + 1)
-            parts.append((i[first], j[first], score[first]))
-        if len(parts) > 64 or c == cell.max():
-            i_all, j_all, s_all = (np.concatenate([a, *(p[k] for p in parts)]) for k, a in enumerate((i_all, j_all, s_all)))
-            first = _best(i_all, s_all, least[j_all], top + 1)
-            i_all, j_all, s_all, parts = i_all[first], j_all[first], s_all[first], []
-    return pa.table({"query": own[i_all], "entry": ids[j_all], "score": s_all})
+    visits = np.zeros((len(x), int(max(cell.max(), asked.flatten().to_numpy().max(initial=0))) + 1), bool)
+    visits[np.repeat(np.arange(len(x)), asked.value_lengths().to_numpy()), asked.flatten().to_numpy()] = True
+    order = np.lexsort(visits.T[::-1])  # queries that visit alike cells go together
+    out: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for at in range(0, len(x), 256):
+        part = order[at : at + 256]
+        members = np.flatnonzero(visits[part].any(0)[cell])
+        if not len(members):
+            continue
+        about = np.where(visits[part][:, cell[members]], x[part] @ y[members].T, -np.inf)
+        keep = min(top + 1, len(members))
+        bar = -np.partition(-about, keep - 1, axis=1)[:, keep - 1]
+        i, j = np.nonzero((about >= (bar - 2 * margin[part])[:, None]) & (about > -np.inf))
+        i, j = part[i], members[j]
+        score = paired(x[i], y[j])
+        first = _best(i, score, least[j], top + 1)
+        out.append((i[first], j[first], score[first]))
+    i, j, score = (np.concatenate([o[k] for o in out]) for k in range(3))
+    return pa.table({"query": own[i], "entry": ids[j], "score": score})
 
 
 def _trials(batches: Iterator[pa.RecordBatch], ids: np.ndarray, x: np.ndarray, top: int) -> Iterator[pa.RecordBatch]:
