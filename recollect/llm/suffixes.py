@@ -39,7 +39,7 @@ from recollect.llm import textscan as ts
 from recollect.llm.sieve import maybe, sieve
 from recollect.llm.staging import Scratch, Staged
 
-MIN_WORDS, GRAM = 50, 16
+MIN_WORDS, GRAM, LANES = 50, 16, 64
 WORD = 6  # bytes of a word's hash in a sorted suffix
 _U = np.uint64
 SUFFIXES = "key long, right binary, left binary, row_key long, at long, near int, far int"
@@ -248,9 +248,13 @@ def _places(docs: DataFrame, min_words: int, gram: int) -> DataFrame:
         return found
     windows = spark.sparkContext.broadcast(sieve(opened, "w1"))
     same = scan.mapInArrow(lambda it: _same_windows(it, min_words, gram, bitmap.value, windows.value), "w1 long, w2 long, row_key long, at long, back long")
-    same = Staged(same, "same-windows").df
-    shared = same.groupBy("w1", "w2").agg(F.min("row_key").alias("lo"), F.max("row_key").alias("hi")).filter("lo <> hi").select("w1", "w2")
-    more = same.join(shared.hint("merge"), ["w1", "w2"]).groupBy("row_key", "at").agg(F.expr("bit_or(shiftleft(1L, cast(back as int)))").alias("matched"))
+    same = Staged(same.withColumn("lane", F.pmod("row_key", F.lit(LANES))), "same-windows").df
+    # a window of very many documents is settled in each of its lanes; only lanes with one document ask the others
+    lanes = Staged(same.groupBy("w1", "w2", "lane").agg(F.min("row_key").alias("lo"), F.max("row_key").alias("hi")), "window-lanes").df
+    shared = lanes.groupBy("w1", "w2").agg(F.min("lo").alias("least"), F.max("hi").alias("most")).filter("least <> most").select("w1", "w2")
+    alone = lanes.filter("lo = hi").join(shared, ["w1", "w2"], "left_semi").select("w1", "w2", "lane")
+    known = lanes.filter("lo <> hi").select("w1", "w2", "lane").union(alone)
+    more = same.join(known.hint("merge"), ["w1", "w2", "lane"]).groupBy("row_key", "at").agg(F.expr("bit_or(shiftleft(1L, cast(back as int)))").alias("matched"))
     return found.union(more)
 
 
