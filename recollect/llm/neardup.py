@@ -309,7 +309,7 @@ def _tasks(rows: DataFrame, roots: DataFrame, wide: int) -> DataFrame:
 
 def _further(nodes: DataFrame, prefixes: DataFrame, fine: DataFrame, roots: DataFrame, tried: DataFrame, percent: int, partners: int | None, wide: int = WIDE) -> DataFrame:
     """Untried pairs between components."""
-    known = fine.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    known = fine.join(roots.select("cls", "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     own = nodes.filter("not large").select("path", "cls")
     placed = prefixes.select("cls", "skipped", "tokens", F.posexplode("tokens").alias("at", "path"))
     placed = placed.select("path", "cls", (F.col("skipped") + F.col("at")).alias("pos"), F.expr("try_element_at(tokens, nullif(at, 0))").alias("before"))
@@ -350,6 +350,13 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(lambda it: _confirm(it, percent), "a long, b long")
 
 
+def _connected(links: DataFrame, reps: DataFrame) -> DataFrame:
+    """(cls, root, component_id) of linked classes; components are ordered by their least doc_id."""
+    u, v = (reps.select(F.col("cls").alias(c), F.struct("rep", "cls").alias(n)) for c, n in (("a", "u"), ("b", "v")))
+    found = components(links.join(u, "a").join(v, "b").select("u", "v"))
+    return found.select(F.col("node.cls").alias("cls"), F.col("root.cls").alias("root"), F.col("root.rep").alias("component_id"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, trees: int = TREES, small: int = SMALL) -> DataFrame:
     """One row per document: doc_id, n_shingles, class id, component_id (least doc_id) and whether it is kept."""
     with Scratch() as scratch:
@@ -370,7 +377,7 @@ def _near_duplicates(docs: DataFrame, shingle: int, percent: int, trees: int, sm
     sets = docs.withColumn("h", F.xxhash64("doc_id")).mapInArrow(lambda it: _full_sets(it, shingle, bitmap.value), "cls long, n long, fine binary, shingles binary")
     sets = Staged(sets.join(involved, "cls", "left_semi").dropDuplicates(["cls"]), "sets").df
     links = Staged(_confirmed(first.filter("a <> b"), sets, percent), "links").df
-    roots = components(links.toDF("u", "v"))
+    roots = _connected(links, involved)
     prefixes = Staged(_prefixes(sets.join(crowded, "cls", "left_semi"), percent), "prefixes").df
     for partners in (PARTNERS, None):
         more = _further(nodes, prefixes, sets.select("cls", "n", "fine"), roots, first, percent, partners)
@@ -380,9 +387,8 @@ def _near_duplicates(docs: DataFrame, shingle: int, percent: int, trees: int, sm
         first = first.union(more)
         if not extra.isEmpty():
             links = links.union(extra)
-            roots = components(links.toDF("u", "v"))
-    known = classes.select("cls", "cls2", "rep").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    ids = known.join(known.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("cls", "cls2", "component_id")
+            roots = _connected(links, involved)
+    ids = classes.select("cls", "cls2", "rep").join(roots, "cls", "left").select("cls", "cls2", F.coalesce("component_id", "rep").alias("component_id"))
     out = rows.select("doc_id", "n_shingles", "cls", "cls2").join(ids, ["cls", "cls2"], "left")
     component = F.coalesce("component_id", "doc_id")
     out = out.select("doc_id", "n_shingles", F.col("cls").alias("class_id"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
