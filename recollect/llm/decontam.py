@@ -15,8 +15,9 @@ The benchmark's window table is shipped to the executors only while it has at mo
 Both ways give the same rows.
 
 Edge cases: a null or wordless text has no words and no hits; null or wordless texts of items have
-no windows; items with a null item_id hit like others, but are not listed or counted as items; repeated items each count, repeated item ids once; repeated documents each get their own
-row; other columns of either table are ignored.
+no windows; items with a null item_id hit like others, but are not listed or counted as items; repeated
+items each count, repeated item ids once; repeated documents each get their own row; other columns of
+either table are ignored by ``contamination`` and those of documents kept by ``decontaminate``.
 """
 
 from __future__ import annotations
@@ -187,13 +188,13 @@ def _joined(docs: DataFrame, windows: DataFrame, length: int, gram: int) -> Data
     widths = [r[0] for r in windows.select("width").distinct().collect()]  # at most `length` values
     spans = keyed.select("row_key", "text").mapInArrow(lambda it: _doc_windows(it, widths, length, gram), "row_key long, at int, width int, fp long, whole long")
     spans = spans.join(windows.select("width", "fp").distinct(), ["width", "fp"], "left_semi")
-    hits = Staged(spans.join(windows.select("width", "whole", "item_id").distinct(), ["width", "whole"]).select("row_key", "at", "width", "item_id").distinct(), "window-hits").df
+    hits = Staged(spans.join(windows.select("width", "whole").distinct(), ["width", "whole"]).select("row_key", "at", "width", "whole").distinct(), "window-hits").df
     covered = (
-        hits.select("row_key", "at", "width").distinct()
-        .select("row_key", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("width") - 1)).alias("word"))
+        hits.select("row_key", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("width") - 1)).alias("word"))
         .distinct().groupBy("row_key").agg(F.count("*").alias("n_hit"))
     )
-    items = hits.select("row_key", "item_id").filter("item_id is not null").distinct().groupBy("row_key").agg(
+    named = windows.filter("item_id is not null").select("width", "whole", "item_id").distinct()  # a window once for each text, not for each place
+    items = hits.select("row_key", "width", "whole").distinct().join(named, ["width", "whole"]).select("row_key", "item_id").distinct().groupBy("row_key").agg(
         F.count("*").alias("n_items"), F.array_sort(F.collect_list(F.col("item_id").cast("string"))).alias("own")
     )
     sizes = keyed.mapInArrow(_counts, "doc_id long, row_key long, n_words long")
@@ -217,10 +218,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = LENGTH, g
         "benchmark-windows",
     )
     if windows.df.count() > max_shipped:
-        keyed = docs.withColumn("_row_key", F.xxhash64(F.col("doc_id").cast("long"), "text"))
+        name = next(n for n in (f"_row_key{i or ''}" for i in range(len(docs.columns) + 1)) if n not in docs.columns)
+        keyed = docs.withColumn(name, F.xxhash64(F.col("doc_id").cast("long"), "text"))
         found = _joined(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), windows.df, length, gram)
-        bad = found.filter("contaminated").select(F.col("row_key").alias("_row_key")).distinct()
-        return keyed.join(bad, "_row_key", "left_anti").drop("_row_key")
+        bad = found.filter("contaminated").select(F.col("row_key").alias(name)).distinct()
+        return keyed.join(bad, name, "left_anti").drop(name)
     index = docs.sparkSession.sparkContext.broadcast(_Index(_table(windows.df), length))
     windows.drop()
     return docs.mapInArrow(lambda it: _flag_documents(it, index.value, length, gram), docs.schema)

@@ -8,17 +8,18 @@ penalty for changing language, labels every word; runs of one label are the span
 a whole text is the one with the most letters under its labels.
 
 The trigram model is fitted on about ``PER_LANGUAGE`` documents of each language (all, if there are
-fewer), those whose uniform hash lies below that share of its range; at most ``MAX_LANGUAGES`` languages are learned, the most frequent first. All texts
-are labelled whole.
+fewer), those whose uniform hash lies below that share of its range. Every language that occurs is
+learned; the model takes a quarter of a MB for each, whatever the size of the corpus, and the more
+there are the fewer texts are labelled at once. All texts are labelled whole.
 
-Edge cases: a null text, or one without a letter, is ``und`` with score 0 and has no spans; without
+Edge cases: a null text, or one without a letter (of Unicode's letter categories: digits, fractions and
+symbols are none), is ``und`` with score 0 and has no spans; without
 any language to learn every text is ``und``; ties go to the language first in code-point order;
 repeated rows are labelled alike; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,16 +30,24 @@ from pyspark.sql import functions as F
 from recollect.llm import textscan as ts
 from recollect.llm.staging import Staged
 
-PER_LANGUAGE, MAX_LANGUAGES = 1500, 200
+PER_LANGUAGE = 1500
 CELLS, SWITCH, SCRIPT_SHARE = 1 << 16, 8.0, 0.002
 BLOCK_BYTES = 3_000_000
 LETTERS = np.array([0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A or b >= 0x80 for b in range(256)])
-#: First code points of script ranges and a number for each script (fixed values of the Unicode block chart).
-RANGES = [(0x0000, 0), (0x0370, 1), (0x0400, 2), (0x0530, 3), (0x0590, 4), (0x0600, 5), (0x0700, 6), (0x0900, 7), (0x0980, 8), (0x0E00, 9), (0x0E80, 10), (0x10A0, 11), (0x1100, 12), (0x1200, 13),
-          (0x1E00, 0), (0x1F00, 1), (0x2000, 14), (0x3040, 15), (0x3100, 16), (0x3130, 12), (0x3190, 16), (0xA000, 14), (0xAC00, 12), (0xD7B0, 14), (0xF900, 16), (0xFB00, 14)]
+# --- Fixed values: first code points of ranges of the Unicode block chart, and a number for each script ---
+RANGES = [
+    (0x0000, 0), (0x0370, 1), (0x0400, 2), (0x0530, 3), (0x0590, 4), (0x0600, 5), (0x0700, 6), (0x0750, 5), (0x0780, 17), (0x07C0, 18), (0x0800, 19), (0x0860, 6),
+    (0x0870, 5), (0x0900, 7), (0x0980, 8), (0x0A00, 20), (0x0A80, 21), (0x0B00, 22), (0x0B80, 23), (0x0C00, 24), (0x0C80, 25), (0x0D00, 26), (0x0D80, 27), (0x0E00, 9),
+    (0x0E80, 10), (0x0F00, 28), (0x1000, 29), (0x10A0, 11), (0x1100, 12), (0x1200, 13), (0x13A0, 30), (0x1400, 31), (0x1680, 14), (0x1780, 32), (0x1800, 33), (0x18B0, 31),
+    (0x1900, 14), (0x1C80, 2), (0x1C90, 11), (0x1CC0, 14), (0x1D00, 0), (0x1DC0, 14), (0x1E00, 0), (0x1F00, 1), (0x2000, 14), (0x2C60, 0), (0x2C80, 14), (0x2D00, 11),
+    (0x2D30, 14), (0x2D80, 13), (0x2DE0, 2), (0x2E00, 14), (0x2E80, 16), (0x3000, 14), (0x3040, 15), (0x3100, 16), (0x3130, 12), (0x3190, 16), (0x31F0, 15), (0x3200, 14),
+    (0x3400, 16), (0xA000, 34), (0xA4D0, 14), (0xA640, 2), (0xA6A0, 14), (0xA720, 0), (0xA800, 14), (0xA960, 12), (0xA980, 14), (0xAA60, 29), (0xAA80, 14), (0xAB00, 13),
+    (0xAB30, 0), (0xAB70, 30), (0xABC0, 14), (0xAC00, 12), (0xD800, 14), (0xF900, 16), (0xFB00, 14), (0xFB50, 5), (0xFE00, 14), (0xFE70, 5), (0xFF00, 14), (0xFF66, 15),
+    (0xFFA0, 12), (0xFFE0, 14), (0x20000, 16), (0x323B0, 14),
+]
+# --- End of fixed values ---
 _FROM, _SCRIPT = np.array([r[0] for r in RANGES]), np.array([r[1] for r in RANGES])
 SCRIPTS = int(_SCRIPT.max()) + 1
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def _scripts(data: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -136,7 +145,7 @@ def _lettered(words: ts.Block, texts: pa.Array) -> np.ndarray:
     np.cumsum(LETTERS[words.data] & (words.data < 0x80), out=ascii_[1:])
     has = ascii_[words.offsets[1:]] > ascii_[words.offsets[:-1]]
     for r in np.flatnonzero(~has & (np.diff(words.first) > 0)):
-        has[r] = bool(_LETTER.search(texts[words.row0 + int(r)].as_py()))
+        has[r] = any(map(str.isalpha, texts[words.row0 + int(r)].as_py()))
     return has
 
 
@@ -163,7 +172,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, teaches: Column) -> Model | None:
     """A model from texts with a language of the documents for which ``teaches`` (on doc_id) holds."""
     known = docs.filter(teaches & F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("h", F.xxhash64("doc_id", F.lit(3)))
-    found = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    found = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not found:
         return None
     share = F.create_map(*(x for lang, n in found.items() for x in (F.lit(lang), F.lit(min(1.0, PER_LANGUAGE / n)))))
@@ -176,6 +185,11 @@ def train(docs: DataFrame, teaches: Column) -> Model | None:
     return Model(langs, table[:CELLS], table[CELLS:])
 
 
+def _block_bytes(model: Model | None) -> int:
+    """Bytes of text labelled at once: word scores of all languages are held."""
+    return max(1 << 16, BLOCK_BYTES * 8 // max(8, len(model.langs) if model else 0))
+
+
 def _labelled(words: ts.Block, model: Model, switch: float) -> tuple[np.ndarray, np.ndarray]:
     """Each word's label, and the letters (bytes) of each text under each label."""
     label = viterbi(_emissions(words, model), words.first, switch)
@@ -186,7 +200,7 @@ def _labelled(words: ts.Block, model: Model, switch: float) -> tuple[np.ndarray,
 
 def _predicted(batches: Iterator[pa.RecordBatch], model: Model | None, switch: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for words in ts.blocks(batch.column("text"), LETTERS, block_bytes=BLOCK_BYTES):
+        for words in ts.blocks(batch.column("text"), LETTERS, block_bytes=_block_bytes(model)):
             pred, score = ["und"] * words.rows, np.zeros(words.rows)
             if model:
                 _, letters = _labelled(words, model, switch)
@@ -204,7 +218,7 @@ def predict(docs: DataFrame, model: Model | None, switch: float = SWITCH) -> Dat
 
 def _spanned(batches: Iterator[pa.RecordBatch], model: Model, switch: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for words in ts.blocks(batch.column("text"), LETTERS, block_bytes=BLOCK_BYTES):
+        for words in ts.blocks(batch.column("text"), LETTERS, block_bytes=_block_bytes(model)):
             label, _ = _labelled(words, model, switch)
             has, out = _lettered(words, batch.column("text")), []
             for r in range(words.rows):

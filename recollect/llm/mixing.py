@@ -111,7 +111,7 @@ def mix_plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float
     """Per document: doc_id, row_key, size, source_size, target, taken, and pieces (at, words, times) of its blocks."""
     spark = docs.sparkSession
     sized = Staged(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.xxhash64("doc_id", "text").alias("row_key"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")),
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.xxhash64(F.col("doc_id").cast("long"), "text", "source").alias("row_key"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")),
         "mix-sizes",
     ).df
     found = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
@@ -180,8 +180,12 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: rows like docs whose texts are the words taken, one row for each pass over a document."""
     plan = mix_plan(docs, **options).filter("taken > 0").select(F.col("row_key").alias("_x_row"), F.col("pieces").alias("_x_pieces"))
     plan = plan.withColumn("_x_copy", F.row_number().over(Window.partitionBy("_x_row").orderBy("_x_pieces")))
-    keyed = docs.withColumn("_x_row", F.xxhash64(F.col("doc_id").cast("long"), "text"))
+    keyed = docs.withColumn("_x_row", F.xxhash64(F.col("doc_id").cast("long"), "text", "source"))
     first, more = plan.filter("_x_copy = 1").drop("_x_copy"), plan.filter("_x_copy > 1").drop("_x_copy")
-    one_each = keyed.dropDuplicates(["_x_row"])
-    joined = keyed.join(first, "_x_row") if more.isEmpty() else one_each.join(plan.drop("_x_copy"), "_x_row")
-    return joined.drop("_x_row").mapInArrow(lambda it, names=docs.columns: _cut(it, names), docs.schema)
+    if more.isEmpty():
+        joined = keyed.join(first, "_x_row").drop("_x_row")
+    else:  # rows of equal doc_id, text and source take the plans of these in the order of a hash of all columns
+        order = Window.partitionBy("_x_row").orderBy(F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
+        every = keyed.withColumn("_x_copy", F.row_number().over(order))
+        joined = every.join(plan, ["_x_row", "_x_copy"]).drop("_x_row", "_x_copy")
+    return joined.mapInArrow(lambda it, names=docs.columns: _cut(it, names), docs.schema)

@@ -12,7 +12,8 @@ and split further by the same procedure on their row number there; such shards a
 ``<prefix>+<prefix of the row number's hash>``.
 
 Edge cases: null keys hash as the empty string; null texts count no bytes; an empty table gives no
-rows; other columns are kept, whatever their names (names beginning with ``_x_`` are reserved).
+rows; other columns are kept, but for those named like the four results, which these replace (names
+beginning with ``_x_`` are reserved).
 """
 
 from __future__ import annotations

@@ -72,6 +72,20 @@ def test_mixing(docs, empty):
     assert mixed_documents(empty).count() == 0
 
 
+def test_mixing_keeps_repeated_rows_of_different_sources(spark):
+    """Rows of one id and text in two sources: each takes what its own row's plan says, and is written as itself."""
+    text = " ".join(f"w{k}" for k in range(640))
+    docs = spark.createDataFrame([(1, text, "a"), (1, text, "b"), (2, text, "a")], "doc_id long, text string, source string")
+    out = mixed_documents(docs)
+    words, plan = {}, {}
+    for r in out.collect():
+        words[r.doc_id, r.source] = words.get((r.doc_id, r.source), 0) + len(r.text.split())
+    for r in mix_plan(docs).collect():
+        plan[r.doc_id, "a" if r.source_size == 1280 else "b"] = r.taken
+    assert words == {k: n for k, n in plan.items() if n}
+    assert sorted(map(tuple, mixed_documents(docs).collect())) == sorted(map(tuple, out.collect()))
+
+
 def test_language(docs, empty):
     model = langid.train(docs, F.lit(True))
     got = {r.doc_id: r for r in langid.predict(docs, model).collect()}
@@ -83,6 +97,23 @@ def test_language(docs, empty):
     assert langid.predict(empty, model).count() == 0
 
 
+def test_texts_without_letters(spark, docs):
+    model = langid.train(docs, F.lit(True))
+    odd = spark.createDataFrame([(1, "½ ² ① 12"), (2, "—– 3 €"), (3, "½ ª"), (4, "日"), (5, "٣ ३")], "doc_id long, text string")
+    assert {r.doc_id for r in langid.predict(odd, model).collect() if r.lang_pred == "und"} == {1, 2, 5}
+    ties = spark.createDataFrame([(1, "same words", "b"), (2, "same words", "a"), (2, "same words", "a")], "doc_id long, text string, lang string")
+    assert {r.lang_pred for r in langid.predict(ties, langid.train(ties, F.lit(True))).collect()} == {"a"}
+
+
+def test_every_language_is_learned(spark):
+    """More languages than fit one block of scores at the usual size, each with words of its own."""
+    names = [f"l{i:03}" for i in range(260)]
+    rows = [(i, " ".join(f"{chr(97 + i // 26)}{chr(97 + i % 26)}q{chr(97 + k)}" for k in range(20)), n) for i, n in enumerate(names)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in langid.predict(docs, langid.train(docs, F.lit(True))).collect()}
+    assert got == {i: n for i, _, n in rows}
+
+
 def test_contamination_both_ways(docs, empty, bench):
     got, joined = (sorted(map(tuple, contamination(docs, bench, max_shipped=n).collect()), key=str) for n in (10**6, 0))
     assert got == joined and len(got) == len(ROWS)
