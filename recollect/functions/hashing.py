@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,6 +39,14 @@ def content_fp(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-def fingerprint(key: Column) -> Column:
-    """16 bytes of hash over a match key, for finding equal texts."""
-    return F.substring(F.sha2(F.concat(F.lit("fp").cast("binary"), F.unhex(F.lit("1F")), key.cast("binary")), 256), 1, 32)
+def hmac(key: bytes, text: Column) -> Column:
+    """HMAC-SHA-256 of a text, in hex, on the JVM."""
+    block = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner, outer = (F.unhex(F.lit(bytes(b ^ pad for b in block).hex())) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, text.cast("binary")), 256))), 256)
+
+
+def fingerprint(key: Column, secret: bytes | None = None) -> Column:
+    """16 bytes of hash over a match key, for finding equal texts; with a secret only its holders can make it."""
+    head = F.concat(F.lit("fp").cast("binary"), F.unhex(F.lit("1F")), key.cast("binary"))
+    return F.substring(F.sha2(head, 256) if secret is None else hmac(secret, head), 1, 32)

@@ -62,6 +62,12 @@ def external_spec(spec: str) -> tuple[str, int]:
     return name, int(dim)
 
 
+def external_specs(spec: Column) -> Column:
+    """``external_spec`` of a column: struct of name and dim, null in parts for what isn't one."""
+    parts = [F.regexp_extract(spec, r"^external:(.+)@0*([1-9][0-9]{0,8})$", k) for k in (1, 2)]
+    return F.struct(F.nullif(parts[0], F.lit("")).alias("name"), F.nullif(parts[1], F.lit("")).cast("int").alias("dim"))
+
+
 def late_score(total: Column, query_rows: Column) -> Column:
     """A late-interaction sum as a share in [0, 1]."""
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (total / query_rows + 1) / 2))

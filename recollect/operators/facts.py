@@ -58,6 +58,26 @@ def canonical(facts: DataFrame) -> DataFrame:
     return held.groupBy("canonical_key").agg(F.max_by(F.struct("id", "object"), F.struct("extracted_at", "id")).alias("h")).select("canonical_key", "h.id", "h.object")
 
 
+def declared(facts: DataFrame, new: DataFrame, at: str) -> DataFrame:
+    """Facts with new ones declared canonical and approved: any other open holder of their canonical key ends at ``at``."""
+    taking = new.groupBy("canonical_key").agg(F.max("id").alias("_keep"))
+    both = upserted(facts, new.withColumns({"authority_class": F.lit("canonical"), "review_state": F.lit("approved")}))
+    held = (F.col("authority_class") == "canonical") & (F.col("review_state") == "approved") & F.col("valid_to").isNull()
+    ends = held & F.col("_keep").isNotNull() & (F.col("id") != F.col("_keep"))
+    return both.join(taking, "canonical_key", "left").withColumn("valid_to", F.when(ends, F.lit(at)).otherwise(F.col("valid_to"))).drop("_keep")
+
+
+def entities(facts: DataFrame, limit: int, offset: int = 0) -> DataFrame:
+    """A page of the names that facts are about, in order, with how many facts have them as subject and as object."""
+    sides = facts.select(F.col("subject").alias("name"), F.lit(1).alias("s"), F.lit(0).alias("o")).union(facts.select("object", F.lit(0), F.lit(1)))
+    return sides.groupBy("name").agg(F.sum("s").alias("as_subject"), F.sum("o").alias("as_object")).orderBy("name").offset(offset).limit(limit)
+
+
+def exported(facts: DataFrame) -> DataFrame:
+    """(id, line): each fact as one JSON object, its columns in order of name."""
+    return facts.select("id", F.to_json(F.struct(*sorted(facts.columns))).alias("line"))
+
+
 def receipts(facts: DataFrame, records: DataFrame) -> DataFrame:
     """verdict of each fact: its source record's fingerprint against the one on its receipt (source_id, fp, tag_valid)."""
     now = records.select(F.col("id").alias("source_id"), F.col("fp").alias("now"), F.lit(True).alias("there"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import hmac
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,6 +21,12 @@ def record_totals(records: DataFrame) -> DataFrame:
     return records.filter(F.col("wing") != QUARANTINE).agg(F.count("*").alias("records"), F.countDistinct("wing").alias("wings"), F.countDistinct("wing", "room").alias("rooms"))
 
 
+def totals(records: DataFrame, tunnels: DataFrame, audit: DataFrame, facts: DataFrame) -> DataFrame:
+    """One row: record totals, tunnels, writes in the audit, and facts by whether they are open."""
+    one = record_totals(records).crossJoin(tunnels.agg(F.count("*").alias("tunnels"))).crossJoin(audit.agg(F.count("*").alias("writes")))
+    return one.crossJoin(facts.agg(F.count("*").alias("facts"), F.count_if(F.col("valid_to").isNull()).alias("open_facts")))  # one row each
+
+
 def duplicate_groups(records: DataFrame) -> DataFrame:
     """Fingerprints that more than one record outside quarantine has."""
     return records.filter(F.col("wing") != QUARANTINE).groupBy("fp").agg(F.count("*").alias("n"), F.min("id").alias("keeps")).filter("n > 1")
@@ -74,6 +81,42 @@ def allowed(records: DataFrame, ids: Column) -> DataFrame:
     })
 
 
+def pending(records: DataFrame) -> DataFrame:
+    """Quarantined records that wait for a decision: id, aim, signals."""
+    return records.filter(F.col("wing") == QUARANTINE).select("id", "intended_wing", "intended_room", "signals")
+
+
+def denied(records: DataFrame, ids: Column) -> tuple[DataFrame, DataFrame]:
+    """Records without the quarantined ones that were looked at and refused, and tombstones (id) of these; others can't be denied."""
+    gone = ids & (F.col("wing") == QUARANTINE)
+    return records.filter(~F.coalesce(gone, F.lit(False))), records.filter(gone).select("id")
+
+
+def read_audit(hits: DataFrame, actor: str, at: Column) -> DataFrame:
+    """A row (record_id, action, actor, at) for each record whose content a read returned."""
+    return hits.select(F.col("id").cast("string").alias("record_id"), F.lit("read").alias("action"), F.lit(actor).alias("actor"), at.alias("at")).distinct()
+
+
+def tagged(rows: DataFrame, key: bytes, *parts: str) -> DataFrame:
+    """Rows with the tag of some columns under a key."""
+    return rows.withColumn("tag", H.hmac(key, F.concat_ws("\u001f", *(F.coalesce(F.col(p).cast("string"), F.lit("")) for p in parts))))
+
+
+def retagged(rows: DataFrame, old: bytes, new: bytes, *parts: str) -> tuple[DataFrame, DataFrame]:
+    """(rows under the new key, rows whose tag the old key doesn't hold): a forged row is never given a fresh tag."""
+    had = tagged(rows.withColumnRenamed("tag", "_had"), old, *parts)
+    return tagged(had.filter("_had = tag").drop("_had"), new, *parts), had.filter("not _had <=> tag").drop("tag").withColumnRenamed("_had", "tag")
+
+
+def verified_all(parts: dict[str, tuple[DataFrame, tuple[str, ...]]], key: bytes, audit: DataFrame, heads: DataFrame) -> DataFrame:
+    """(part, checked, faults): the tags of each part's rows, and the audit's chains against their stored heads."""
+    out = heads.agg(F.count("*").alias("checked")).crossJoin(verified(audit, heads).agg(F.count("*").alias("faults"))).select(F.lit("chain").alias("part"), "checked", "faults")
+    for name, (rows, columns) in parts.items():
+        again = tagged(rows.withColumnRenamed("tag", "_had"), key, *columns)
+        out = out.unionByName(again.agg(F.count("*").alias("checked"), F.count_if(~F.col("_had").eqNullSafe(F.col("tag"))).alias("faults")).select(F.lit(name).alias("part"), "checked", "faults"))
+    return out
+
+
 def history(audit: DataFrame, subject: str, fenced: list[str] = ()) -> DataFrame:
     """Audit rows of a subject: its id, or a path that begins or ends with it, outside fenced name spaces."""
     hit = (F.col("record_id") == subject) | F.endswith(F.col("record_id"), F.lit("/" + subject)) | F.startswith(F.col("record_id"), F.lit(subject + "/"))
@@ -82,43 +125,29 @@ def history(audit: DataFrame, subject: str, fenced: list[str] = ()) -> DataFrame
     return audit.filter(hit)
 
 
-def _chained(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        pdf = pdf.sort_values(["chain", "seq"])
-        for chain, part in pdf.groupby("chain", sort=False):
-            head, heads = "", []
-            for tag in part["tag"]:
-                head = hashlib.sha256((head + "\x1f" + tag).encode()).hexdigest()
-                heads.append(head)
-            yield pd.DataFrame({"chain": chain, "seq": part["seq"].to_numpy(), "head": heads})
-
-
-def _carried(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _carried(batches: Iterator[pd.DataFrame], key: bytes | None = None) -> Iterator[pd.DataFrame]:
     """Heads of rows sorted by chain and seq; the head goes on from batch to batch."""
     at, head = None, ""
     for pdf in batches:
         heads = []
         for chain, tag in zip(pdf["chain"], pdf["tag"], strict=True):
-            head = hashlib.sha256(((head if chain == at else "") + "\x1f" + tag).encode()).hexdigest()
+            step = ((head if chain == at else "") + "\x1f" + tag).encode()
+            head = hashlib.sha256(step).hexdigest() if key is None else hmac.new(key, step, "sha256").hexdigest()
             at = chain
             heads.append(head)
         yield pd.DataFrame({"chain": pdf["chain"], "seq": pdf["seq"], "head": heads})
 
 
-def chain_heads(audit: DataFrame, segment: int | None = None) -> DataFrame:
-    """(chain, seq, head) of audit rows (chain, seq, tag): a fold in order of seq, the chain named with '/0'. A chain is
-    sorted and streamed through the fold, so a task holds one batch of it, whatever its length. With ``segment``, chains
-    are folded in segments of seq instead, each a chain of its own that is named with the segment's number."""
-    part = F.lit("0") if segment is None else F.expr(f"seq div {segment}").cast("string")
-    cut = audit.select(F.concat_ws("/", F.col("chain").cast("string"), part).alias("chain"), "seq", "tag")
-    if segment is None:
-        return cut.repartition("chain").sortWithinPartitions("chain", "seq").mapInPandas(_carried, "chain string, seq long, head string")
-    return cut.groupBy("chain").applyInPandas(lambda pdf: next(_chained(iter([pdf]))), "chain string, seq long, head string")
+def chain_heads(audit: DataFrame, key: bytes | None = None) -> DataFrame:
+    """(chain, seq, head) of audit rows (chain, seq, tag): a fold in order of seq, under a key if one is given. A chain is
+    sorted and streamed through the fold, so a task holds one batch of it, whatever its length; a fold can't be split."""
+    rows = audit.select(F.col("chain").cast("string").alias("chain"), "seq", "tag")
+    return rows.repartition("chain").sortWithinPartitions("chain", "seq").mapInPandas(lambda it: _carried(it, key), "chain string, seq long, head string")
 
 
-def verified(audit: DataFrame, heads: DataFrame, segment: int | None = None) -> DataFrame:
+def verified(audit: DataFrame, heads: DataFrame, key: bytes | None = None) -> DataFrame:
     """Rows whose recomputed head differs from the stored one."""
-    again = chain_heads(audit, segment).withColumnRenamed("head", "now")
+    again = chain_heads(audit, key).withColumnRenamed("head", "now")
     return heads.join(again, ["chain", "seq"], "full").filter(~F.col("head").eqNullSafe(F.col("now")))
 
 

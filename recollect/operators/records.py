@@ -52,3 +52,22 @@ def swept(messages: DataFrame, stored: DataFrame) -> DataFrame:
 def located(chunk: Column, body: Column) -> Column:
     """Byte span of a chunk in its body."""
     return X.locate(chunk, body)
+
+
+def located_chunks(rows: DataFrame) -> DataFrame:
+    """(source, chunk_index, s, e) of the paragraphs of chunks (source, chunk_index, body, content) in their body, in
+    bytes: each source's chunks are looked for in order, on from where the last began, so a repeated paragraph is found
+    where its chunk is. A source is one document's chunks."""
+
+    def locate(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("chunk_index")
+        body, cursor, out = pdf["body"].iloc[0].encode(), 0, []
+        for index, content in zip(pdf["chunk_index"], pdf["content"], strict=True):
+            for piece in filter(None, (p.strip().encode() for p in content.split("\n\n"))):
+                at = body.find(piece, cursor)
+                if at >= 0:
+                    out.append((pdf["source"].iloc[0], index, at, at + len(piece)))
+                    cursor = at
+        return pd.DataFrame(out, columns=["source", "chunk_index", "s", "e"])
+
+    return rows.groupBy("source").applyInPandas(locate, "source string, chunk_index long, s long, e long")

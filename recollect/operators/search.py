@@ -63,6 +63,11 @@ def effective_floor(requested: str | None, vault: str | None, wing: str | None)
     return requested or (vault if vault and wing is None else None) or "quarantined"
 
 
+def floor_of(requested: Column, vault: Column, wing: Column) -> Column:
+    """``effective_floor`` of columns."""
+    return F.coalesce(requested, F.when(wing.isNull(), vault), F.lit("quarantined"))
+
+
 def _occurrences(tokens: Column, term: str) -> Column:
     return F.size(F.filter(tokens, lambda t: t == term))
 
@@ -113,6 +118,20 @@ def pool_size(live: int, scoped: int | None = None) -> tuple[int, int]:
     return max(live // 64, 1), max(live // 512, 1)
 
 
+def pool_columns(live: Column, scoped: Column) -> tuple[Column, Column]:
+    """``pool_size`` of columns; scoped is null where nothing narrows the scope."""
+    first = F.when(scoped.isNotNull(), F.least(scoped, F.lit(2048))).otherwise(F.greatest((live / 64).cast("long"), F.lit(1)))
+    return first, F.when(scoped.isNotNull(), F.least(scoped, F.lit(1024))).otherwise(F.greatest((live / 512).cast("long"), F.lit(1)))
+
+
+def remote(index, records: DataFrame, vector: list[float], limit: int) -> DataFrame:
+    """Hits (id, score, rank): candidates of an external index, four for each hit and 20 at least, ranked again by the
+    records' own vectors (id, embedding)."""
+    probe = F.array(*(F.lit(float(x)) for x in vector))
+    near = index.query(vector, max(4 * limit, 20)).select("id")
+    return top(records.join(F.broadcast(near), "id").select("id", V.semantic(V.cosine(F.col("embedding"), probe)).alias("score")), "score", limit)  # the candidates are bounded
+
+
 def squash(score: Column) -> Column:
     """[0, inf) to [0, 1)."""
     return score / (score + 1)

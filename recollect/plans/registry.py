@@ -35,4 +35,4 @@ def q_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.groupBy(F.col("lang").alias("wing"), F.col("source").alias("room")).agg(F.count("*").alias("n"))
 
 
-from recollect.plans import fact_queries, search_queries, steward_queries, stream_queries, text_queries, time_queries  # noqa: E402, F401
+from recollect.plans import fact_queries, search_queries, service_queries, steward_queries, stream_queries, text_queries, time_queries  # noqa: E402, F401

@@ -188,11 +188,11 @@ def q_token_f1(spark, sf_dir):
     return b.join(after, "item_id").select("item_id", X.token_f1(F.col("t"), F.col("next")).alias("f1"))
 
 
-@query("""SELECT event_id, [replace(props, ': ', ':'), '{"type":"' || event_type || '"}'] AS objects FROM events WHERE event_id % 10 = 0""")
+@query("""SELECT event_id, [replace(props, ': ', ':'), '{"type":"' || event_type || '"}'] AS objects FROM events""")
 def q_lenient_json(spark, sf_dir):
     """Objects saved from fenced, chatty or cut-off model output built from events."""
-    e = table(spark, sf_dir, "events").filter("event_id % 10 = 0")
-    output = F.concat(F.lit("Sure:\n```json\n["), F.col("props"), F.lit(', {"type": "'), F.col("event_type"), F.when(F.col("event_id") % 20 == 0, '"}]\n```').otherwise('"}, {"cut": '))
+    e = table(spark, sf_dir, "events")
+    output = F.concat(F.lit("Sure:\n```json\n["), F.col("props"), F.lit(', {"type": "'), F.col("event_type"), F.when(F.col("event_id") % 2 == 0, '"}]\n```').otherwise('"}, {"cut": '))
     return e.select("event_id", X.lenient_objects(output).alias("objects"))
 
 

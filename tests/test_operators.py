@@ -96,10 +96,12 @@ def test_external_vectors_are_checked(spark):
 
 def test_chain_detects_a_change(spark):
     a = spark.createDataFrame([("c", i, f"t{i}") for i in range(30)], "chain string, seq long, tag string")
-    heads = G.chain_heads(a, 10)
-    assert G.verified(a, heads, 10).count() == 0
-    forged = a.withColumn("tag", F.when(F.col("seq") == 15, "x").otherwise(F.col("tag")))
-    assert sorted(r.seq for r in G.verified(forged, heads, 10).collect()) == [15, 16, 17, 18, 19]
+    for key in (None, b"key"):
+        heads = G.chain_heads(a, key)
+        assert G.verified(a, heads, key).count() == 0
+        forged = a.withColumn("tag", F.when(F.col("seq") == 15, "x").otherwise(F.col("tag")))
+        assert sorted(r.seq for r in G.verified(forged, heads, key).collect()) == list(range(15, 30))
+        assert G.verified(a.filter("seq < 10 or seq >= 20"), heads, key).count() == 20  # a whole stretch taken out
 
 
 def test_long_chain_is_one_fold(spark):
@@ -108,8 +110,8 @@ def test_long_chain_is_one_fold(spark):
     for i in range(20_050):
         want[i] = head = hashlib.sha256(f"{head}\x1ft{i}".encode()).hexdigest()
     heads = G.chain_heads(a.unionByName(a.filter("seq < 3").withColumn("chain", F.lit("b"))))
-    assert {r.seq: r.head for r in heads.filter("chain = 'c/0'").collect()} == want
-    assert {r.seq: r.head for r in heads.filter("chain = 'b/0'").collect()} == {i: want[i] for i in range(3)}
+    assert {r.seq: r.head for r in heads.filter("chain = 'c'").collect()} == want
+    assert {r.seq: r.head for r in heads.filter("chain = 'b'").collect()} == {i: want[i] for i in range(3)}
 
 
 def test_snapshots(spark):
