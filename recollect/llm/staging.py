@@ -9,27 +9,11 @@ folder of our own, which only a session on one machine gets, goes with the proce
 
 from __future__ import annotations
 
-import atexit
-import re
-import shutil
-import tempfile
 import threading
-import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; where none is set, a folder of this machine, but never on a cluster."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        own = tempfile.mkdtemp(prefix="recollect-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        named = "file://" + own
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
+from recollect.sources import work as W
 
 
 _scratch = threading.local()
@@ -61,13 +45,11 @@ class Staged:
 
     def __init__(self, df: DataFrame, label: str):
         self._spark = df.sparkSession
-        self.path = f"{shared_dir(self._spark)}/recollect/{label}-{uuid.uuid4().hex}"
+        self.path = W.fresh(self._spark, label)
         df.write.parquet(self.path)
         self.df = self._spark.read.schema(df.schema).parquet(self.path)
         if getattr(_scratch, "open", None):
             _scratch.open[-1]._held.append(self)
 
     def drop(self) -> None:
-        jvm, conf = self._spark._jvm, self._spark._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(conf).delete(path, True)
+        W.remove(self._spark, self.path)
