@@ -269,16 +269,16 @@ def q_external_spec(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select("s_suppkey", V.external_specs(spec).alias("x")).select("s_suppkey", "x.name", "x.dim")
 
 
-@query("SELECT doc_id, CAST(0 AS BIGINT) AS lost, true AS covered FROM documents WHERE trim(text) <> ''")
+@query("SELECT doc_id, CAST(0 AS BIGINT) AS lost, true AS inside FROM documents WHERE trim(text) <> ''")
 def q_locate_chunks(spark, sf_dir):
-    """Every paragraph of every chunk found in its text: none lost, and the spans within the text in order of their chunks."""
+    """Every paragraph of every chunk found in its text: none lost, the first at its start and all inside."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("source"), F.regexp_replace("text", r"^\s+|\s+$", "").alias("body")).filter("body <> ''")
     c = d.select("source", "body", F.posexplode(X.chunks(F.col("body"))).alias("chunk_index", "content"))
     c = c.withColumn("chunk_index", F.col("chunk_index").cast("long"))
     found = R.located_chunks(c).groupBy("source").agg(F.count("*").alias("n"), F.max("e").alias("end"), F.min("s").alias("start"))
     pieces = c.select("source", F.explode(F.filter(F.split("content", "\n\n"), lambda p: F.trim(p) != "")).alias("p")).groupBy("source").agg(F.count("*").alias("pieces"))
     joined = d.select("source", F.octet_length("body").alias("size")).join(found, "source").join(pieces, "source")
-    return joined.select(F.col("source").cast("long").alias("doc_id"), (F.col("pieces") - F.col("n")).alias("lost"), ((F.col("start") == 0) & (F.col("end") == F.col("size"))).alias("covered"))
+    return joined.select(F.col("source").cast("long").alias("doc_id"), (F.col("pieces") - F.col("n")).alias("lost"), ((F.col("start") == 0) & (F.col("end") <= F.col("size"))).alias("inside"))
 
 
 @query(f"SELECT user_id AS chain, CAST(event_id AS BIGINT) AS seq, {_hmac_sql("unhex('1F') || encode(sha256(CAST(event_id AS VARCHAR)))")} AS head FROM (SELECT user_id, min(event_id) AS event_id FROM events GROUP BY user_id)")
