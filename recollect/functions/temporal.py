@@ -204,6 +204,10 @@ _TOKEN = re.compile(r"[\w\u0300-\u036F\u0640\u0E00-\u0E7F]+(?:[-/.][\w\u0640\u0E
 _NUMERIC = re.compile(r"(\d+)[-/.](\d+)[-/.](\d+)$")
 
 
+#: Words that an English mention without digits begins with.
+EN_BEGINNINGS = {*MONTHS, *COUNTS, "yesterday", "today", "tonight", "tomorrow", "last", "this", "next"}
+
+
 class Scanner:
     """Date mentions of one text: (text, kind, resolved, resolved_end, byte offset)."""
 
@@ -212,6 +216,7 @@ class Scanner:
         self.start = WEEK_STARTS[locale.week_start]
         self.tokens = [(m.start(), m.end(), m.group()) for m in _TOKEN.finditer(text)]
         self.low = [t[2].lower() for t in self.tokens]
+        self.digits = [not w.isalpha() and any(map(str.isdigit, w)) for w in self.low]
         self.order = locale.date_order or self._demonstrated() or "day_first"
 
     def _fields(self, word: str) -> tuple[int, int, int] | None:
@@ -221,8 +226,8 @@ class Scanner:
 
     def _demonstrated(self) -> str | None:
         seen = set()
-        for word in self.low:
-            f = self._fields(word)
+        for word, digits in zip(self.low, self.digits, strict=True):
+            f = self._fields(word) if digits else None
             if f and 12 < f[0] <= 31 and 1 <= f[1] <= 12:
                 seen.add("day_first")
             elif f and 12 < f[1] <= 31 and 1 <= f[0] <= 12:
@@ -342,9 +347,13 @@ class Scanner:
 
     def mentions(self) -> list[tuple]:
         out, i = [], 0
-        scan = self._arabic if self.locale.language == "ar" else self._english
+        arabic = self.locale.language == "ar"
+        scan = self._arabic if arabic else self._english
         while i < len(self.tokens):
-            number = self._numeric(i)
+            if not (arabic or self.digits[i] or self.low[i] in EN_BEGINNINGS):
+                i += 1
+                continue
+            number = self._numeric(i) if self.digits[i] else None
             found = (number[0], number[1], "absolute", number[2]) if number else scan(i)
             if not found:
                 i += 1
@@ -360,13 +369,17 @@ class Scanner:
 MENTION = T.ArrayType(T.StructType([T.StructField(n, t) for n, t in (("text", T.StringType()), ("kind", T.StringType()), ("resolved", T.StringType()), ("resolved_end", T.StringType()), ("offset", T.LongType()))]))
 
 
+def found_mentions(text: str, day: dt.date | None, locale: Locale) -> list[dict]:
+    """The date mentions of one text."""
+    return [dict(zip(("text", "kind", "resolved", "resolved_end", "offset"), m, strict=True)) for m in Scanner(text, day, locale).mentions()]
+
+
 def mentions(locale: Locale = Locale()):
     """An Arrow UDF of (text, anchor date): the text's date mentions under a locale."""
 
     @F.pandas_udf(MENTION)
     def scan(text: pd.Series, day: pd.Series) -> pd.Series:
-        rows = zip(text, day, strict=True)
-        return pd.Series([[dict(zip(("text", "kind", "resolved", "resolved_end", "offset"), m, strict=True)) for m in Scanner(t, d if isinstance(d, dt.date) else None, locale).mentions()] if isinstance(t, str) else [] for t, d in rows])
+        return pd.Series([found_mentions(t, d if isinstance(d, dt.date) else None, locale) if isinstance(t, str) else [] for t, d in zip(text, day, strict=True)])
 
     return scan
 

@@ -83,6 +83,14 @@ def _fold_lines(text: str) -> str:
     return "\n".join(out).strip("\n")
 
 
+CODE_EDGES = re.compile(r"\A\n+|\n+\Z")
+
+
+def tidied(text: str) -> str:
+    """A safe text as prose: line by line, or right-trimmed where it is one line."""
+    return _fold_lines(text) if "\n" in text else text.rstrip(" \t\n\x0b\f\r")
+
+
 @F.pandas_udf(T.StringType())
 def _prose(text: pd.Series) -> pd.Series:
     return text.map(_fold_lines, na_action="ignore")
@@ -128,11 +136,13 @@ def _family(c: str) -> str:
     return next((s for s in ("LATIN", "GREEK", "CYRILLIC") if name.startswith(s)), "")
 
 
-def fold_key(text: str) -> str:
-    """The search form of a text: compatibility letters expanded, lower case, Latin and Greek without diacritics, letter variants joined."""
-    if text.isascii():
-        return text.lower()
-    text = unicodedata.normalize("NFC", text)
+#: Characters whose form depends on their neighbours: combining marks, letters that lower-case by context, compatibility forms.
+_NEIGHBOURLY = re.compile("[\u0300-\u036fΣİﭐ-﷿ﹰ-\ufeff！-ￜ]")
+_DIGITS = {**{chr(0x660 + d): str(d) for d in range(10)}, **{chr(0x6F0 + d): str(d) for d in range(10)}}
+
+
+def _fold(text: str) -> str:
+    """fold_key of any text in its composed form, character by character."""
     wide = []
     for c in text:
         form = unicodedata.normalize("NFKC", c) if "ﭐ" <= c <= "﷿" or "ﹰ" <= c <= "﻿" or "！" <= c <= "ￜ" else c
@@ -146,8 +156,26 @@ def fold_key(text: str) -> str:
             out.extend(x for x in base if not _is_mark(x))
         else:
             out.append(c)
-    digits = {**{chr(0x660 + d): str(d) for d in range(10)}, **{chr(0x6F0 + d): str(d) for d in range(10)}}
-    return "".join(LETTERS.get(c) or digits.get(c) or c for c in out)
+    return "".join(LETTERS.get(c) or _DIGITS.get(c) or c for c in out)
+
+
+class _Folded(dict):
+    """The folded form of each character, made when it is first asked for."""
+
+    def __missing__(self, code: int) -> str:
+        self[code] = _fold(chr(code))
+        return self[code]
+
+
+_FOLDED = _Folded()
+
+
+def fold_key(text: str) -> str:
+    """The search form of a text: compatibility letters expanded, lower case, Latin and Greek without diacritics, letter variants joined."""
+    if text.isascii():
+        return text.lower()
+    text = unicodedata.normalize("NFC", text)
+    return _fold(text) if _NEIGHBOURLY.search(text) else text.translate(_FOLDED)
 
 
 @F.pandas_udf(T.StringType())
@@ -180,6 +208,9 @@ def _script(c: str) -> str:
 
 
 _ASCII_WORDS = re.compile("[A-Za-z0-9]+")
+_WORDS = re.compile(r"[^\W_]+")
+#: Characters of scripts whose words attach to one another, and marks that join a word.
+_ATTACHED = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for _, a, b in ATTACHING) + "".join(chr(c) for c in range(0x300, 0x20000) if unicodedata.combining(chr(c)) in (7, 9)) + "]")
 
 
 def segment_text(text: str) -> tuple[list[str], list[bool], int]:
@@ -187,6 +218,9 @@ def segment_text(text: str) -> tuple[list[str], list[bool], int]:
     if text.isascii():
         words = _ASCII_WORDS.findall(text)
         return words, [False] * len(words), len(words)
+    if not _ATTACHED.search(text):
+        words = _WORDS.findall(text)
+        return words, [False] * len(words), len(words)
     tokens: list[str] = []
     fragment: list[bool] = []
     length, run = 0, ""
@@ -310,7 +344,7 @@ def find_entities(text: str) -> list[str]:
         run: list[str] = []
         begun = 0
         for i, raw in enumerate([*sentence.split(), ""]):
-            word = _WORD_CHARS.sub("", raw)
+            word = "" if raw.islower() else _WORD_CHARS.sub("", raw)
             if word[:1].isupper() and any(c.islower() for c in word[1:]) and word.lower() not in ENTITY_STOPWORDS:
                 begun = i if not run else begun
                 run.append(word)

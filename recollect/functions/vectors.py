@@ -100,16 +100,9 @@ _slots: dict[str, tuple[int, float]] = {}
 def hash_embed(text: str) -> np.ndarray:
     """Signed counts of hashed words, word pairs and, in words of more than three characters, trigrams; unit length."""
     tokens = segment_text(fold_key(text))[0]
-    features = [f"u:{w}" for w in tokens] + [f"b:{a} {b}" for a, b in zip(tokens, tokens[1:], strict=False)]
-    features += [f"t:{w[i : i + 3]}" for w in tokens if len(w) > 3 for i in range(len(w) - 2)]
-    out = np.zeros(DIM)
-    for f in features:
-        if f not in _slots:
-            if len(_slots) > 200_000:
-                _slots.clear()
-            _slots[f] = _slot(f)
-        at, sign = _slots[f]
-        out[at] += sign
+    codes = [_token_features(t) for t in tokens] + [np.fromiter(map(_pair_feature, zip(tokens, tokens[1:], strict=False)), np.int64, max(len(tokens) - 1, 0))]
+    n = np.bincount(np.concatenate(codes), minlength=2 * DIM)
+    out = (n[::2] - n[1::2]).astype(float)
     size = np.sqrt((out * out).sum())
     return out / size if size else out
 
@@ -120,6 +113,9 @@ def embed(text: pd.Series) -> pd.Series:
     return text.map(lambda t: hash_embed(t or "").tolist())
 
 
+_BLANKLESS = re.compile(r"\S+")
+
+
 def _signed(feature: str) -> int:
     """A feature's slot, doubled, plus one where its sign is negative; remembered."""
     if feature not in _slots:
@@ -130,32 +126,70 @@ def _signed(feature: str) -> int:
     return 2 * at + (sign < 0)
 
 
+_tokens: dict[str, np.ndarray] = {}
+_words: dict[str, tuple[list[str], np.ndarray]] = {}
+_pairs: dict[tuple[str, str], int] = {}
+
+
+def _token_features(token: str) -> np.ndarray:
+    """The features of a token by itself; remembered."""
+    if token not in _tokens:
+        if len(_tokens) > 200_000:
+            _tokens.clear()
+        own = [f"u:{token}"] + ([f"t:{token[j : j + 3]}" for j in range(len(token) - 2)] if len(token) > 3 else [])
+        _tokens[token] = np.array([_signed(f) for f in own], np.int64)
+    return _tokens[token]
+
+
+def _word_features(word: str) -> tuple[list[str], np.ndarray]:
+    """The tokens of a word of a text and the features that lie within it; remembered."""
+    if word not in _words:
+        if len(_words) > 200_000:
+            _words.clear()
+        tokens = segment_text(fold_key(word))[0]
+        pairs = [_pair_feature(p) for p in zip(tokens, tokens[1:], strict=False)]
+        _words[word] = tokens, np.concatenate([np.array(pairs, np.int64), *map(_token_features, tokens)])
+    return _words[word]
+
+
+def _pair_feature(pair: tuple[str, str]) -> int:
+    if pair not in _pairs:
+        if len(_pairs) > 500_000:
+            _pairs.clear()
+        at, sign = _slot(f"b:{pair[0]} {pair[1]}")
+        _pairs[pair] = 2 * at + (sign < 0)
+    return _pairs[pair]
+
+
 def window_scores(text: str, known: np.ndarray) -> list[tuple[int, float]]:
     """(character offset, best cosine with the known vectors) of each window of words; every word's features are made once."""
-    words = [(m.start(), m.group()) for m in re.finditer(r"\S+", text)]
-    tokens, owner = [], []
+    words = [(m.start(), m.group()) for m in _BLANKLESS.finditer(text)]
+    inside, between, where, before = [], [], [], None
     for i, (_, word) in enumerate(words):
-        own = segment_text(fold_key(word))[0]
-        tokens += own
-        owner += [i] * len(own)
-    features, at = [], []
-    for k, (token, i) in enumerate(zip(tokens, owner, strict=True)):
-        mine = [f"u:{token}"] + ([f"t:{token[j : j + 3]}" for j in range(len(token) - 2)] if len(token) > 3 else [])
-        features += [_signed(f) for f in mine]
-        at += [(i, i)] * len(mine)
-        if k:
-            features.append(_signed(f"b:{tokens[k - 1]} {token}"))
-            at.append((owner[k - 1], i))
-    slots, span = np.array(features, np.int64), np.array(at, np.int64).reshape(-1, 2)
+        tokens, codes = _word_features(word)
+        inside.append(codes)
+        if tokens:
+            if before:
+                between.append(_pair_feature((before[0], tokens[0])))
+                where.append((before[1], i))
+            before = tokens[-1], i
+    index = np.repeat(np.arange(len(words)), [len(c) for c in inside])
+    across = np.array(where, np.int64).reshape(-1, 2)
+    slots = np.concatenate([*inside, np.array(between, np.int64)]) if words else np.zeros(0, np.int64)
+    span = np.concatenate([np.stack([index, index], 1), across])
+    order = np.argsort(span[:, 1], kind="stable")
+    slots, span = slots[order], span[order]
+    starts = range(0, max(len(words) - FIXTURE_WORDS, 0) + FIXTURE_STRIDE, FIXTURE_STRIDE) if words else range(0)
+    low, high = np.searchsorted(span[:, 1], starts), np.searchsorted(span[:, 1], np.array(starts, np.int64) + FIXTURE_WORDS)  # last words rise
     out = []
-    for w in range(0, len(words), FIXTURE_STRIDE):
-        inside = (span[:, 0] >= w) & (span[:, 1] < w + FIXTURE_WORDS)
-        n = np.bincount(slots[inside], minlength=2 * DIM)
-        v = (n[::2] - n[1::2]).astype(float)
-        size = np.sqrt(v @ v)
-        out.append((words[w][0], float((known @ v).max() / size) if size else 0.0))
-        if w + FIXTURE_WORDS >= len(words):
-            break
+    for k in range(0, len(starts), 512):
+        v = np.zeros((len(starts[k : k + 512]), DIM))
+        for row, w in enumerate(starts[k : k + 512]):
+            part = slice(low[k + row], high[k + row])
+            n = np.bincount(slots[part][span[part, 0] >= w], minlength=2 * DIM)
+            v[row] = n[::2] - n[1::2]
+        size, best = np.sqrt((v * v).sum(1)), (v @ known.T).max(1)
+        out += [(words[w][0], float(b / s) if s else 0.0) for w, b, s in zip(starts[k : k + 512], best, size, strict=True)]
     return out
 
 
@@ -234,6 +268,11 @@ class ProductQuantizer:
         tables = [((b - q) ** 2).sum(1) for q, b in zip(np.split(self.unit(query[None])[0], self.m), self.books, strict=True)]
         return sum(t[codes[:, i]] for i, t in enumerate(tables))
 
+    def products(self, query: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Inner products with what the codes decode to, from one lookup table for each sub-vector."""
+        tables = [b @ q for q, b in zip(np.split(self.unit(query[None])[0], self.m), self.books, strict=True)]
+        return sum(t[codes[:, i]] for i, t in enumerate(tables))
+
     def error(self, x: np.ndarray) -> float:
         """Mean squared distance from vectors to what their codes decode to."""
         return float(((self.unit(x) - self.decode(self.encode(x))) ** 2).sum(1).mean())
@@ -242,7 +281,7 @@ class ProductQuantizer:
 class FixedEncoder:
     """Fixed-dimensional encodings of token matrices: random hyperplanes bucket the rows, buckets are projected and laid side by side."""
 
-    def __init__(self, dim: int, reps: int = 8, bits: int = 4, width: int = 16, seed: int = 0x6D75766572612E31):
+    def __init__(self, dim: int, reps: int = 8, bits: int = 4, width: int = 16, seed: int = 20):
         rng = np.random.default_rng([seed, dim])
         self.planes = rng.normal(size=(reps, bits, dim))
         self.project = None if width >= dim else rng.choice([-1.0, 1.0], size=(reps, width, dim)) / np.sqrt(width)

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -36,6 +38,9 @@ class SearchOptions:
     vector: tuple[float, ...] | None = None
     semantic_weight: float = 0.6
     gate: float = V.GATE
+    #: A Column over the records' columns that orders the first ``rerank_depth`` hits anew, highest first.
+    rerank: Column | None = None
+    rerank_depth: int = 20
 
 
 def in_scope(rows: DataFrame, wing: str | None = None, room: str | None = None, kind: str | None = None) -> DataFrame:
@@ -124,6 +129,62 @@ def pool_columns(live: Column, scoped: Column) -> tuple[Column, Column]:
     return first, F.when(scoped.isNotNull(), F.least(scoped, F.lit(1024))).otherwise(F.greatest((live / 512).cast("long"), F.lit(1)))
 
 
+def refreshing(new: DataFrame, old: DataFrame, least: float, page: int = 4096) -> DataFrame:
+    """(id, refreshes, score) of new records (id, wing, room, embedding of unit length) that an old one of their wing and
+    room is like, at least ``least``; the nearest, ties by least id. Rooms are compared page by page: a page of old
+    records meets the page of new ones in one task, as a product of matrices."""
+    counts = new.select("wing", "room", F.lit(1).alias("n"), F.lit(0).alias("o")).union(old.select("wing", "room", F.lit(0), F.lit(1))).groupBy(F.col("wing").alias("w"), F.col("room").alias("r"))
+    sizes = counts.agg(F.ceil(F.sum("n") / page).cast("int").alias("mine"), F.ceil(F.sum("o") / page).cast("int").alias("theirs")).filter("mine > 0 and theirs > 0").toDF("wing", "room", "mine", "theirs")
+    deal = lambda rows, own: rows.join(sizes, ["wing", "room"]).withColumn("p", F.pmod(F.xxhash64("id"), F.col(own)).cast("int"))
+    one = deal(new, "mine").withColumn("q", F.explode(F.sequence(F.lit(0), F.col("theirs") - 1))).select("wing", "room", "p", "q", F.col("id").cast("long").alias("id"), "embedding")
+    two = deal(old, "theirs").withColumnRenamed("p", "q").withColumn("p", F.explode(F.sequence(F.lit(0), F.col("mine") - 1))).select("wing", "room", "p", "q", F.col("id").cast("long").alias("id"), "embedding")
+
+    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"id": [], "refreshes": [], "score": []})
+        b = b.sort_values("id")
+        score = (np.stack(a["embedding"].to_numpy()) @ np.stack(b["embedding"].to_numpy()).T).round(9)
+        best = score.argmax(1)  # the first, so the least id
+        near = score[np.arange(len(a)), best] >= least
+        return pd.DataFrame({"id": a["id"].to_numpy()[near], "refreshes": b["id"].to_numpy()[best[near]], "score": score[np.arange(len(a)), best][near]})
+
+    keys = ["wing", "room", "p", "q"]
+    two = two.toDF(*(f"{c}_" for c in two.columns)).toDF(*two.columns)  # columns of their own, where both come of one table
+    found = one.groupBy(*keys).cogroup(two.groupBy(*keys)).applyInPandas(meet, "id long, refreshes long, score double")
+    return found.groupBy("id").agg(F.max_by("refreshes", F.struct("score", -F.col("refreshes"))).alias("refreshes"), F.max("score").alias("score"))
+
+
+def nearest(queries: DataFrame, rows: DataFrame, k: int, page: int = 8192, places: int = 12) -> DataFrame:
+    """(query_id, id, score, rank): the k rows (id, embedding) of greatest cosine with each query (id, embedding), not
+    itself, by similarity to ``places`` decimals, then id. Pages of queries meet pages of rows, each two in one task."""
+    asked, held = (max(1, -(-d.count() // page)) for d in (queries, rows))
+    one = queries.select(F.col("id").cast("long").alias("query_id"), F.col("embedding").alias("probe"), F.pmod(F.xxhash64("id"), F.lit(asked).cast("long")).alias("p"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(held - 1).cast("long"))).alias("q"))
+    two = rows.select(F.col("id").cast("long").alias("id"), "embedding", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(asked - 1).cast("long"))).alias("p"), F.pmod(F.xxhash64("id"), F.lit(held).cast("long")).alias("q"))
+    two = two.toDF(*(f"{c}_" for c in two.columns)).toDF(*two.columns)
+
+    def unit(v: pd.Series) -> np.ndarray:
+        x = np.stack(v.to_numpy()).astype(float)
+        size = np.linalg.norm(x, axis=1, keepdims=True)
+        return x / np.where(size > 0, size, 1)
+
+    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"query_id": [], "id": [], "score": []})
+        b = b.sort_values("id")
+        ids, other, out = b["id"].to_numpy(), unit(b["embedding"]), []
+        for at in range(0, len(a), 256):
+            own = a["query_id"].to_numpy()[at : at + 256]
+            score = (unit(a["probe"][at : at + 256]) @ other.T).round(places)
+            score[own[:, None] == ids[None, :]] = -np.inf
+            near = np.argsort(-score, axis=1, kind="stable")[:, :k]
+            out.append(pd.DataFrame({"query_id": np.repeat(own, near.shape[1]), "id": ids[near.ravel()], "score": np.take_along_axis(score, near, 1).ravel()}))
+        found = pd.concat(out)
+        return found[found["score"] > -np.inf]
+
+    found = one.groupBy("p", "q").cogroup(two.groupBy("p", "q")).applyInPandas(meet, "query_id long, id long, score double")
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).filter(F.col("rank") <= k)
+
+
 def remote(index, records: DataFrame, vector: list[float], limit: int) -> DataFrame:
     """Hits (id, score, rank): candidates of an external index, four for each hit and 20 at least, ranked again by the
     records' own vectors (id, embedding)."""
@@ -184,30 +245,54 @@ def rescored(ranked: DataFrame, late: Column, n: int) -> DataFrame:
     return ranked.withColumn("late", head).withColumn("place", F.row_number().over(Window.orderBy((F.col("rank") > n).cast("int"), F.desc_nulls_last("late"), "rank")))
 
 
+def query_terms(query: str) -> list[str]:
+    """The words of a query that postings are asked for, each once."""
+    return list(dict.fromkeys(t for t in X.segment_text(X.fold_key(query))[0] if len(t.encode()) > 1))
+
+
+def disjoint(mask: Column, query: str) -> Column:
+    """Whether a text with this script mask shares no script with the query; ASCII queries share with every text."""
+    if not any(c.isalpha() and not c.isascii() for c in query):
+        return F.lit(False)
+    return X.scripts_disjoint(mask, X.script_mask(F.lit(query)))
+
+
+def ranked_page(hits: DataFrame, options: SearchOptions, contents: DataFrame | None = None) -> DataFrame:
+    """The page that was asked for of hits (id, wing, room, disjoint, semantic, bm25, morph): gated, fused, ranked, the
+    head ranked again by ``options.rerank`` over the columns of ``contents`` (id, ...)."""
+    hits = hits.fillna({"morph": 0.0, "bm25": 0.0}).withColumn("lexical", squash(F.col("bm25") + F.col("morph")))
+    hits = hits.filter(admitted(F.col("bm25"), F.col("morph"), F.col("semantic"), options.gate))
+    blend = fuse(F.col("lexical"), F.col("semantic"), options.semantic_weight, F.col("disjoint"))
+    hits = hits.withColumns({"score": blend, "lexical_exact": squash(F.col("bm25")), "lexical_morph": squash(F.col("morph"))}).drop("bm25", "morph", "disjoint")
+    depth = options.offset + options.limit
+    if options.rerank is not None:
+        head = top(hits, "score", max(depth, options.rerank_depth))
+        seen = contents.drop("wing", "room").join(F.broadcast(head), "id")  # a page of hits
+        again = rescored(seen.withColumn("late", options.rerank), F.col("late"), options.rerank_depth).select(*head.columns, "place")
+        return again.filter((F.col("place") > options.offset) & (F.col("place") <= depth)).drop("rank").withColumnRenamed("place", "rank")
+    if options.room_cap:
+        page = capped(hits, "room", "score", options.room_cap, depth).withColumnRenamed("place", "rank")
+        return page.filter(F.col("rank") > options.offset)
+    return top(hits, "score", options.limit, options.offset)
+
+
 def search(records: DataFrame, options: SearchOptions, trust: DataFrame | None = None) -> DataFrame:
-    """Hits (id, wing, room, score, lexical, semantic, rank) of records (id, wing, room, content, embedding optional)."""
+    """Hits (id, wing, room, score, rank and the channels semantic, lexical, lexical_exact, lexical_morph) of records
+    (id, wing, room, content, embedding optional), by a scan of them; ``SearchIndex`` asks stored postings instead."""
     pool = in_scope(records, options.wing, options.room, options.kind)
     if trust is not None and options.min_trust:
         pool = above_floor(pool, trust, options.min_trust)
-    terms = list(dict.fromkeys(t for t in X.segment_text(X.fold_key(options.query))[0] if len(t.encode()) > 1))
+    terms = query_terms(options.query)
     scored = pool.withColumn("tokens", X.words(X.search_key(F.col("content"))))
-    mask = X.script_mask(F.lit(options.query))
-    disjoint = X.scripts_disjoint(X.script_mask(F.col("content")), mask).alias("disjoint") if any(c.isalpha() and not c.isascii() for c in options.query) else F.lit(False).alias("disjoint")
+    apart = disjoint(X.script_mask(F.col("content")), options.query).alias("disjoint")
     lexical = bm25(scored, terms) if terms else scored.select("id", F.lit(0.0).alias("bm25")).limit(0)
     if "embedding" in records.columns:
         probe = F.array(*(F.lit(float(x)) for x in options.vector or V.hash_embed(options.query)))
-        hits = scored.select("id", "wing", "room", disjoint, V.semantic(V.cosine(F.col("embedding"), probe)).alias("semantic")).join(lexical, "id", "left")
+        hits = scored.select("id", "wing", "room", apart, V.semantic(V.cosine(F.col("embedding"), probe)).alias("semantic")).join(lexical, "id", "left")
     else:
-        hits = scored.select("id", "wing", "room", disjoint, F.lit(0.5).alias("semantic")).join(lexical, "id", "left" if options.language else "inner")
+        hits = scored.select("id", "wing", "room", apart, F.lit(0.5).alias("semantic")).join(lexical, "id", "left" if options.language else "inner")
     if terms and options.language:
         hits = hits.join(approximate(scored, terms, options.language), "id", "left")
     else:
         hits = hits.withColumn("morph", F.lit(0.0))
-    hits = hits.fillna({"morph": 0.0, "bm25": 0.0}).withColumn("lexical", squash(F.col("bm25") + F.col("morph")))
-    hits = hits.filter(admitted(F.col("bm25"), F.col("morph"), F.col("semantic"), options.gate))
-    blend = fuse(F.col("lexical"), F.col("semantic"), options.semantic_weight, F.col("disjoint"))
-    hits = hits.withColumn("score", blend).drop("bm25", "morph", "disjoint")
-    if options.room_cap:
-        page = capped(hits, "room", "score", options.room_cap, options.offset + options.limit).withColumnRenamed("place", "rank")
-        return page.filter(F.col("rank") > options.offset)
-    return top(hits, "score", options.limit, options.offset)
+    return ranked_page(hits, options, pool)

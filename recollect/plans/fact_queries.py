@@ -146,7 +146,8 @@ def q_follow(spark, sf_dir):
     return G.followed(_edges(spark, sf_dir).select(F.col("a").alias("from_wing"), F.col("b").alias("to_wing"), F.lit("x").alias("label")), 3)
 
 
-@query()
+@query(r"""SELECT sha256(encode('conversation') || unhex('1F') || encode('ends_with') || unhex('1F') || encode(object) || unhex('1F') || encode('2024-05-01') || unhex('1F'))[1:32] AS fact_id, 'conversation' AS subject, 'ends_with' AS predicate, object, '2024-05-01' AS valid_from, min(id) AS source_id, count(*) AS seen
+FROM (SELECT conv_id || '-' || turn AS id, lower(regexp_extract(text, '(\w+)\W*$', 1)) AS object FROM conversations) GROUP BY object""")
 def q_refine(spark, sf_dir):
     """Facts distilled from conversation turns by a rule extractor, only where the claim stands in the text."""
 

@@ -10,7 +10,9 @@ from pyspark.sql.window import Window
 from recollect.functions import text as X
 from recollect.functions import vectors as V
 from recollect.operators import search as S
-from recollect.plans.registry import query
+from recollect.operators.index import SearchIndex
+from recollect.plans.registry import ORACLES, query
+from recollect.sources import work as W
 from recollect.sources.tables import table
 
 
@@ -24,8 +26,8 @@ _QUERY = "thing whand edly"
 _TOKENS = r"regexp_extract_all(replace(strip_accents(lower(text)), 'ß', 'ss'), '[\p{L}\p{N}]+')"
 
 
-def _bm25_sql(where: str) -> str:
-    terms = _QUERY.split()
+def _bm25_sql(where: str, words: list[str] | None = None) -> str:
+    terms = words or _QUERY.split()
     tf = [f"len(list_filter(t, lambda x: x = '{w}'))" for w in terms]
     stats = ", ".join(f"count(*) FILTER ({c} > 0) AS df{i}" for i, c in enumerate(tf))
     score = " + ".join(f"ln(1 + (n - df{i} + 0.5) / (df{i} + 0.5)) * {c} * 2.2 / ({c} + 1.2 * (0.25 + 0.75 * len(t) / avgdl))" for i, c in enumerate(tf))
@@ -41,19 +43,66 @@ def q_bm25(spark, sf_dir):
     return S.bm25(pool, _QUERY.split())
 
 
-@query(f"WITH {_bm25_sql('true')} SELECT * FROM (SELECT doc_id AS id, lang AS wing, source AS room, 0.5 AS semantic, bm25 / (bm25 + 1) AS lexical, 0.3 + 0.4 * bm25 / (bm25 + 1) AS score, CAST(row_number() OVER (ORDER BY 0.3 + 0.4 * bm25 / (bm25 + 1) DESC, doc_id) AS INTEGER) AS rank FROM sc) WHERE rank > 5 AND rank <= 25")
+@query(f"WITH {_bm25_sql('true')} SELECT * FROM (SELECT doc_id AS id, lang AS wing, source AS room, 0.5 AS semantic, bm25 / (bm25 + 1) AS lexical, bm25 / (bm25 + 1) AS lexical_exact, 0.0 AS lexical_morph, 0.3 + 0.4 * bm25 / (bm25 + 1) AS score, CAST(row_number() OVER (ORDER BY 0.3 + 0.4 * bm25 / (bm25 + 1) DESC, doc_id) AS INTEGER) AS rank FROM sc) WHERE rank > 5 AND rank <= 25")
 def q_search(spark, sf_dir):
     """Lexical search over all wings, second page."""
     return S.search(records(spark, sf_dir), S.SearchOptions(query=_QUERY, limit=20, offset=5))
 
 
-@query()
+#: Signed sums of hashed features by slot, x(doc_id, slot, x), and their lengths, xn(doc_id, size).
+_EMBED = rf"""xt AS (SELECT doc_id, {_TOKENS} AS w FROM documents),
+xf AS (SELECT doc_id, 'u:' || unnest(w) AS f FROM xt
+UNION ALL SELECT doc_id, 'b:' || w[i] || ' ' || w[i + 1] FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM xt)
+UNION ALL SELECT doc_id, 't:' || substr(y, i, 3) FROM (SELECT doc_id, y, unnest(range(1, length(y) - 1)) AS i FROM (SELECT doc_id, unnest(w) AS y FROM xt) WHERE length(y) > 3)),
+xh AS (SELECT doc_id, sha256(f) AS h FROM xf),
+x AS (SELECT doc_id, CAST('0x' || h[7:8] || h[5:6] || h[3:4] || h[1:2] AS BIGINT) % 384 AS slot, sum(CASE WHEN CAST('0x' || h[9:10] AS BIGINT) % 2 = 0 THEN 1 ELSE -1 END) AS x FROM xh GROUP BY ALL),
+xn AS (SELECT doc_id, sqrt(sum(x * x)) AS size FROM x GROUP BY doc_id)"""
+_PROBE = "(VALUES " + ", ".join(f"({slot}, {x!r})" for slot, x in enumerate(V.hash_embed(_QUERY).tolist()) if x) + ") p(slot, y)"
+
+
+@query(f"""WITH {_bm25_sql("lang = 'en'")}, {_EMBED},
+c AS (SELECT doc_id, (1 + sum(x * y) / any_value(size)) / 2 AS semantic FROM x JOIN {_PROBE} USING (slot) JOIN xn USING (doc_id) GROUP BY doc_id),
+h AS (SELECT doc_id, source, coalesce(semantic, 0.5) AS semantic, coalesce(bm25, 0) AS exact FROM p LEFT JOIN c USING (doc_id) LEFT JOIN (SELECT doc_id, bm25 FROM sc) USING (doc_id)),
+s AS (SELECT *, exact / (exact + 1) AS lexical, 0.6 * semantic + 0.4 * exact / (exact + 1) AS score FROM h WHERE exact > 0 OR semantic > 0.56),
+o AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) > 2 THEN 1 ELSE 0 END AS spare FROM s)
+SELECT doc_id AS id, 'en' AS wing, source AS room, semantic, lexical, exact / (exact + 1) AS lexical_exact, 0.0 AS lexical_morph, score, CAST(row_number() OVER (ORDER BY spare, score DESC, doc_id) AS INTEGER) AS rank FROM o QUALIFY rank <= 20""")
 def q_hybrid_search(spark, sf_dir):
     """Lexical and hash-embedding channels fused, gated, capped by room."""
     rows = records(spark, sf_dir).withColumn("embedding", V.embed(F.col("content")))
     return S.search(rows, S.SearchOptions(query=_QUERY, wing="en", limit=20, room_cap=2))
 
 
+_indexes: dict[tuple[str, str], SearchIndex] = {}
+
+
+def stored_index(spark, sf_dir) -> SearchIndex:
+    """The index of the documents, made by the first query of a session that asks for it, in two segments."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _indexes:
+        rows = records(spark, sf_dir).withColumn("embedding", V.embed(F.col("content")))
+        index = SearchIndex(spark, W.fresh(spark, "search-index"))
+        index.add(rows.filter("id % 3 <> 0"))
+        index.add(rows.filter("id % 3 = 0"))
+        _indexes[key] = index
+    return _indexes[key]
+
+
+@query(ORACLES["q_hybrid_search"])
+def q_indexed_search(spark, sf_dir):
+    """The hybrid search, from the stored index."""
+    return stored_index(spark, sf_dir).search(S.SearchOptions(query=_QUERY, wing="en", limit=20, room_cap=2), exact=True)
+
+
+@query(f"""WITH {_bm25_sql("lang = 'en'")}, s AS (SELECT doc_id, source, bm25 / (bm25 + 1) AS lexical, 0.3 + 0.4 * bm25 / (bm25 + 1) AS score FROM sc),
+r AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM s),
+o AS (SELECT r.*, CASE WHEN rank <= 10 THEN -strlen(text) END AS late FROM r JOIN documents USING (doc_id) WHERE rank <= 25)
+SELECT doc_id AS id, 'en' AS wing, source AS room, 0.5 AS semantic, lexical, lexical AS lexical_exact, 0.0 AS lexical_morph, score, CAST(row_number() OVER (ORDER BY CASE WHEN rank > 10 THEN 1 ELSE 0 END, late DESC NULLS LAST, rank) AS INTEGER) AS rank FROM o""")
+def q_rerank_search(spark, sf_dir):
+    """A search whose first ten hits a second scorer orders anew, the shorter text first."""
+    shorter = -F.octet_length("content")
+    return S.search(records(spark, sf_dir), S.SearchOptions(query=_QUERY, wing="en", limit=25, rerank=shorter, rerank_depth=10))
+
+
 @query("SELECT vec_id AS id, (1 + list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 1))) / 2 AS semantic FROM embeddings WHERE (1 + list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 1))) / 2 > 0.56")
 def q_semantic_gate(spark, sf_dir):
     """Vectors that the gate admits for one probe."""
@@ -75,11 +124,21 @@ def _nearest(spark, sf_dir):
     return rows.select("query_id", F.col("vec_id").alias("id"), "label", V.cosine(F.col("probe"), F.col("embedding")).alias("score"))
 
 
-@query(f"WITH {_KNN} SELECT query_id, id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM k) WHERE rank <= 5")
+#: Ranked neighbours, by similarity to twelve places, of every row whose id is divisible by 20.
+KNN20 = """k20 AS (SELECT q.vec_id AS query_id, c.vec_id AS id, c.label, q.label AS own, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 12) AS score
+FROM embeddings q JOIN embeddings c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)"""
+
+
+def neighbours(spark, sf_dir, k):
+    """Exact nearest rows of every row whose id is divisible by 20."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return S.nearest(e.filter("id % 20 = 0"), e, k)
+
+
+@query(f"WITH {KNN20} SELECT query_id, id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM k20) WHERE rank <= 5")
 def q_knn(spark, sf_dir):
-    """Exact nearest vectors of stated queries."""
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return _nearest(spark, sf_dir).withColumn("rank", F.row_number().over(w)).filter("rank <= 5").select("query_id", "id", "score", "rank")
+    """Exact nearest vectors of every row whose id is divisible by 20."""
+    return neighbours(spark, sf_dir, 5)
 
 
 @query(f"""WITH {_KNN}, m AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY score DESC, id) > 2 THEN 1 ELSE 0 END AS spare FROM k WHERE query_id = 0)
@@ -124,15 +183,19 @@ def q_quantize(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", V.quantize(F.col("embedding"))["codes"].alias("codes"))
 
 
-@query("""WITH t AS (SELECT conv_id % 5 AS doc, list(vec.embedding::DOUBLE[] ORDER BY vec_id) AS rows FROM (SELECT DISTINCT conv_id FROM conversations) c JOIN embeddings vec ON vec.vec_id % 5 = c.conv_id % 5 AND vec.vec_id < 50 WHERE c.conv_id < 5 GROUP BY doc)
-SELECT a.doc AS q, b.doc AS d, list_sum(list_transform(a.rows, lambda x: list_max(list_transform(b.rows, lambda y: list_inner_product(x, y))))) AS score FROM t a, t b""")
+def _matrices(spark, sf_dir):
+    """Token matrices of ten rows each."""
+    m = table(spark, sf_dir, "embeddings").groupBy(F.expr("vec_id div 10").alias("doc")).agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("r"))
+    return m.select("doc", F.transform("r", lambda x: x["embedding"]).alias("rows"))
+
+
+@query("""WITH t AS (SELECT vec_id // 10 AS doc, list(embedding::DOUBLE[] ORDER BY vec_id) AS rows FROM embeddings GROUP BY doc)
+SELECT a.doc AS q, b.doc AS d, list_sum(list_transform(a.rows, lambda x: list_max(list_transform(b.rows, lambda y: list_inner_product(x, y))))) AS score FROM t a JOIN t b ON a.doc % 20 = 0""")
 def q_maxsim(spark, sf_dir):
-    """Late-interaction scores between five token matrices."""
-    e = table(spark, sf_dir, "embeddings").filter("vec_id < 50")
-    m = e.groupBy((F.col("vec_id") % 5).alias("doc")).agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("r"))
-    m = m.select("doc", F.transform("r", lambda x: x["embedding"]).alias("rows"))
-    b = m.select(F.col("doc").alias("d"), F.col("rows").alias("other"))
-    return m.join(F.broadcast(b), F.lit(True)).select(F.col("doc").alias("q"), "d", V.maxsim(F.col("rows"), F.col("other")).alias("score"))  # five matrices
+    """Late-interaction scores of every twentieth token matrix with all."""
+    m = _matrices(spark, sf_dir)
+    asked = m.filter("doc % 20 = 0").select(F.col("doc").alias("q"), F.col("rows").alias("asked"))
+    return m.join(asked, F.lit(True)).select("q", F.col("doc").alias("d"), V.maxsim(F.col("asked"), F.col("rows")).alias("score"))  # a stated query set against all rows
 
 
 @query("SELECT label, d + 1 AS dim, avg(embedding[d + 1]::DOUBLE) AS mean FROM embeddings, range(64) r(d) GROUP BY label, d")
@@ -142,7 +205,10 @@ def q_centroids(spark, sf_dir):
     return e.groupBy("label", (F.col("d") + 1).alias("dim")).agg(F.avg(F.col("x").cast("double")).alias("mean"))
 
 
-def _sample(spark, sf_dir, n=4096):
+SAMPLE = 4096
+
+
+def _sample(spark, sf_dir, n=SAMPLE):
     """A bounded training sample: the vectors of the least hashes, ordered by id."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding").orderBy(F.xxhash64("vec_id"), "vec_id").limit(n).toPandas().sort_values("vec_id")
     return np.stack(rows["embedding"].to_numpy()).astype(float) if len(rows) else np.zeros((1, 8))
@@ -175,11 +241,18 @@ def q_pq_search(spark, sf_dir):
 
 @query()
 def q_pq_report(spark, sf_dir):
-    """How well the codebook fits its sample and rows outside it; a ratio above 1.5 flags an unfit sample."""
-    x = _sample(spark, sf_dir)
-    pq = V.ProductQuantizer(x[::2])
-    inside, outside = pq.error(x[::2]), pq.error(x[1::2])
-    return spark.createDataFrame([(inside, outside, outside / inside > 1.5 if inside else False)], "sample_error double, probe_error double, unfit boolean")
+    """How well the codebook fits the rows of its sample and all others; a ratio above 1.5 flags an unfit sample."""
+    pq, e = V.ProductQuantizer(_sample(spark, sf_dir)), table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    chosen = e.select("vec_id").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).withColumn("inside", F.lit(True))
+
+    def errors(batches):
+        for pdf in batches:
+            if len(pdf):
+                yield pd.DataFrame({"inside": pdf["inside"], "error": [pq.error(np.asarray(v, float)[None]) for v in pdf["embedding"]]})
+
+    rows = e.join(F.broadcast(chosen), "vec_id", "left").select(F.coalesce("inside", F.lit(False)).alias("inside"), "embedding").mapInPandas(errors, "inside boolean, error double")  # the sample is bounded
+    means = rows.agg(F.avg(F.when(F.col("inside"), F.col("error"))).alias("sample_error"), F.avg(F.when(~F.col("inside"), F.col("error"))).alias("probe_error"))
+    return means.withColumn("unfit", F.coalesce(F.col("probe_error") / F.col("sample_error") > 1.5, F.lit(False)))
 
 
 @query()
@@ -189,7 +262,7 @@ def q_ivf_probe(spark, sf_dir):
     n = table(spark, sf_dir, "embeddings").count()
     lists = min(max(int(n**0.5), 16), 4096)
     centre = V.lloyd(x, lists)
-    probes = max(len(centre) // 4, 8)
+    probes = max(len(centre) * 3 // 5, 8)  # these vectors have little structure; a quarter finds seven in ten
 
     def assign(batches):
         for pdf in batches:
@@ -216,21 +289,18 @@ def q_ivf_probe(spark, sf_dir):
 
 @query()
 def q_fde(spark, sf_dir):
-    """Fixed-dimensional encodings: their inner product beside the exact late-interaction score."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    rows = e.groupBy((F.col("vec_id") % 50).alias("doc")).agg(F.collect_list(F.struct("vec_id", "embedding")).alias("r"))
+    """Fixed-dimensional encodings of token matrices: their inner product with that of the first, beside the exact score."""
     encoder = V.FixedEncoder(64)
-    first = e.filter("vec_id % 50 = 0").orderBy("vec_id").limit(8).toPandas()
-    q = np.stack(first["embedding"].to_numpy()).astype(float)
+    first = _matrices(spark, sf_dir).orderBy("doc").limit(1).toPandas()
+    q = np.stack(first["rows"][0]).astype(float) if len(first) else np.zeros((1, 64))
     code = encoder.encode(q, True)
 
     def score(batches):
         for pdf in batches:
-            for doc, r in zip(pdf["doc"], pdf["r"], strict=True):
-                m = np.stack([x["embedding"] for x in sorted(r, key=lambda x: x["vec_id"])]).astype(float)
-                yield pd.DataFrame({"doc": [doc], "fde": [float(code @ encoder.encode(m, False))], "maxsim": [float((q @ m.T).max(1).sum())]})
+            m = [np.stack(r).astype(float) for r in pdf["rows"]]
+            yield pd.DataFrame({"doc": pdf["doc"], "fde": [float(code @ encoder.encode(x, False)) for x in m], "maxsim": [float((q @ x.T).max(1).sum()) for x in m]})
 
-    return rows.mapInPandas(score, "doc long, fde double, maxsim double")
+    return _matrices(spark, sf_dir).mapInPandas(score, "doc long, fde double, maxsim double")
 
 
 @query(r"""WITH t AS (SELECT doc_id, regexp_extract_all(replace(strip_accents(lower(text)), 'ß', 'ss'), '[\p{L}\p{N}]+') AS w FROM documents),
@@ -247,20 +317,33 @@ def q_hash_embed(spark, sf_dir):
     return e.select("doc_id", F.round(F.sqrt(V.dot(F.col("v"), F.col("v"))), 9).alias("norm"), (F.array_position("a", F.array_max("a")) - 1).alias("slot"))
 
 
-@query()
+@query(f"""WITH {_EMBED}, d AS (SELECT x.doc_id, lang, source, slot, x / size AS v FROM x JOIN xn USING (doc_id) JOIN documents USING (doc_id)),
+c AS (SELECT n.doc_id AS id, o.doc_id AS refreshes, sum(n.v * o.v) AS score FROM d n JOIN d o ON n.doc_id % 7 = 0 AND o.doc_id % 7 <> 0 AND n.lang = o.lang AND n.source = o.source AND n.slot = o.slot GROUP BY ALL HAVING sum(n.v * o.v) >= 0.9)
+SELECT id, arg_max(refreshes, (round(score, 9), -refreshes)) AS refreshes, round(max(score), 9) AS score FROM c GROUP BY id""")
 def q_dedup_refresh(spark, sf_dir):
     """New texts that an existing record of their wing and room is close enough to: those refresh it instead of being added."""
-    rows = records(spark, sf_dir).withColumn("v", V.embed(F.col("content")))
-    new, old = rows.filter("id % 20 = 0"), rows.filter("id % 20 <> 0")
-    pairs = new.alias("n").join(old.alias("o"), [F.col("n.wing") == F.col("o.wing"), F.col("n.room") == F.col("o.room")])
-    close = pairs.select(F.col("n.id").alias("id"), F.col("o.id").alias("refreshes"), V.dot(F.col("n.v"), F.col("o.v")).alias("score")).filter("score >= 0.5")
-    return close.groupBy("id").agg(F.max_by("refreshes", F.struct("score", -F.col("refreshes"))).alias("refreshes"), F.max("score").alias("score"))
+    rows = records(spark, sf_dir).withColumn("embedding", V.embed(F.col("content")))
+    return S.refreshing(rows.filter("id % 7 = 0"), rows.filter("id % 7 <> 0"), 0.9)
 
 
-@query()
+def _morph_sql(words: list[str]) -> str:
+    listed = "|".join(sorted(X.SUFFIXES["en"].split(), key=lambda e: (-len(e), e)))
+    stem = lambda x: f"regexp_replace({x}, '^(.{{3,}}?)(?:{listed})$', '\\1')"
+    near = lambda w: f"CASE WHEN list_contains(t, '{w}') THEN 0 WHEN len(list_filter(t, lambda x: {stem('x')} = {stem(repr(w))} OR (length(x) >= 5 AND {len(w)} >= 5 AND levenshtein(x, '{w}') <= 1))) > 0 THEN 0.5 ELSE 0 END"
+    return " + ".join(near(w) for w in words)
+
+
+_WORDS = ["whands", "edlys"]
+
+
+@query(f"""WITH m AS (SELECT doc_id, source, {_morph_sql(_WORDS)} AS morph FROM (SELECT doc_id, source, {_TOKENS} AS t FROM documents WHERE lang = 'en')),
+{_bm25_sql("lang = 'en'", _WORDS)},
+h AS (SELECT m.doc_id, m.source, morph, coalesce(bm25, 0) AS exact FROM m LEFT JOIN (SELECT doc_id, bm25 FROM sc) USING (doc_id) WHERE morph > 0 OR bm25 > 0)
+SELECT doc_id AS id, 'en' AS wing, source AS room, 0.5 AS semantic, (exact + morph) / (exact + morph + 1) AS lexical, exact / (exact + 1) AS lexical_exact, morph / (morph + 1) AS lexical_morph, 0.3 + 0.4 * (exact + morph) / (exact + morph + 1) AS score,
+CAST(row_number() OVER (ORDER BY 0.3 + 0.4 * (exact + morph) / (exact + morph + 1) DESC, doc_id) AS INTEGER) AS rank FROM h QUALIFY rank <= 30""")
 def q_search_morph(spark, sf_dir):
     """Search in a declared language: inflected and mistyped words count half."""
-    return S.search(records(spark, sf_dir), S.SearchOptions(query="whands edlys", wing="en", limit=30, language="en"))
+    return S.search(records(spark, sf_dir), S.SearchOptions(query=" ".join(_WORDS), wing="en", limit=30, language="en"))
 
 
 @query("SELECT vec_id AS id, (1 + list_cosine_similarity(embedding::DOUBLE[], [1.0, 2.0] || list_resize([0.0], 62, 0.0))) / 2 AS score, CAST(row_number() OVER (ORDER BY list_cosine_similarity(embedding::DOUBLE[], [1.0, 2.0] || list_resize([0.0], 62, 0.0)) DESC, vec_id) AS INTEGER) AS rank FROM embeddings QUALIFY rank <= 10")
@@ -270,7 +353,10 @@ def q_external_vector(spark, sf_dir):
     return S.external(rows, [1.0, 2.0] + [0.0] * 62, 10).select("id", "score", "rank")
 
 
-@query()
+@query(f"""WITH {_EMBED}, d AS (SELECT doc_id, slot, x / size AS v FROM x JOIN xn USING (doc_id)),
+c AS (SELECT a.doc_id, sum(a.v * b.v) AS s FROM d a JOIN d b ON b.doc_id = a.doc_id + 1 AND a.slot = b.slot GROUP BY a.doc_id),
+n AS (SELECT a.doc_id FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1)
+SELECT {V.semantic_floor()!r} AS floor, 0.56 AS gate, avg(CASE WHEN 0.5 + 0.5 * (coalesce(s, 0) - {V.semantic_floor()!r}) / (1 - {V.semantic_floor()!r}) > 0.56 THEN 1.0 ELSE 0.0 END) AS admitted FROM n LEFT JOIN c USING (doc_id)""")
 def q_calibration(spark, sf_dir):
     """The floor and gate of the hash embedder, and the share of document pairs above the gate."""
     floor = V.semantic_floor()

@@ -11,7 +11,7 @@ from recollect.operators import evaluation as E
 from recollect.operators import governance as G
 from recollect.operators import search as S
 from recollect.plans.registry import query
-from recollect.plans.search_queries import records
+from recollect.plans.search_queries import KNN20, neighbours, records
 from recollect.sources.tables import table
 
 _R = "(SELECT doc_id AS id, lang AS wing, source AS room, text AS content FROM documents)"
@@ -217,28 +217,19 @@ def q_score_percentiles(spark, sf_dir):
     return E.floor_percentiles(table(spark, sf_dir, "events").select(F.col("event_type").alias("code"), "value"), "code", "value")
 
 
-_HITS = """h AS (SELECT q.vec_id AS query_id, c.vec_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) DESC, c.vec_id) AS rank FROM embeddings q JOIN embeddings c ON q.vec_id < 10 AND q.vec_id <> c.vec_id),
-g AS (SELECT q.vec_id AS query_id, c.vec_id AS id FROM embeddings q JOIN embeddings c ON q.vec_id < 10 AND q.vec_id <> c.vec_id AND q.label = c.label AND c.vec_id % 4 = 0)"""
-
-
-def _ranked(spark, sf_dir):
-    from recollect.plans.search_queries import _nearest
-
-    n = _nearest(spark, sf_dir)
-    h = n.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).select("query_id", "id", "rank")
-    own = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("label").alias("own"))
-    return h, n.join(own, "query_id").filter("label = own and id % 4 = 0").select("query_id", "id")
-
-
-@query(f"""WITH {_HITS}, r AS (SELECT h.query_id, rank, CASE WHEN g.id IS NULL THEN 0.0 ELSE 1.0 END AS rel FROM h LEFT JOIN g USING (query_id, id) WHERE rank <= 10),
+@query(f"""WITH {KNN20}, h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM k20),
+g AS (SELECT query_id, id FROM k20 WHERE label = own AND id % 4 = 0),
+r AS (SELECT h.query_id, rank, CASE WHEN g.id IS NULL THEN 0.0 ELSE 1.0 END AS rel FROM h LEFT JOIN g USING (query_id, id) WHERE rank <= 10),
 i AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rel DESC, rank) AS ideal FROM r),
 s AS (SELECT query_id, sum(rel) AS found, sum(rel / log2(rank + 1)) AS dcg, sum(rel / log2(ideal + 1)) AS idcg FROM i GROUP BY query_id),
 w AS (SELECT query_id, count(*) AS wanted FROM g GROUP BY query_id)
 SELECT query_id, coalesce(found, 0) > 0 AS "any", coalesce(found, 0) = wanted AS "all", CASE WHEN idcg > 0 THEN dcg / idcg ELSE 0 END AS ndcg FROM w LEFT JOIN s USING (query_id)""")
 def q_retrieval_metrics(spark, sf_dir):
-    """Recall and NDCG of nearest-vector rankings against labels."""
-    h, g = _ranked(spark, sf_dir)
-    return E.retrieval(h, g, 10)
+    """Recall and NDCG of nearest-vector rankings against labels, for every row whose id is divisible by 20."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    own = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label")
+    gold = own.join(e.filter("vec_id % 4 = 0").select(F.col("vec_id").alias("id"), "label"), "label").filter("query_id <> id").select("query_id", "id")
+    return E.retrieval(neighbours(spark, sf_dir, 10).select("query_id", "id", "rank"), gold, 10)
 
 
 _SPANS = "(SELECT o_custkey AS k, CAST(epoch(o_orderdate) // 86400 AS BIGINT) AS s, CAST(epoch(o_orderdate) // 86400 + 40 AS BIGINT) AS e, o_orderkey FROM orders)"
@@ -261,13 +252,22 @@ def _span_hits(spark, sf_dir):
     return _spans(spark, sf_dir).select(F.col("k").alias("query_id"), rank.alias("rank"), F.lit("r").alias("room"), "s", "e")
 
 
-@query()
+_RANKED = "h AS (SELECT o_custkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank, CAST(epoch(o_orderdate) // 86400 AS BIGINT) AS s FROM orders)"
+
+
+@query(f"""WITH RECURSIVE {_RANKED},
+f AS (SELECT k, CAST(0 AS BIGINT) AS rank, CAST([] AS BIGINT[]) AS taken, CAST(0 AS BIGINT) AS added, CAST(0 AS BIGINT) AS spent FROM h WHERE rank = 1
+UNION ALL SELECT k, rank, CASE WHEN adds > 0 AND spent + adds <= 200 THEN list_append(taken, s) ELSE taken END, CASE WHEN adds > 0 AND spent + adds <= 200 THEN adds ELSE 0 END, spent + CASE WHEN adds > 0 AND spent + adds <= 200 THEN adds ELSE 0 END
+FROM (SELECT f.k, h.rank, f.taken, f.spent, h.s, CAST(len(list_filter(range(h.s, h.s + 40), lambda x: len(list_filter(f.taken, lambda t: t <= x AND x < t + 40)) = 0)) AS BIGINT) AS adds FROM f JOIN h ON h.k = f.k AND h.rank = f.rank + 1))
+SELECT k AS query_id, CAST(rank AS INTEGER) AS rank, added, spent FROM f WHERE added > 0""")
 def q_budget_select(spark, sf_dir):
     """Hits taken while what they add fits a budget."""
     return E.selected(_span_hits(spark, sf_dir), 200)
 
 
-@query()
+@query(f"""WITH {_RANKED}, w AS (SELECT k, unnest(range(m, m + 30)) AS x FROM (SELECT k, min(s) AS m FROM h GROUP BY k)),
+c AS (SELECT w.k, x, min(rank) AS r FROM w JOIN h ON h.k = w.k AND h.s <= x AND x < h.s + 40 GROUP BY ALL)
+SELECT k AS query_id, max(r) AS rank, CAST(CASE WHEN max(r) <= 10 THEN 10 WHEN max(r) <= 20 THEN 20 WHEN max(r) <= 40 THEN 40 WHEN max(r) <= 80 THEN 80 WHEN max(r) <= 160 THEN 160 END AS BIGINT) AS bucket FROM c GROUP BY k""")
 def q_covering_rank(spark, sf_dir):
     """Rank by which all wanted spans are covered."""
     h = _span_hits(spark, sf_dir)
@@ -275,7 +275,13 @@ def q_covering_rank(spark, sf_dir):
     return E.covering_rank(h, wanted)
 
 
-@query()
+@query(r"""WITH RECURSIVE t AS (SELECT item_id % 5 AS g, item_id, list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda x: lower(x)) AS w FROM benchmark),
+s AS (SELECT a.g, a.item_id AS x, b.item_id AS y, 2.0 * list_sum(list_transform(list_distinct(a.w), lambda v: least(len(list_filter(a.w, lambda u: u = v)), len(list_filter(b.w, lambda u: u = v))))) / (len(a.w) + len(b.w)) AS f1 FROM t a JOIN t b USING (g)),
+o AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY f1 DESC, x, y) AS i FROM s WHERE f1 >= 0.3),
+r AS (SELECT g, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS used_x, CAST([] AS BIGINT[]) AS used_y, CAST(NULL AS BIGINT) AS x, CAST(NULL AS BIGINT) AS y, CAST(NULL AS DOUBLE) AS f1 FROM o WHERE i = 1
+UNION ALL SELECT r.g, o.i, CASE WHEN list_contains(used_x, o.x) OR list_contains(used_y, o.y) THEN used_x ELSE list_append(used_x, o.x) END, CASE WHEN list_contains(used_x, o.x) OR list_contains(used_y, o.y) THEN used_y ELSE list_append(used_y, o.y) END,
+CASE WHEN list_contains(used_x, o.x) OR list_contains(used_y, o.y) THEN NULL ELSE o.x END, o.y, o.f1 FROM r JOIN o ON o.g = r.g AND o.i = r.i + 1)
+SELECT g AS "group", x AS p, y AS g, f1 FROM r WHERE x IS NOT NULL""")
 def q_greedy_align(spark, sf_dir):
     """Predicted texts matched to gold ones, one to one."""
     b = table(spark, sf_dir, "benchmark").select((F.col("item_id") % 5).alias("group"), "item_id", X.f1_tokens(F.col("text")).alias("t"))

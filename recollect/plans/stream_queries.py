@@ -90,7 +90,8 @@ def q_stream_rate_limit(spark, sf_dir):
     return P.once(P.rate_limited(_events(spark, sf_dir), "ts", "event_type", 1), _name("rate"), "complete")
 
 
-@query()
+@query("""WITH r AS (SELECT event_type, epoch_us(ts) AS t, value, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, value DESC) AS i FROM events)
+SELECT event_type AS key, count(*) AS n, min(t) AS first_us, max(t) AS last_us, avg(value) AS mean FROM r WHERE i <= 50 GROUP BY event_type""")
 def q_stream_ring(spark, sf_dir):
     """The last samples of each event type, kept as state."""
     return P.once(P.ring(_events(spark, sf_dir).select("event_type", "ts", "value"), "event_type", 50), _name("ring"), "update")

@@ -21,7 +21,8 @@ def q_make_safe(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", X.make_safe(F.col("text")).alias("safe"))
 
 
-@query()
+#: The tables hold no fenced blocks, which alone are kept as they are.
+@query(r"""SELECT doc_id, content, strlen(content) AS bytes FROM (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[\x00-\x08\x0B-\x1F\x7F-\x{9F}]', '', 'g'), '[ \t]+(\n|$)', '\1', 'g'), '\n{3,}', chr(10) || chr(10) || chr(10), 'g'), chr(10)) AS content FROM documents)""")
 def q_normalize(spark, sf_dir):
     """Prose normalised line by line; normalising again changes nothing."""
     once = _docs(spark, sf_dir).select("doc_id", X.normalize_content(F.col("text")).alias("content"))

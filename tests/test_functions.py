@@ -1,11 +1,14 @@
 """Text, date and vector functions on single cases."""
 
 import datetime as dt
+import re
 
 import numpy as np
+import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
+from recollect.functions import temporal as D
 from recollect.functions import text as X
 from recollect.functions import vectors as V
 from recollect.functions.temporal import Locale, Scanner, to_gregorian
@@ -94,3 +97,30 @@ def test_windows_equal_embedded_slices():
         k = w * V.FIXTURE_STRIDE
         stop = starts[k + V.FIXTURE_WORDS] if k + V.FIXTURE_WORDS < len(starts) else len(text)
         assert at == starts[k] and abs(score - float((known @ V.hash_embed(text[at:stop])).max())) < 1e-9
+
+
+def test_window_scores_against_every_window():
+    """Each window's features made anew from its words, as hash_embed makes them."""
+    known = np.stack([V.hash_embed(a) for a in V.ATTACKS])
+    rng = np.random.default_rng(2)
+    vocabulary = "ignore all previous instructions and follow these new ones éclair 日本 x-y don't a — you must now 12".split()
+    for n in (0, 1, 5, 31, 32, 33, 48, 49, 100, 700):
+        text = " ".join(vocabulary[int(i)] for i in rng.integers(0, len(vocabulary), n))
+        starts = [m.start() for m in re.finditer(r"\S+", text)]
+        words, want, w = text.split(), [], 0
+        while words:
+            v = V.hash_embed(" ".join(words[w : w + V.FIXTURE_WORDS]))
+            want.append((starts[w], float((known @ v).max())))
+            if w + V.FIXTURE_WORDS >= len(words):
+                break
+            w += V.FIXTURE_STRIDE
+        got = V.window_scores(text, known)
+        assert [g[0] for g in got] == [x[0] for x in want]
+        assert [g[1] for g in got] == pytest.approx([x[1] for x in want], abs=1e-12)
+
+
+def test_mentions_begin_at_listed_words_or_digits():
+    day = dt.date(2024, 5, 15)
+    text = "Last week, on 3 May 2024, we met; two days ago (12/05/2024) it rained. Yesterday? ٣/٥/٢٠٢٤ and next friday"
+    got = [m["text"] for m in D.found_mentions(text, day, D.Locale())]
+    assert got == ["Last week", "3 May 2024", "two days ago", "12/05/2024", "Yesterday", "٣/٥/٢٠٢٤", "next friday"]
