@@ -12,8 +12,9 @@ all of them about once in several thousand).
 Classes that a node still crowds at the last level are alike, and no minwise token tells them apart;
 branching on would only copy them. They are compared by their rarest shingles instead, which is
 exact: of two sets that link, each holds a shared shingle among its first ``n - 0.8 n + 1`` in any
-common order, and in the order of rising frequency among the crowded classes those are the ones that
-a family doesn't share. Where the first shared shingle stands too late in either set for enough
+common order, and in the order of rising counts among the crowded classes those are the ones that
+a family doesn't share. Counts are kept in cells of fixed number, so they can be shipped; as they fill
+up, families that are small against them are compared more broadly, but nothing is lost. Where the first shared shingle stands too late in either set for enough
 others to follow, the pair can't link and isn't made.
 
 Comparing is in two steps: minwise agreement proposes, the full sets confirm. First every class is
@@ -52,6 +53,7 @@ SHINGLE, PERCENT = 5, 80
 COORDS, TREES, FIRST_LEVEL, LAST_LEVEL = 64, 12, 3, 5
 SMALL, LEADERS, AGREE, SURE = 64, 16, 40, 52
 FINE, FINE_AGREE, PARTNERS, WIDE = 512, 374, 4, 256
+ROUNDS, CELL_BITS = (PARTNERS, None), 21
 _U = np.uint64
 _FACTORS = ts.mix(np.arange(1, COORDS + FINE + 1, dtype=np.uint64) * _U(0xE7037ED1A0B428DB)) | _U(1)
 
@@ -256,25 +258,44 @@ def _by_node(rows: DataFrame) -> DataFrame:
     return rows.repartition("path", "block").sortWithinPartitions("path", "block", "cls")
 
 
-def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(cls, n, token), a row for each shingle."""
+def _cells(tokens: np.ndarray) -> np.ndarray:
+    return (ts.mix(tokens + _U(0x3C79AC492BA7B653)) >> _U(64 - CELL_BITS)).astype(np.int64)
+
+
+def _cell_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cell, n): how many of the task's shingles fall into each cell."""
+    n = np.zeros(1 << CELL_BITS, np.int64)
+    for batch in batches:
+        for tokens in batch.column("shingles").to_pylist():
+            np.add.at(n, _cells(np.frombuffer(tokens, np.uint64)), 1)
+    at = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["cell", "n"])
+
+
+def _ranked(batches: Iterator[pa.RecordBatch], percent: int, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(cls, skipped, tokens) of sets, as ``_prefixes`` says."""
     for batch in batches:
-        cls, n = batch.column("cls").to_numpy(), batch.column("n").to_numpy()
-        ends = np.cumsum(n)
-        for a, b in zip(*(lambda cut: (cut[:-1], cut[1:]))(np.unique(np.append(np.searchsorted(ends, np.arange(0, ends[-1] if len(n) else 0, 200_000)), [0, len(n)]))), strict=True):
-            tokens = np.frombuffer(b"".join(batch.column("shingles").slice(a, b - a).to_pylist()), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(cls[a:b], n[a:b])), pa.array(np.repeat(n[a:b], n[a:b])), pa.array(tokens)], names=["cls", "n", "token"])
+        skipped, out = [], []
+        for shingles in batch.column("shingles").to_pylist():
+            tokens = np.frombuffer(shingles, np.uint64)
+            often = counts[_cells(tokens)]
+            first = np.lexsort((tokens, often))[: len(tokens) * (100 - percent) // 100 + 1]
+            shared = first[often[first] > 1]
+            skipped.append(len(first) - len(shared))
+            out.append(tokens[shared].view(np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(skipped, pa.int64()), pa.array(out, pa.list_(pa.int64()))], names=["cls", "skipped", "tokens"])
 
 
 def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """(cls, skipped, tokens): the rarest shingles of each set that a link must share one of, in the common order;
-    the ``skipped`` before them are in no other set."""
-    tokens = sets.select("cls", "n", "shingles").mapInArrow(_unpacked, "cls long, n long, token long")
-    often = tokens.groupBy("token").agg(F.count("*").alias("f")).filter("f > 1")
-    ranked = tokens.join(often.hint("merge"), "token").groupBy("cls").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("f", "token"))).alias("shared"))
-    skipped = F.col("n") - F.size("shared")
-    length = F.floor(F.col("n") * (100 - percent) / 100).cast("long") + 1 - skipped
-    return ranked.withColumn("skipped", skipped).withColumn("tokens", F.expr("transform(shared, x -> x.token)")).filter(length > 0).select("cls", "skipped", F.slice("tokens", F.lit(1), length.cast("int")).alias("tokens"))
+    """(cls, skipped, tokens): the first shingles of each set that a link must share one of, in a common order, the
+    ``skipped`` before them being in no other set. The order is that of counts in 2**CELL_BITS cells, then of shingles:
+    whatever the counts say, no link is lost; the truer they are, the fewer classes share one of these shingles."""
+    got = sets.select("shingles").mapInArrow(_cell_counts, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most 2**CELL_BITS rows
+    counts = np.zeros(1 << CELL_BITS, np.uint32)
+    counts[got.column("cell").to_numpy()] = np.minimum(got.column("n").to_numpy(), 0xFFFFFFFF)
+    shipped = sets.sparkSession.sparkContext.broadcast(counts)
+    ranked = sets.select("cls", "shingles").mapInArrow(lambda it: _ranked(it, percent, shipped.value), "cls long, skipped long, tokens array<long>")
+    return ranked.filter(F.size("tokens") > 0)
 
 
 def _tasks(rows: DataFrame, roots: DataFrame, wide: int) -> DataFrame:
@@ -379,7 +400,7 @@ def _near_duplicates(docs: DataFrame, shingle: int, percent: int, trees: int, sm
     links = Staged(_confirmed(first.filter("a <> b"), sets, percent), "links").df
     roots = _connected(links, involved)
     prefixes = Staged(_prefixes(sets.join(crowded, "cls", "left_semi"), percent), "prefixes").df
-    for partners in (PARTNERS, None):
+    for partners in ROUNDS:
         more = _further(nodes, prefixes, sets.select("cls", "n", "fine"), roots, first, percent, partners)
         if more.isEmpty():
             continue
