@@ -11,7 +11,10 @@ blocks are joined to documents by that index. A quota is at most ``repeats`` pas
 and so no document, is taken more often.
 
 All draws are seeded by shard, source and pass: reruns, and retries of lost tasks, agree. Running
-positions are summed in two levels, so a source with a third of all rows isn't one task.
+positions are summed in two levels, so a source with a third of all rows isn't one task. Sources are
+rows of a table, however many there are: targets come from a level found by sums over them, and a
+shard's multinomial is drawn first over groups of ``GROUP`` sources and then within each, which is the
+same draw; only the groups' quotas reach the driver.
 
 Edge cases: null or wordless texts have size 0 and are never taken; the null source is one source,
 the last; an empty table gives no rows; repeated rows are separate documents; other columns pass
@@ -36,7 +39,7 @@ from recollect.llm.staging import Staged
 
 WEIGHTS, TOTAL, REPEATS = (3.0, 1.0, 2.0), 1.5, 2
 BLOCK_WORDS, SHARD_SLOTS, SEED = 64, 1 << 14, 20
-BUCKET_ROWS, MAX_SOURCES, TASK_SLOTS = 4096, 1_000_000, 250_000
+BUCKET_ROWS, GROUP, PIECE, TASK_SLOTS = 4096, 1024, 256, 250_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -82,29 +85,84 @@ def _running(df: DataFrame, group: str, bucket: str, order: list[str], value: st
     return inside.join(sums, [group, bucket]).withColumn(name, F.col("_before") + F.col("_inside")).drop("_before", "_inside")
 
 
-def _draws(batches: Iterator[pd.DataFrame], quota: np.ndarray, slots: int, shard_slots: int, seed: int) -> Iterator[pd.DataFrame]:
+def _numbered(found: DataFrame) -> DataFrame:
+    """found with ``src``, the place of each source in code-point order, null last: numbered range by range."""
+    order = [F.col("source").isNull(), F.col("source")]
+    at = Staged(found.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), "mix-order").df
+    ranges = sorted(at.groupBy(F.shiftright("at", 33).alias("part")).agg(F.count("*").alias("n")).collect())  # a row for each task
+    before, total = [F.lit(0).cast("long")], 0
+    for r in ranges:
+        before += [F.lit(r["part"]), F.lit(total).cast("long")]
+        total += r["n"]
+    if not ranges:
+        return at.withColumn("src", F.col("at")).drop("at")
+    offset = F.create_map(*before[1:])[F.shiftright("at", 33)]
+    return at.withColumn("src", offset + F.col("at").bitwiseAND((1 << 33) - 1)).drop("at")
+
+
+def _level(sources: DataFrame, total: float, repeats: float) -> float:
+    """The level of ``targets``, over sources (size, weight); infinite where all are full."""
+    sums = sources.agg(F.sum("size").alias("size"), F.sum("weight").alias("weight")).first()
+    level, full = total * (sums["size"] or 0) / (sums["weight"] or 1), -1
+    while True:
+        above = F.col("weight") * level > repeats * F.col("size")
+        now = sources.agg(F.count_if(above).alias("n"), F.sum(F.when(above, repeats * F.col("size"))).alias("taken"), F.sum(F.when(~above, F.col("weight"))).alias("open")).first()
+        if now["n"] == full or not now["open"]:
+            return level if now["open"] else math.inf
+        full, level = now["n"], (total * sums["size"] - (now["taken"] or 0)) / now["open"]
+
+
+def _group_draws(batches: Iterator[pd.DataFrame], quota: np.ndarray, slots: int, shard_slots: int, seed: int) -> Iterator[pd.DataFrame]:
+    """How many slots of each shard go to each group of sources."""
     for pdf in batches:
         for shard in pdf["id"]:
             n = min(shard_slots, slots - shard * shard_slots)
             counts = np.random.default_rng([seed, shard]).multinomial(n, quota / quota.sum())
             own = np.flatnonzero(counts)
-            yield pd.DataFrame({"shard": shard, "src": own, "slots": counts[own], "bucket": shard // BUCKET_ROWS})
-
-
-def _slots(batches: Iterator[pd.DataFrame], drawn: np.ndarray, quota: np.ndarray, n_blocks: np.ndarray, seed: int) -> Iterator[pd.DataFrame]:
-    """(src, block) of each slot; surplus slots go, in order, to the sources below their quota."""
-    surplus, lack = np.maximum(drawn - quota, 0), np.maximum(quota - drawn, 0)
-    surplus_from, lack_to = np.cumsum(surplus) - surplus, np.cumsum(lack)
+            yield pd.DataFrame({"shard": shard, "part": own, "n": counts[own], "lane": shard // BUCKET_ROWS})
+
+
+def _source_draws(draws: pd.DataFrame, sources: pd.DataFrame, seed: int) -> pd.DataFrame:
+    """How many of these go to each source: both draws together are one multinomial over all sources."""
+    out = [pd.DataFrame({"shard": [], "src": [], "slots": [], "bucket": []}, dtype="int64")]
+    sources = sources.sort_values("src")
+    share = sources["quota"].to_numpy() / sources["quota"].sum() if len(sources) else np.zeros(0)
+    for shard, part, n in zip(draws["shard"], draws["part"], draws["n"], strict=True):
+        counts = np.random.default_rng([seed, shard, part, 1]).multinomial(n, share)
+        own = np.flatnonzero(counts)
+        out.append(pd.DataFrame({"shard": shard, "src": sources["src"].to_numpy()[own], "slots": counts[own], "bucket": shard // BUCKET_ROWS}))
+    return pd.concat(out)
+
+
+def _runs(drawn: DataFrame, sources: DataFrame) -> DataFrame:
+    """(src, low, high): the ranks that sources take. Slots drawn beyond a source's quota pass, in order, to the sources
+    drawn too rarely; both are laid end to end and meet in pieces of ``PIECE`` slots."""
+    got = sources.join(drawn.groupBy("src").agg(F.sum("slots").alias("drawn")), "src", "left").fillna({"drawn": 0}).withColumns({"one": F.lit(0), "lane": F.expr(f"src div {GROUP}")})
+    got = got.withColumns({"over": F.greatest(F.col("drawn") - F.col("quota"), F.lit(0)), "under": F.greatest(F.col("quota") - F.col("drawn"), F.lit(0))}).select("src", "quota", "drawn", "over", "under", "one", "lane")
+    got = _running(_running(got, "one", "lane", ["src"], "over", "over_from"), "one", "lane", ["src"], "under", "under_from")
+    got = Staged(got.select("src", "quota", "drawn", "over", "under", "over_from", "under_from"), "mix-quotas").df
+    rows = _running(drawn, "src", "bucket", ["shard"], "slots", "start").select("src", "start", (F.col("start") + F.col("slots")).alias("end")).join(got, "src")
+    own = rows.select("src", F.col("start").alias("low"), F.least("end", "quota").alias("high")).filter("low < high")
+    pieces = lambda df: df.withColumn("piece", F.explode(F.expr(f"sequence(low div {PIECE}, (high - 1) div {PIECE})")))
+    shift = F.col("over_from") - F.col("quota")
+    spare = pieces(rows.filter("end > quota").select((F.greatest("start", "quota") + shift).alias("low"), (F.col("end") + shift).alias("high")))
+    lacking = pieces(got.filter("under > 0").select(F.col("src"), F.col("under_from").alias("low"), (F.col("under_from") + F.col("under")).alias("high"), (F.col("drawn") - F.col("under_from")).alias("shift")))
+    edge = lambda f, x, y: f(F.col(f"a.{x}"), F.col(f"b.{y}"))
+    met = spare.alias("a").join(lacking.alias("b"), F.col("a.piece") == F.col("b.piece"))
+    low = F.greatest(edge(F.greatest, "low", "low"), F.col("a.piece") * PIECE)
+    high = F.least(edge(F.least, "high", "high"), (F.col("a.piece") + 1) * PIECE)
+    passed = met.select(F.col("b.src").alias("src"), (low + F.col("b.shift")).alias("low"), (high + F.col("b.shift")).alias("high")).filter("low < high")
+    return own.unionByName(passed)
+
+
+def _slots(batches: Iterator[pd.DataFrame], seed: int) -> Iterator[pd.DataFrame]:
+    """(src, block) of each slot of the runs."""
     for pdf in batches:
-        for src, start, count in zip(pdf["src"], pdf["start"], pdf["slots"], strict=True):
-            k = np.arange(start, start + count)
-            q = k[k >= quota[src]] - quota[src] + surplus_from[src]
-            to = np.searchsorted(lack_to, q, "right")
-            parts = [(src, k[k < quota[src]])] + [(t, drawn[t] + q[to == t] - (lack_to[t] - lack[t])) for t in np.unique(to)]
-            for s, ranks in parts:
-                for once in np.unique(ranks // n_blocks[s]) if len(ranks) else ():
-                    own = ranks[ranks // n_blocks[s] == once] % n_blocks[s]
-                    yield pd.DataFrame({"src": s, "block": permuted(own, int(n_blocks[s]), seed * 1_000_003 + int(s) * 101 + int(once))})
+        for src, low, high, n in zip(pdf["src"], pdf["low"], pdf["high"], pdf["n_blocks"], strict=True):
+            ranks = np.arange(low, high)
+            for once in np.unique(ranks // n):
+                own = ranks[ranks // n == once] % n
+                yield pd.DataFrame({"src": src, "block": permuted(own, int(n), seed * 1_000_003 + int(src) * 101 + int(once))})
 
 
 def mix_plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float = TOTAL, repeats: int = REPEATS, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
@@ -114,31 +172,29 @@ def mix_plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.xxhash64(F.col("doc_id").cast("long"), "text", "source").alias("row_key"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")),
         "mix-sizes",
     ).df
-    found = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    found.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
-    size = [r["size"] for r in found]
-    target = targets(size, [weights[i % len(weights)] for i in range(len(size))], total, repeats)
-    n_blocks = np.array([-(-s // block_words) for s in size], np.int64)
-    quota = np.array([min(round(t / s * n), repeats * n) if s else 0 for t, s, n in zip(target, size, n_blocks, strict=True)], np.int64)
-    sources = spark.createDataFrame(
-        [(r["source"], i, int(s), float(t), max(1, r["n"] // BUCKET_ROWS)) for i, (r, s, t) in enumerate(zip(found, size, target, strict=True))],
-        T.StructType([T.StructField("name", T.StringType()), T.StructField("src", T.LongType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("buckets", T.LongType())]),
-    )
-    rows = sized.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("name"))).withColumn("bucket", F.pmod(F.xxhash64("row_key"), F.col("buckets")))
+    found = _numbered(sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")))
+    found = Staged(found.withColumn("weight", F.element_at(F.array(*map(F.lit, map(float, weights))), (F.col("src") % len(weights) + 1).cast("int"))), "mix-weights").df
+    level = _level(found, total, repeats)
+    most = (F.col("size") * repeats).cast("double")
+    sources = found.withColumns({"target": most if level == math.inf else F.least(most, F.col("weight") * level), "n_blocks": F.ceil(F.col("size") / block_words).cast("long"), "buckets": F.greatest(F.lit(1), F.expr(f"n div {BUCKET_ROWS}"))})
+    quota = F.when(F.col("size") > 0, F.least(F.bround(F.col("target") / F.col("size") * F.col("n_blocks")).cast("long"), F.col("n_blocks") * repeats)).otherwise(0)
+    sources = Staged(sources.select(F.col("source").alias("name"), "src", F.col("size").alias("source_size"), "target", "n_blocks", "buckets", quota.cast("long").alias("quota"), F.expr(f"src div {GROUP}").alias("part")), "mix-sources").df
+    rows = sized.join(sources.select("name", "src", "source_size", "target", "buckets"), F.col("source").eqNullSafe(F.col("name"))).withColumn("bucket", F.pmod(F.xxhash64("row_key"), F.col("buckets")))
     laid = _running(rows, "src", "bucket", ["row_key", "doc_id"], "size", "pos").select("doc_id", "row_key", "size", "src", "source_size", "target", "pos")
     laid = Staged(laid, "mix-laid").df
-    slots = int(quota.sum())
+    groups = sources.groupBy("part").agg(F.sum("quota").alias("q")).orderBy("part").toArrow()  # a row for each GROUP sources
+    of_group = groups.column("q").to_numpy().astype(np.int64) if groups.num_rows else np.zeros(0, np.int64)
+    slots = int(of_group.sum())
     if not slots:
         return laid.select("doc_id", "row_key", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), F.array().cast("array<struct<at:long,words:long,times:long>>").alias("pieces"))
-    drawn = Staged(spark.range(-(-slots // shard_slots)).mapInPandas(lambda it: _draws(it, quota, slots, shard_slots, seed), "shard long, src long, slots long, bucket long"), "mix-draws").df
-    got = np.zeros(len(size), np.int64)
-    for r in drawn.groupBy("src").agg(F.sum("slots").alias("n")).collect():
-        got[r["src"]] = r["n"]
+    shards = -(-slots // shard_slots)
+    draws = spark.range(shards).mapInPandas(lambda it: _group_draws(it, of_group, slots, shard_slots, seed), "shard long, part long, n long, lane long")
+    own = sources.filter("quota > 0").select("part", "src", "quota", F.explode(F.sequence(F.lit(0).cast("long"), F.lit((shards - 1) // BUCKET_ROWS).cast("long"))).alias("lane"))
+    drawn = draws.groupBy("part", "lane").cogroup(own.groupBy("part", "lane")).applyInPandas(lambda a, b: _source_draws(a, b, seed), "shard long, src long, slots long, bucket long")
+    runs = _runs(Staged(drawn, "mix-draws").df, sources.select("src", "quota")).join(sources.select("src", "n_blocks"), "src")
     taken = (
-        _running(drawn, "src", "bucket", ["shard"], "slots", "start").select("src", "start", "slots").repartition(min(20_000, max(1, slots // TASK_SLOTS)), "src", "start")
-        .mapInPandas(lambda it: _slots(it, got, quota, n_blocks, seed), "src long, block long").groupBy("src", "block").agg(F.count("*").alias("times"))
+        runs.repartition(min(20_000, max(1, slots // TASK_SLOTS)), "src", "low")
+        .mapInPandas(lambda it: _slots(it, seed), "src long, block long").groupBy("src", "block").agg(F.count("*").alias("times"))
     )
     pieces = (
         laid.filter("size > 0").withColumn("block", F.explode(F.sequence(F.expr(f"pos div {block_words}"), F.expr(f"(pos + size - 1) div {block_words}"))))

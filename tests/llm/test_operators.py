@@ -462,3 +462,57 @@ def test_pipeline(spark, sf_dir):
         assert not Counter(r.text.split()) - Counter(docs[r.doc_id].split())
     again = corpus_pipeline.run(spark, sf_dir).toPandas()
     assert rows(got) == rows(again)
+
+
+def test_levels_and_numbers_of_sources(spark):
+    """Targets, places and draws over a table of sources against the same over lists."""
+    from recollect.llm import mixing
+
+    rng = np.random.default_rng(12)
+    for n in (1, 5, 3000):
+        size = rng.integers(0, 400, n).tolist()
+        names = [f"s{i:05}é"[int(rng.integers(0, 2)) :] for i in range(n - 1)] + [None]
+        names = list(dict.fromkeys(names))
+        size = size[: len(names)]
+        found = mixing._numbered(spark.createDataFrame(list(zip(names, size, [1] * len(size), strict=True)), "source string, size long, n long"))
+        got = {r.source: r.src for r in found.collect()}
+        order = sorted(names, key=lambda x: (x is None, (x or "").encode()))
+        assert got == {x: i for i, x in enumerate(order)}
+        weighted = found.withColumn("weight", F.element_at(F.array(F.lit(3.0), F.lit(1.0), F.lit(2.0)), (F.col("src") % 3 + 1).cast("int")))
+        by = dict(zip(names, size, strict=True))
+        want = targets([by[x] for x in order], [(3, 1, 2)[i % 3] for i in range(len(order))], 1.5, 2)
+        level = mixing._level(weighted, 1.5, 2)
+        assert [min(2 * by[x], (3, 1, 2)[i % 3] * level) for i, x in enumerate(order)] == pytest.approx(want)
+
+
+def test_draws_beyond_a_quota_pass_on(spark):
+    """Every source takes the ranks 0 .. quota - 1, each once, whatever was drawn."""
+    from recollect.llm import mixing
+
+    rng = np.random.default_rng(13)
+    quota = rng.integers(0, 900, 40)
+    drawn, left = [], int(quota.sum())
+    for shard in range(60):
+        n = min(left, 400) if shard < 59 else left
+        for src, k in enumerate(rng.multinomial(n, np.full(40, 1 / 40))):
+            drawn.append((shard, src, int(k), shard // 7))
+        left -= n
+    rows = spark.createDataFrame([d for d in drawn if d[2]], "shard long, src long, slots long, bucket long")
+    ranks = {}
+    for r in mixing._runs(rows, spark.createDataFrame([(i, int(q)) for i, q in enumerate(quota)], "src long, quota long")).collect():
+        ranks.setdefault(r.src, []).extend(range(r.low, r.high))
+    assert {s: sorted(x) for s, x in ranks.items()} == {s: list(range(q)) for s, q in enumerate(quota) if q}
+
+
+def test_both_draws_are_one_multinomial():
+    """Draws over groups and then sources have the expectation of a draw over all sources."""
+    from recollect.llm import mixing
+
+    quota, groups = np.arange(1, 13), np.array([1 + 2 + 3 + 4, 5 + 6 + 7 + 8, 9 + 10 + 11 + 12])
+    draws = pd.concat(mixing._group_draws(iter([pd.DataFrame({"id": range(300)})]), groups, 300 * 64, 64, 7))
+    counts = np.zeros(12)
+    for g in range(3):
+        sources = pd.DataFrame({"src": range(4 * g, 4 * g + 4), "quota": quota[4 * g : 4 * g + 4]})
+        out = mixing._source_draws(draws[draws["part"] == g], sources, 7)
+        counts += np.bincount(out["src"].astype(int), out["slots"], 12)
+    assert counts.sum() == 300 * 64 and np.abs(counts - 300 * 64 * quota / 78).max() < 4 * np.sqrt(300 * 64 / 12)
