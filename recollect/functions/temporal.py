@@ -204,6 +204,42 @@ _TOKEN = re.compile(r"[\w\u0300-\u036F\u0640\u0E00-\u0E7F]+(?:[-/.][\w\u0640\u0E
 _NUMERIC = re.compile(r"(\d+)[-/.](\d+)[-/.](\d+)$")
 
 
+# --- Fixed values: what requests may call things that a locale declares ---
+ARABIC = ("ar", "arabic")
+WEEK_NAMES = {"sunday": "sunday", "sun": "sunday", "saturday": "saturday", "sat": "saturday"}
+ORDER_NAMES = {"month_first": "month_first", "mdy": "month_first", "us": "month_first", "day_first": "day_first", "dmy": "day_first"}
+CALENDAR_NAMES = {
+    "buddhist": "buddhist", "be": "buddhist", "thai": "buddhist", "minguo": "minguo", "roc": "minguo", "taiwan": "minguo", "hijri": "hijri", "islamic": "hijri", "umalqura": "hijri",
+    "jalali": "jalali", "persian": "jalali", "solar_hijri": "jalali", "reiwa": "reiwa", "heisei": "heisei", "showa": "showa", "taisho": "taisho", "meiji": "meiji",
+}
+# --- End of fixed values ---
+
+
+def declared(body: dict) -> Locale:
+    """The locale of a request: what it doesn't declare, or calls by an unknown name, keeps its default (Arabic's week
+    starts on Saturday and its dates put the day first); a given week start that isn't listed is Monday."""
+    arabic = body.get("language") in ARABIC
+    week = body.get("week_start")
+    return Locale(
+        "ar" if arabic else "en", WEEK_NAMES.get(week, "monday") if isinstance(week, str) else "saturday" if arabic else "monday",
+        ORDER_NAMES.get(body.get("date_order"), "day_first" if arabic else None), CALENDAR_NAMES.get(body.get("calendar"), "gregorian"),
+    )
+
+
+def declared_locale(body: Column) -> Column:
+    """``declared`` of JSON texts, as a struct of the locale's fields."""
+
+    def named(field: str, names: dict[str, str], otherwise: Column) -> Column:
+        return F.coalesce(F.create_map(*(F.lit(x) for pair in names.items() for x in pair))[F.get_json_object(body, f"$.{field}")], otherwise)
+
+    arabic = F.coalesce(F.get_json_object(body, "$.language").isin(*ARABIC), F.lit(False))
+    week = F.when(F.get_json_object(body, "$.week_start").isNull() & arabic, "saturday").otherwise("monday")
+    return F.struct(
+        F.when(arabic, "ar").otherwise("en").alias("language"), named("week_start", WEEK_NAMES, week).alias("week_start"),
+        named("date_order", ORDER_NAMES, F.when(arabic, "day_first")).alias("date_order"), named("calendar", CALENDAR_NAMES, F.lit("gregorian")).alias("calendar"),
+    )
+
+
 #: Words that an English mention without digits begins with.
 EN_BEGINNINGS = {*MONTHS, *COUNTS, "yesterday", "today", "tonight", "tomorrow", "last", "this", "next"}
 

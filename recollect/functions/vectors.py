@@ -283,6 +283,7 @@ class FixedEncoder:
 
     def __init__(self, dim: int, reps: int = 8, bits: int = 4, width: int = 16, seed: int = 20):
         rng = np.random.default_rng([seed, dim])
+        self.dim = dim
         self.planes = rng.normal(size=(reps, bits, dim))
         self.project = None if width >= dim else rng.choice([-1.0, 1.0], size=(reps, width, dim)) / np.sqrt(width)
         self.buckets = 1 << bits

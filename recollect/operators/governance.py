@@ -52,9 +52,21 @@ def expired(records: DataFrame, policies: DataFrame, now: Column) -> DataFrame:
 
 
 def rate_flags(events: DataFrame, key: str, at: str, seconds: int, count: int) -> DataFrame:
-    """Events with at least ``count`` others of their key in the ``seconds`` before them."""
-    w = Window.partitionBy(key).orderBy(F.col(at).cast("timestamp").cast("long")).rangeBetween(-seconds, 0)
-    return events.withColumn("recent", F.count("*").over(w) - 1).withColumn("flagged", F.col("recent") >= count)
+    """Events with at least ``count`` others of their key in the ``seconds`` before them. A key's time is cut into spans
+    of that length, and each span counts its events and those of the span before, so a busy key is many tasks."""
+    t = F.col(at).cast("timestamp").cast("long")
+    spans = F.explode(F.array(F.struct(F.lit(False).alias("before"), F.floor(t / seconds).alias("span")), F.struct(F.lit(True).alias("before"), (F.floor(t / seconds) + 1).alias("span"))))
+    w = Window.partitionBy(key, "_s.span").orderBy(t).rangeBetween(-seconds, 0)
+    counted = events.withColumn("_s", spans).withColumn("recent", F.count("*").over(w) - 1)
+    return counted.filter("not _s.before").drop("_s").withColumn("flagged", F.col("recent") >= count)
+
+
+def sampling_caps(rows: DataFrame, want: int, divisor: int = 8) -> DataFrame:
+    """One row: wings, agents, and how many of ``want`` sampled rows one wing and one agent may give: an even split over
+    as many groups as there are, ``divisor`` at most."""
+    one = rows.agg(F.countDistinct("wing").alias("wings"), F.countDistinct("agent").alias("agents"))
+    cap = lambda n: F.ceil(F.lit(want) / F.least(F.lit(divisor), F.greatest(n, F.lit(1))))
+    return one.select("wings", "agents", cap(F.col("wings")).alias("wing_cap"), F.when(F.col("agents") > 0, cap(F.col("agents"))).alias("agent_cap"))
 
 
 def diverted(records: DataFrame, signals: Column, rate: Column | None = None, trusted: Column | None = None) -> DataFrame:

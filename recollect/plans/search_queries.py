@@ -9,8 +9,10 @@ from pyspark.sql.window import Window
 
 from recollect.functions import text as X
 from recollect.functions import vectors as V
+from recollect.operators import late as L
 from recollect.operators import search as S
 from recollect.operators.index import SearchIndex
+from recollect.operators.vector_index import VectorIndex
 from recollect.plans.registry import ORACLES, query
 from recollect.sources import work as W
 from recollect.sources.tables import table
@@ -287,6 +289,34 @@ def q_ivf_probe(spark, sf_dir):
     return hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).filter("rank <= 5").select("query_id", "id", "score", "rank")
 
 
+@query()
+def q_stored_vectors(spark, sf_dir):
+    """A stored index of two thirds of the vectors, the rest added, which makes it fit itself anew; then searched by every
+    row whose id is divisible by 20."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    index = VectorIndex(spark, W.fresh(spark, "vector-index"))
+    index.build(e.filter("id % 3 = 0"))
+    index.add(e.filter("id % 3 <> 0"))
+    return index.search(e.filter("id % 20 = 0"), 10, len(index.centre) * 4 // 5)
+
+
+_LATE = """WITH r AS (SELECT vec_id, vec_id // 10 AS doc, embedding::DOUBLE[] AS e, list_max(list_transform(embedding, lambda y: abs(y::DOUBLE))) / 127 AS scale FROM embeddings),
+d AS (SELECT q.vec_id AS q, r.doc, max(list_inner_product(q.e, list_transform(r.e, lambda x: floor(abs(x) / r.scale + 0.5) * sign(x) * r.scale))) AS best FROM r JOIN r q ON q.doc = 0 GROUP BY q.vec_id, r.doc),
+s AS (SELECT doc AS id, greatest(0.0, least(1.0, (sum(best) / count(*) + 1) / 2)) AS late FROM d GROUP BY doc)
+SELECT id, late, CAST(row_number() OVER (ORDER BY late DESC, id) AS INTEGER) AS rank FROM s QUALIFY rank <= 10"""
+
+
+@query(_LATE)
+def q_late_search(spark, sf_dir):
+    """Late interaction over stored artifacts, half of them made up after the others; the pool takes every record."""
+    encoder, m = V.FixedEncoder(64), _matrices(spark, sf_dir).withColumnRenamed("doc", "id")
+    path = W.fresh(spark, "token-artifacts")
+    L.artifacts(m.filter("id % 2 = 0"), encoder).write.parquet(path)
+    L.artifacts(L.missing(m, spark.read.parquet(path)), encoder).write.mode("append").parquet(path)
+    query = np.stack(m.orderBy("id").first()["rows"]).astype(float)
+    return L.search(spark.read.parquet(path), query, encoder, 10, 1 << 30)
+
+
 @query()
 def q_fde(spark, sf_dir):
     """Fixed-dimensional encodings of token matrices: their inner product with that of the first, beside the exact score."""

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from recollect.functions import extraction as N
 from recollect.functions import hashing as H
+from recollect.functions import temporal as D
 from recollect.functions import text as X
 from recollect.functions import vectors as V
 from recollect.operators import facts as K
@@ -287,3 +289,42 @@ def q_keyed_chain(spark, sf_dir):
     a = table(spark, sf_dir, "events").select(F.col("user_id").alias("chain"), F.col("event_id").alias("seq"), F.sha2(F.col("event_id").cast("string"), 256).alias("tag"))
     heads = G.chain_heads(a, _KEY).groupBy("chain").agg(F.min_by(F.struct("seq", "head"), "seq").alias("h"))
     return heads.select(F.col("chain").cast("long").alias("chain"), "h.seq", "h.head")
+
+
+@query("SELECT count(DISTINCT lang) AS wings, count(DISTINCT source) AS agents, CAST(ceil(1000.0 / least(8, count(DISTINCT lang))) AS BIGINT) AS wing_cap, CAST(ceil(1000.0 / least(8, count(DISTINCT source))) AS BIGINT) AS agent_cap FROM documents")
+def q_sampling_caps(spark, sf_dir):
+    """How many of a thousand sampled records one wing and one agent may give."""
+    return G.sampling_caps(table(spark, sf_dir, "documents").select(F.col("lang").alias("wing"), F.col("source").alias("agent")), 1000)
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'ar' ELSE 'en' END AS language, CASE event_id % 5 WHEN 0 THEN 'sunday' WHEN 1 THEN 'saturday' WHEN 2 THEN 'monday' ELSE CASE WHEN event_id % 3 = 0 THEN 'saturday' ELSE 'monday' END END AS week_start,
+CASE event_id % 4 WHEN 0 THEN 'month_first' WHEN 1 THEN 'day_first' ELSE CASE WHEN event_id % 3 = 0 THEN 'day_first' END END AS date_order, CASE event_id % 7 WHEN 0 THEN 'buddhist' WHEN 1 THEN 'hijri' WHEN 2 THEN 'showa' ELSE 'gregorian' END AS calendar FROM events""")
+def q_locale(spark, sf_dir):
+    """Locales that requests declare, by any of their names, partly or wrongly."""
+    k = F.col("event_id")
+    given = F.map_filter(F.create_map(
+        F.lit("language"), F.when(k % 3 == 0, F.when(k % 2 == 0, "ar").otherwise("arabic")).when(k % 3 == 1, "xx"),
+        F.lit("week_start"), F.when(k % 5 == 0, "sun").when(k % 5 == 1, "saturday").when(k % 5 == 2, "friday"),
+        F.lit("date_order"), F.when(k % 4 == 0, "us").when(k % 4 == 1, "dmy").when(k % 4 == 2, "ymd"),
+        F.lit("calendar"), F.when(k % 7 == 0, "thai").when(k % 7 == 1, "umalqura").when(k % 7 == 2, "showa").when(k % 7 == 3, "mayan"),
+    ), lambda _, v: v.isNotNull())
+    return table(spark, sf_dir, "events").select("event_id", D.declared_locale(F.to_json(given)).alias("x")).select("event_id", "x.*")
+
+
+_ANSWER = "(SELECT o_orderkey, o_custkey, o_orderstatus, 'c' || o_custkey || ' moved yesterday, status ' || o_orderstatus || ' was set' AS text, CAST(o_orderdate AS DATE) AS day FROM orders)"
+
+
+@query(f"""SELECT o_orderkey, 'c' || o_custkey AS subject, 'status' AS predicate, o_orderstatus AS object, CASE WHEN o_orderkey % 2 = 0 THEN strftime(day - 1, '%Y-%m-%d') END AS valid_from,
+CASE WHEN o_orderkey % 3 = 0 THEN CAST(strlen('c' || o_custkey || ' moved yesterday, ') AS BIGINT) END AS at, 'unknown' AS kind, 'durable fact' AS label FROM {_ANSWER}""")
+def q_model_output(spark, sf_dir):
+    """Triples, memories and labels read from chatty answers, some cut off, with dates and quotes only where the text has them."""
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    who, status = F.concat(F.lit("c"), F.col("o_custkey").cast("string")), F.col("o_orderstatus")
+    text = F.concat(who, F.lit(" moved yesterday, status "), status, F.lit(" was set"))
+    when = F.when(k % 2 == 0, "yesterday").otherwise("last month")
+    quote = F.when(k % 3 == 0, F.concat(F.lit("status "), status)).otherwise("never said")
+    one = F.to_json(F.struct(who.alias("subject"), F.lit("status").alias("predicate"), status.alias("object"), when.alias("when"), quote.alias("quote")))
+    answer = F.concat(F.lit("Here you are:\n```json\n["), one, F.lit(', {"subject": "x", "object": "y"}, {"content": "kept", "n": 1}, {"subject": "cut'))
+    rows = o.select("o_orderkey", text.alias("text"), F.to_date("o_orderdate").alias("day"), N.triples(answer).alias("t"), N.memories(answer).alias("m"), N.label(F.lit("I say: a Durable Fact, not an event"), ["event", "durable", "durable fact"]).alias("label"))
+    rows = rows.filter((F.size("t") == 1) & (F.size("m") == 1)).withColumn("g", N.grounded(F.col("t")[0], F.col("text"), F.col("day")))
+    return rows.select("o_orderkey", "g.subject", "g.predicate", "g.object", "g.valid_from", F.col("g.support.offset").alias("at"), F.col("m")[0]["type"].alias("kind"), "label")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from recollect.functions import hashing as H
@@ -11,6 +9,7 @@ from recollect.functions import text as X
 from recollect.operators import records as R
 from recollect.plans.registry import query
 from recollect.sources import files
+from recollect.sources import work as W
 from recollect.sources.tables import table
 from recollect.streaming import pipelines as P
 
@@ -60,20 +59,16 @@ def _events(spark, sf_dir):
     return P.stream(spark, folder, static.schema).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _name(label: str) -> str:
-    return f"{label}_{uuid.uuid4().hex[:8]}"
-
-
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY ALL")
 def q_stream_tumbling(spark, sf_dir):
     """Daily counts, computed as a stream."""
-    return P.once(P.tumbling(_events(spark, sf_dir), "ts", "1 day", "40 days", "event_type"), _name("tumbling"), "complete")
+    return P.once(P.tumbling(_events(spark, sf_dir), "ts", "1 day", "40 days", "event_type"), "complete")
 
 
 @query("SELECT w AS start, event_type, count(*) AS n, sum(value) AS total FROM (SELECT *, unnest([time_bucket(INTERVAL 12 HOUR, ts), time_bucket(INTERVAL 12 HOUR, ts) - INTERVAL 12 HOUR]) AS w FROM events) GROUP BY ALL")
 def q_stream_sliding(spark, sf_dir):
     """Days sliding by half, computed as a stream."""
-    return P.once(P.tumbling(_events(spark, sf_dir), "ts", "24 hours", "40 days", "event_type", slide="12 hours"), _name("sliding"), "complete")
+    return P.once(P.tumbling(_events(spark, sf_dir), "ts", "24 hours", "40 days", "event_type", slide="12 hours"), "complete")
 
 
 @query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL THEN 1 ELSE 0 END AS n FROM events),
@@ -87,11 +82,37 @@ def q_event_sessions(spark, sf_dir):
 @query("SELECT date_trunc('minute', ts) AS minute, event_type, count(*) AS n FROM events GROUP BY ALL HAVING count(*) > 1")
 def q_stream_rate_limit(spark, sf_dir):
     """Minutes with more requests than allowed, computed as a stream."""
-    return P.once(P.rate_limited(_events(spark, sf_dir), "ts", "event_type", 1), _name("rate"), "complete")
+    return P.once(P.rate_limited(_events(spark, sf_dir), "ts", "event_type", 1), "complete")
 
 
 @query("""WITH r AS (SELECT event_type, epoch_us(ts) AS t, value, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, value DESC) AS i FROM events)
 SELECT event_type AS key, count(*) AS n, min(t) AS first_us, max(t) AS last_us, avg(value) AS mean FROM r WHERE i <= 50 GROUP BY event_type""")
 def q_stream_ring(spark, sf_dir):
     """The last samples of each event type, kept as state."""
-    return P.once(P.ring(_events(spark, sf_dir).select("event_type", "ts", "value"), "event_type", 50), _name("ring"), "update")
+    return P.once(P.ring(_events(spark, sf_dir).select("event_type", "ts", "value"), "event_type", 50), "update", "key")
+
+
+def _messages(spark, sf_dir):
+    """Conversation turns as messages that arrive by conversation."""
+    c = table(spark, sf_dir, "conversations").select(F.col("text").alias("content"), F.timestamp_seconds(F.lit(1714550400) + F.col("conv_id")).alias("ts"))
+    path = W.fresh(spark, "messages")
+    c.repartition(5).write.parquet(path)
+    return P.stream(spark, path, c.schema, 2)
+
+
+@query("SELECT DISTINCT nfc_normalize(text) AS content FROM conversations")
+def q_stream_sweep(spark, sf_dir):
+    """Messages swept as files arrive, each text once."""
+    swept = P.once(P.sweep(_messages(spark, sf_dir), delay="60 days"))
+    return swept.select(X.match_key(F.col("content")).alias("content"))
+
+
+@query("SELECT count(*) AS n_rows, count(DISTINCT text) AS texts, true AS few FROM conversations")
+def q_stream_compaction(spark, sf_dir):
+    """Arriving batches folded into files of 256 rows at most; a second run finds nothing new and adds nothing."""
+    source, path = _messages(spark, sf_dir), W.fresh(spark, "folded")
+    for _ in range(2):
+        P.compacted(source, path, 256, f"{path}-state").awaitTermination()
+    folded = spark.read.parquet(path).select("content", F.input_file_name().alias("file"))
+    most = folded.groupBy("file").agg(F.count("*").alias("n")).agg((F.max("n") <= 256).alias("few"))
+    return folded.agg(F.count("*").alias("n_rows"), F.countDistinct("content").alias("texts")).crossJoin(most)  # one row each

@@ -82,7 +82,16 @@ def q_chunks(spark, sf_dir):
     return rows.select(H.drawer_id(F.col("lang"), F.col("source"), source, F.col("chunk_index")).alias("id"), "doc_id", "chunk_index", F.octet_length("content").alias("bytes"), "content")
 
 
-@query()
+_STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(X.ENTITY_STOPWORDS))
+
+
+@query(rf"""WITH s AS (SELECT doc_id, unnest(p) AS sentence, unnest(range(len(p))) AS i FROM (SELECT doc_id, regexp_split_to_array(text, '[.!?\n]') AS p FROM documents)),
+w AS (SELECT doc_id, i, unnest(p) AS raw, unnest(range(len(p))) AS j FROM (SELECT doc_id, i, regexp_split_to_array(regexp_replace(sentence, '^\s+|\s+$', '', 'g'), '\s+') AS p FROM s)),
+c AS (SELECT doc_id, i, j, regexp_replace(raw, '[^\p{{L}}\p{{N}}''-]', '', 'g') AS w FROM w),
+k AS (SELECT * FROM c WHERE regexp_matches(w, '^\p{{Lu}}.*\p{{Ll}}') AND lower(w) NOT IN ({_STOP})),
+g AS (SELECT *, j - row_number() OVER (PARTITION BY doc_id, i ORDER BY j) AS run FROM k),
+r AS (SELECT doc_id, lower(string_agg(w, ' ' ORDER BY j)) AS name FROM g GROUP BY doc_id, i, run HAVING count(*) > 1 OR min(j) > 0)
+SELECT d.doc_id, coalesce(list_sort(list(DISTINCT name) FILTER (name IS NOT NULL)), []) AS entities FROM documents d LEFT JOIN r USING (doc_id) GROUP BY d.doc_id""")
 def q_entities(spark, sf_dir):
     """Entity names of each document."""
     return _docs(spark, sf_dir).select("doc_id", X.entities(F.col("text")).alias("entities"))

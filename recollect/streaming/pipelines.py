@@ -7,10 +7,12 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from recollect.functions import hashing as H
 from recollect.functions import text as X
+from recollect.sources import work as W
 
 
 def stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 1000) -> DataFrame:
@@ -18,10 +20,24 @@ def stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 1000
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def once(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over all that is there now and gives the table it filled (for tests and small results)."""
-    df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return df.sparkSession.table(name)
+def once(df: DataFrame, mode: str = "append", key: str | None = None) -> DataFrame:
+    """Runs a stream over all that is there now and gives what it wrote to the shared folder: every batch's rows
+    (append), the last batch (complete), or each key's rows of the last batch that had it (update)."""
+    spark = df.sparkSession
+    path = W.fresh(spark, "stream")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start().awaitTermination()
+    if not W.names(spark, path):
+        return spark.createDataFrame([], df.schema)
+    rows = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("batch", T.LongType())])).parquet(path)
+    if mode == "complete":
+        rows = rows.filter(F.col("batch") == rows.agg(F.max("batch")).first()[0])
+    elif mode == "update":
+        rows = rows.join(rows.groupBy(F.col(key).alias("_key")).agg(F.max("batch").alias("_last")), (F.col(key) == F.col("_key")) & (F.col("batch") == F.col("_last"))).drop("_key", "_last")
+    return rows.drop("batch")
 
 
 def sweep(messages: DataFrame, at: str = "ts", delay: str = "1 day") -> DataFrame:

@@ -114,6 +114,26 @@ def test_long_chain_is_one_fold(spark):
     assert {r.seq: r.head for r in heads.filter("chain = 'b'").collect()} == {i: want[i] for i in range(3)}
 
 
+def test_updates_keep_the_last_batch_of_a_key(spark, tmp_path):
+    rows = [("a", "2024-01-01 00:00:00", 1.0), ("b", "2024-01-01 02:00:00", 3.0), ("a", "2024-01-01 01:00:00", 2.0)]
+    for i, r in enumerate(rows):
+        spark.createDataFrame([r], "event_type string, ts string, value double").withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.parquet(str(tmp_path / f"in{i}"))
+        spark.read.parquet(str(tmp_path / f"in{i}")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = P.stream(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema, 1)
+    assert sorted((r.key, r.n, r.mean) for r in P.once(P.ring(source, "event_type", 5), "update", "key").collect()) == [("a", 2, 1.5), ("b", 1, 3.0)]
+    assert P.once(source.filter("value > 9")).count() == 0
+
+
+def test_rates_of_a_busy_key(spark):
+    """Counts over spans are those of one window over the key."""
+    rng = np.random.default_rng(4)
+    rows = [(int(k), int(t)) for k, t in zip(rng.integers(0, 2, 400), rng.integers(0, 3000, 400), strict=True)]
+    events = spark.createDataFrame(rows, "k long, t long").withColumn("at", F.timestamp_seconds("t"))
+    got = sorted((r.k, r.t, r.recent, r.flagged) for r in G.rate_flags(events, "k", "at", 100, 5).collect())
+    want = sorted((k, t, n := sum(a == k and t - 100 <= b <= t for a, b in rows) - 1, n >= 5) for k, t in rows)
+    assert got == want
+
+
 def test_snapshots(spark):
     stamps = spark.createDataFrame([(f"2024-{m:02}",) for m in range(1, 13)], "stamp string")
     assert sorted(r.stamp for r in files.surplus_snapshots(stamps).collect()) == ["2024-01", "2024-02"]
@@ -123,7 +143,7 @@ def test_streams(spark, tmp_path):
     rows = spark.createDataFrame([("a", "2024-01-01 00:00:00", 1.0), ("a", "2024-01-01 01:00:00", 2.0), ("b", "2024-01-01 02:00:00", 3.0)], "content string, ts string, value double").withColumn("ts", F.to_timestamp("ts"))
     rows.write.parquet(str(tmp_path / "in"))
     source = P.stream(spark, str(tmp_path / "in"), rows.schema)
-    assert P.once(P.sweep(source), "swept").count() == 2
+    assert P.once(P.sweep(source)).count() == 2
     query = P.compacted(P.stream(spark, str(tmp_path / "in"), rows.schema), str(tmp_path / "out"), checkpoint=str(tmp_path / "check"))
     query.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3

@@ -13,6 +13,7 @@ from recollect.functions import temporal as D
 from recollect.functions import text as X
 from recollect.functions import vectors as V
 from recollect.operators import search as S
+from recollect.operators.vector_index import VectorIndex
 from recollect.plans import registry, search_queries
 from recollect.sources.tables import table
 from verify_local import TABLES, rows
@@ -59,7 +60,7 @@ def _plain_neighbours(sf_dir, k):
     return out
 
 
-@pytest.mark.parametrize("name, k", [("q_pq_search", 10), ("q_ivf_probe", 5)])
+@pytest.mark.parametrize("name, k", [("q_pq_search", 10), ("q_ivf_probe", 5), ("q_stored_vectors", 10)])
 def test_approximate_search(spark, sf_dir, name, k):
     got, want = registry.QUERIES[name](spark, sf_dir).toPandas(), _plain_neighbours(sf_dir, 10**6)
     assert set(got["query_id"]) == set(want) and (got.groupby("query_id").size() == k).all()
@@ -69,6 +70,17 @@ def test_approximate_search(spark, sf_dir, name, k):
     assert hits / len(got) >= 0.9
 
 
+def test_lists_grow_until_they_are_fitted_anew(spark, sf_dir, tmp_path):
+    e = table(spark, sf_dir, "embeddings").selectExpr("vec_id AS id", "embedding")
+    index = VectorIndex(spark, str(tmp_path / "index"))
+    index.build(e.filter("id < 300"), 16)
+    assert not index.add(e.filter("id >= 300 and id < 400")) and index.entries().count() == 400
+    assert index.add(e.filter("id >= 400")) and index.entries().count() == 500 == index.trained
+    want = _plain_neighbours(sf_dir, 6)
+    got = index.search(e.filter("id % 20 = 0"), 6, len(index.centre), 10**6).toPandas().sort_values("rank")
+    assert {q: list(own["id"]) for q, own in got.groupby("query_id")} == {q: list(w) for q, w in want.items()}
+
+
 def test_pages_of_neighbours(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").selectExpr("vec_id AS id", "embedding")
     got = S.nearest(e.filter("id % 20 = 0"), e, 7, page=9).toPandas().sort_values("rank")
@@ -124,7 +136,22 @@ def test_mined_records_against_the_functions(spark, sf_dir):
             want.append((f"doc-{r.doc_id}.txt", i, c, tuple(X.find_entities(c)), tuple(m["text"] for m in D.found_mentions(c, dt.date(2024, 5, 1), D.Locale()))))
     have = [(r.source, r.chunk_index, r.content, tuple(r.entities), tuple(m["text"] for m in r.time_mentions)) for r in got.itertuples()]
     assert sorted(have) == sorted(want)
-    assert sorted(map(tuple, registry.QUERIES["q_entities"](spark, sf_dir).toPandas().astype(str).to_numpy().tolist()))
+
+
+def test_chunks_cover_their_texts(spark, sf_dir):
+    """Of every document: chunks numbered on, within their size, in order, and nothing left out between them."""
+    got = registry.QUERIES["q_chunks"](spark, sf_dir).toPandas().sort_values(["doc_id", "chunk_index"])
+    docs = pd.read_parquet(f"{sf_dir}/documents.parquet").set_index("doc_id")["text"]
+    assert got["id"].is_unique and (got["bytes"] <= 800 + 52).all()
+    for i, own in got.groupby("doc_id"):
+        body, end = X.tidied(docs[i]).strip().encode(), 0
+        assert own["chunk_index"].tolist() == list(range(len(own)))
+        for content in own["content"]:
+            for piece in filter(None, (p.strip().encode() for p in content.split("\n\n"))):
+                at = body.find(piece, max(0, end - 110))
+                assert 0 <= at and not body[end:at].strip()
+                end = max(end, at + len(piece))
+        assert end == len(body)
 
 
 def test_screen_against_the_functions(spark, sf_dir):
