@@ -9,7 +9,7 @@ import unicodedata
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -146,8 +146,23 @@ def valid_at(valid_from: Column, valid_to: Column, at: Column | None) -> Column:
     return valid_to.isNull() if at is None else (F.coalesce(valid_from, F.lit("")) <= at) & (valid_to.isNull() | (valid_to > at))
 
 
-def to_gregorian(name: str, y: int, m: int, d: int) -> dt.date | None:
-    """The Gregorian date of (y, m, d) in a calendar; Hijri by the tabular rule, Jalali by the 33-year rule."""
+CIVIL_YEARS = (1300, 1600)
+_civil: list[int] = []
+
+
+def civil_months() -> list[int]:
+    """First days (as ordinals) of the lunar months of ``CIVIL_YEARS`` in the civil calendar that the JVM knows; read once
+    a session. Nothing without a session."""
+    session = SparkSession.getActiveSession()
+    if not _civil and session is not None:
+        date = session._jvm.java.time.chrono.HijrahDate
+        _civil.extend(719_163 + date.of(y, m, 1).toEpochDay() for y in range(*CIVIL_YEARS) for m in range(1, 13))
+    return _civil
+
+
+def to_gregorian(name: str, y: int, m: int, d: int, civil: list[int] | tuple = ()) -> dt.date | None:
+    """The Gregorian date of (y, m, d) in a calendar; Hijri by the civil months, by the tabular rule outside them, Jalali
+    by the 33-year rule."""
     try:
         if name in SHIFTS:
             day = dt.date(y + SHIFTS[name], m, d)
@@ -156,6 +171,9 @@ def to_gregorian(name: str, y: int, m: int, d: int) -> dt.date | None:
         if not 1 <= m <= 12 or not 1 <= d <= (30 if name == "hijri" else 31):
             return None
         if name == "hijri":
+            month = (y - CIVIL_YEARS[0]) * 12 + m - 1
+            if 0 <= month < len(civil) - 1:
+                return dt.date.fromordinal(civil[month] + d - 1) if civil[month] + d - 1 < civil[month + 1] else None
             return dt.date.fromordinal(227014 + (y - 1) * 354 + (3 + 11 * y) // 30 + 29 * (m - 1) + m // 2 + d)
         return dt.date.fromordinal(226894 + 365 * (y - 1) + (8 * y + 21) // 33 + (31 * (m - 1) if m <= 7 else 30 * (m - 1) + 6) + d)
     except (ValueError, OverflowError):
@@ -247,8 +265,8 @@ EN_BEGINNINGS = {*MONTHS, *COUNTS, "yesterday", "today", "tonight", "tomorrow",
 class Scanner:
     """Date mentions of one text: (text, kind, resolved, resolved_end, byte offset)."""
 
-    def __init__(self, text: str, anchor_day: dt.date | None, locale: Locale):
-        self.text, self.day, self.locale = text, anchor_day, locale
+    def __init__(self, text: str, anchor_day: dt.date | None, locale: Locale, civil: list[int] | tuple = ()):
+        self.text, self.day, self.locale, self.civil = text, anchor_day, locale, civil
         self.start = WEEK_STARTS[locale.week_start]
         self.tokens = [(m.start(), m.end(), m.group()) for m in _TOKEN.finditer(text)]
         self.low = [t[2].lower() for t in self.tokens]
@@ -271,7 +289,7 @@ class Scanner:
         return seen.pop() if len(seen) == 1 else None
 
     def _read(self, cal: str, y: int, m: int, d: int) -> dt.date | None:
-        return to_gregorian(cal, y, m, d) if cal != "gregorian" or 1000 <= y <= 9999 else None
+        return to_gregorian(cal, y, m, d, self.civil) if cal != "gregorian" or 1000 <= y <= 9999 else None
 
     def _numeric(self, i: int) -> tuple[int, int, tuple | None] | None:
         """(first token, last token, period or None) of a date in digits, or a year with an era."""
@@ -291,9 +309,9 @@ class Scanner:
             return (first, last, (day, day)) if day else None
         year = _digits(word)
         if year is not None and (era_before or era_after):
-            one = to_gregorian(cal, year, 7, 1) or to_gregorian(cal, year, 1, 1)
+            one = to_gregorian(cal, year, 7, 1, self.civil) or to_gregorian(cal, year, 1, 1, self.civil)
             if cal in ("hijri", "jalali"):
-                lo, hi = to_gregorian(cal, year, 1, 1), to_gregorian(cal, year + 1, 1, 1)
+                lo, hi = to_gregorian(cal, year, 1, 1, self.civil), to_gregorian(cal, year + 1, 1, 1, self.civil)
                 return first, last, (lo, hi - dt.timedelta(days=1)) if lo and hi else None
             return first, last, (one.replace(month=1, day=1), one.replace(month=12, day=31)) if one else None
         return None
@@ -405,17 +423,18 @@ class Scanner:
 MENTION = T.ArrayType(T.StructType([T.StructField(n, t) for n, t in (("text", T.StringType()), ("kind", T.StringType()), ("resolved", T.StringType()), ("resolved_end", T.StringType()), ("offset", T.LongType()))]))
 
 
-def found_mentions(text: str, day: dt.date | None, locale: Locale) -> list[dict]:
+def found_mentions(text: str, day: dt.date | None, locale: Locale, civil: list[int] | tuple = ()) -> list[dict]:
     """The date mentions of one text."""
-    return [dict(zip(("text", "kind", "resolved", "resolved_end", "offset"), m, strict=True)) for m in Scanner(text, day, locale).mentions()]
+    return [dict(zip(("text", "kind", "resolved", "resolved_end", "offset"), m, strict=True)) for m in Scanner(text, day, locale, civil).mentions()]
 
 
 def mentions(locale: Locale = Locale()):
     """An Arrow UDF of (text, anchor date): the text's date mentions under a locale."""
+    civil = list(civil_months())
 
     @F.pandas_udf(MENTION)
     def scan(text: pd.Series, day: pd.Series) -> pd.Series:
-        return pd.Series([found_mentions(t, d if isinstance(d, dt.date) else None, locale) if isinstance(t, str) else [] for t, d in zip(text, day, strict=True)])
+        return pd.Series([found_mentions(t, d if isinstance(d, dt.date) else None, locale, civil) if isinstance(t, str) else [] for t, d in zip(text, day, strict=True)])
 
     return scan
 

@@ -18,23 +18,28 @@ from recollect.functions import text as X
 _MINED = T.ArrayType(T.StructType([T.StructField("content", T.StringType()), T.StructField("entities", T.ArrayType(T.StringType())), T.StructField("time_mentions", D.MENTION)]))
 
 
-@F.pandas_udf(_MINED)
-def _mined(safe: pd.Series, mode: pd.Series, day: pd.Series) -> pd.Series:
-    """Chunks of each text with their entities and date mentions: all that needs Python, in one pass."""
+def _miner():
+    """An Arrow UDF of (safe text, mode, anchor date): chunks with their entities and date mentions, all that needs Python
+    in one pass."""
+    civil, locale = list(D.civil_months()), D.Locale()
 
     def one(text: str | None, kind: str, at: object) -> list[dict]:
         if not isinstance(text, str):
             return []
-        at, locale = at if isinstance(at, dt.date) else None, D.Locale()
+        at = at if isinstance(at, dt.date) else None
         content = X.CODE_EDGES.sub("", text) if kind == "code" else X.tidied(text)
-        return [{"content": c, "entities": X.find_entities(c), "time_mentions": D.found_mentions(c, at, locale)} for c in X.split_chunks(content)]
+        return [{"content": c, "entities": X.find_entities(c), "time_mentions": D.found_mentions(c, at, locale, civil)} for c in X.split_chunks(content)]
 
-    return pd.Series([one(*row) for row in zip(safe, mode, day, strict=True)])
+    @F.pandas_udf(_MINED)
+    def mine(safe: pd.Series, mode: pd.Series, day: pd.Series) -> pd.Series:
+        return pd.Series([one(*row) for row in zip(safe, mode, day, strict=True)])
+
+    return mine
 
 
 def mined(texts: DataFrame, added_by: str = "mine") -> DataFrame:
     """Records of (wing, room, source, text, filed_at): normalised, cut into chunks, with ids, entities and date mentions."""
-    found = _mined(X.make_safe(F.col("text")), X.mode_for_path(F.col("source")), D.anchor(F.col("filed_at")))
+    found = _miner()(X.make_safe(F.col("text")), X.mode_for_path(F.col("source")), D.anchor(F.col("filed_at")))
     rows = texts.select("wing", "room", "source", "filed_at", F.posexplode(found).alias("chunk_index", "c"))
     return rows.select(
         H.drawer_id(F.col("wing"), F.col("room"), F.col("source"), F.col("chunk_index")).alias("id"), "wing", "room", "source", "chunk_index", "c.content", F.lit(added_by).alias("added_by"), "filed_at",

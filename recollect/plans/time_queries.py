@@ -113,6 +113,20 @@ def q_calendars(spark, sf_dir):
     return o.select("o_orderkey", first(thai, D.Locale()).alias("buddhist"), first(roc, D.Locale(calendar="minguo")).alias("minguo"))
 
 
+#: First days of the months of 1446 and 1447 in the civil calendar (fixed values).
+_LUNAR = ["2024-07-07", "2024-08-05", "2024-09-04", "2024-10-04", "2024-11-03", "2024-12-02", "2025-01-01", "2025-01-31", "2025-03-01", "2025-03-30", "2025-04-29", "2025-05-28", "2025-06-26"]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({i + 1}, '{d}')" for i, d in enumerate(_LUNAR[:12])) + ", (13, '2025-06-26')) t(month, resolved)")
+def q_lunar_months(spark, sf_dir):
+    """First days of the lunar months of 1446 and of 1447, from dates under a declared calendar and with an era."""
+    months = spark.range(1, 13).select(F.col("id").cast("int").alias("month"), F.format_string("1446-%02d-01", F.col("id")).alias("text"))
+    day = F.lit("2025-01-01").cast("date")
+    declared = months.select("month", D.mentions(D.Locale(calendar="hijri"))(F.col("text"), day)[0]["resolved"].alias("resolved"))
+    era = spark.range(1).select(F.lit(13).alias("month"), D.mentions()(F.lit("1447-01-01 هـ"), day)[0]["resolved"].alias("resolved"))
+    return declared.unionByName(era)
+
+
 @query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN strftime(CAST(ts AS DATE) - 1, '%Y-%m-%d') END AS resolved FROM events")
 def q_claimed_span(spark, sf_dir):
     """A claimed date resolves only where the text says it."""
