@@ -9,7 +9,7 @@ import corpus_pipeline
 from recollect.llm import langid
 from recollect.llm.annsearch import search
 from recollect.llm.decontam import contamination, decontaminate
-from recollect.llm.extraction import main_text, train
+from recollect.llm.extraction import labelled_pages, main_text, train
 from recollect.llm.mixing import mix_plan, mixed_documents
 from recollect.llm.neardup import near_duplicates, unique_documents
 from recollect.llm.quality import keep_quality, quality_scores
@@ -207,9 +207,9 @@ def test_pages(spark):
     assert (4, "a.example.com", "/en/7", "example.com/en/7", "allow") in got and (5, "com", "/en/", "com/en/", "block") in got
     assert (3, "", "", None, "allow") in got and (4, "x:", "//y/z", None, "allow") in got and len(got) == 7
     assert judge(pages.limit(0), labelled, rules).count() == 0
-    texts = sorted(((r.page_id, r.text) for r in main_text(pages, train(__import__("recollect.llm.extraction", fromlist=["x"]).labelled_pages(60), 120)).collect()), key=str)
+    texts = sorted(((r.page_id, r.text) for r in main_text(pages, train(labelled_pages(60), 120)).collect()), key=str)
     assert (1, "") in texts and (2, "") in texts and (3, "plain text") in texts and (5, "") in texts and (None, "a & b") in texts and len(texts) == 7
-    assert main_text(pages.limit(0), train(__import__("recollect.llm.extraction", fromlist=["x"]).labelled_pages(20), 20)).count() == 0
+    assert main_text(pages.limit(0), train(labelled_pages(20), 20)).count() == 0
 
 
 def test_pipeline_stages(spark, docs, empty, sf_dir):
@@ -219,3 +219,49 @@ def test_pipeline_stages(spark, docs, empty, sf_dir):
             out.count()
             if name != "sharding":
                 assert out.columns == docs.columns, name
+
+
+def test_long_and_repeated_pages(spark):
+    """A page of some MB, and pages that repeat, urls of some KB and repeated ones."""
+    body = "".join(f"<p>Sentence number {i} of a long report on rivers, towns and trade.</p>" for i in range(20_000))
+    page = f"<html><body><nav><a href=/>home</a></nav><article><h1>Report</h1>{body}</article><footer>all rights reserved</footer></body></html>"
+    long_url = "http://a.example.net/de/" + "x/" * 2000 + "?q=" + "y" * 3000
+    rows = [(1, long_url, page), (2, long_url, page), (2, long_url, page), (3, "http://b.org/", "<p>Short.</p>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted((r.page_id, r.n_chars, r.text[:8], r.text.count("\n\n")) for r in main_text(pages, train(labelled_pages(60), 120)).collect())
+    assert got[0][1:] == got[1][1:] == got[2][1:] and got[0][2:] == ("Report\n\n", 20_000) and len(got) == 4
+    judged = judge(pages.select("page_id", "url"), spark.createDataFrame([(1, True), (3, False)], "page_id long, bad boolean"), [("block", "net/de/")]).collect()
+    assert sorted((r.page_id, r.rule, r.verdict) for r in judged) == [(1, "net/de/", "block"), (2, "net/de/", "block"), (2, "net/de/", "block"), (3, None, "allow")]
+
+
+def test_repeated_and_tied_texts_score_alike(spark, labels):
+    docs = spark.createDataFrame([(4, LONG), (4, LONG), (7, "one text"), (8, "one text"), (9, None), (10, "")], "doc_id long, text string")
+    got = [(r.doc_id, r.score) for r in quality_scores(docs, labels, F.lit(True)).collect()]
+    by = {}
+    for i, score in got:
+        by.setdefault(i, set()).add(score)
+    assert len(got) == 6 and all(len(s) == 1 for s in by.values()) and by[7] == by[8] and by[9] == by[10]
+    tied = spark.createDataFrame([(7, 1, 0), (7, 0, 0)], "doc_id long, quality int, toxic int")
+    assert quality_scores(docs, tied, F.lit(True)).count() == 6
+
+
+def test_stages_decide(spark, sf_dir):
+    """Each stage on its own input: what it has to drop goes, all else stays as it was."""
+    stage = dict(corpus_pipeline.STAGES)
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    first = table.orderBy("doc_id").filter("length(text) > 400").limit(30)
+    copies = first.withColumn("doc_id", F.col("doc_id") + 1_000_000)
+    kept = stage["near_duplicates"](spark, first.unionByName(copies), sf_dir).select("doc_id").collect()
+    assert kept and all(r.doc_id < 1_000_000 for r in kept)
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").filter("size(split(text, ' ')) >= 10").orderBy("item_id").first().text
+    leak = first.withColumns({"doc_id": F.col("doc_id") + 2_000_000, "text": F.concat(F.lit("Before. "), F.lit(item), F.lit(" After."))})
+    clean = spark.createDataFrame([(5, "nothing of any test is in here", "en", "a", 30)], first.schema)
+    assert [r.doc_id for r in stage["decontamination"](spark, leak.unionByName(clean), sf_dir).collect()] == [5]
+    junk = first.withColumns({"doc_id": F.col("doc_id") + 3_000_000, "text": F.lit("&&& *** $$$ ### " * 60)})
+    stays = {r.doc_id for r in stage["quality"](spark, table.unionByName(junk), sf_dir).select("doc_id").collect()}
+    assert len(stays) > 0.6 * table.count() and not any(i >= 3_000_000 for i in stays)
+    mixed = stage["mixing"](spark, first, sf_dir).collect()
+    texts = {r.doc_id: r.text.split() for r in first.collect()}
+    assert all(set(r.text.split()) <= set(texts[r.doc_id]) and r.n_chars == len(r.text) for r in mixed)
+    sharded = stage["sharding"](spark, first, sf_dir).collect()
+    assert len(sharded) == 30 and all(r.shard_bytes <= corpus_pipeline.SHARD_BYTES for r in sharded)
