@@ -9,8 +9,8 @@ child on average at any depth). Nodes of at most ``SMALL`` classes are compared
 ones branch on. Trees repeat until the target recall (``TREES``; a pair at exactly 0.8 is missed by
 all of them about once in several thousand).
 
-Classes that a node still crowds at the last level are alike, and no minwise token tells them apart;
-branching on would only copy them. They are compared by their rarest shingles instead, which is
+Classes that crowd a node which keeps more than half of the node it comes of, or a node of the last
+level, are alike, and minwise tokens don't tell them apart; branching on would only copy them. They are compared by their rarest shingles instead, which is
 exact: of two sets that link, each holds a shared shingle among its first ``n - 0.8 n + 1`` in any
 common order, and in the order of rising counts among the crowded classes those are the ones that
 a family doesn't share. Counts are kept in cells of fixed number, so they can be shipped; as they fill
@@ -107,14 +107,14 @@ def _signatures(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, COORDS)
 
 
-def _branch(who: np.ndarray, path: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One level down: the children of each path for the class that stands there."""
+def _branch(who: np.ndarray, path: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One level down: the children of each path for the class that stands there, and which path each comes of."""
     h = ts.mix(path + _U(0x2545F4914F6CDD1D))
     first = (h & _U(COORDS - 1)).astype(np.int64)
     two = np.flatnonzero((h >> _U(8)) & _U(3) == 0)
     second = (first[two] + 1 + ((h[two] >> _U(16)) % _U(COORDS - 1)).astype(np.int64)) % COORDS
-    who, at, coord = np.concatenate([who, who[two]]), np.concatenate([path, path[two]]), np.concatenate([first, second])
-    return who, ts.mix(at * _U(3) + (coord.astype(np.uint64) << _U(16)) + sig[who, coord] + _U(1))
+    who, at, coord, of = np.concatenate([who, who[two]]), np.concatenate([path, path[two]]), np.concatenate([first, second]), np.concatenate([np.arange(len(path)), two])
+    return who, ts.mix(at * _U(3) + (coord.astype(np.uint64) << _U(16)) + sig[who, coord] + _U(1)), of
 
 
 def _rooted(batches: Iterator[pa.RecordBatch], trees: int, level: int) -> Iterator[pa.RecordBatch]:
@@ -126,39 +126,46 @@ def _rooted(batches: Iterator[pa.RecordBatch], trees: int, level: int) -> Iterat
             part = sig[a : a + 2000]
             who, path = np.repeat(np.arange(len(part)), trees), np.tile(roots, len(part))
             for _ in range(level):
-                who, path = _branch(who, path, part)
+                who, path, _ = _branch(who, path, part)
             yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), pa.array(cls[a : a + 2000][who])], names=["path", "cls"])
 
 
 def _deeper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, cls, of): the children of each class's nodes, with the size of the node that each comes of."""
     for batch in batches:
         paths, sig = batch.column("paths"), _signatures(batch.column("sig"))
         who = np.repeat(np.arange(len(paths)), pa.compute.list_value_length(paths).to_numpy())
-        who, path = _branch(who, paths.flatten().to_numpy().view(np.uint64), sig)
-        yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), pa.array(batch.column("cls").to_numpy()[who])], names=["path", "cls"])
+        who, path, of = _branch(who, paths.flatten().to_numpy().view(np.uint64), sig)
+        columns = [pa.array(path.view(np.int64)), pa.array(batch.column("cls").to_numpy()[who]), pa.array(batch.column("sizes").flatten().to_numpy()[of])]
+        yield pa.RecordBatch.from_arrays(columns, names=["path", "cls", "of"])
 
 
 def _nodes(reps: DataFrame, trees: int, small: int) -> DataFrame:
     """(path, block, cls, lead, large): the nodes to compare first, each of at most about small + LEADERS classes; large
-    marks the blocks of a large node, lead its leaders in blocks that aren't their own."""
-    rows = reps.select("cls", "sig").mapInArrow(lambda it: _rooted(it, trees, FIRST_LEVEL), "path long, cls long").hint("merge")
-    out = None
+    marks the blocks of a crowded node, lead its leaders in blocks that aren't their own. A node is crowded at the last
+    level, or where it keeps more than half of the node it comes of."""
+    rows = reps.select("cls", "sig").mapInArrow(lambda it: _rooted(it, trees, FIRST_LEVEL), "path long, cls long").withColumn("of", F.lit(None).cast("long")).hint("merge")
+    out, crowds = None, None
     for level in range(FIRST_LEVEL, LAST_LEVEL + 1):
         counts = Staged(rows.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1"), "path-counts").df
         kept = Staged(rows.join(counts, "path"), "path-rows").df
         leaves = kept.filter(F.col("n") <= small).select("path", F.lit(0).cast("long").alias("block"), "cls", F.lit(False).alias("lead"), F.lit(False).alias("large"))
         out = leaves if out is None else out.union(leaves)
-        large = kept.filter(F.col("n") > small)
         if counts.filter(F.col("n") > small).isEmpty():
-            return out
+            break
+        large = kept.filter(F.col("n") > small)
+        alike = F.lit(True) if level == LAST_LEVEL else F.coalesce(2 * F.col("n") > F.col("of"), F.lit(False))
+        crowd = large.filter(alike).select("path", "cls", "n")
+        crowds = crowd if crowds is None else crowds.union(crowd)
         if level < LAST_LEVEL:
-            rows = (
-                large.groupBy("cls").agg(F.collect_list("path").alias("paths"))  # at most trees * 1.25**level
-                .join(reps.select("cls", "sig"), "cls").mapInArrow(_deeper, "path long, cls long").hint("merge")
-            )
+            standing = large.filter(~alike).groupBy("cls").agg(F.collect_list(F.struct("path", "n")).alias("at"))  # at most trees * 1.25**level
+            standing = standing.select("cls", F.transform("at", lambda x: x["path"]).alias("paths"), F.transform("at", lambda x: x["n"]).alias("sizes"))
+            rows = standing.join(reps.select("cls", "sig"), "cls").mapInArrow(_deeper, "path long, cls long, of long").hint("merge")
+    if crowds is None:
+        return out
     blocks = F.ceil(F.col("n") / small).cast("long")
-    dealt = large.select("path", F.pmod(F.xxhash64("cls"), blocks).alias("block"), "cls", F.lit(False).alias("lead"))
-    least = large.groupBy("path", F.pmod(F.xxhash64("cls"), F.lit(LEADERS)).alias("lane")).agg(F.min("cls").alias("cls"), F.first("n").alias("n"))
+    dealt = crowds.select("path", F.pmod(F.xxhash64("cls"), blocks).alias("block"), "cls", F.lit(False).alias("lead"))
+    least = crowds.groupBy("path", F.pmod(F.xxhash64("cls"), F.lit(LEADERS)).alias("lane")).agg(F.min("cls").alias("cls"), F.first("n").alias("n"))
     led = least.select("path", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"), "cls", F.lit(True).alias("lead"))
     return out.union(dealt.union(led).groupBy("path", "block", "cls").agg(F.min("lead").alias("lead")).withColumn("large", F.lit(True)))
 
