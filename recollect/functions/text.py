@@ -278,15 +278,18 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}]+)"), 1)
 
 
+#: Characters up to the end of Latin extended B but the three letters there that no listed script holds.
+_COMMON = "[\\x00-\\u00A9\\u00AB-\\u00B4\\u00B6-\\u00B9\\u00BB-\\u024F]+"
+
+
 def script_mask(text: Column) -> Column:
-    """A bit for each letter script that occurs; 63 for letters of any other."""
-    listed = "".join(chars for _, chars in LETTER_SCRIPTS)
-    bits = [F.when(F.rlike(text, F.lit(f"(?=\\p{{L}})[{chars}]")), F.lit(1 << bit)).otherwise(F.lit(0)) for bit, chars in LETTER_SCRIPTS]
-    other = F.when(F.rlike(text, F.lit(f"(?![{listed}])\\p{{L}}")), F.lit(-(1 << 63))).otherwise(F.lit(0))
-    out = other.cast("long")
-    for bit in bits:
-        out = out.bitwiseOR(bit.cast("long"))
-    return out
+    """A bit for each letter script that occurs; 63 for letters of any other. What lies beyond Latin is cut out first, so
+    that the other scripts are looked for in little text."""
+    listed, rest = "".join(chars for _, chars in LETTER_SCRIPTS), F.regexp_replace(text, _COMMON, "")
+    out = F.when(F.rlike(rest, F.lit(f"(?![{listed}])\\p{{L}}")), F.lit(-(1 << 63))).otherwise(F.lit(0)).cast("long")
+    for bit, chars in LETTER_SCRIPTS:
+        out = out.bitwiseOR(F.when(F.rlike(text if bit == 0 else rest, F.lit(f"(?=\\p{{L}})[{chars}]")), F.lit(1 << bit)).otherwise(F.lit(0)).cast("long"))
+    return F.when(_ascii(text), F.rlike(text, F.lit("[A-Za-z]")).cast("long")).otherwise(out)
 
 
 def scripts_disjoint(a: Column, b: Column) -> Column:

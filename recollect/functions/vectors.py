@@ -208,9 +208,9 @@ def attack_window(text: pd.Series) -> pd.Series:
 
 def quantize(v: Column) -> Column:
     """int8 codes and one scale: components over the largest magnitude, times 127."""
-    scale = F.array_max(F.transform(v, lambda x: F.abs(x.cast("double")))) / 127
-    codes = F.transform(v, lambda x: F.when(scale > 0, F.round(x.cast("double") / scale)).otherwise(0).cast("int"))
-    return F.struct(codes.alias("codes"), scale.alias("scale"))
+    largest = F.array_max(F.transform(v, lambda x: F.abs(x.cast("double")))) / 127
+    coded = lambda scale: F.struct(F.transform(v, lambda x: F.when(scale > 0, F.round(x.cast("double") / scale)).otherwise(0).cast("int")).alias("codes"), scale.alias("scale"))
+    return F.transform(F.array(largest), coded)[0]  # the scale is computed once, not for every component
 
 
 def dequantize(q: Column) -> Column:

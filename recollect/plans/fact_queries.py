@@ -8,7 +8,7 @@ from recollect.functions import text as X
 from recollect.functions import hashing as H
 from recollect.operators import facts as K
 from recollect.operators import graphs as G
-from recollect.plans.registry import query
+from recollect.plans.register import query
 from recollect.plans.search_queries import records
 from recollect.sources.tables import table
 

@@ -1,38 +1,6 @@
-"""All queries over the standard tables, by name, with the SQL that states their results."""
+"""All queries over the standard tables."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-from recollect.sources.tables import table
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-FLAGSHIP = "q_search"
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Registers a query under its function's name, with its SQL where SQL can express it."""
-
-    def register(fn: Query) -> Query:
-        QUERIES[fn.__name__] = fn
-        if sql is not None:
-            ORACLES[fn.__name__] = sql
-        return fn
-
-    return register
-
-
-@query("SELECT lang AS wing, source AS room, count(*) AS n FROM documents WHERE lang <> 'quarantine-pending' GROUP BY lang, source")
-def q_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records per wing and room, outside the quarantine wing."""
-    from pyspark.sql import functions as F
-
-    docs = table(spark, sf_dir, "documents").filter(F.col("lang") != "quarantine-pending")
-    return docs.groupBy(F.col("lang").alias("wing"), F.col("source").alias("room")).agg(F.count("*").alias("n"))
-
-
-from recollect.plans import fact_queries, search_queries, service_queries, steward_queries, stream_queries, text_queries, time_queries  # noqa: E402, F401
+from recollect.plans import fact_queries, search_queries, service_queries, steward_queries, stream_queries, text_queries, time_queries  # noqa: F401
+from recollect.plans.register import FLAGSHIP, ORACLES, QUERIES  # noqa: F401

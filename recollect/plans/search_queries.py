@@ -13,7 +13,7 @@ from recollect.operators import late as L
 from recollect.operators import search as S
 from recollect.operators.index import SearchIndex
 from recollect.operators.vector_index import VectorIndex
-from recollect.plans.registry import ORACLES, query
+from recollect.plans.register import ORACLES, query
 from recollect.sources import work as W
 from recollect.sources.tables import table
 

@@ -14,7 +14,7 @@ from recollect.operators import facts as K
 from recollect.operators import governance as G
 from recollect.operators import records as R
 from recollect.operators import search as S
-from recollect.plans.registry import query
+from recollect.plans.register import query
 from recollect.plans.search_queries import records
 from recollect.sources import files
 from recollect.sources import work as W

@@ -10,13 +10,20 @@ from recollect.functions import text as X
 from recollect.operators import evaluation as E
 from recollect.operators import governance as G
 from recollect.operators import search as S
-from recollect.plans.registry import query
+from recollect.plans.register import query
 from recollect.plans.search_queries import KNN20, neighbours, records
 from recollect.sources.tables import table
 
 _R = "(SELECT doc_id AS id, lang AS wing, source AS room, text AS content FROM documents)"
 
 
+@query("SELECT lang AS wing, source AS room, count(*) AS n FROM documents WHERE lang <> 'quarantine-pending' GROUP BY lang, source")
+def q_taxonomy(spark, sf_dir):
+    """Records per wing and room, outside the quarantine wing."""
+    docs = table(spark, sf_dir, "documents").filter(F.col("lang") != "quarantine-pending")
+    return docs.groupBy(F.col("lang").alias("wing"), F.col("source").alias("room")).agg(F.count("*").alias("n"))
+
+
 @query(f"SELECT room, count(*) AS n FROM {_R} WHERE wing = 'en' GROUP BY room")
 def q_rooms(spark, sf_dir):
     """Rooms of one wing."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from recollect.functions import hashing as H
 from recollect.functions import text as X
 from recollect.operators import records as R
-from recollect.plans.registry import query
+from recollect.plans.register import query
 from recollect.sources import files
 from recollect.sources import work as W
 from recollect.sources.tables import table

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from recollect.functions import temporal as D
-from recollect.plans.registry import query
+from recollect.plans.register import query
 from recollect.sources.tables import table
 
 
