@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -47,23 +48,33 @@ def mined(texts: DataFrame, added_by: str = "mine") -> DataFrame:
     )
 
 
+def _packed(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
+    """Chunks of messages sorted by conversation and turn; the open chunk goes on from batch to batch."""
+    names = ["conv_id", "chunk_index", "first_turn", "last_turn", "started_at", "content"]
+    conv, index, chunk, used = None, 0, None, 0
+    for pdf in batches:
+        out = []
+        for r in pdf.itertuples():
+            block = f"{r.label}: {r.text}"
+            grows, same = len(block.encode()), chunk is not None and (r.conv_id == conv or pd.isna(r.conv_id) and pd.isna(conv))
+            if same and used + grows + 2 <= size:
+                chunk[3], chunk[5], used = r.turn, chunk[5] + "\n\n" + block, used + grows + 2
+                continue
+            if chunk is not None:
+                out.append(chunk)
+            index, conv, used = index + 1 if same else 0, r.conv_id, grows
+            chunk = [conv, index, r.turn, r.turn, r.timestamp, block]
+        yield pd.DataFrame(out, columns=names)
+    if chunk is not None:
+        yield pd.DataFrame([chunk], columns=names)
+
+
 def exchanges(messages: DataFrame, size: int = 800) -> DataFrame:
     """Conversations (conv_id, turn, label, text, timestamp) packed into chunks of at most size bytes on message boundaries,
-    each with the timestamp of its first message; one group for each conversation."""
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: list[list] = []
-        for r in pdf.sort_values("turn").itertuples():
-            block = f"{r.label}: {r.text}"
-            if out and len(out[-1][1].encode()) + len(block.encode()) + 2 <= size:
-                out[-1][1] += "\n\n" + block
-                out[-1][3] = r.turn
-            else:
-                out.append([r.timestamp, block, r.turn, r.turn])
-        rows = [(pdf["conv_id"].iloc[0], i, a, b, t, c) for i, (t, c, a, b) in enumerate(out)]
-        return pd.DataFrame(rows, columns=["conv_id", "chunk_index", "first_turn", "last_turn", "started_at", "content"])
-
-    return messages.groupBy("conv_id").applyInPandas(pack, "conv_id long, chunk_index long, first_turn long, last_turn long, started_at string, content string")
+    each with the timestamp of its first message. A conversation is a fold over its turns, streamed through one task in
+    order: a batch of it is held, whatever its length."""
+    rows = messages.select("conv_id", "turn", "label", "text", "timestamp").repartition("conv_id").sortWithinPartitions("conv_id", "turn")
+    return rows.mapInPandas(lambda it: _packed(it, size), "conv_id long, chunk_index long, first_turn long, last_turn long, started_at string, content string")
 
 
 def swept(messages: DataFrame, stored: DataFrame) -> DataFrame:

@@ -3,12 +3,14 @@
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from recollect.functions import vectors as V
 from recollect.operators import evaluation as E
 from recollect.operators import governance as G
+from recollect.operators import records as R
 from recollect.operators import search as S
 from recollect.plans import registry
 from recollect.sources import files
@@ -147,3 +149,16 @@ def test_streams(spark, tmp_path):
     query = P.compacted(P.stream(spark, str(tmp_path / "in"), rows.schema), str(tmp_path / "out"), checkpoint=str(tmp_path / "check"))
     query.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
+def test_conversations_are_packed_over_batches():
+    """Chunks don't depend on where batches are cut."""
+    rng = np.random.default_rng(6)
+    rows = [(c, t, "User", "w" * int(rng.integers(0, 60)), f"at{t}") for c in range(5) for t in range(int(rng.integers(1, 40)))]
+    whole = pd.DataFrame(rows, columns=["conv_id", "turn", "label", "text", "timestamp"])
+    want = pd.concat(R._packed(iter([whole]), 120)).reset_index(drop=True)
+    for n in (1, 3, 7):
+        cut = [whole[i : i + n] for i in range(0, len(whole), n)]
+        assert pd.concat([p for p in R._packed(iter(cut), 120) if len(p)]).reset_index(drop=True).astype(str).equals(want.astype(str))
+    assert (want["content"].str.len() <= 120).all() and want.groupby("conv_id")["chunk_index"].agg(lambda x: list(x) == list(range(len(x)))).all()
+    assert "\n\n".join(want["content"]) == "\n\n".join(f"User: {r[3]}" for r in rows)
