@@ -160,7 +160,7 @@ def q_related(spark, sf_dir):
     return K.related(_facts(spark, sf_dir), "status", "1996-06-01").select("id", "object")
 
 
-@query(f"WITH f AS {_FACTS}, n AS (SELECT subject AS name, 1 AS s, 0 AS o FROM f UNION ALL SELECT object, 0, 1 FROM f) SELECT name, sum(s) AS as_subject, sum(o) AS as_object FROM n GROUP BY name ORDER BY name LIMIT 50 OFFSET 2")
+@query(f"WITH f AS {_FACTS}, n AS (SELECT subject AS name, 1 AS s, 0 AS o FROM f UNION ALL SELECT object, 0, 1 FROM f) SELECT name, CAST(sum(s) AS BIGINT) AS as_subject, CAST(sum(o) AS BIGINT) AS as_object FROM n GROUP BY name ORDER BY name LIMIT 50 OFFSET 2")
 def q_entity_page(spark, sf_dir):
     """A page of entities with how often they are subject and object."""
     return K.entities(_facts(spark, sf_dir), 50, 2)
