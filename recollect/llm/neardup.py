@@ -53,7 +53,8 @@ SHINGLE, PERCENT = 5, 80
 COORDS, TREES, FIRST_LEVEL, LAST_LEVEL = 64, 12, 3, 5
 SMALL, LEADERS, AGREE, SURE = 64, 16, 40, 52
 FINE, FINE_AGREE, PARTNERS, WIDE = 512, 374, 4, 256
-ROUNDS, CELL_BITS = (PARTNERS, None), 21
+ROUNDS, CELL_BITS, BLOCK_BITS = (PARTNERS, None), 21, 12
+COUNTERS, SETS = 1000, 20_000
 _U = np.uint64
 _FACTORS = ts.mix(np.arange(1, COORDS + FINE + 1, dtype=np.uint64) * _U(0xE7037ED1A0B428DB)) | _U(1)
 
@@ -269,14 +270,39 @@ def _cells(tokens: np.ndarray) -> np.ndarray:
     return (ts.mix(tokens + _U(0x3C79AC492BA7B653)) >> _U(64 - CELL_BITS)).astype(np.int64)
 
 
+def _packed(n: np.ndarray) -> pa.RecordBatch:
+    """Counts above zero, a row for each ``1 << BLOCK_BITS`` cells: (block, cells, counts)."""
+    at = np.flatnonzero(n)
+    block, begin = np.unique(at >> BLOCK_BITS, return_index=True)
+    offsets = pa.array(np.append(begin, len(at)).astype(np.int32))
+    columns = [pa.array(block), pa.ListArray.from_arrays(offsets, pa.array(at)), pa.ListArray.from_arrays(offsets, pa.array(n[at]))]
+    return pa.RecordBatch.from_arrays(columns, names=["block", "cells", "counts"])
+
+
 def _cell_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(cell, n): how many of the task's shingles fall into each cell."""
+    """How many of the task's shingles fall into each cell, packed."""
     n = np.zeros(1 << CELL_BITS, np.int64)
     for batch in batches:
         for tokens in batch.column("shingles").to_pylist():
             np.add.at(n, _cells(np.frombuffer(tokens, np.uint64)), 1)
-    at = np.flatnonzero(n)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["cell", "n"])
+    yield _packed(n)
+
+
+def _unpacked(cells: pa.ChunkedArray, counts: pa.ChunkedArray) -> np.ndarray:
+    at, n = (np.concatenate([np.zeros(0, np.int64), *(c.flatten().to_numpy() for c in column.chunks)]) for column in (cells, counts))
+    return np.bincount(at, n, 1 << CELL_BITS).astype(np.int64)
+
+
+def _cells_of(sets: DataFrame) -> np.ndarray:
+    """The counts over all sets, from at most ``COUNTERS`` tasks."""
+    tasks = min(COUNTERS, max(1, -(-sets.count() // SETS)))
+    packed = sets.select("shingles").coalesce(tasks).mapInArrow(_cell_counts, "block long, cells array<long>, counts array<long>")
+
+    def added(table: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([_packed(_unpacked(table.column("cells"), table.column("counts")))])
+
+    got = packed.groupBy("block").applyInArrow(added, packed.schema).toArrow()  # at most 2**CELL_BITS counts
+    return _unpacked(got.column("cells"), got.column("counts"))
 
 
 def _ranked(batches: Iterator[pa.RecordBatch], percent: int, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -297,9 +323,7 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
     """(cls, skipped, tokens): the first shingles of each set that a link must share one of, in a common order, the
     ``skipped`` before them being in no other set. The order is that of counts in 2**CELL_BITS cells, then of shingles:
     whatever the counts say, no link is lost; the truer they are, the fewer classes share one of these shingles."""
-    got = sets.select("shingles").mapInArrow(_cell_counts, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most 2**CELL_BITS rows
-    counts = np.zeros(1 << CELL_BITS, np.uint32)
-    counts[got.column("cell").to_numpy()] = np.minimum(got.column("n").to_numpy(), 0xFFFFFFFF)
+    counts = np.minimum(_cells_of(sets), 0xFFFFFFFF).astype(np.uint32)
     shipped = sets.sparkSession.sparkContext.broadcast(counts)
     ranked = sets.select("cls", "shingles").mapInArrow(lambda it: _ranked(it, percent, shipped.value), "cls long, skipped long, tokens array<long>")
     return ranked.filter(F.size("tokens") > 0)
@@ -400,13 +424,14 @@ def _near_duplicates(docs: DataFrame, shingle: int, percent: int, trees: int, sm
     first = Staged(first, "pairs").df
     crowded = Staged(nodes.filter("large").select("cls").distinct(), "crowded").df
     involved = first.select(F.explode(F.array("a", "b")).alias("cls")).union(crowded).distinct()
-    involved = Staged(involved.join(classes.select("cls", "rep"), "cls"), "involved").df
+    involved = involved.join(classes.select("cls", "rep"), "cls").join(crowded.withColumn("crowd", F.lit(True)), "cls", "left")
+    involved = Staged(involved.withColumn("crowd", F.col("crowd").isNotNull()), "involved").df
     bitmap = docs.sparkSession.sparkContext.broadcast(sieve(involved.select(F.xxhash64("rep").alias("h")), "h"))
     sets = docs.withColumn("h", F.xxhash64("doc_id")).mapInArrow(lambda it: _full_sets(it, shingle, bitmap.value), "cls long, n long, fine binary, shingles binary")
-    sets = Staged(sets.join(involved, "cls", "left_semi").dropDuplicates(["cls"]), "sets").df
+    sets = Staged(sets.join(involved.select("cls", "crowd"), "cls").dropDuplicates(["cls"]), "sets").df
     links = Staged(_confirmed(first.filter("a <> b"), sets, percent), "links").df
     roots = _connected(links, involved)
-    prefixes = Staged(_prefixes(sets.join(crowded, "cls", "left_semi"), percent), "prefixes").df
+    prefixes = Staged(_prefixes(sets.filter("crowd"), percent), "prefixes").df
     for partners in ROUNDS:
         more = _further(nodes, prefixes, sets.select("cls", "n", "fine"), roots, first, percent, partners)
         if more.isEmpty():
