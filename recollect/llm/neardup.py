@@ -270,27 +270,35 @@ def _cells(tokens: np.ndarray) -> np.ndarray:
     return (ts.mix(tokens + _U(0x3C79AC492BA7B653)) >> _U(64 - CELL_BITS)).astype(np.int64)
 
 
+def _sliced(batches: Iterator[pa.RecordBatch], rows: int = 250) -> Iterator[pa.RecordBatch]:
+    """Batches of sets in parts: what is made of a part is let go before the next."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _packed(n: np.ndarray) -> pa.RecordBatch:
     """Counts above zero, a row for each ``1 << BLOCK_BITS`` cells: (block, cells, counts)."""
     at = np.flatnonzero(n)
     block, begin = np.unique(at >> BLOCK_BITS, return_index=True)
     offsets = pa.array(np.append(begin, len(at)).astype(np.int32))
-    columns = [pa.array(block), pa.ListArray.from_arrays(offsets, pa.array(at)), pa.ListArray.from_arrays(offsets, pa.array(n[at]))]
+    columns = [pa.array(block), pa.ListArray.from_arrays(offsets, pa.array(at)), pa.ListArray.from_arrays(offsets, pa.array(n[at].astype(np.int64)))]
     return pa.RecordBatch.from_arrays(columns, names=["block", "cells", "counts"])
 
 
 def _cell_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many of the task's shingles fall into each cell, packed."""
-    n = np.zeros(1 << CELL_BITS, np.int64)
-    for batch in batches:
-        for tokens in batch.column("shingles").to_pylist():
-            np.add.at(n, _cells(np.frombuffer(tokens, np.uint64)), 1)
+    n = np.zeros(1 << CELL_BITS, np.uint32)
+    for part in _sliced(batches):
+        np.add.at(n, _cells(np.frombuffer(b"".join(part.column("shingles").to_pylist()), np.uint64)), 1)
     yield _packed(n)
 
 
-def _unpacked(cells: pa.ChunkedArray, counts: pa.ChunkedArray) -> np.ndarray:
+def _added(cells: pa.ChunkedArray, counts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The cells that occur, each once, and the sums of their counts."""
     at, n = (np.concatenate([np.zeros(0, np.int64), *(c.flatten().to_numpy() for c in column.chunks)]) for column in (cells, counts))
-    return np.bincount(at, n, 1 << CELL_BITS).astype(np.int64)
+    own, where = np.unique(at, return_inverse=True)
+    return own, np.bincount(where, n, len(own)).astype(np.int64)
 
 
 def _cells_of(sets: DataFrame) -> np.ndarray:
@@ -298,16 +306,20 @@ def _cells_of(sets: DataFrame) -> np.ndarray:
     tasks = min(COUNTERS, max(1, -(-sets.count() // SETS)))
     packed = sets.select("shingles").coalesce(tasks).mapInArrow(_cell_counts, "block long, cells array<long>, counts array<long>")
 
-    def added(table: pa.Table) -> pa.Table:
-        return pa.Table.from_batches([_packed(_unpacked(table.column("cells"), table.column("counts")))])
+    def merged(table: pa.Table) -> pa.Table:
+        own, n = _added(table.column("cells"), table.column("counts"))
+        return pa.table({"block": table.column("block").slice(0, 1), "cells": pa.array([own], pa.list_(pa.int64())), "counts": pa.array([n], pa.list_(pa.int64()))})
 
-    got = packed.groupBy("block").applyInArrow(added, packed.schema).toArrow()  # at most 2**CELL_BITS counts
-    return _unpacked(got.column("cells"), got.column("counts"))
+    got = packed.groupBy("block").applyInArrow(merged, packed.schema).toArrow()  # at most 2**CELL_BITS counts
+    out = np.zeros(1 << CELL_BITS, np.int64)
+    own, n = _added(got.column("cells"), got.column("counts"))
+    out[own] = n
+    return out
 
 
 def _ranked(batches: Iterator[pa.RecordBatch], percent: int, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
     """(cls, skipped, tokens) of sets, as ``_prefixes`` says."""
-    for batch in batches:
+    for batch in _sliced(batches):
         skipped, out = [], []
         for shingles in batch.column("shingles").to_pylist():
             tokens = np.frombuffer(shingles, np.uint64)
@@ -388,7 +400,7 @@ def _full_sets(batches: Iterator[pa.RecordBatch], k: int, bitmap: np.ndarray) ->
 
 
 def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _sliced(batches):
         keep = []
         for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True):
             p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
