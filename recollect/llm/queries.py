@@ -4,18 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recollect.llm import langid
 from recollect.llm.annsearch import search
 from recollect.llm.decontam import contamination
+from recollect.llm.divergence import source_divergence
 from recollect.llm.extraction import main_text
 from recollect.llm.mixing import mix_plan
 from recollect.llm.neardup import near_duplicates
+from recollect.llm.periodic import periodic_runs
 from recollect.llm.quality import quality_scores
 from recollect.llm.sharding import shards
 from recollect.llm.suffixes import repeated_spans
+from recollect.llm.tokencount import token_counts
 from recollect.llm.urlrules import judge
 from recollect.sources.tables import table
 
@@ -206,3 +209,100 @@ FROM p LEFT JOIN fits USING (page_id) LEFT JOIN hit USING (page_id)
 def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     return main_text(table(spark, sf_dir, "pages"))
+
+
+@_query
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the words of every source differ from those of each other source and of their language."""
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_source_divergence"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+t AS (SELECT row, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS c FROM t GROUP BY lang, term HAVING count(DISTINCT row) >= 10),
+v AS (SELECT lang, count(*) AS v, sum(c) AS all_n FROM kept GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS c FROM t SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+n AS (SELECT lang, source, sum(c) AS n FROM c GROUP BY ALL),
+g AS (SELECT lang, source, coalesce(n.n, 0) AS n, coalesce(v.v, 0) AS v, coalesce(all_n, 0) AS all_n FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN n USING (lang, source) LEFT JOIN v USING (lang)),
+p AS (
+  SELECT g.lang, g.source, kept.term, coalesce(c.c, 0) AS c,
+         1 + CAST((1000000000::HUGEINT * (coalesce(c.c, 0) + 2)) // (g.n + 2 * g.v) AS BIGINT) AS p, 1 + CAST((1000000000::HUGEINT * (kept.c + 2)) // (g.all_n + 2 * g.v) AS BIGINT) AS q
+  FROM g JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term)),
+pair AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+parts AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, CAST(((p - q) * (p - q)) // (p + q) AS BIGINT) FROM p WHERE c > 0 AND p > q)
+SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM parts)
+WHERE part = 'pair' OR rank <= 10
+"""
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """The documents; in those whose crc32 of the id ends in 0, the words from one place on repeat the first few from there."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10).cast("long")
+
+    def planted(w: Column) -> Column:
+        n = F.size(w).cast("long")
+        a = g % n
+        p = F.lit(1) + F.floor((n - a) / (3 + g % 8)).cast("long")
+        moved = F.transform(w, lambda x, i: F.when(i >= a, F.get(w, (a + (i - a) % p).cast("int"))).otherwise(x))
+        return F.when(n > 0, F.array_join(moved, " "))
+
+    # an array of one element binds the words to a name, so that they are found once a text
+    words = F.regexp_extract_all("text", F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0))
+    new = F.transform(F.array(words), planted)[0]
+    return docs.withColumn("text", F.when(h % 10 == 0, F.coalesce(new, "text")).otherwise(F.col("text")))
+
+
+@_query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs of repeated words in every document, and digests of them and of the text without the repeats."""
+    docs = with_planted_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = periodic_runs(docs)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r.length.alias("length"), (-r.start).alias("start"), (-r.period).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(r.start.cast("string"), F.lit(","), r.length.cast("string"), F.lit(","), r.period.cast("string"), F.lit("\n"))), "")
+    return found.select("doc_id", "runs", "collapsed", best.alias("best")).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"), (-F.col("best.period")).alias("period"),
+        F.floor(1000 * F.col("best.length") / -F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+ORACLES["op12_periodic_runs"] = r"""
+WITH h AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         xor(4294967295::BIGINT, list_reduce([4294967295::BIGINT] || CAST([ord(c) FOR c IN string_split(CAST(doc_id AS VARCHAR), '')] AS BIGINT[]),
+           lambda crc, b: list_reduce([xor(crc, b)] || CAST(range(8) AS BIGINT[]), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END))) AS h
+  FROM documents),
+g AS (SELECT row, doc_id, w, h % 10 = 0 AND len(w) > 0 AS planted, (h // 10) % greatest(len(w), 1) AS a, 3 + (h // 10) % 8 AS k FROM h),
+p AS (SELECT row, doc_id, w, planted, a, 1 + (len(w) - a) // k AS p FROM g),
+d AS (SELECT row, doc_id, unnest(w) AS x, unnest(range(len(w))) AS i, planted, a, p, w FROM p),
+words AS (SELECT row, i, CASE WHEN planted AND i >= a THEN w[a + (i - a) % p + 1] ELSE x END AS x FROM d),
+agree AS (SELECT a.row, a.i, b.i - a.i AS q FROM words a JOIN words b ON a.row = b.row AND a.x = b.x AND a.i < b.i),
+island AS (SELECT row, q, min(i) AS b, count(*) AS m FROM (SELECT row, q, i, i - row_number() OVER (PARTITION BY row, q ORDER BY i) AS k FROM agree) GROUP BY row, q, k HAVING count(*) >= q AND count(*) + q >= 12),
+runs AS (SELECT row, b AS start, m + q AS length, min(q) AS period FROM island GROUP BY ALL),
+dropped AS (SELECT DISTINCT row, unnest(range(start + period, start + length)) AS i FROM runs),
+texts AS (SELECT row, string_agg(x, ' ' ORDER BY i) AS t FROM words ANTI JOIN dropped USING (row, i) GROUP BY row),
+digest AS (SELECT row, count(*) AS n, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM runs GROUP BY row),
+best AS (SELECT row, start, length, period FROM runs QUALIFY row_number() OVER (PARTITION BY row ORDER BY length DESC, start, period) = 1)
+SELECT doc_id, coalesce(n, 0) AS n_runs, start, length, period, CAST(1000 * length // period AS BIGINT) AS exponent_milli,
+       sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256
+FROM h LEFT JOIN digest USING (row) LEFT JOIN best USING (row) LEFT JOIN texts USING (row)
+"""
+
+
+@_query
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document."""
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), 512).select("doc_id", "n_bytes", "n_tokens", "over_limit")

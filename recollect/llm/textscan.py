@@ -164,3 +164,52 @@ def sliding_argmin(x: np.ndarray, w: int) -> np.ndarray:
         a, b = at[:-step], at[step:]
         at, have = np.where(x[b] < x[a], b, a), have + step
     return at
+
+
+#: Bytes of terms: ASCII letters and every non-ASCII byte.
+ALPHA = _table(lambda b: b >= 0x80 or 0x61 <= b <= 0x7A or 0x41 <= b <= 0x5A)
+_LOWER_BYTES = np.arange(256, dtype=np.uint8)
+_LOWER_BYTES[65:91] += 32
+
+
+@dataclass
+class Interned:
+    """Words of rows ``row0 ..``, those of its r-th row being ``first[r]:first[r+1]``, each as an index into the distinct words."""
+
+    row0: int
+    first: np.ndarray
+    ids: np.ndarray
+    distinct: pa.Array
+    data: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    offsets: np.ndarray
+
+    def row_of(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
+
+
+def interned(column: pa.Array, word_bytes: np.ndarray, lower: bool, block_bytes: int = BLOCK_BYTES) -> Iterator[Interned]:
+    """The column's rows, in order, as blocks of words that are compared as bytes, not by hash."""
+    data, offsets = utf8(column)
+    n, row = len(offsets) - 1, 0
+    while row < n:
+        stop = min(n, max(row + 1, int(np.searchsorted(offsets, offsets[row] + block_bytes, "right")) - 1))
+        part, off = data[offsets[row] : offsets[stop]], offsets[row : stop + 1] - offsets[row]
+        size = len(part)
+        inside = np.zeros(size + 1, bool)
+        inside[:size] = word_bytes[part]
+        begin, end = inside.copy(), np.zeros(size + 1, bool)
+        begin[1:] &= ~inside[:-1]
+        end[1:] = inside[:-1] & ~inside[1:]
+        edge = off[1:-1]
+        edge = edge[(edge > 0) & (edge < size)]
+        begin[edge] |= inside[edge]
+        end[edge] |= inside[edge - 1]
+        start, end = np.flatnonzero(begin), np.flatnonzero(end)
+        letters = part[inside[:size]]
+        cuts = np.r_[0, np.cumsum(end - start)].astype(np.int64)
+        buffers = [None, pa.py_buffer(cuts), pa.py_buffer(_LOWER_BYTES[letters] if lower else letters)]
+        words = pa.Array.from_buffers(pa.large_binary(), len(start), buffers).dictionary_encode()
+        yield Interned(row, np.searchsorted(start, off), words.indices.to_numpy().astype(np.int64), words.dictionary, part, start, end, off)
+        row = stop
