@@ -446,6 +446,22 @@ def stem(token: Column, language: str) -> Column:
     return F.regexp_replace(token, f"^(.{{3,}}?)(?:{listed})$", "$1")
 
 
+def inflected(word: str, language: str) -> list[str]:
+    """Every token that has the word's stem: the stem alone or with one of the listed suffixes, where taking suffixes
+    off leads back to it."""
+    listed = "|".join(sorted(SUFFIXES[language].split(), key=lambda s: (-len(s), s)))
+    base = lambda t: re.sub(f"^(.{{3,}}?)(?:{listed})$", r"\1", t)
+    own = base(word)
+    return [t for t in (own, *(own + s for s in SUFFIXES[language].split())) if base(t) == own]
+
+
+def edit_keys(token: Column) -> Column:
+    """Hashes of a token and of what it is without each one of its letters; two tokens one edit apart have one in common."""
+    cut = lambda i: F.concat(F.substring(token, F.lit(1), i - 1), F.substring(token, i + 1, F.lit(1 << 30)))
+    shorter = F.transform(F.sequence(F.lit(1), F.char_length(token)), cut)
+    return F.when(F.char_length(token) > 0, F.array_distinct(F.transform(F.concat(F.array(token), shorter), lambda k: F.xxhash64(k)))).otherwise(F.array().cast("array<bigint>"))
+
+
 def locate(claim: Column, text: Column) -> Column:
     """Byte span (offset, len) of a claim in a text; null where it isn't there."""
     at = F.instr(text, claim)

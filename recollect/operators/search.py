@@ -224,6 +224,19 @@ def top(hits: DataFrame, score: str, limit: int, offset: int = 0) -> DataFrame:
     return ranked.filter(F.col("rank") > offset)
 
 
+def leading(rows: DataFrame, score: str, n: int, low: float, high: float, bins: int = 4096) -> DataFrame:
+    """The ``n`` rows of greatest score, and any more that share the last one's bin: a histogram of the scores, between
+    bounds that hold for all of them, gives the threshold, so nothing is sorted and no task holds them all."""
+    place = F.least(F.lit(bins - 1), F.greatest(F.lit(0), F.floor((F.col(score) - low) / (high - low) * bins)))
+    counts = sorted(((r["b"], r["n"]) for r in rows.groupBy(place.alias("b")).agg(F.count("*").alias("n")).collect() if r["b"] is not None), reverse=True)  # at most ``bins`` rows
+    left, least = n, 0
+    for b, size in counts:
+        left, least = left - size, b
+        if left <= 0:
+            break
+    return rows.filter(place >= least)
+
+
 def capped(hits: DataFrame, group: str, score: str, cap: int, depth: int) -> DataFrame:
     """The first ``depth`` places: at most cap of each group first, then the rest, each by score. Only the per-group
     ranking shuffles; the places are a bounded sort."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -74,14 +76,19 @@ def q_hybrid_search(spark, sf_dir):
     return S.search(rows, S.SearchOptions(query=_QUERY, wing="en", limit=20, room_cap=2))
 
 
-_indexes: dict[tuple[str, str], SearchIndex] = {}
+_indexes: dict[tuple, SearchIndex] = {}
 
 
-def stored_index(spark, sf_dir) -> SearchIndex:
-    """The index of the documents, made by the first query of a session that asks for it, in two segments."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+def stored_index(spark, sf_dir, embedded: bool = True) -> SearchIndex:
+    """The index of the documents, made by the first query of a session that asks for it, in two segments; made anew when
+    the table's files are others."""
+    d = table(spark, sf_dir, "documents")
+    files = d.select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_modification_time").alias("t"), F.col("_metadata.file_size").alias("s")).distinct()
+    state = files.agg(F.count("*"), F.sum(F.xxhash64("f", "t", "s") % (1 << 40))).first()
+    key = (spark.sparkContext.applicationId, sf_dir, embedded, *state)
     if key not in _indexes:
-        rows = records(spark, sf_dir).withColumn("embedding", V.embed(F.col("content")))
+        rows = records(spark, sf_dir)
+        rows = rows.withColumn("embedding", V.embed(F.col("content"))) if embedded else rows
         index = SearchIndex(spark, W.fresh(spark, "search-index"))
         index.add(rows.filter("id % 3 <> 0"))
         index.add(rows.filter("id % 3 = 0"))
@@ -376,6 +383,50 @@ def q_search_morph(spark, sf_dir):
     return S.search(records(spark, sf_dir), S.SearchOptions(query=" ".join(_WORDS), wing="en", limit=30, language="en"))
 
 
+@query(ORACLES["q_search_morph"])
+def q_indexed_morph(spark, sf_dir):
+    """The same from the stored index: inflected and mistyped words come from its dictionary, and no text is read."""
+    return stored_index(spark, sf_dir, False).search(S.SearchOptions(query=" ".join(_WORDS), wing="en", limit=30, language="en"))
+
+
+@query(f"""WITH {_bm25_sql('doc_id % 5 <> 0')}, r AS (SELECT doc_id, 0.3 + 0.4 * bm25 / (bm25 + 1) AS score, row_number() OVER (ORDER BY 0.3 + 0.4 * bm25 / (bm25 + 1) DESC, doc_id) AS rank FROM sc)
+SELECT CAST((rank - 1) // 10 + 1 AS INTEGER) AS page, doc_id AS id, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 40""")
+def q_pinned_pages(spark, sf_dir):
+    """Four pages of one ranking: between them records are added, removed and folded together, which only later versions see."""
+    rows, index = records(spark, sf_dir), SearchIndex(spark, W.fresh(spark, "paged-index"))
+    index.add(rows.filter("id % 5 in (1, 2)"))
+    index.add(rows.filter("id % 5 in (3, 4)"))
+    pinned, pages = index.at(), []
+    changes = [lambda: index.add(rows.filter("id % 5 = 0")), lambda: index.remove(rows.filter("id % 2 = 0")), index.compact, lambda: None]
+    for page, change in enumerate(changes):
+        hits = pinned.search(S.SearchOptions(query=_QUERY, limit=10, offset=10 * page))
+        pages.append(hits.select(F.lit(page + 1).alias("page"), "id", "score", "rank"))
+        change()
+    return reduce(lambda a, b: a.unionByName(b), pages)
+
+
+@query(f"""WITH {_bm25_sql('doc_id % 5 = 0 OR doc_id % 2 <> 0')}
+SELECT doc_id AS id, 0.3 + 0.4 * bm25 / (bm25 + 1) AS score, CAST(row_number() OVER (ORDER BY 0.3 + 0.4 * bm25 / (bm25 + 1) DESC, doc_id) AS INTEGER) AS rank FROM sc QUALIFY rank <= 40""")
+def q_index_versions(spark, sf_dir):
+    """The latest version after records were removed, others added again, segments folded and old versions dropped."""
+    rows, index = records(spark, sf_dir), SearchIndex(spark, W.fresh(spark, "versioned-index"))
+    index.add(rows.filter("id % 5 <> 0"))
+    index.add(rows.filter("id % 5 = 0"))
+    index.remove(rows.filter("id % 2 = 0"))
+    index.compact()
+    index.expire(index.add(rows.filter("id % 10 = 0")))
+    return index.search(S.SearchOptions(query=_QUERY, limit=40)).select("id", "score", "rank")
+
+
+@query(f"""WITH {_EMBED}, c AS (SELECT doc_id, (1 + sum(x * y) / any_value(size)) / 2 AS semantic FROM x JOIN {_PROBE} USING (slot) JOIN xn USING (doc_id) GROUP BY doc_id)
+SELECT doc_id AS id, lang AS wing, source AS room, semantic, 0.0 AS lexical, 0.0 AS lexical_exact, 0.0 AS lexical_morph, 0.95 * semantic AS score, CAST(row_number() OVER (ORDER BY 0.95 * semantic DESC, doc_id) AS INTEGER) AS rank
+FROM c JOIN documents USING (doc_id) WHERE semantic > 0.56 QUALIFY rank <= 20""")
+def q_cross_script(spark, sf_dir):
+    """A query in a script that no text has: words can't meet, so the vector weighs the most it may."""
+    rows = records(spark, sf_dir).withColumn("embedding", V.embed(F.col("content")))
+    return S.search(rows, S.SearchOptions(query="память", vector=tuple(V.hash_embed(_QUERY).tolist()), limit=20))
+
+
 @query("SELECT vec_id AS id, (1 + list_cosine_similarity(embedding::DOUBLE[], [1.0, 2.0] || list_resize([0.0], 62, 0.0))) / 2 AS score, CAST(row_number() OVER (ORDER BY list_cosine_similarity(embedding::DOUBLE[], [1.0, 2.0] || list_resize([0.0], 62, 0.0)) DESC, vec_id) AS INTEGER) AS rank FROM embeddings QUALIFY rank <= 10")
 def q_external_vector(spark, sf_dir):
     """Search by a vector of the caller's."""

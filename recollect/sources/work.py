@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -29,6 +30,30 @@ def fresh(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/recollect/{label}-{uuid.uuid4().hex}"
 
 
+def put_new(spark: SparkSession, path: str, text: str) -> bool:
+    """Writes a small file that isn't there yet; False where another writer came first."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    try:
+        out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, False)
+    except Py4JJavaError as error:
+        if "AlreadyExists" in error.java_exception.getClass().getName() or "already exists" in str(error.java_exception.getMessage()):
+            return False
+        raise
+    out.write(bytearray(text.encode()))
+    out.close()
+    return True
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file's text."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    file = target.getFileSystem(spark._jsc.hadoopConfiguration()).open(target)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(file, "UTF-8")
+    finally:
+        file.close()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a path on whatever file system it is."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
