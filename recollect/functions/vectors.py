@@ -252,6 +252,13 @@ class ProductQuantizer:
         unit = self.unit(sample)
         self.books = [lloyd(part, 256, rounds) for part in np.split(unit, self.m, axis=1)]
 
+    @classmethod
+    def of(cls, books: list[np.ndarray]) -> ProductQuantizer:
+        """The quantiser of codebooks that were fitted before."""
+        own = cls.__new__(cls)
+        own.width, own.m, own.books = books[0].shape[1], len(books), books
+        return own
+
     @staticmethod
     def unit(x: np.ndarray) -> np.ndarray:
         size = np.linalg.norm(x, axis=1, keepdims=True)

@@ -225,27 +225,12 @@ def _sample(spark, sf_dir, n=SAMPLE):
 
 @query()
 def q_pq_search(spark, sf_dir):
-    """Product-quantised search by every row whose id is divisible by 20 (these are shipped): coded once, each query's
-    tables looked up for all codes, the pool reranked exactly."""
-    pq = V.ProductQuantizer(_sample(spark, sf_dir))
-    e = table(spark, sf_dir, "embeddings")
-    asked = spark.sparkContext.broadcast(e.filter("vec_id % 20 = 0").select("vec_id", "embedding").toPandas())
-
-    def score(batches):
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            x = np.stack(pdf["embedding"].to_numpy()).astype(float)
-            codes, unit = pq.encode(x), pq.unit(x)
-            for q, probe in zip(asked.value["vec_id"], asked.value["embedding"], strict=True):
-                probe = np.asarray(probe, float)
-                d = pq.distances(probe, codes)
-                near = np.lexsort((pdf["vec_id"].to_numpy(), d))[:201]  # the query may be one of them
-                yield pd.DataFrame({"query_id": q, "id": pdf["vec_id"].to_numpy()[near], "adc": d[near], "score": unit[near] @ pq.unit(probe[None])[0]})
-
-    hits = e.mapInPandas(score, "query_id long, id long, adc double, score double").filter("query_id <> id")
-    pool = hits.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("adc", "id"))).filter("r <= 200")
-    return pool.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).filter("rank <= 10").select("query_id", "id", "score", "rank")
+    """Product-quantised search by every row whose id is divisible by 20: all codes, in pages, looked up in each query's
+    tables; the pool reranked exactly."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    index = VectorIndex(spark, W.fresh(spark, "vector-codes"))
+    index.build(e, 1)
+    return index.search(e.filter("id % 20 = 0"), 10)
 
 
 @query()
@@ -266,45 +251,44 @@ def q_pq_report(spark, sf_dir):
 
 @query()
 def q_ivf_probe(spark, sf_dir):
-    """Inverted lists: rows assigned to the nearest centroid, queries probing the nearest lists (all, if those hold too few)."""
-    x = V.ProductQuantizer.unit(_sample(spark, sf_dir))
-    n = table(spark, sf_dir, "embeddings").count()
-    lists = min(max(int(n**0.5), 16), 4096)
-    centre = V.lloyd(x, lists)
-    probes = max(len(centre) * 3 // 5, 8)  # these vectors have little structure; a quarter finds seven in ten
-
-    def assign(batches):
-        for pdf in batches:
-            v = V.ProductQuantizer.unit(np.stack(pdf["embedding"].to_numpy()).astype(float))
-            yield pdf.assign(list_id=V._near(v, centre))[["vec_id", "list_id", "embedding"]]
-
-    listed = table(spark, sf_dir, "embeddings").mapInPandas(assign, "vec_id long, list_id int, embedding array<float>")
-    q = listed.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("probe"))
-
-    def probe(batches):
-        for pdf in batches:
-            v = V.ProductQuantizer.unit(np.stack(pdf["probe"].to_numpy()).astype(float)) if len(pdf) else np.zeros((0, x.shape[1]))
-            order = np.argsort(-(v @ centre.T), axis=1)[:, :probes]
-            yield pd.DataFrame({"query_id": np.repeat(pdf["query_id"], order.shape[1]), "list_id": order.ravel().astype("int32"), "probe": pdf["probe"].repeat(order.shape[1])})
-
-    probed = q.mapInPandas(probe, "query_id long, list_id int, probe array<float>")
-    hits = listed.join(probed, "list_id").filter("query_id <> vec_id").select("query_id", F.col("vec_id").alias("id"), V.cosine(F.col("probe"), F.col("embedding")).alias("score"))
-    enough = hits.groupBy("query_id").agg(F.count("*").alias("n")).filter("n >= 5").select("query_id")
-    few = q.join(enough, "query_id", "left_anti")
-    again = listed.join(few, F.col("query_id") != F.col("vec_id")).select("query_id", F.col("vec_id").alias("id"), V.cosine(F.col("probe"), F.col("embedding")).alias("score"))
-    hits = hits.join(enough, "query_id", "left_semi").unionByName(again)
-    return hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).filter("rank <= 5").select("query_id", "id", "score", "rank")
+    """Inverted lists: queries go to as many of the nearest lists as were measured, and on while those hold too few, and
+    score all rows there."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    index = VectorIndex(spark, W.fresh(spark, "vector-lists"))
+    index.build(e)
+    return index.search(e.filter("id % 20 = 0"), 5, pool=None)
 
 
 @query()
 def q_stored_vectors(spark, sf_dir):
-    """A stored index of two thirds of the vectors, the rest added, which makes it fit itself anew; then searched by every
-    row whose id is divisible by 20."""
+    """A stored index of two thirds of the vectors, the rest added, which makes it fit itself anew; then opened again and
+    searched by every row whose id is divisible by 20."""
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     index = VectorIndex(spark, W.fresh(spark, "vector-index"))
     index.build(e.filter("id % 3 = 0"))
     index.add(e.filter("id % 3 <> 0"))
-    return index.search(e.filter("id % 20 = 0"), 10, len(index.centre) * 4 // 5)
+    return VectorIndex(spark, index.path).search(e.filter("id % 20 = 0"), 10)
+
+
+def _labelled_index(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", F.col("label").alias("scope"))
+    index = VectorIndex(spark, W.fresh(spark, "scoped-vectors"))
+    index.build(e)
+    return index, e.filter("id % 20 = 0"), e.select("id", "scope")
+
+
+@query()
+def q_scoped_vectors(spark, sf_dir):
+    """The nearest of its own label for every row whose id is divisible by 20."""
+    index, asked, members = _labelled_index(spark, sf_dir)
+    return index.search(asked, 10, members=members)
+
+
+@query()
+def q_excluding_vectors(spark, sf_dir):
+    """The nearest of all labels but its own for every row whose id is divisible by 20."""
+    index, asked, members = _labelled_index(spark, sf_dir)
+    return index.search(asked, 10, members=members, without=True)
 
 
 _LATE = """WITH r AS (SELECT vec_id, vec_id // 10 AS doc, embedding::DOUBLE[] AS e, list_max(list_transform(embedding, lambda y: abs(y::DOUBLE))) / 127 AS scale FROM embeddings),

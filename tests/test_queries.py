@@ -70,6 +70,45 @@ def test_approximate_search(spark, sf_dir, name, k):
     assert hits / len(got) >= 0.9
 
 
+@pytest.mark.parametrize("name, without", [("q_scoped_vectors", False), ("q_excluding_vectors", True)])
+def test_scoped_search(spark, sf_dir, name, without):
+    """Every hit counts for its query, scores are exact, and nine in ten are the nearest that count."""
+    got, score = registry.QUERIES[name](spark, sf_dir).toPandas(), _plain_neighbours(sf_dir, 10**6)
+    label = table(spark, sf_dir, "embeddings").toPandas().set_index("vec_id")["label"]
+    hits = total = 0
+    for q, order in score.items():
+        best = [i for i in order if i != q and (label[i] == label[q]) != without][:10]
+        own = got[got["query_id"] == q].sort_values("rank")
+        assert len(own) == len(best) and all((label[i] == label[q]) != without for i in own["id"])
+        assert list(own["score"]) == pytest.approx([order[i] for i in own["id"]], abs=1e-6)
+        hits, total = hits + len(set(best) & set(own["id"])), total + len(best)
+    assert hits / total >= 0.9 and total > 100
+
+
+def test_rare_scopes_are_found_wherever_they_lie(spark, tmp_path):
+    """Members far from their queries, fewer than asked for; members of several scopes; scopes without members."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(900, 16))
+    e = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>")
+    index = VectorIndex(spark, str(tmp_path / "index"))
+    index.build(e, 30)
+    members = [(i, s) for i in range(900) for s in ("rare" if i % 150 == 7 else "", "common" if i % 2 else "") if s] + [(10**6, "rare")]
+    asked = spark.createDataFrame([(i, x[i].tolist(), s) for i in range(40) for s in [("rare", "common", "none")[i % 3]]], "id long, embedding array<double>, scope string")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for without in (False, True):
+        got = index.search(asked, 8, probes=2, pool=300, members=spark.createDataFrame(members, "id long, scope string"), without=without).toPandas()
+        for i in range(40):
+            scope = ("rare", "common", "none")[i % 3]
+            ids = {m for m, s in members if s == scope}
+            best = [int(j) for j in np.argsort(-(unit @ unit[i]), kind="stable") if j != i and (int(j) in ids) != without][:8]
+            own = got[got["query_id"] == i].sort_values("rank")["id"].tolist()
+            assert len(own) == len(best)
+            if scope == "rare" and not without:
+                assert own == best and len(best) in (5, 6)
+    everyone = index.search(asked.drop("scope"), 8, members=spark.createDataFrame([(i,) for i in range(0, 900, 3)], "id long")).toPandas()
+    assert set(everyone["id"] % 3) == {0} and (everyone.groupby("query_id").size() == 8).all()
+
+
 def test_lists_grow_until_they_are_fitted_anew(spark, sf_dir, tmp_path):
     e = table(spark, sf_dir, "embeddings").selectExpr("vec_id AS id", "embedding")
     index = VectorIndex(spark, str(tmp_path / "index"))
