@@ -198,13 +198,13 @@ def _matrices(spark, sf_dir):
     return m.select("doc", F.transform("r", lambda x: x["embedding"]).alias("rows"))
 
 
-@query("""WITH t AS (SELECT vec_id // 10 AS doc, list(embedding::DOUBLE[] ORDER BY vec_id) AS rows FROM embeddings GROUP BY doc)
-SELECT a.doc AS q, b.doc AS d, list_sum(list_transform(a.rows, lambda x: list_max(list_transform(b.rows, lambda y: list_inner_product(x, y))))) AS score FROM t a JOIN t b ON a.doc % 20 = 0""")
+@query("""WITH t AS (SELECT vec_id // 10 AS doc, list(embedding::DOUBLE[] ORDER BY vec_id) AS rows FROM embeddings GROUP BY doc),
+s AS (SELECT a.doc AS query_id, b.doc AS id, round(list_sum(list_transform(a.rows, lambda x: list_max(list_transform(b.rows, lambda y: list_inner_product(x, y))))), 9) AS score FROM t a JOIN t b ON a.doc % 20 = 0)
+SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM s QUALIFY rank <= 10""")
 def q_maxsim(spark, sf_dir):
-    """Late-interaction scores of every twentieth token matrix with all."""
-    m = _matrices(spark, sf_dir)
-    asked = m.filter("doc % 20 = 0").select(F.col("doc").alias("q"), F.col("rows").alias("asked"))
-    return m.join(asked, F.lit(True)).select("q", F.col("doc").alias("d"), V.maxsim(F.col("asked"), F.col("rows")).alias("score"))  # a stated query set against all rows
+    """The ten token matrices of greatest late-interaction score for every twentieth one."""
+    m = _matrices(spark, sf_dir).withColumnRenamed("doc", "id")
+    return L.nearest(m.filter("id % 20 = 0"), m, 10)
 
 
 @query("SELECT label, d + 1 AS dim, avg(embedding[d + 1]::DOUBLE) AS mean FROM embeddings, range(64) r(d) GROUP BY label, d")
@@ -292,20 +292,32 @@ def q_excluding_vectors(spark, sf_dir):
 
 
 _LATE = """WITH r AS (SELECT vec_id, vec_id // 10 AS doc, embedding::DOUBLE[] AS e, list_max(list_transform(embedding, lambda y: abs(y::DOUBLE))) / 127 AS scale FROM embeddings),
-d AS (SELECT q.vec_id AS q, r.doc, max(list_inner_product(q.e, list_transform(r.e, lambda x: floor(abs(x) / r.scale + 0.5) * sign(x) * r.scale))) AS best FROM r JOIN r q ON q.doc = 0 GROUP BY q.vec_id, r.doc),
-s AS (SELECT doc AS id, greatest(0.0, least(1.0, (sum(best) / count(*) + 1) / 2)) AS late FROM d GROUP BY doc)
-SELECT id, late, CAST(row_number() OVER (ORDER BY late DESC, id) AS INTEGER) AS rank FROM s QUALIFY rank <= 10"""
+x AS (SELECT doc, list_transform(e, lambda x: floor(abs(x) / scale + 0.5) * sign(x) * scale) AS e FROM r),
+d AS (SELECT q.doc AS query_id, q.vec_id AS q, x.doc, max(list_inner_product(q.e, x.e)) AS best FROM x JOIN r q ON q.doc % 20 = 0 GROUP BY ALL),
+s AS (SELECT query_id, doc AS id, greatest(0.0, least(1.0, (round(sum(best), 9) / count(*) + 1) / 2)) AS late FROM d GROUP BY ALL)
+SELECT query_id, id, late, CAST(row_number() OVER (PARTITION BY query_id ORDER BY late DESC, id) AS INTEGER) AS rank FROM s QUALIFY rank <= 10"""
 
 
 @query(_LATE)
 def q_late_search(spark, sf_dir):
-    """Late interaction over stored artifacts, half of them made up after the others; the pool takes every record."""
+    """Late interaction of every twentieth matrix over stored artifacts, half of them made up after the others."""
     encoder, m = V.FixedEncoder(64), _matrices(spark, sf_dir).withColumnRenamed("doc", "id")
     path = W.fresh(spark, "token-artifacts")
     L.artifacts(m.filter("id % 2 = 0"), encoder).write.parquet(path)
     L.artifacts(L.missing(m, spark.read.parquet(path)), encoder).write.mode("append").parquet(path)
-    query = np.stack(m.orderBy("id").first()["rows"]).astype(float)
-    return L.search(spark.read.parquet(path), query, encoder, 10, 1 << 30)
+    asked = m.filter("id % 20 = 0")
+    found = L.nearest(asked, L.restored(spark.read.parquet(path)), 10).join(asked.select(F.col("id").alias("query_id"), F.size("rows").alias("n")), "query_id")
+    return found.select("query_id", "id", V.late_score(F.col("score"), F.col("n")).alias("late"), "rank")
+
+
+@query()
+def q_token_search(spark, sf_dir):
+    """Late interaction by codes: half of the matrices indexed, half added, the index opened again and asked for every twentieth."""
+    m = _matrices(spark, sf_dir).withColumnRenamed("doc", "id")
+    index = L.TokenIndex(spark, W.fresh(spark, "token-index"))
+    index.build(m.filter("id % 2 = 0"))
+    index.add(m.filter("id % 2 <> 0"))
+    return L.TokenIndex(spark, index.path).search(m.filter("id % 20 = 0"), 10)
 
 
 @query()

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from recollect.functions import temporal as D
 from recollect.functions import text as X
 from recollect.functions import vectors as V
+from recollect.operators import late as L
 from recollect.operators import search as S
 from recollect.operators.vector_index import VectorIndex
 from recollect.plans import registry, search_queries
@@ -166,6 +167,41 @@ def test_fixed_encodings_rank_like_the_exact_score(spark, sf_dir):
     assert got["fde"].idxmax() == got["maxsim"].idxmax()
 
 
+def _late_scores(x, y):
+    return np.array([[float((a @ b.T).max(1).sum()) if len(a) and len(b) else 0.0 for b in y] for a in x])
+
+
+def test_coded_late_interaction(spark, sf_dir):
+    """Scores are those of the matrices, and nine in ten of the best are found."""
+    got, want = (registry.QUERIES[n](spark, sf_dir).toPandas() for n in ("q_token_search", "q_maxsim"))
+    both = got.merge(want, on=["query_id", "id"])
+    assert len(got) == len(want) and len(both) >= 0.9 * len(want)
+    assert both["score_x"].to_numpy() == pytest.approx(both["score_y"].to_numpy(), abs=1e-5)
+
+
+def test_recall_of_codes_and_their_tables(spark, tmp_path, monkeypatch):
+    """Clustered tokens, unseen queries, several pages, records without rows; look-ups are products with what the codes mean."""
+    rng = np.random.default_rng(8)
+    topics = rng.normal(size=(40, 6, 16))
+    x = [topics[i % 40][rng.integers(0, 6, rng.integers(1, 9))] + rng.normal(size=(1, 16)) * 0.3 for i in range(800)] + [np.zeros((0, 16))]
+    asked = [topics[i][:4] + rng.normal(size=(4, 16)) * 0.3 for i in range(40)]
+    frame = lambda m, first: spark.createDataFrame([(first + i, r.tolist()) for i, r in enumerate(m)], "id long, rows array<array<double>>")
+    monkeypatch.setattr(L, "PAGE", 300)
+    monkeypatch.setattr(L, "QUERY_PAGE", 16)
+    index = L.TokenIndex(spark, str(tmp_path / "tokens"))
+    index.build(frame(x, 0))
+    got = index.search(frame(asked, 10_000), 10).toPandas()
+    score = _late_scores(asked, x)
+    best = {10_000 + i: set(np.lexsort((np.arange(len(x)), -s))[:10].tolist()) for i, s in enumerate(score)}
+    assert sum(r.id in best[r.query_id] for r in got.itertuples()) >= 0.9 * 400 and len(got) == 400
+    for r in got.itertuples():
+        assert r.score == pytest.approx(score[r.query_id - 10_000][r.id], abs=1e-5)
+    assert index.pool < 0.5 and index.head <= index.pool
+    codes = index.coder.encode(x[0])
+    meant = index.coder.centre[codes[:, 0]] + np.concatenate([b[codes[:, k + 1]] for k, b in enumerate(index.coder.books)], 1)
+    assert index.coder.products(asked[0], codes) == pytest.approx(asked[0] @ meant.T)
+
+
 def test_mined_records_against_the_functions(spark, sf_dir):
     got = registry.QUERIES["q_mine"](spark, sf_dir).toPandas()
     want = []
