@@ -12,6 +12,7 @@ from recollect.sources import files
 from recollect.sources import work as W
 from recollect.sources.tables import table
 from recollect.streaming import pipelines as P
+from recollect.streaming import stateful as ST
 
 
 def _turns(spark, sf_dir):
@@ -113,6 +114,64 @@ def q_stream_compaction(spark, sf_dir):
     source, path = _messages(spark, sf_dir), W.fresh(spark, "folded")
     for _ in range(2):
         P.compacted(source, path, 256, f"{path}-state").awaitTermination()
-    folded = spark.read.parquet(path).select("content", F.input_file_name().alias("file"))
+    folded = P.folded(spark, path).select("content", F.input_file_name().alias("file"))
     most = folded.groupBy("file").agg(F.count("*").alias("n")).agg((F.max("n") <= 256).alias("few"))
     return folded.agg(F.count("*").alias("n_rows"), F.countDistinct("content").alias("texts")).crossJoin(most)  # one row each
+
+
+def _delivered(spark, rows, slices, start) -> None:
+    """Rows come slice by slice (a Column of few values, rising) into a folder; after each, the stream that ``start`` makes
+    of the folder goes on from where it stopped."""
+    path, rows = W.fresh(spark, "delivered"), rows.withColumn("_slice", slices)
+    for n, r in enumerate(rows.select("_slice").distinct().orderBy("_slice").collect()):  # few values
+        rows.filter(F.col("_slice").eqNullSafe(F.lit(r[0]))).drop("_slice").write.parquet(f"{path}/slice{n}")
+        start(P.stream(spark, f"{path}/*", rows.drop("_slice").schema))
+
+
+def _timed_events(spark, sf_dir):
+    return table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+#: An instant after all others, whose row lets a stream's watermark pass them.
+_END = "2100-01-01 00:00:00"
+
+
+@query("SELECT event_id, recent, recent >= 3 AS flagged, false AS late FROM (SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY CAST(floor(epoch(ts)) AS BIGINT) RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) - 1 AS recent FROM events)")
+def q_stream_rate_flag(spark, sf_dir):
+    """Rate flags from a stream that comes in slices of ten days, stopped and started again after each."""
+    e = _timed_events(spark, sf_dir).select("event_id", F.col("user_id").cast("string").alias("user_id"), "ts")
+    end = spark.range(1).select(F.lit(-1).cast("long").alias("event_id"), F.lit("").alias("user_id"), F.lit(_END).cast("timestamp").alias("ts"))
+    out = W.fresh(spark, "rate-flags")
+
+    def start(stream):
+        flags = ST.rate_flags(stream, "user_id", "ts", "event_id", 86400, 3, "1 hour")
+        with ST.versioned_state(spark):
+            flags.writeStream.foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{out}/batch={n}")).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start().awaitTermination()
+
+    _delivered(spark, e.unionByName(end.select(e.columns)), F.floor(F.unix_timestamp("ts") / (10 * 86400)), start)
+    return spark.read.schema(ST.FLAG).parquet(out).filter("id >= 0").select(F.col("id").alias("event_id"), "recent", "flagged", "late")
+
+
+@query("""WITH e AS (SELECT event_id, ts, CAST(floor(epoch(ts + to_hours(CAST(event_id % 7 * 36 AS INTEGER))) / 864000) AS BIGINT) AS slice FROM events),
+m AS (SELECT slice, max(max(ts)) OVER (ORDER BY slice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mark FROM e GROUP BY slice)
+SELECT event_id, coalesce(ts < mark - INTERVAL 5 DAY, false) AS late FROM e JOIN m USING (slice)""")
+def q_stream_late(spark, sf_dir):
+    """Events that come up to nine days after they happened: those behind the watermark of five days go to a side table."""
+    e, out = _timed_events(spark, sf_dir).select("event_id", "ts"), W.fresh(spark, "late-events")
+    filed = F.unix_timestamp("ts") + F.col("event_id") % 7 * 36 * 3600
+    _delivered(spark, e, F.floor(filed / (10 * 86400)), lambda s: ST.split_late(s, "ts", "5 days", out).awaitTermination())
+    return ST.split(spark, out).select("event_id", "late")
+
+
+@query("SELECT event_id, ts + to_hours(CAST(event_id % 7 * 12 AS INTEGER)) AS filed_at, CASE WHEN event_id % 7 < 5 AND event_id % 11 <> 0 THEN ts END AS ts FROM events")
+def q_stream_filed(spark, sf_dir):
+    """A stream of filings joined with the stream of events that happened within two days before; without one, ts is null."""
+    e = _timed_events(spark, sf_dir)
+    end = spark.range(1).select(F.lit(-1).cast("long").alias("id"), F.lit(_END).cast("timestamp").alias("ts"))
+    happened = e.filter("event_id % 11 <> 0").select(F.col("event_id").cast("long").alias("id"), "ts").unionByName(end)
+    filings = e.select(F.col("event_id").cast("long").alias("id"), (F.col("ts") + F.make_dt_interval(hours=(F.col("event_id") % 7 * 12).cast("int"))).alias("filed_at")).unionByName(end.select("id", F.col("ts").alias("filed_at")))
+    paths = [W.fresh(spark, n) for n in ("happened", "filings")]
+    happened.write.parquet(paths[0])
+    filings.write.parquet(paths[1])
+    streams = [P.stream(spark, p, d.schema) for p, d in zip(paths, (happened, filings), strict=True)]
+    return P.once(ST.filed(*streams, "2 days", "100 days")).filter("id >= 0").select(F.col("id").alias("event_id"), "filed_at", "ts")

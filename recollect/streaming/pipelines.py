@@ -79,9 +79,15 @@ def ring(samples: DataFrame, key: str, size: int = 300) -> DataFrame:
 
 
 def compacted(df: DataFrame, path: str, rows_per_file: int = 1_000_000, checkpoint: str | None = None):
-    """Appends each micro-batch as few files."""
+    """Folds each micro-batch into few files in a folder of its number, so that a batch run again after a failure replaces
+    what it wrote; ``folded`` reads them."""
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("append").option("maxRecordsPerFile", rows_per_file).parquet(path)
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).parquet(f"{path}/batch={number}")
 
     return df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint or f"{path}/_checkpoint").trigger(availableNow=True).start()
+
+
+def folded(spark: SparkSession, path: str) -> DataFrame:
+    """What ``compacted`` wrote."""
+    return spark.read.parquet(path).drop("batch")
