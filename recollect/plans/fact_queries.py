@@ -8,6 +8,7 @@ from recollect.functions import text as X
 from recollect.functions import hashing as H
 from recollect.operators import facts as K
 from recollect.operators import graphs as G
+from recollect.operators import intervals as I
 from recollect.plans.register import query
 from recollect.plans.search_queries import records
 from recollect.sources.tables import table
@@ -98,6 +99,19 @@ def q_asof_join(spark, sf_dir):
     return K.as_of(e, o, "k", "ts", "s").select("event_id", "o_orderkey")
 
 
+@query("""WITH f AS (SELECT o_orderkey AS fact_id, o_custkey AS k, CASE WHEN o_orderkey % 23 <> 0 THEN CAST(o_orderdate AS DATE) END AS s, CASE WHEN o_orderkey % 17 <> 0 THEN CAST(o_orderdate AS DATE) + CAST(30 + o_orderkey % 900 AS INTEGER) END AS e FROM orders),
+l AS (SELECT l_orderkey, l_linenumber, o_custkey AS k, CAST(l_shipdate AS DATE) AS day FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+SELECT l_orderkey, l_linenumber, fact_id FROM l JOIN f USING (k) WHERE (s IS NULL OR s <= day) AND (e IS NULL OR e > day)""")
+def q_valid_then(spark, sf_dir):
+    """Every shipment beside all facts of its customer that are valid on its day; facts overlap, some begin or end open."""
+    o = table(spark, sf_dir, "orders").withColumn("subject", F.col("o_custkey").cast("string"))
+    day = F.to_date("o_orderdate")
+    f = o.select("subject", F.col("o_orderkey").alias("fact_id"), F.when(F.col("o_orderkey") % 23 != 0, F.date_format(day, "yyyy-MM-dd")).alias("valid_from"), F.when(F.col("o_orderkey") % 17 != 0, F.date_format(F.date_add(day, (30 + F.col("o_orderkey") % 900).cast("int")), "yyyy-MM-dd")).alias("valid_to"))
+    shipped = table(spark, sf_dir, "lineitem").join(o.select(F.col("o_orderkey").alias("l_orderkey"), "subject"), "l_orderkey")
+    events = shipped.select("subject", "l_orderkey", "l_linenumber", F.date_format("l_shipdate", "yyyy-MM-dd").alias("at"))
+    return I.valid_then(events, f).select("l_orderkey", "l_linenumber", "fact_id")
+
+
 @query("SELECT x.o_orderkey AS id, y.o_orderkey AS supersedes, CASE WHEN y.o_orderkey IS NULL THEN 'dangling' WHEN x.o_orderstatus = y.o_orderstatus THEN 'same' ELSE 'changed' END AS link FROM orders x LEFT JOIN orders y ON y.o_orderkey = x.o_orderkey - 1")
 def q_supersession(spark, sf_dir):
     """Records joined to those they supersede."""

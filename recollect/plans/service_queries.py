@@ -283,12 +283,12 @@ def q_locate_chunks(spark, sf_dir):
     return joined.select(F.col("source").cast("long").alias("doc_id"), (F.col("pieces") - F.col("n")).alias("lost"), ((F.col("start") == 0) & (F.col("end") <= F.col("size"))).alias("inside"))
 
 
-@query(f"SELECT user_id AS chain, CAST(event_id AS BIGINT) AS seq, {_hmac_sql("unhex('1F') || encode(sha256(CAST(event_id AS VARCHAR)))")} AS head FROM (SELECT user_id, min(event_id) AS event_id FROM events GROUP BY user_id)")
+@query(f"""WITH t AS (SELECT user_id, list(event_id ORDER BY event_id) AS ids FROM events GROUP BY user_id), s AS (SELECT user_id, ids, unnest(range(1, len(ids) + 1)) AS i FROM t)
+SELECT user_id AS chain, ids[i] AS seq, list_reduce([''] || [sha256(CAST(x AS VARCHAR)) FOR x IN ids[1:i]], lambda h, x: {_hmac_sql("encode(h || chr(31) || x)")}) AS head FROM s""")
 def q_keyed_chain(spark, sf_dir):
-    """First heads of audit chains folded under a key."""
+    """All heads of audit chains folded under a key."""
     a = table(spark, sf_dir, "events").select(F.col("user_id").alias("chain"), F.col("event_id").alias("seq"), F.sha2(F.col("event_id").cast("string"), 256).alias("tag"))
-    heads = G.chain_heads(a, _KEY).groupBy("chain").agg(F.min_by(F.struct("seq", "head"), "seq").alias("h"))
-    return heads.select(F.col("chain").cast("long").alias("chain"), "h.seq", "h.head")
+    return G.chain_heads(a, _KEY).select(F.col("chain").cast("long").alias("chain"), "seq", "head")
 
 
 @query("SELECT count(DISTINCT lang) AS wings, count(DISTINCT source) AS agents, CAST(ceil(1000.0 / least(8, count(DISTINCT lang))) AS BIGINT) AS wing_cap, CAST(ceil(1000.0 / least(8, count(DISTINCT source))) AS BIGINT) AS agent_cap FROM documents")

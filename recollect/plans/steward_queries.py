@@ -9,6 +9,8 @@ from recollect.functions import hashing as H
 from recollect.functions import text as X
 from recollect.operators import evaluation as E
 from recollect.operators import governance as G
+from recollect.operators import intervals as IV
+from recollect.operators import proofs as PR
 from recollect.operators import search as S
 from recollect.plans.register import query
 from recollect.plans.search_queries import KNN20, neighbours, records
@@ -186,6 +188,52 @@ def q_contiguous_runs(spark, sf_dir):
     return G.islands(table(spark, sf_dir, "events").select((F.col("user_id") % 5).alias("k"), "event_id"), "k", "event_id")
 
 
+_RUNS = """a AS (SELECT event_id AS seq, event_type || '/' || user_id AS record_id, sha256(CAST(value AS VARCHAR)) AS tag, strftime(ts, '%Y-%m-%d') AS day FROM events),
+d AS (SELECT seq // 20 AS doc, seq % 20 AS p, record_id, tag, day FROM a WHERE seq % 20 < 6),
+r AS (SELECT doc, p - CASE WHEN doc % 5 = 2 AND p > 3 THEN 1 ELSE 0 END AS place, CASE WHEN doc % 5 = 3 AND p = 0 THEN 'other' ELSE record_id END AS record_id, CASE WHEN doc % 5 = 1 AND p = 2 THEN 'forged' ELSE tag END AS tag, day FROM d WHERE NOT (doc % 5 = 2 AND p = 3))"""
+
+
+@query(f"""WITH {_RUNS}, n AS (SELECT doc, count(*) AS n FROM r GROUP BY doc),
+s AS (SELECT r.doc, a.seq - r.place AS start, count(*) AS agree, bool_or(place = 0) AS first FROM r JOIN a USING (record_id, tag, day) GROUP BY ALL),
+m AS (SELECT doc, min(start) FILTER (agree = n) AS start, bool_or(first) AS first FROM s JOIN n USING (doc) GROUP BY doc)
+SELECT doc, n, start, CASE WHEN start IS NOT NULL THEN NULL WHEN coalesce(first, false) THEN 'not contiguous' ELSE 'no such record' END AS fault,
+CASE WHEN start IS NOT NULL THEN (SELECT count(*) FROM events e WHERE e.event_id % 500 = 0 AND e.event_id >= start + n) END AS later FROM n LEFT JOIN m USING (doc)""")
+def q_run_match(spark, sf_dir):
+    """Attested runs of every twentieth stretch of the audit matched with it; some have a forged, a missing or a strange record."""
+    e = table(spark, sf_dir, "events")
+    audit = e.select(F.col("event_id").alias("seq"), F.concat_ws("/", "event_type", "user_id").alias("record_id"), F.sha2(F.col("value").cast("string"), 256).alias("tag"), F.date_format("ts", "yyyy-MM-dd").alias("at"))
+    doc, p = F.expr("seq div 20"), F.col("seq") % 20
+    cut = (doc % 5 == 2) & (p > 3)
+    r = audit.filter((p < 6) & ~((doc % 5 == 2) & (p == 3))).select(
+        doc.alias("doc"), (p - F.when(cut, 1).otherwise(0)).alias("place"), F.when((doc % 5 == 3) & (p == 0), "other").otherwise(F.col("record_id")).alias("record_id"), F.when((doc % 5 == 1) & (p == 2), "forged").otherwise(F.col("tag")).alias("tag"), "at"
+    )
+    return IV.marks_after(IV.matched_runs(r, audit, ["record_id", "tag", "at"]), e.filter("event_id % 500 = 0").select(F.col("event_id").alias("seq")))
+
+
+@query("""WITH a AS (SELECT user_id AS chain, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq, event_id, sha256(CAST(event_id AS VARCHAR)) AS tag FROM events),
+c AS (SELECT chain, list(tag ORDER BY seq) AS tags, list(event_id ORDER BY seq) AS ids FROM a GROUP BY chain),
+p AS (SELECT chain, ids, list_reduce([''] || tags[1:2], lambda h, t: sha256(h || chr(31) || t)) AS was, list_reduce([''] || tags[1:6], lambda h, t: sha256(h || chr(31) || t)) AS became, tags[3:6] AS t FROM c WHERE len(tags) >= 6),
+f AS (SELECT *, CASE chain % 7 WHEN 1 THEN [t[1], 'forged', t[3], t[4]] WHEN 2 THEN [t[1], t[2], t[4]] WHEN 3 THEN [t[1], t[3], t[2], t[4]] ELSE t END AS shown FROM p)
+SELECT chain AS proof, CASE WHEN chain % 7 = 5 THEN 'not named' WHEN chain % 7 = 2 THEN 'no tombstone' WHEN list_reduce([was] || shown, lambda h, t: sha256(h || chr(31) || t)) <> became THEN 'heads do not chain'
+WHEN chain % 7 = 4 THEN 'not in the chain' WHEN chain % 7 = 6 THEN 'still there' ELSE 'verified' END AS verdict FROM f""")
+def q_forget_proofs(spark, sf_dir):
+    """Proofs of the third to sixth row of every chain: some forged, cut, swapped, moved to another chain, of a record not
+    named, or of one that is still there."""
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    a = table(spark, sf_dir, "events").select(F.col("user_id").alias("chain"), F.row_number().over(w).cast("long").alias("seq"), F.concat(F.lit("del/"), F.col("event_id").cast("string")).alias("record_id"), F.sha2(F.col("event_id").cast("string"), 256).alias("tag"))
+    heads = G.chain_heads(a)
+    runs = a.groupBy("chain").agg(F.count("*").alias("n")).filter("n >= 6").select(F.col("chain").alias("proof"), "chain", F.lit(3).cast("long").alias("first"), F.lit(6).cast("long").alias("last"))
+    headers, records, named = PR.proofs(a, heads, runs)
+    kind, place = F.col("proof") % 7, F.col("place")
+    headers = headers.withColumn("chain", F.when(kind == 4, F.concat(F.lit("x"), "chain")).otherwise(F.col("chain")))
+    records = records.withColumn("tag", F.when((kind == 1) & (place == 1), "forged").otherwise(F.col("tag"))).filter(~((kind == 2) & (place == 2)))
+    moved = F.when((kind == 3) & place.isin(1, 2), 3 - place).when((kind == 2) & (place == 3), 2).otherwise(place)
+    first = records.filter("place = 0").select("proof", F.expr("substring(record_id, 5)").alias("id"))
+    named = named.join(first.filter(F.col("proof") % 7 == 5), ["proof", "id"], "left_anti")
+    live = first.filter(F.col("proof") % 7 == 6).select("id")
+    return PR.verdicts(headers, records.withColumn("place", moved), named, heads, live)
+
+
 @query("SELECT count(*) AS n FROM documents JOIN labels USING (doc_id)")
 def q_inner_count(spark, sf_dir):
     """Rows that both tables have."""
@@ -338,10 +386,10 @@ def q_update_delete(spark, sf_dir):
     return out.join(r.filter("id % 17 = 0").select("id"), "id", "left_anti")
 
 
-@query("SELECT CAST(user_id AS VARCHAR) AS chain, count(*) AS faults FROM events WHERE user_id % 10 = 3 GROUP BY user_id")
+@query("SELECT CAST(user_id AS VARCHAR) AS chain, count(*) - CASE WHEN user_id % 10 = 7 THEN 4 ELSE 0 END AS faults FROM events WHERE user_id % 10 IN (3, 7) GROUP BY user_id HAVING user_id % 10 = 3 OR count(*) >= 5")
 def q_verify_chain(spark, sf_dir):
     """Chains in which a tag was altered after the fact, with how many heads no longer hold."""
     w = Window.partitionBy("user_id").orderBy("event_id")
     a = table(spark, sf_dir, "events").select(F.col("user_id").alias("chain"), F.row_number().over(w).cast("long").alias("seq"), F.sha2(F.col("event_id").cast("string"), 256).alias("tag"))
-    forged = a.withColumn("tag", F.when((F.col("chain") % 10 == 3) & (F.col("seq") == 1), "forged").otherwise(F.col("tag")))
+    forged = a.withColumn("tag", F.when((F.col("chain") % 10 == 3) & (F.col("seq") == 1) | (F.col("chain") % 10 == 7) & (F.col("seq") == 5), "forged").otherwise(F.col("tag")))
     return G.verified(forged, G.chain_heads(a)).groupBy("chain").agg(F.count("*").alias("faults"))
