@@ -421,10 +421,12 @@ def _connected(links: DataFrame, reps: DataFrame) -> DataFrame:
     return found.select(F.col("node.cls").alias("cls"), F.col("root.cls").alias("root"), F.col("root.rep").alias("component_id"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, trees: int = TREES, small: int = SMALL) -> DataFrame:
-    """One row per document: doc_id, n_shingles, class id, component_id (least doc_id) and whether it is kept."""
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, trees: int = TREES, small: int = SMALL) -> DataFrame:
+    """One row per document: doc_id, n_shingles, class id, component_id (least doc_id) and whether it is kept. Documents link
+    at PERCENT; the trees' branching and the bars for proposals (AGREE of COORDS, FINE_AGREE of FINE) are set for that
+    similarity, so it isn't an option."""
     with Scratch() as scratch:
-        return scratch.keep(_near_duplicates(docs, shingle, percent, trees, small))
+        return scratch.keep(_near_duplicates(docs, shingle, PERCENT, trees, small))
 
 
 def _near_duplicates(docs: DataFrame, shingle: int, percent: int, trees: int, small: int) -> Staged:

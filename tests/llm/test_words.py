@@ -279,3 +279,78 @@ def test_token_edges(spark, docs, empty, library, tmp_path):
     assert token_counts(empty, VOCABULARY, 3).count() == 0
     with pytest.raises(ValueError):
         read_vocabulary(public_tokenizers.path("word_bpe_49k.json"))
+
+
+# --- pages and urls that took too long ---
+
+ODD = {
+    "stray quote": "<a " * 330_000 + '"', "unmatched ends": "<x>" * 130_000 + "text" + "</y>" * 130_000, "names that run on": "<x" * 400_000 + ' "', "tags in quotes": '<a "<b" ' * 120_000 + '"',
+    "cells below a deep nest": "<td><div>" + "<x>" * 50_000 + "<td></td>" * 60_000, "quotes in names": '<x"' * 300_000 + ' "', "two kinds of quotes": "<a '\"' " * 100_000 + "'",
+}
+
+
+@pytest.mark.parametrize("name", sorted(ODD))
+def test_odd_pages_end(spark, name):
+    """A megabyte of each kind, through the whole operator."""
+    import time
+
+    from recollect.llm.extraction import main_text
+
+    pages = spark.createDataFrame([(1, "http://x", ODD[name]), (2, "http://x", "<body><article><p>" + "A plain sentence of the article, long enough. " * 9 + "</p></article></body>")], "page_id long, url string, html string")
+    began = time.time()
+    got = {r.page_id: r.text for r in main_text(pages).collect()}
+    assert time.time() - began < 60 and got[2].startswith("A plain sentence")
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["<", ">", '"', "'", "<a ", "<p>", "</p>", "<li>", "<ul>", "<td>", '<div class="x" id=\'y\'>', "<x>", "</y>", "text", " ", "<!--", "-->", '<b"c', "a=", "</", "<script>", "</script>", "<br>", "&amp;", "<tr>", "<table>", "/", "\n"]), max_size=24).map("".join))
+def test_tags_end_at_the_first_bracket_outside_quotes(page):
+    """Against the pattern that says where a tag ends, tried at every place anew."""
+    from recollect.llm.htmltree import _Tags
+
+    pattern = re.compile(r"([a-zA-Z][^\s/>]*)(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:>|\Z)", re.S)
+    tags = _Tags(page)
+    for at in range(len(page)):
+        if page[at].isascii() and page[at].isalpha():
+            m, got = pattern.match(page, at), tags.match(at)
+            assert (got is None) == (m is None)
+            if m:
+                assert got == (m.end(1), m.end() - (m.end() > got[1]))
+
+
+@pytest.mark.parametrize("segments", [10, 40])
+def test_long_urls_labelled_again_and_again(spark, segments):
+    import time
+
+    from recollect.llm.urlrules import judge
+
+    url = "http://ex.com/" + "/".join(f"s{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(segments))
+    pages = spark.createDataFrame([(i, url if i < 8 else f"http://ok.org/{chr(97 + i % 26)}/x") for i in range(30)] + [(90, "http://other.net/zzz"), (91, "http://other.net/saa")], "page_id long, url string")
+    labelled = spark.createDataFrame([(i, i < 6) for i in range(12)], "page_id long, bad boolean")
+    began = time.time()
+    got = {r.page_id: r.verdict for r in judge(pages, labelled, []).collect()}
+    # any token of the repeated url tells it, as it did when every token was a rule of its own
+    assert time.time() - began < 60 and {i for i, v in got.items() if v == "block"} == {*range(8), 91}
+
+
+def test_rules_against_all_subsets(spark):
+    """Random urls of few tokens: verdicts are those of every subset of every blocked url that holds often and surely enough."""
+    from itertools import combinations
+
+    from recollect.llm.urlrules import judge, tokens
+
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(160):
+        parts = rng.choice(list("abcdef"), rng.integers(1, 5))
+        twin = ["tw", "in"] if i % 3 == 0 else []
+        rows.append((i, "http://h.com/" + "/".join([*parts, *twin])))
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    bad = {i: "a" in url.split("/")[3:] and "b" in url.split("/")[3:] or rng.random() < 0.15 for i, url in rows if i < 120}
+    items = {r.page_id: frozenset(r.t) for r in pages.select("page_id", tokens(pages.url).alias("t")).collect()}
+    least = max(5, int(np.ceil(0.005 * 120)))
+    sets = Counter(s for i, b in bad.items() if b for k in range(1, len(items[i]) + 1) for s in map(frozenset, combinations(sorted(items[i]), k)))
+    rules = [s for s, n in sets.items() if n >= least and n / sum(s <= items[i] for i in bad) >= 0.6]
+    want = {i: "block" if any(r <= t for r in rules) else "allow" for i, t in items.items()}
+    got = judge(pages, spark.createDataFrame(list((i, bool(b)) for i, b in bad.items()), "page_id long, bad boolean"), [])
+    assert {r.page_id: r.verdict for r in got.collect()} == want and set(want.values()) == {"block", "allow"}
