@@ -14,12 +14,14 @@ from recollect.operators import facts as K
 from recollect.operators import governance as G
 from recollect.operators import records as R
 from recollect.operators import search as S
-from recollect.plans.register import query
+from recollect.plans.register import ORACLES, query
 from recollect.plans.search_queries import records
 from recollect.sources import files
+from recollect.sources import line_source as LS
 from recollect.sources import work as W
 from recollect.sources.tables import table
 from recollect.sources.vector_store import FolderIndex
+from recollect.streaming import pipelines as P
 
 _KEY = b"a key of these queries"
 
@@ -64,6 +66,35 @@ def q_transcript_files(spark, sf_dir):
     return found.select("id", "role", "text", (F.col("numbered") & F.col("all")).alias("numbered"))
 
 
+def _written_transcripts(spark, sf_dir) -> str:
+    """Conversations written as transcripts with blank, broken and noise lines."""
+    c, path = table(spark, sf_dir, "conversations"), W.fresh(spark, "transcripts")
+    line = F.to_json(F.struct(F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("role").alias("type"), F.struct(F.col("text").alias("content")).alias("message")))
+    noise = F.array(F.lit(""), F.lit('{"type": "user", "message": {"content": "cut'), F.lit('{"type": "progress", "content": "x"}'))
+    lines = c.select("conv_id", "turn", F.posexplode(F.when(F.col("turn") % 3 == 0, F.concat(noise, F.array(line))).otherwise(F.array(line))).alias("k", "value"))
+    lines.repartition(3, "conv_id").sortWithinPartitions("conv_id", "turn", "k").select("value").write.text(path)
+    return path
+
+
+@query(ORACLES["q_transcript_files"])
+def q_transcript_source(spark, sf_dir):
+    """The same transcripts through the data source, in ranges of 20,000 bytes, numbered over the ranges."""
+    LS.register(spark)
+    rows = spark.read.format("text_ranges").option("pattern", "*.txt").option("rangebytes", 20_000).load(_written_transcripts(spark, sf_dir))
+    whole = LS.numbered(rows)
+    one = whole.groupBy("source").agg((F.countDistinct("line") == F.max("line") + 1).alias("numbered"), (F.count("*") == F.max("line") + 1).alias("all"))
+    return files.messages(whole.withColumnRenamed("value", "json")).join(one, "source").select("id", "role", "text", (F.col("numbered") & F.col("all")).alias("numbered"))
+
+
+@query("SELECT conv_id || '-' || turn AS id, role, text FROM conversations WHERE trim(text) <> ''")
+def q_transcript_stream(spark, sf_dir):
+    """The transcripts as a stream of lines."""
+    LS.register(spark)
+    rows = spark.readStream.format("text_ranges").option("pattern", "*.txt").option("rangebytes", 20_000).load(_written_transcripts(spark, sf_dir))
+    lines = rows.select("source", F.col("inside").alias("line"), F.col("value").alias("json"))
+    return P.once(files.messages(lines).select("id", "role", "text"))
+
+
 _IMPORTED = "CASE WHEN doc_id % 7 = 0 THEN 'quarantine-pending' ELSE lang END"
 
 

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recollect.functions import hashing as H
+from recollect.functions import table_functions as TF
 from recollect.functions import text as X
-from recollect.plans.register import query
+from recollect.plans.register import ORACLES, query
 from recollect.sources.tables import table
 
 
@@ -82,6 +83,14 @@ def q_chunks(spark, sf_dir):
     return rows.select(H.drawer_id(F.col("lang"), F.col("source"), source, F.col("chunk_index")).alias("id"), "doc_id", "chunk_index", F.octet_length("content").alias("bytes"), "content")
 
 
+@query()
+def q_chunks_sql(spark, sf_dir):
+    """The same chunks, by a table function in Spark SQL."""
+    TF.register(spark)
+    d = _docs(spark, sf_dir).select("doc_id", X.normalize_content(F.col("text")).alias("text"))
+    return spark.sql("SELECT d.doc_id, c.chunk_index, octet_length(c.content) AS bytes, c.content FROM {d} d, LATERAL chunks_of(d.text) c", d=d)
+
+
 _STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(X.ENTITY_STOPWORDS))
 
 
@@ -97,6 +106,14 @@ def q_entities(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", X.entities(F.col("text")).alias("entities"))
 
 
+@query(ORACLES["q_entities"])
+def q_entities_sql(spark, sf_dir):
+    """The same by a table function in Spark SQL."""
+    TF.register(spark)
+    return spark.sql("""WITH e AS (SELECT d.doc_id, array_sort(collect_set(e.entity)) AS entities FROM {d} d, LATERAL entities_of(d.text) e GROUP BY d.doc_id)
+        SELECT d.doc_id, coalesce(e.entities, array()) AS entities FROM {d} d LEFT JOIN e ON d.doc_id = e.doc_id""", d=_docs(spark, sf_dir).select("doc_id", "text"))
+
+
 @query("SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey WHERE a.p_name = b.p_name OR (length(a.p_name) >= 5 AND length(b.p_name) >= 5 AND levenshtein(a.p_name, b.p_name) <= 1)")
 def q_typo(spark, sf_dir):
     """Part names one edit apart, compared within brand and size."""

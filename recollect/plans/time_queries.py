@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from recollect.functions import table_functions as TF
 from recollect.functions import temporal as D
-from recollect.plans.register import query
+from recollect.plans.register import ORACLES, query
 from recollect.sources.tables import table
 
 
@@ -89,6 +90,14 @@ def q_mentions_en(spark, sf_dir):
     return found.select("event_id", "m.kind", "m.resolved")
 
 
+@query(ORACLES["q_mentions_en"])
+def q_mentions_sql(spark, sf_dir):
+    """The same by a table function in Spark SQL."""
+    TF.register(spark)
+    return spark.sql("""SELECT e.event_id, m.kind, m.resolved FROM {events} e,
+        LATERAL mentions_of(concat('Seen ', date_format(e.ts, 'yyyy-MM-dd'), ' and yesterday, three weeks ago, and all of last month.'), to_date(e.ts), language => 'en') m""", events=table(spark, sf_dir, "events"))
+
+
 @query("""SELECT event_id, unnest([
   {'kind': 'relative', 'resolved': strftime(CAST(ts AS DATE) - 1, '%Y-%m-%d')},
   {'kind': 'relative', 'resolved': strftime(CAST(ts AS DATE) - 2, '%Y-%m-%d')},
