@@ -8,14 +8,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from recollect.functions.text import token_f1
+from recollect.operators.ranks import ranked
 
 
 def retrieval(hits: DataFrame, gold: DataFrame, k: int) -> DataFrame:
     """Per query: any and all gold in the first k, NDCG at k. The ideal is the retrieved relevances sorted, so missed gold doesn't lower it."""
     head = hits.filter(F.col("rank") <= k).join(gold.withColumn("rel", F.lit(1.0)), ["query_id", "id"], "left").fillna({"rel": 0.0})
+    return graded(head, gold.groupBy("query_id").agg(F.count("*").alias("wanted")))
+
+
+def graded(head: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The same of first hits (query_id, rank, rel) and the number of gold rows of each query (query_id, wanted)."""
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rel"), "rank"))
     gain = head.withColumn("ideal", place).groupBy("query_id").agg(F.sum("rel").alias("found"), F.sum(F.col("rel") / F.log2(F.col("rank") + 1)).alias("dcg"), F.sum(F.col("rel") / F.log2(F.col("ideal") + 1)).alias("idcg"))
-    wanted = gold.groupBy("query_id").agg(F.count("*").alias("wanted"))
     out = wanted.join(gain, "query_id", "left").fillna({"found": 0.0, "dcg": 0.0, "idcg": 0.0})
     return out.select("query_id", (F.col("found") > 0).alias("any"), (F.col("found") == F.col("wanted")).alias("all"), F.when(F.col("idcg") > 0, F.col("dcg") / F.col("idcg")).otherwise(0.0).alias("ndcg"))
 
@@ -94,6 +99,10 @@ def aligned(predicted: DataFrame, gold: DataFrame, threshold: float = 0.5) -> Da
 
 def floor_percentiles(values: DataFrame, key: str, value: str, shares: tuple[float, ...] = (0.5, 0.99, 1.0)) -> DataFrame:
     """Values at index floor((n - 1) * share) of each key's sorted values."""
-    w = Window.partitionBy(key)
-    ranked = values.withColumn("_i", F.row_number().over(w.orderBy(value)) - 1).withColumn("_n", F.count("*").over(w))
-    return ranked.groupBy(key).agg(*(F.max(F.when(F.col("_i") == F.floor((F.col("_n") - 1) * s), F.col(value))).alias(f"p{int(s * 100)}") for s in shares), F.count("*").alias("n"))
+    sizes = values.groupBy(key).agg(F.count("*").alias("n"))
+    names = {s: f"p{int(s * 100)}" for s in shares}
+    # the places asked for are a few rows a key, whatever its size
+    asked = sizes.select(F.col(key).alias("_key"), "n", F.explode(F.array(*(F.struct(F.lit(name).alias("name"), (F.floor((F.col("n") - 1) * s) + 1).alias("rank")) for s, name in names.items()))).alias("_a"))
+    held = ranked(values.select(key, value), key, value)
+    found = held.join(asked, held[key].eqNullSafe(asked["_key"]) & (held["rank"] == asked["_a.rank"]))
+    return found.groupBy(key).agg(*(F.max(F.when(F.col("_a.name") == name, F.col(value))).alias(name) for name in names.values()), F.max("n").alias("n"))

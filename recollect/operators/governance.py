@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from recollect.functions import hashing as H
 from recollect.functions import text as X
+from recollect.operators.ranks import ranked
 from recollect.operators.search import QUARANTINE
 
 
@@ -171,8 +172,7 @@ def forget_check(attested: DataFrame, tombstones: DataFrame) -> DataFrame:
 
 def islands(rows: DataFrame, group: str, seq: str) -> DataFrame:
     """Contiguous runs of seq within a group: (group, first, last, n)."""
-    w = Window.partitionBy(group).orderBy(seq)
-    return rows.withColumn("_i", F.col(seq) - F.row_number().over(w)).groupBy(group, "_i").agg(F.min(seq).alias("first"), F.max(seq).alias("last"), F.count("*").alias("n")).drop("_i")
+    return ranked(rows.select(group, seq), group, seq).withColumn("_i", F.col(seq) - F.col("rank")).groupBy(group, "_i").agg(F.min(seq).alias("first"), F.max(seq).alias("last"), F.count("*").alias("n")).drop("_i")
 
 
 def updated(records: DataFrame, changes: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 
 from recollect.functions import text as X
 from recollect.functions import vectors as V
+from recollect.operators import ranks
 
 K1, B = 1.2, 0.75
 TRUST = {"quarantined": 0, "standard": 1, "trusted": 2}
@@ -237,18 +238,30 @@ def leading(rows: DataFrame, score: str, n: int, low: float, high: float, bins:
     return rows.filter(place >= least)
 
 
-def capped(hits: DataFrame, group: str, score: str, cap: int, depth: int) -> DataFrame:
-    """The first ``depth`` places: at most cap of each group first, then the rest, each by score. Only the per-group
-    ranking shuffles; the places are a bounded sort."""
+def capped(hits: DataFrame, group: str, score: str, cap: int, depth: int, per: str | None = None) -> DataFrame:
+    """The first ``depth`` places: at most cap of each group first, then the rest, each by score; of each query, where
+    ``per`` names its column. Only the per-group ranking shuffles; the places of one ranking are a bounded sort."""
+    if per is not None:
+        within = F.row_number().over(Window.partitionBy(per, group).orderBy(F.desc(score), "id"))
+        spare = hits.withColumn("_spare", (within > cap).cast("int"))
+        place = F.row_number().over(Window.partitionBy(per).orderBy("_spare", F.desc(score), "id"))
+        return spare.withColumn("place", place).filter(F.col("place") <= depth).drop("_spare")
     own = F.row_number().over(Window.partitionBy(group).orderBy(F.desc(score), "id"))
     head = hits.withColumn("spare", (own > cap).cast("int")).orderBy("spare", F.desc(score), "id").limit(depth)
     return head.withColumn("place", F.row_number().over(Window.orderBy("spare", F.desc(score), "id"))).drop("spare")
 
 
-def first_of_group(ranked: DataFrame, group: str, depth: int | None = None) -> DataFrame:
-    """The first ``depth`` groups, or all, in the order in which they appear, with their rank."""
+def first_of_group(ranked: DataFrame, group: str, depth: int | None = None, per: str | None = None) -> DataFrame:
+    """The first ``depth`` groups, or all, in the order in which they appear, with their rank; of each query, where ``per``
+    names its column."""
+    if per is not None:
+        place = F.row_number().over(Window.partitionBy(per).orderBy("seen"))
+        out = ranked.groupBy(per, group).agg(F.min("rank").alias("seen")).select(per, group, place.alias("rank"))
+        return out if depth is None else out.filter(F.col("rank") <= depth)
     best = ranked.groupBy(group).agg(F.min("rank").alias("seen"))
-    best = best if depth is None else best.orderBy("seen").limit(depth)
+    if depth is None:
+        return ranks.ranked(best.withColumn("_all", F.lit(0)), "_all", "seen", group).select(group, F.col("rank").cast("int").alias("rank"))
+    best = best.orderBy("seen").limit(depth)
     return best.select(group, F.row_number().over(Window.orderBy("seen")).alias("rank"))
 
 

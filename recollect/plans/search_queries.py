@@ -17,12 +17,12 @@ from recollect.operators.index import SearchIndex
 from recollect.operators.vector_index import VectorIndex
 from recollect.plans.register import ORACLES, query
 from recollect.sources import work as W
-from recollect.sources.tables import table
+from recollect.sources.tables import spread, table
 
 
 def records(spark, sf_dir):
     """Documents as records: the language is the wing, the source the room."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
     return d.select(F.col("doc_id").alias("id"), F.col("lang").alias("wing"), F.col("source").alias("room"), F.col("text").alias("content"))
 
 
@@ -167,6 +167,28 @@ def q_session_rank(spark, sf_dir):
     return S.first_of_group(ranked, "label")
 
 
+_K100 = f"{KNN20}, h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM k20 QUALIFY r <= 100)"
+
+
+def _hundred(spark, sf_dir):
+    """The hundred nearest of every row whose id is divisible by 20, with their label."""
+    label = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    return neighbours(spark, sf_dir, 100).join(label, "id")
+
+
+@query(f"""WITH {_K100}, m AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, id) > 2 THEN 1 ELSE 0 END AS spare FROM h)
+SELECT query_id, id, label, CAST(row_number() OVER (PARTITION BY query_id ORDER BY spare, score DESC, id) AS INTEGER) AS place FROM m QUALIFY place <= 30""")
+def q_room_caps(spark, sf_dir):
+    """At most two hits of a label first, then refilled by score, for every query of the set."""
+    return S.capped(_hundred(spark, sf_dir), "label", "score", 2, 30, per="query_id").select("query_id", "id", "label", "place")
+
+
+@query(f"""WITH {_K100} SELECT query_id, label, CAST(row_number() OVER (PARTITION BY query_id ORDER BY min(r)) AS INTEGER) AS rank FROM h GROUP BY query_id, label""")
+def q_session_ranks(spark, sf_dir):
+    """Labels in the order in which they first appear among a hundred hits, for every query of the set."""
+    return S.first_of_group(_hundred(spark, sf_dir), "label", per="query_id")
+
+
 @query(f"""WITH {_KNN}, r AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM k WHERE query_id < 2)
 SELECT id, sum(1.0 / (60 + rank)) AS rrf FROM r WHERE rank <= 50 GROUP BY id""")
 def q_rrf(spark, sf_dir):
@@ -345,7 +367,7 @@ s AS (SELECT doc_id, CAST('0x' || h[7:8] || h[5:6] || h[3:4] || h[1:2] AS BIGINT
 SELECT t.doc_id, CASE WHEN max(x) IS NULL THEN 0.0 ELSE 1.0 END AS norm, coalesce(min(slot) FILTER (x = m), 0) AS slot FROM t LEFT JOIN (SELECT *, max(x) OVER (PARTITION BY doc_id) AS m FROM s) s ON s.doc_id = t.doc_id GROUP BY t.doc_id""")
 def q_hash_embed(spark, sf_dir):
     """Hash embeddings of documents, with their length and the slot of the largest component."""
-    e = table(spark, sf_dir, "documents").select("doc_id", V.embed(F.col("text")).alias("v"))
+    e = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", V.embed(F.col("text")).alias("v"))
     e = e.withColumn("a", F.transform("v", lambda x: F.abs(x)))
     return e.select("doc_id", F.round(F.sqrt(V.dot(F.col("v"), F.col("v"))), 9).alias("norm"), (F.array_position("a", F.array_max("a")) - 1).alias("slot"))
 
@@ -437,7 +459,7 @@ SELECT {V.semantic_floor()!r} AS floor, 0.56 AS gate, avg(CASE WHEN 0.5 + 0.5 *
 def q_calibration(spark, sf_dir):
     """The floor and gate of the hash embedder, and the share of document pairs above the gate."""
     floor = V.semantic_floor()
-    d = table(spark, sf_dir, "documents").select("doc_id", V.embed(F.col("text")).alias("v"))
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", V.embed(F.col("text")).alias("v"))
     after = d.select((F.col("doc_id") + 1).alias("doc_id"), F.col("v").alias("w"))
     pairs = d.join(after, "doc_id").select(V.semantic(V.dot(F.col("v"), F.col("w")), floor).alias("s"))
     return pairs.agg(F.lit(floor).alias("floor"), F.lit(V.GATE).alias("gate"), F.avg((F.col("s") > V.GATE).cast("double")).alias("admitted"))

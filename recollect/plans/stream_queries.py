@@ -10,7 +10,7 @@ from recollect.operators import records as R
 from recollect.plans.register import query
 from recollect.sources import files
 from recollect.sources import work as W
-from recollect.sources.tables import table
+from recollect.sources.tables import spread, table
 from recollect.streaming import pipelines as P
 from recollect.streaming import stateful as ST
 
@@ -33,7 +33,7 @@ def q_chunk_exchanges(spark, sf_dir):
 @query()
 def q_mine(spark, sf_dir):
     """Records mined from documents as files."""
-    d = table(spark, sf_dir, "documents").select(F.col("lang").alias("wing"), F.col("source").alias("room"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("source"), "text", F.lit("2024-05-01T09:00:00Z").alias("filed_at"))
+    d = spread(table(spark, sf_dir, "documents")).select(F.col("lang").alias("wing"), F.col("source").alias("room"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("source"), "text", F.lit("2024-05-01T09:00:00Z").alias("filed_at"))
     return R.mined(d)
 
 

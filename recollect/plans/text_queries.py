@@ -9,11 +9,11 @@ from recollect.functions import hashing as H
 from recollect.functions import table_functions as TF
 from recollect.functions import text as X
 from recollect.plans.register import ORACLES, query
-from recollect.sources.tables import table
+from recollect.sources.tables import spread, table
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
 
 
 @query(r"SELECT doc_id, regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[\x00-\x08\x0B-\x1F\x7F-\x{9F}]', '', 'g') AS safe FROM documents")
@@ -116,10 +116,12 @@ def q_entities_sql(spark, sf_dir):
 
 @query("SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey WHERE a.p_name = b.p_name OR (length(a.p_name) >= 5 AND length(b.p_name) >= 5 AND levenshtein(a.p_name, b.p_name) <= 1)")
 def q_typo(spark, sf_dir):
-    """Part names one edit apart, compared within brand and size."""
+    """Part names that are equal or one edit apart, within brand and size: names that share a deletion key are compared."""
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size")
-    pairs = p.alias("x").join(p.alias("y"), (F.col("x.p_brand") == F.col("y.p_brand")) & (F.col("x.p_size") == F.col("y.p_size")) & (F.col("x.p_partkey") < F.col("y.p_partkey")))
-    return pairs.filter(X.within_one_edit(F.col("x.p_name"), F.col("y.p_name"))).select(F.col("x.p_partkey").alias("a"), F.col("y.p_partkey").alias("b"))
+    keyed = p.withColumn("key", F.explode(X.edit_keys(F.col("p_name"))))
+    same = (F.col("x.p_brand") == F.col("y.p_brand")) & (F.col("x.p_size") == F.col("y.p_size")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.p_partkey") < F.col("y.p_partkey"))
+    pairs = keyed.alias("x").join(keyed.alias("y"), same).filter(X.within_one_edit(F.col("x.p_name"), F.col("y.p_name")))
+    return pairs.select(F.col("x.p_partkey").alias("a"), F.col("y.p_partkey").alias("b")).distinct()
 
 
 @query("SELECT doc_id, strlen(substr(text, 1, strpos(text, 'the ') - 1)) AS at, 4 AS len FROM documents WHERE strpos(text, 'the ') > 0")

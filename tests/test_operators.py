@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from recollect.functions import vectors as V
 from recollect.operators import evaluation as E
 from recollect.operators import governance as G
+from recollect.operators import ranks
 from recollect.operators import records as R
 from recollect.operators import search as S
 from recollect.plans import registry
@@ -162,3 +163,21 @@ def test_conversations_are_packed_over_batches():
         assert pd.concat([p for p in R._packed(iter(cut), 120) if len(p)]).reset_index(drop=True).astype(str).equals(want.astype(str))
     assert (want["content"].str.len() <= 120).all() and want.groupby("conv_id")["chunk_index"].agg(lambda x: list(x) == list(range(len(x)))).all()
     assert "\n\n".join(want["content"]) == "\n\n".join(f"User: {r[3]}" for r in rows)
+
+
+def test_ranks_of_large_groups(spark):
+    """A group that holds most rows fills many ranges; ranks are those of one sort, also of a null group."""
+    rng = np.random.default_rng(1)
+    rows = [(["a", "a", "a", "b", None][int(k)], int(v), i) for i, (k, v) in enumerate(zip(rng.integers(0, 5, 3000), rng.permutation(3000), strict=True))]
+    got = {r.i: r["rank"] for r in ranks.ranked(spark.createDataFrame(rows, "g string, v int, i int").repartition(7), "g", "v").collect()}
+    for group in ("a", "b", None):
+        own = sorted((v, i) for g, v, i in rows if g == group)
+        assert [got[i] for _, i in own] == list(range(1, len(own) + 1))
+    assert ranks.ranked(spark.createDataFrame([], "g string, v int"), "g", "v").count() == 0
+
+
+def test_graded_queries_without_hits(spark):
+    hits = spark.createDataFrame([(1, 1, 0.0), (1, 2, 1.0), (2, 1, 0.0)], "query_id int, rank int, rel double")
+    wanted = spark.createDataFrame([(1, 1), (2, 3), (3, 2)], "query_id int, wanted int")
+    got = {r.query_id: (r["any"], r["all"], round(r.ndcg, 4)) for r in E.graded(hits, wanted).collect()}
+    assert got == {1: (True, True, 0.6309), 2: (False, False, 0.0), 3: (False, False, 0.0)}
