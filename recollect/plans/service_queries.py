@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -127,11 +129,17 @@ def q_evaluation_set(spark, sf_dir):
     return files.evaluation_set(spark, path, "item_id long, question string, answers array<string>")
 
 
-@query("SELECT CAST(count(*) AS BIGINT) AS n_rows, true AS bounded, min(vec_id) AS least, max(vec_id) AS most FROM embeddings")
+@query("SELECT CAST(count(*) AS BIGINT) AS n_rows, true AS bounded, min(vec_id) AS least, max(vec_id) AS most, CAST(count(*) AS BIGINT) AS stored FROM embeddings")
 def q_index_push(spark, sf_dir):
-    """Every vector handed to a sink in batches of 64, with receipts."""
-    got = files.pushed(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), lambda batch: None)
-    return got.agg(F.sum("size").alias("n_rows"), (F.max("size") <= 64).alias("bounded"), F.min("least").alias("least"), F.max("most").alias("most"))
+    """Every vector sent to a shared folder in batches of 64, twice, with receipts of the second time; and how many are there,
+    once and as they were."""
+    e, path = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), W.fresh(spark, "pushed")
+    for _ in range(2):
+        receipts = W.written(files.pushed(e, partial(files.sent_to_folder, path)), "receipts")
+    got = receipts.agg(F.sum("size").alias("n_rows"), (F.max("size") <= 64).alias("bounded"), F.min("least").alias("least"), F.max("most").alias("most"))
+    there = spark.read.parquet(path).groupBy("id").agg(F.count("*").alias("n"), F.first("embedding").alias("sent"))
+    same = there.join(e, "id").filter((F.col("n") == 1) & (F.col("sent") == F.col("embedding").cast("array<float>")))
+    return got.crossJoin(same.agg(F.count("*").alias("stored")))  # one row each
 
 
 _CODED = """q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 1),

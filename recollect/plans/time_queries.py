@@ -126,14 +126,27 @@ def q_calendars(spark, sf_dir):
 _LUNAR = ["2024-07-07", "2024-08-05", "2024-09-04", "2024-10-04", "2024-11-03", "2024-12-02", "2025-01-01", "2025-01-31", "2025-03-01", "2025-03-30", "2025-04-29", "2025-05-28", "2025-06-26"]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i + 1}, '{d}')" for i, d in enumerate(_LUNAR[:12])) + ", (13, '2025-06-26')) t(month, resolved)")
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 13 = 0 THEN '2025-06-26' ELSE [" + ", ".join(f"'{d}'" for d in _LUNAR[:12]) + "][CAST(o_orderkey % 12 + 1 AS INTEGER)] END AS resolved FROM orders")
 def q_lunar_months(spark, sf_dir):
-    """First days of the lunar months of 1446 and of 1447, from dates under a declared calendar and with an era."""
-    months = spark.range(1, 13).select(F.col("id").cast("int").alias("month"), F.format_string("1446-%02d-01", F.col("id")).alias("text"))
-    day = F.lit("2025-01-01").cast("date")
-    declared = months.select("month", D.mentions(D.Locale(calendar="hijri"))(F.col("text"), day)[0]["resolved"].alias("resolved"))
-    era = spark.range(1).select(F.lit(13).alias("month"), D.mentions()(F.lit("1447-01-01 هـ"), day)[0]["resolved"].alias("resolved"))
-    return declared.unionByName(era)
+    """For every order the first day of a lunar month of 1446 under a declared calendar, or of 1447 with an era."""
+    o, day = table(spark, sf_dir, "orders"), F.lit("2025-01-01").cast("date")
+    declared = D.mentions(D.Locale(calendar="hijri"))(F.format_string("1446-%02d-01", F.col("o_orderkey") % 12 + 1), day)
+    found = F.when(F.col("o_orderkey") % 13 == 0, D.mentions()(F.lit("1447-01-01 هـ"), day)).otherwise(declared)
+    return o.select("o_orderkey", F.element_at(found, 1)["resolved"].alias("resolved"))
+
+
+@query("""WITH j AS (SELECT o_orderkey, o_orderdate, 1370 + o_orderkey % 50 AS y, 1 + o_orderkey % 12 AS m, 1 + o_orderkey % 29 AS d FROM orders)
+SELECT o_orderkey, strftime(DATE '0001-01-01' + CAST(226893 + 365 * (y - 1) + (8 * y + 21) // 33 + CASE WHEN m <= 7 THEN 31 * (m - 1) ELSE 30 * (m - 1) + 6 END + d AS INTEGER), '%Y-%m-%d') AS jalali,
+strftime(o_orderdate, '%Y-%m-%d') AS heisei, CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate - INTERVAL 30 YEAR, '%Y-%m-%d') END AS showa FROM j WHERE NOT (month(o_orderdate) = 2 AND day(o_orderdate) = 29)""")
+def q_era_calendars(spark, sf_dir):
+    """Dates under a declared Jalali calendar, and in years of Japanese eras; a year that the era didn't have is no date."""
+    o = table(spark, sf_dir, "orders").filter("not (month(o_orderdate) = 2 and day(o_orderdate) = 29)")
+    day, rest, k = F.to_date("o_orderdate"), F.date_format("o_orderdate", "-MM-dd"), F.col("o_orderkey")
+    first = lambda text, calendar: F.try_element_at(D.mentions(D.Locale(calendar=calendar))(text, day), F.lit(1))["resolved"]
+    jalali = F.format_string("%d-%02d-%02d", 1370 + k % 50, 1 + k % 12, 1 + k % 29)
+    heisei = F.concat(F.lpad((F.year("o_orderdate") - 1988).cast("string"), 4, "0"), rest)
+    showa = F.concat(F.lpad(F.when(k % 2 == 0, F.year("o_orderdate") - 1955).otherwise(99).cast("string"), 4, "0"), rest)
+    return o.select("o_orderkey", first(jalali, "jalali").alias("jalali"), first(heisei, "heisei").alias("heisei"), first(showa, "showa").alias("showa"))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN strftime(CAST(ts AS DATE) - 1, '%Y-%m-%d') END AS resolved FROM events")

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -87,6 +92,16 @@ def evaluation_set(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return lines.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("c")).select("c.*")
 
 
+def sent_to_folder(path: str, rows: list) -> None:
+    """Puts a batch of (id, vector) into a shared folder as one Parquet file named after its ids: sent again, it replaces itself."""
+    system, where = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    system.create_dir(where, recursive=True)
+    name = hashlib.sha256(",".join(str(i) for i, _ in rows).encode()).hexdigest()
+    batch = pa.table({"id": pa.array([i for i, _ in rows], pa.int64()), "embedding": pa.array([list(v) for _, v in rows], pa.list_(pa.float32()))})
+    with system.open_output_stream(f"{where}/{name}.parquet") as out:
+        pq.write_table(batch, out)
+
+
 def pushed(vectors: DataFrame, send, batch: int = 64) -> DataFrame:
     """Hands every row (id, embedding) to ``send``, a picklable function of a list of (id, vector), in batches; the
     receipts (batch size, least and greatest id) are what an audit keeps. A retried task sends its batches again, so

@@ -9,7 +9,7 @@ import tempfile
 import uuid
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,6 +30,13 @@ def fresh(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/recollect/{label}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """The rows of a frame, computed now and kept in the shared folder."""
+    path = fresh(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def put_new(spark: SparkSession, path: str, text: str) -> bool:
     """Writes a small file that isn't there yet; False where another writer came first."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
