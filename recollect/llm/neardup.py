@@ -148,13 +148,13 @@ def _nodes(reps: DataFrame, trees: int, small: int) -> DataFrame:
     rows = reps.select("cls", "sig").mapInArrow(lambda it: _rooted(it, trees, FIRST_LEVEL), "path long, cls long").withColumn("of", F.lit(None).cast("long")).hint("merge")
     out, crowds = None, None
     for level in range(FIRST_LEVEL, LAST_LEVEL + 1):
-        counts = Staged(rows.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1"), "path-counts").df
-        kept = Staged(rows.join(counts, "path"), "path-rows").df
+        # counted and joined in one job: the counts come dealt by path, as the join wants them
+        kept = Staged(rows.join(rows.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1"), "path"), "path-rows").df
         leaves = kept.filter(F.col("n") <= small).select("path", F.lit(0).cast("long").alias("block"), "cls", F.lit(False).alias("lead"), F.lit(False).alias("large"))
         out = leaves if out is None else out.union(leaves)
-        if counts.filter(F.col("n") > small).isEmpty():
-            break
         large = kept.filter(F.col("n") > small)
+        if large.isEmpty():
+            break
         alike = F.lit(True) if level == LAST_LEVEL else F.coalesce(2 * F.col("n") > F.col("of"), F.lit(False))
         crowd = large.filter(alike).select("path", "cls", "n")
         crowds = crowd if crowds is None else crowds.union(crowd)
@@ -436,10 +436,8 @@ def _near_duplicates(docs: DataFrame, shingle: int, percent: int, trees: int, sm
     nodes = Staged(_nodes(classes.select("cls", "sig"), trees, small), "nodes").df
     first = _by_node(nodes.drop("lead", "large").join(classes.select("cls", "sig"), "cls")).mapInArrow(_first_partners, "a long, b long").distinct()
     first = Staged(first, "pairs").df
-    crowded = Staged(nodes.filter("large").select("cls").distinct(), "crowded").df
-    involved = first.select(F.explode(F.array("a", "b")).alias("cls")).union(crowded).distinct()
-    involved = involved.join(classes.select("cls", "rep"), "cls").join(crowded.withColumn("crowd", F.lit(True)), "cls", "left")
-    involved = Staged(involved.withColumn("crowd", F.col("crowd").isNotNull()), "involved").df
+    involved = first.select(F.explode(F.array("a", "b")).alias("cls"), F.lit(False).alias("crowd")).union(nodes.filter("large").select("cls", F.lit(True)))
+    involved = Staged(involved.groupBy("cls").agg(F.max("crowd").alias("crowd")).join(classes.select("cls", "rep"), "cls").select("cls", "rep", "crowd"), "involved").df
     bitmap = docs.sparkSession.sparkContext.broadcast(sieve(involved.select(F.xxhash64("rep").alias("h")), "h"))
     sets = docs.withColumn("h", F.xxhash64("doc_id")).mapInArrow(lambda it: _full_sets(it, shingle, bitmap.value), "cls long, n long, fine binary, shingles binary")
     sets = Staged(sets.join(involved.select("cls", "crowd"), "cls").dropDuplicates(["cls"]), "sets").df
