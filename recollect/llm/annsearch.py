@@ -11,10 +11,11 @@ without structure need a large one, whatever the index.
 The codebooks are fitted on at most ``FIT_ROWS`` vectors, those of the least hashes; every vector is
 indexed. They hold a power of two of centroids, so that a cell holds about ``CELL`` entries, up to
 ``MAX_CENTROIDS``. Equal vectors are one entry that keeps its ``top + 1`` least ids, which is all that any
-query can return of them, so a vector with a third of all rows is one candidate. Entries are
-compared by their left centroid in pages of about ``PAGE`` entries with pages of about ``PAGE`` queries:
-a crowded centroid is many pages, none left out, and a query is sent to a page once, with the cells it
-visits there. Of a page each query keeps its ``top + 1`` best entries, ties by least id. Codebooks (2 *
+query can return of them, so a vector with a third of all rows is one candidate; the least id names the
+entry. Entries are compared by their left centroid in pages of about ``PAGE`` entries with pages of about
+``PAGE`` queries: a crowded centroid is many pages, none left out, and a query is sent to a page once, with
+the cells it visits there. Queries are dealt to their pages by their nearest left centroid, so that those
+of a page visit alike, and a page of entries is sent only to the pages of queries that visit it. Of a page each query keeps its ``top + 1`` best entries, ties by least id. Codebooks (2 *
 centroids half vectors) and the cell counts (centroids**2) are all that is shipped.
 
 Edge cases: vectors that are null, zero, of another length than most, or that hold null or non-finite
@@ -98,7 +99,7 @@ class Index:
 def _assigned(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         cell = index.cells(_matrix(batch.column("v"), index.dim)) if batch.num_rows else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), *(batch.column(c) for c in ("entry", "least", "v"))], names=["cell", "entry", "least", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), *(batch.column(c) for c in ("entry", "h", "v"))], names=["cell", "entry", "h", "v"])
 
 
 def _probed(batches: Iterator[pa.RecordBatch], index: Index, enough: int, pages: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -108,7 +109,7 @@ def _probed(batches: Iterator[pa.RecordBatch], index: Index, enough: int, pages:
         x = _matrix(batch.column("v"), index.dim)
         a, b = x[:, : index.cut] @ index.left.T, x[:, index.cut :] @ index.right.T
         for at in range(0, len(x), 200):
-            who, left, page, cells = [], [], [], []
+            who, left, page, cells, asking = [], [], [], [], batch.column("asking")
             for i in range(at, min(at + 200, len(x))):
                 by_left: dict[int, list[int]] = {}
                 for c in traverse(a[i], b[i], index.size, enough):
@@ -120,11 +121,32 @@ def _probed(batches: Iterator[pa.RecordBatch], index: Index, enough: int, pages:
                         page.append(k)
                         cells.append(rights)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(left, pa.int32()), pa.array(page, pa.int32()), batch.column("query").take(pa.array(who, pa.int64())), batch.column("v").take(pa.array(who, pa.int64())), pa.array(cells, pa.list_(pa.int32()))],
-                names=["left", "page", "query", "v", "cells"],
+                [pa.array(left, pa.int32()), pa.array(page, pa.int32()), *(c.take(pa.array(who, pa.int64())) for c in (asking, batch.column("query"), batch.column("v"))), pa.array(cells, pa.list_(pa.int32()))],
+                names=["left", "page", "asking", "query", "v", "cells"],
             )
 
 
+def _led(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.RecordBatch]:
+    """Each query with the left centroid that it visits first."""
+    for batch in batches:
+        lead = (_matrix(batch.column("v"), index.dim)[:, : index.cut] @ index.left.T).argmax(1) if batch.num_rows else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("query", "h", "v")), pa.array(lead.astype(np.int32))], names=["query", "h", "v", "lead"])
+
+
+def _dealt(asked: DataFrame, page: int) -> DataFrame:
+    """asked (with lead) with its page of queries: those of a lead go together, about ``page`` to each."""
+    sizes = asked.groupBy("lead").agg(F.count("*").alias("n")).orderBy("lead").collect()  # at most a row for each left centroid
+    first, spread, before = [], [], 0
+    for r in sizes:
+        first += [F.lit(r["lead"]), F.lit(before)]
+        spread += [F.lit(r["lead"]), F.lit(r["n"])]
+        before += r["n"]
+    if not sizes:
+        return asked.withColumn("asking", F.lit(0))
+    place = F.create_map(*first)[F.col("lead")] + F.pmod(F.xxhash64("query"), F.create_map(*spread)[F.col("lead")])
+    return asked.withColumn("asking", F.floor(place / page).cast("int"))
+
+
 def paired(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Inner products of the rows of x with those of y, summed component by component."""
     out = np.zeros(len(x))
@@ -133,9 +155,9 @@ def paired(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def _best(query: np.ndarray, score: np.ndarray, least: np.ndarray, keep: int) -> np.ndarray:
+def _best(query: np.ndarray, score: np.ndarray, entry: np.ndarray, keep: int) -> np.ndarray:
     """Each query's first ``keep`` rows by falling score, then least id."""
-    order = np.lexsort((least, -score, query))
+    order = np.lexsort((entry, -score, query))
     q = query[order]
     begin = np.flatnonzero(np.append(True, q[1:] != q[:-1])) if len(q) else np.zeros(0, np.int64)
     place = np.arange(len(q)) - np.repeat(begin, np.diff(np.append(begin, len(q))))
@@ -148,7 +170,7 @@ def _reranked(queries: pa.Table, entries: pa.Table, dim: int, top: int) -> pa.Ta
     if not entries.num_rows or not queries.num_rows:
         return pa.table({"query": pa.array([], pa.int64()), "entry": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
     x, y = (_matrix(t.column("v").combine_chunks(), dim) for t in (queries, entries))
-    ids, least, own, cell = entries.column("entry").to_numpy(), entries.column("least").to_numpy(), queries.column("query").to_numpy(), entries.column("right").to_numpy()
+    ids, own, cell = entries.column("entry").to_numpy(), queries.column("query").to_numpy(), entries.column("right").to_numpy()
     margin = 1e-12 * dim * np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1).max()
     asked = queries.column("cells").combine_chunks()
     visits = np.zeros((len(x), int(max(cell.max(), asked.flatten().to_numpy().max(initial=0))) + 1), bool)
@@ -166,7 +188,7 @@ def _reranked(queries: pa.Table, entries: pa.Table, dim: int, top: int) -> pa.Ta
         i, j = np.nonzero((about >= (bar - 2 * margin[part])[:, None]) & (about > -np.inf))
         i, j = part[i], members[j]
         score = paired(x[i], y[j])
-        first = _best(i, score, least[j], top + 1)
+        first = _best(i, score, ids[j], top + 1)
         out.append((i[first], j[first], score[first]))
     i, j, score = (np.concatenate([o[k] for o in out]) for k in range(3))
     return pa.table({"query": own[i], "entry": ids[j], "score": score})
@@ -176,7 +198,7 @@ def _trials(batches: Iterator[pa.RecordBatch], ids: np.ndarray, x: np.ndarray, t
     """The best entries of each batch for each trial query, with their cells."""
     for batch in batches:
         score = x @ _matrix(batch.column("v"), x.shape[1]).T
-        score[ids[:, None] == batch.column("entry").to_numpy()[None, :]] = -np.inf
+        score[ids[:, None] == batch.column("h").to_numpy()[None, :]] = -np.inf
         keep = min(top, batch.num_rows)
         at = np.argpartition(-score, keep - 1, axis=1)[:, :keep] if keep else np.zeros((len(ids), 0), np.int64)
         who = np.repeat(np.arange(len(ids)), keep)
@@ -219,12 +241,12 @@ def _search(vectors: DataFrame, queries: Column, top: int, centroids: int | None
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).filter("vec_id is not null")
     width = rows.filter("size(v) > 0").groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
     dim = width["dim"] if width else 1
-    rows = rows.filter(usable(F.col("v"), dim)).groupBy("vec_id").agg(F.min(F.struct(F.xxhash64("v").alias("h"), "v")).alias("one"))
-    rows = Staged(rows.select("vec_id", "one.h", "one.v"), "ann-rows").df
-    least = rows.select("h", "vec_id").withColumn("r", F.row_number().over(Window.partitionBy("h").orderBy("vec_id"))).filter(F.col("r") <= top + 1).select("h", "vec_id")
-    members = Staged(least, "ann-members").df
-    entries = Staged(rows.groupBy("h").agg(F.first("v").alias("v"), F.min("vec_id").alias("least")).select(F.col("h").alias("entry"), "least", "v"), "ann-entries").df
-    sample = entries.orderBy("entry").limit(FIT_ROWS).select("v").toArrow().column("v").combine_chunks()
+    one = F.min(F.struct(F.xxhash64("v").alias("h"), F.xxhash64(F.lit(1), "v").alias("h2"), "v")).alias("one")
+    rows = Staged(rows.filter(usable(F.col("v"), dim)).groupBy("vec_id").agg(one).select("vec_id", "one.*"), "ann-rows").df
+    least = rows.select("h", "h2", "vec_id").withColumn("r", F.row_number().over(Window.partitionBy("h", "h2").orderBy("vec_id"))).filter(F.col("r") <= top + 1)
+    members = Staged(least.select(F.min("vec_id").over(Window.partitionBy("h", "h2")).alias("entry"), "vec_id"), "ann-members").df
+    entries = Staged(rows.groupBy("h", "h2").agg(F.first("v").alias("v"), F.min("vec_id").alias("entry")).select("entry", "h", "v"), "ann-entries").df
+    sample = entries.orderBy("h", "entry").limit(FIT_ROWS).select("v").toArrow().column("v").combine_chunks()
     if not len(sample):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     x = _matrix(sample, dim)
@@ -232,22 +254,23 @@ def _search(vectors: DataFrame, queries: Column, top: int, centroids: int | None
     cut = (dim + 1) // 2 if dim > 1 else 1
     right = kmeans(x[:, cut:], centroids) if dim > 1 else np.zeros((1, 0))
     index = Index(kmeans(x[:, :cut], centroids), right)
-    celled = Staged(entries.mapInArrow(lambda it: _assigned(it, index), "cell int, entry long, least long, v array<double>"), "ann-cells").df
+    celled = Staged(entries.mapInArrow(lambda it: _assigned(it, index), "cell int, entry long, h long, v array<double>"), "ann-cells").df
     for r in celled.groupBy("cell").agg(F.count("*").alias("n")).toArrow().to_pylist():  # at most centroids**2 rows
         index.size[r["cell"]] = r["n"]
     asked = Staged(rows.filter(queries).select(F.col("vec_id").alias("query"), "h", "v"), "ann-queries").df
     enough = max(top + 1, _enough(celled, index, asked, top, target))
     n_right = len(index.right)
     pages = np.maximum(1, -(-index.size.reshape(-1, n_right).sum(1) // page))
-    query_pages = max(1, -(-asked.count() // page))
-    paged = celled.select(F.expr(f"cell div {n_right}").cast("int").alias("left"), (F.col("cell") % n_right).alias("right"), "entry", "least", "v")
+    paged = celled.select(F.expr(f"cell div {n_right}").cast("int").alias("left"), (F.col("cell") % n_right).alias("right"), "entry", "v")
     paged = paged.withColumn("page", F.pmod(F.xxhash64("entry", F.lit(1)), F.element_at(F.lit(pages.tolist()), F.col("left") + 1)).cast("int"))
-    paged = paged.withColumn("asking", F.explode(F.sequence(F.lit(0), F.lit(query_pages - 1))))
     shipped = spark.sparkContext.broadcast(index)
-    probes = asked.select("query", "v").mapInArrow(lambda it: _probed(it, shipped.value, enough, pages), "left int, page int, query long, v array<double>, cells array<int>")
-    probes = probes.withColumn("asking", F.pmod(F.xxhash64("query"), F.lit(query_pages)).cast("int"))
+    led = Staged(asked.mapInArrow(lambda it: _led(it, shipped.value), "query long, h long, v array<double>, lead int"), "ann-led").df
+    probes = _dealt(led, page).mapInArrow(lambda it: _probed(it, shipped.value, enough, pages), "left int, page int, asking int, query long, v array<double>, cells array<int>")
+    probes = Staged(probes, "ann-probes").df
+    wanted = probes.select("left", "page", F.col("asking").alias("by")).distinct()
+    paged = paged.join(wanted, ["left", "page"]).withColumnRenamed("by", "asking")
     met = ["left", "page", "asking"]
     found = probes.groupBy(*met).cogroup(paged.groupBy(*met)).applyInArrow(lambda a, b: _reranked(a, b, dim, top), "query long, entry long, score double")
-    listed = found.join(members.withColumnRenamed("h", "entry"), "entry").filter("query <> vec_id")
+    listed = found.join(members, "entry").filter("query <> vec_id")
     ranked = listed.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))).filter(F.col("rank") <= top)
     return ranked.select(F.col("query").alias("query_id"), F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -28,11 +28,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recollect.llm import textscan as ts
-from recollect.llm.staging import Staged
+from recollect.llm.staging import Staged, unused
 
 LENGTH, GRAM, MAX_SHIPPED = 10, 5, 2_000_000
 REPORT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
@@ -182,11 +182,16 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row_key"), pa.array(np.diff(words.first))], names=["doc_id", "row_key", "n_words"])
 
 
+def _row_key(doc_id: Column) -> Column:
+    """128 bits of a document's id and text."""
+    return F.concat_ws("-", *(F.hex(F.xxhash64(F.lit(k), doc_id, "text")) for k in (1, 2)))
+
+
 def _joined(docs: DataFrame, windows: DataFrame, length: int, gram: int) -> DataFrame:
     """The same rows for a benchmark of any size: fingerprints filter by a semi join before windows are compared."""
-    keyed = docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
+    keyed = docs.withColumn("row_key", _row_key(F.col("doc_id")))
     widths = [r[0] for r in windows.select("width").distinct().collect()]  # at most `length` values
-    spans = keyed.select("row_key", "text").mapInArrow(lambda it: _doc_windows(it, widths, length, gram), "row_key long, at int, width int, fp long, whole long")
+    spans = keyed.select("row_key", "text").mapInArrow(lambda it: _doc_windows(it, widths, length, gram), "row_key string, at int, width int, fp long, whole long")
     spans = spans.join(windows.select("width", "fp").distinct(), ["width", "fp"], "left_semi")
     hits = Staged(spans.join(windows.select("width", "whole").distinct(), ["width", "whole"]).select("row_key", "at", "width", "whole").distinct(), "window-hits").df
     covered = (
@@ -197,7 +202,7 @@ def _joined(docs: DataFrame, windows: DataFrame, length: int, gram: int) -> Data
     items = hits.select("row_key", "width", "whole").distinct().join(named, ["width", "whole"]).select("row_key", "item_id").distinct().groupBy("row_key").agg(
         F.count("*").alias("n_items"), F.array_sort(F.collect_list(F.col("item_id").cast("string"))).alias("own")
     )
-    sizes = keyed.mapInArrow(_counts, "doc_id long, row_key long, n_words long")
+    sizes = keyed.mapInArrow(_counts, "doc_id long, row_key string, n_words long")
     found = sizes.join(covered, "row_key", "left").join(items, "row_key", "left")
     return found.select(
         "row_key", "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
@@ -218,8 +223,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = LENGTH, g
         "benchmark-windows",
     )
     if windows.df.count() > max_shipped:
-        name = next(n for n in (f"_row_key{i or ''}" for i in range(len(docs.columns) + 1)) if n not in docs.columns)
-        keyed = docs.withColumn(name, F.xxhash64(F.col("doc_id").cast("long"), "text"))
+        (name,) = unused(docs, "_row_key")
+        keyed = docs.withColumn(name, _row_key(F.col("doc_id").cast("long")))
         found = _joined(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), windows.df, length, gram)
         bad = found.filter("contaminated").select(F.col("row_key").alias(name)).distinct()
         return keyed.join(bad, name, "left_anti").drop(name)

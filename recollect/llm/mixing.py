@@ -17,8 +17,8 @@ shard's multinomial is drawn first over groups of ``GROUP`` sources and then wit
 same draw; only the groups' quotas reach the driver.
 
 Edge cases: null or wordless texts have size 0 and are never taken; the null source is one source,
-the last; an empty table gives no rows; repeated rows are separate documents; other columns pass
-through ``mixed_documents`` and are ignored by ``mix_plan``.
+the last; an empty table gives no rows; repeated rows are separate documents; other columns, whatever
+their names, pass through ``mixed_documents`` and are ignored by ``mix_plan``.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from recollect.llm import textscan as ts
-from recollect.llm.staging import Staged
+from recollect.llm.staging import Staged, unused
 
 WEIGHTS, TOTAL, REPEATS = (3.0, 1.0, 2.0), 1.5, 2
 BLOCK_WORDS, SHARD_SLOTS, SEED = 64, 1 << 14, 20
@@ -207,10 +207,10 @@ def mix_plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float
     return out.select("doc_id", "row_key", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("pieces", F.array().cast("array<struct<at:long,words:long,times:long>>")).alias("pieces"))
 
 
-def _cut(batches: Iterator[pa.RecordBatch], names: list[str], schema: pa.Schema | None = None) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], names: list[str], plan_name: str) -> Iterator[pa.RecordBatch]:
     """Each document's taken words, one row for each pass over it; runs of words keep their spacing."""
     for batch in batches:
-        texts, plans = batch.column("text"), batch.column("_x_pieces")
+        texts, plans = batch.column("text"), batch.column(plan_name)
         for words in ts.blocks(texts, ts.NON_SPACE):
             source, out = [], []
             for r in range(words.rows):
@@ -234,14 +234,16 @@ def _cut(batches: Iterator[pa.RecordBatch], names: list[str], schema: pa.Schema
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: rows like docs whose texts are the words taken, one row for each pass over a document."""
-    plan = mix_plan(docs, **options).filter("taken > 0").select(F.col("row_key").alias("_x_row"), F.col("pieces").alias("_x_pieces"))
-    plan = plan.withColumn("_x_copy", F.row_number().over(Window.partitionBy("_x_row").orderBy("_x_pieces")))
-    keyed = docs.withColumn("_x_row", F.xxhash64(F.col("doc_id").cast("long"), "text", "source"))
-    first, more = plan.filter("_x_copy = 1").drop("_x_copy"), plan.filter("_x_copy > 1").drop("_x_copy")
+    row, pieces, copy = unused(docs, "_x_row", "_x_pieces", "_x_copy")
+    named = lambda h: F.struct(h.alias("h"), F.col("doc_id").cast("long").alias("id")).alias(row)  # noqa: E731  # the hash alone could be another document's
+    plan = mix_plan(docs, **options).filter("taken > 0").select(named(F.col("row_key")), F.col("pieces").alias(pieces))
+    plan = Staged(plan.withColumn(copy, F.row_number().over(Window.partitionBy(row).orderBy(pieces))), "mix-plan").df
+    keyed = docs.withColumn(row, named(F.xxhash64(F.col("doc_id").cast("long"), "text", "source")))
+    first, more = plan.filter(F.col(copy) == 1).drop(copy), plan.filter(F.col(copy) > 1)
     if more.isEmpty():
-        joined = keyed.join(first, "_x_row").drop("_x_row")
+        joined = keyed.join(first, row).drop(row)
     else:  # rows of equal doc_id, text and source take the plans of these in the order of a hash of all columns
-        order = Window.partitionBy("_x_row").orderBy(F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
-        every = keyed.withColumn("_x_copy", F.row_number().over(order))
-        joined = every.join(plan, ["_x_row", "_x_copy"]).drop("_x_row", "_x_copy")
-    return joined.mapInArrow(lambda it, names=docs.columns: _cut(it, names), docs.schema)
+        order = Window.partitionBy(row).orderBy(F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
+        every = keyed.withColumn(copy, F.row_number().over(order))
+        joined = every.join(plan, [row, copy]).drop(row, copy)
+    return joined.mapInArrow(lambda it, names=docs.columns: _cut(it, names, pieces), docs.schema)

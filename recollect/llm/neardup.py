@@ -47,7 +47,7 @@ from pyspark.sql.window import Window
 from recollect.llm import textscan as ts
 from recollect.llm.components import components
 from recollect.llm.sieve import maybe, sieve
-from recollect.llm.staging import Scratch, Staged
+from recollect.llm.staging import Scratch, Staged, unused
 
 SHINGLE, PERCENT = 5, 80
 COORDS, TREES, FIRST_LEVEL, LAST_LEVEL = 64, 12, 3, 5
@@ -460,10 +460,10 @@ def _near_duplicates(docs: DataFrame, shingle: int, percent: int, trees: int, sm
     return Staged(out, "near-duplicates")
 
 
-def _classed(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+def _classed(batches: Iterator[pa.RecordBatch], k: int, name: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         cls = [_class_of(_sets(words, k))[0] for words in ts.blocks(batch.column("text"), ts.NON_SPACE)]
-        yield batch.append_column("_x_class", pa.array(np.concatenate([np.zeros(0, np.int64), *cls])))
+        yield batch.append_column(name, pa.array(np.concatenate([np.zeros(0, np.int64), *cls])))
 
 
 def unique_documents(docs: DataFrame, shingle: int = SHINGLE, **options) -> DataFrame:
@@ -476,8 +476,9 @@ def unique_documents(docs: DataFrame, shingle: int = SHINGLE, **options) -> Data
     if repeated.isEmpty():
         return single
     again = docs.join(repeated, "doc_id", "left_semi")
-    again = again.mapInArrow(lambda it: _classed(it, shingle), T.StructType([*again.schema, T.StructField("_x_class", T.LongType())]))
-    stay = found.filter("kept").select("doc_id", F.coalesce("class_id", F.lit(0)).alias("_x_class")).distinct()
-    least = Window.partitionBy("doc_id", "_x_class").orderBy(F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
-    again = again.join(stay, ["doc_id", "_x_class"], "left_semi").withColumn("_x_first", F.row_number().over(least)).filter("_x_first = 1")
-    return single.join(repeated, "doc_id", "left_anti").unionByName(again.drop("_x_class", "_x_first"))
+    own, first = unused(docs, "_x_class", "_x_first")
+    again = again.mapInArrow(lambda it: _classed(it, shingle, own), T.StructType([*again.schema, T.StructField(own, T.LongType())]))
+    stay = found.filter("kept").select("doc_id", F.coalesce("class_id", F.lit(0)).alias(own)).distinct()
+    least = Window.partitionBy("doc_id", own).orderBy(F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
+    again = again.join(stay, ["doc_id", own], "left_semi").withColumn(first, F.row_number().over(least)).filter(F.col(first) == 1)
+    return single.join(repeated, "doc_id", "left_anti").unionByName(again.drop(own, first))

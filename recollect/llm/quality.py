@@ -6,11 +6,11 @@ the whole text (shares of character kinds, repetition of words and lines, length
 quantile bins, so the linear score can bend; they are computed in one pass over the table, which both
 training and scoring read.
 
-The class prior is estimated from positives and unlabelled text alone: in two folds, a score that tells
-one from the other is fitted without the fold it is asked about, and the prior is the least ratio of the
-shares of unlabelled and positive texts above a threshold, where both bear it out (the ratio's upper
-confidence bound is least). With fewer than ``LEAST`` rows of a kind in a fold nothing can be told that
-way, and the share of positives among the labels stands in.
+The class prior is estimated from positives and unlabelled text alone, at every size: in ``FOLDS`` folds,
+a score that tells one from the other is fitted without the fold it is asked about, and over all folds
+together the prior is the least ratio of the shares of unlabelled and positive texts above a threshold,
+where both bear it out (the ratio's upper confidence bound is least). Few rows make the bound wide, so
+that the ratio is taken where most positives are above the threshold.
 
 Bins, prior and risk cover all positives and all unlabelled rows, by aggregation. Only the start is
 fitted on a sample (``START`` rows of each kind, those of the least hashes), which also gives the
@@ -39,7 +39,7 @@ from recollect.llm.staging import Staged
 
 START, STEPS, PASSES, REACH = 6000, 600, 8, 0.25
 THRESHOLD, BINS, RIDGE = 0.7, 10, 1e-4
-FEATURES, SCORE_BINS, DOUBT, LEAST = 20, 10_000, 0.1, 100
+FEATURES, SCORE_BINS, DOUBT, FOLDS = 20, 10_000, 0.1, 5
 
 
 def _kinds() -> np.ndarray:
@@ -189,13 +189,13 @@ def _edges(rows: DataFrame) -> np.ndarray:
     return (np.minimum(at + 1, (1 << 16) - 1).astype(np.uint32) << np.uint32(16)).view(np.float32).astype(np.float64)
 
 
-def _folds(rows: DataFrame) -> dict[tuple[bool, int], np.ndarray]:
-    """The features of at most ``START`` rows of each kind and fold, those of the least hashes."""
+def _starts(rows: DataFrame) -> dict[bool, tuple[np.ndarray, np.ndarray]]:
+    """The features and folds of at most ``START`` rows of each kind, those of the least hashes."""
     out = {}
     for positive in (True, False):
-        for fold in (0, 1):
-            got = rows.filter((F.col("positive") == positive) & (F.col("fold") == fold)).orderBy("h", "doc_id").limit(START // 2).select("x").toArrow()
-            out[positive, fold] = got.column("x").combine_chunks().flatten().to_numpy().reshape(-1, FEATURES).astype(np.float64) if got.num_rows else np.zeros((0, FEATURES))
+        got = rows.filter(F.col("positive") == positive).orderBy("h", "doc_id").limit(START).select("x", "fold").toArrow()
+        x = got.column("x").combine_chunks().flatten().to_numpy().reshape(-1, FEATURES).astype(np.float64) if got.num_rows else np.zeros((0, FEATURES))
+        out[positive] = x, got.column("fold").to_numpy()
     return out
 
 
@@ -209,7 +209,7 @@ def best_ratio(positive: np.ndarray, unlabelled: np.ndarray) -> float:
 
 
 def _asked(batches: Iterator[pa.RecordBatch], models: list[Model]) -> Iterator[pa.RecordBatch]:
-    """(positive, bin, n) of each row's score by the model of the other fold."""
+    """(positive, bin, n) of each row's score by the model of the other folds."""
     out = np.zeros((2, SCORE_BINS), np.int64)
     for batch in batches:
         x, fold, positive = _matrix(batch), batch.column("fold").to_numpy(), batch.column("positive").to_numpy(zero_copy_only=False)
@@ -221,11 +221,9 @@ def _asked(batches: Iterator[pa.RecordBatch], models: list[Model]) -> Iterator[p
     yield pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), pa.array(at), pa.array(out[kind, at])], names=["positive", "bin", "n"])
 
 
-def _prior(rows: DataFrame, samples: dict[tuple[bool, int], np.ndarray], edges: np.ndarray) -> float | None:
-    """The class prior, or nothing where a fold has fewer than ``LEAST`` rows of a kind."""
-    if min(len(x) for x in samples.values()) < LEAST:
-        return None
-    models = [fit(samples[True, 1 - fold], samples[False, 1 - fold], 0.5, edges, STEPS // 3) for fold in (0, 1)]
+def _prior(rows: DataFrame, starts: dict[bool, tuple[np.ndarray, np.ndarray]], edges: np.ndarray) -> float:
+    """The class prior."""
+    models = [fit(*(x[fold != k] for x, fold in (starts[True], starts[False])), 0.5, edges, STEPS // 3) for k in range(FOLDS)]
     got = rows.mapInArrow(lambda it: _asked(it, models), "positive int, bin long, n long").groupBy("positive", "bin").agg(F.sum("n").alias("n")).toArrow()
     n = np.zeros((2, SCORE_BINS))
     n[got.column("positive").to_numpy(), got.column("bin").to_numpy()] = got.column("n").to_numpy()
@@ -251,18 +249,18 @@ def train(rows: DataFrame, labels: DataFrame, teaches: Column, label: str = "qua
     """A model from labels of documents for which ``teaches`` (a condition on doc_id) holds, and the prior."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("double").alias("y")).filter(teaches & F.col("y").isNotNull()).groupBy("doc_id").agg((F.avg("y") >= 0.5).alias("y"))
     h = F.xxhash64("doc_id", F.lit(10))
-    marked = rows.join(known, "doc_id", "left").select("doc_id", "x", "y", h.alias("h"), F.coalesce("y", F.lit(False)).alias("positive"), F.pmod(h, F.lit(2)).cast("int").alias("fold"))
+    marked = rows.join(known, "doc_id", "left").select("doc_id", "x", "y", h.alias("h"), F.coalesce("y", F.lit(False)).alias("positive"), F.pmod(h, F.lit(FOLDS)).cast("int").alias("fold"))
     marked = Staged(marked, "quality-marked").df
     share = marked.select("doc_id", "y").filter("y is not null").distinct().agg(F.avg(F.col("y").cast("double")).alias("p")).first()["p"]
     if share is None:
         return None, 0.5
     rows = marked.filter("y is null or y")
-    samples = _folds(rows)
-    start = {kind: np.concatenate([samples[kind, 0], samples[kind, 1]]) for kind in (True, False)}
+    starts = _starts(rows)
+    start = {kind: x for kind, (x, _) in starts.items()}
     if not len(start[True]) or not len(start[False]):
         return None, share
     edges = _edges(rows)
-    prior = _prior(rows, samples, edges) or min(max(share, 0.05), 0.98)
+    prior = _prior(rows, starts, edges)
     model = fit(start[True], start[False], prior, edges)
     theta = np.append(model.weights, model.bias)
     risk, seen = Risk(prior, len(theta)), []

@@ -19,6 +19,18 @@ from recollect.sources import work as W
 _scratch = threading.local()
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened by underscores where df has such columns."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 class Scratch:
     """Drops, at its end, the tables staged inside it that weren't kept."""
 

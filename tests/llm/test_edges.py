@@ -221,6 +221,16 @@ def test_pipeline_stages(spark, docs, empty, sf_dir):
                 assert out.columns == docs.columns, name
 
 
+def test_pipeline_stages_with_clashing_columns(spark, docs, sf_dir):
+    """Columns named like helpers pass through unchanged, repeated rows among them."""
+    clashing = docs.withColumns({n: F.concat(F.lit("own "), F.coalesce(F.col("source"), F.lit("?"))) for n in ("_x_row", "_X_Pieces", "_x_copy", "_x_class", "_x_first", "_row_key")})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, clashing.unionByName(clashing.limit(5)), sf_dir)
+        assert out.columns == clashing.columns, name
+        for r in out.collect():
+            assert {r["_x_row"], r["_X_Pieces"], r["_x_copy"], r["_x_class"], r["_x_first"], r["_row_key"]} == {"own " + (r["source"] or "?")}, name
+
+
 def test_long_and_repeated_pages(spark):
     """A page of some MB, and pages that repeat, urls of some KB and repeated ones."""
     body = "".join(f"<p>Sentence number {i} of a long report on rivers, towns and trade.</p>" for i in range(20_000))

@@ -1,6 +1,7 @@
 """Every training-data query against its SQL, a brute-force version, an exact round trip or held-out labels."""
 
 import html
+import math
 import re
 import zlib
 from collections import Counter
@@ -414,6 +415,7 @@ def test_passes_cover_all_unlabelled_rows(spark, monkeypatch):
     rows = spark.createDataFrame(pd.DataFrame({"doc_id": range(4000), "x": list(x.astype(np.float32))}), "doc_id long, x array<float>")
     labels = spark.createDataFrame([(int(i), int(good[i])) for i in range(0, 4000, 2)], "doc_id long, quality int")
     monkeypatch.setattr(quality, "START", 40)
+    monkeypatch.setattr(quality, "_prior", lambda *_: 0.7)  # 40 rows tell nothing of the prior; this is about the passes
     right = []
     for passes in (1, 24):
         monkeypatch.setattr(quality, "PASSES", passes)
@@ -422,27 +424,104 @@ def test_passes_cover_all_unlabelled_rows(spark, monkeypatch):
     assert right[1] > right[0] + 0.02 and right[1] > 0.8
 
 
+def plain_features(text):
+    """The features of one text, counted by characters and words."""
+    data = (text or "").encode()
+    words = [w for w in re.split(rb"[ \t-\r]+", data) if w]
+    marks, symbols = b".,;:'\"()-?", b"!#$%&*+/<=>@[\\]^_`{|}~"
+    kinds = [[] for _ in range(9)]
+    for c in data:
+        kinds[1 if 97 <= c <= 122 else 2 if 65 <= c <= 90 else 3 if 48 <= c <= 57 else 4 if c in marks else 5 if c in symbols else 6 if c in b" \t" else 7 if c in b"\n\r" else 8 if c > 127 else 0].append(c)
+    n, size = max(len(words), 1), max(len(data), 1)
+    often = max((words.count(w) for w in set(words)), default=0)
+    distinct, lines = len(set(words)) / n, len(kinds[7]) + 1
+    return [*(len(k) / size for k in kinds), np.log1p(len(words)), sum(map(len, words)) / n, distinct, often / n, sum(a == b for a, b in zip(words, words[1:])) / n,
+            sum(w[-1] in symbols for w in words) / n, sum(w[-1] in marks for w in words) / n, len(words) / lines, sum(65 <= w[0] <= 90 for w in words) / n,
+            distinct * np.log1p(len(words)), sum(len(w) == 1 for w in words) / n]
+
+
+class PlainScore:
+    """A logistic score over one-hot bins, and the descent of the non-negative risk, with dense matrices."""
+
+    def __init__(self, edges):
+        self.edges = edges
+
+    def one_hot(self, x):
+        out = np.zeros((len(x), 20 * 11 + 1))
+        for i in range(20):
+            out[np.arange(len(x)), i * 11 + (x[:, i, None] >= self.edges[i]).sum(1)] = 1
+        out[:, -1] = 1
+        return out
+
+    @staticmethod
+    def slope(p, u, theta, prior):
+        sigmoid = lambda g: 1 / (1 + np.exp(-g))
+        mean = lambda x, weight: (x * weight[:, None]).sum(0) / max(len(x), 1)
+        negative = (np.logaddexp(0, u @ theta).sum() / max(len(u), 1)) - prior * np.logaddexp(0, p @ theta).sum() / max(len(p), 1)
+        away = mean(u, sigmoid(u @ theta)) - prior * mean(p, sigmoid(p @ theta))
+        toward = -prior * mean(p, sigmoid(-(p @ theta)))
+        return (toward + away if negative >= 0 else -away) + 1e-4 * np.append(theta[:-1], 0)
+
+    def adam(self, p, u, prior, steps):
+        theta, m, v = np.zeros(p.shape[1]), 0, 0
+        for k in range(1, steps + 1):
+            g = self.slope(p, u, theta, prior)
+            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g**2
+            theta = theta - 0.05 * m / (1 - 0.9**k) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
+        return theta
+
+
+def plain_quality(x, positive, unlabelled, fold):
+    """Scores of x by positive-unlabelled learning, with the estimated prior."""
+    values = np.sort(x[positive | unlabelled].astype(np.float32).view(np.uint32) >> 16, axis=0)
+    at = [max(math.ceil(c * len(values) - 1e-9), 1) - 1 for c in np.linspace(0, 1, 12)[1:-1]]
+    model = PlainScore([((values[at, i] + 1) << 16).astype(np.uint32).view(np.float32).astype(float) for i in range(20)])
+    hot, asked = model.one_hot(x), np.zeros(len(x))
+    for k in range(5):
+        theta = model.adam(hot[positive & (fold != k)], hot[unlabelled & (fold != k)], 0.5, 200)
+        asked[fold == k] = 1 / (1 + np.exp(-(hot[fold == k] @ theta)))
+    bins = np.minimum((asked * 10_000).astype(int), 9_999)
+    slack, best = sum(math.sqrt(math.log(40) / 2 / kind.sum()) for kind in (positive, unlabelled)), (math.inf, None)
+    for bar in range(9_999, -1, -1):
+        p, u = (np.mean(bins[kind] >= bar) for kind in (positive, unlabelled))
+        if p and (u + slack) / p < best[0]:
+            best = (u + slack) / p, u / p
+    prior = min(max(best[1], 0.05), 0.98)
+    p, u = hot[positive], hot[unlabelled]
+    theta, seen = model.adam(p, u, prior, 600), []
+    share = 1 / (1 + np.exp(-(u @ theta)))
+    curvature = (u * (share * (1 - share))[:, None]).T @ u / len(u) + 1e-3 * np.eye(u.shape[1])
+    for _ in range(8):
+        step = np.linalg.solve(curvature, model.slope(p, u, theta, prior))
+        theta = theta - step * min(1, 0.25 / np.abs(step).max())
+        seen.append(theta)
+    return 1 / (1 + np.exp(-(hot @ np.mean(seen[4:], axis=0)))), prior
+
+
 def test_quality_against_a_plain_version(spark, sf_dir):
-    """The query's rows, from the operator's functions on whole tables in one process."""
+    """The query's rows and the prior it estimates, from a version of its own on whole tables in one process."""
     got = Q.op10_quality(spark, sf_dir).toPandas().set_index("doc_id")
     docs, labels = pd.read_parquet(f"{sf_dir}/documents.parquet"), pd.read_parquet(f"{sf_dir}/labels.parquet")
-    x = np.concatenate([quality._features(w) for w in ts.blocks(pa.array(docs["text"]), ts.NON_SPACE, lower=False)]).astype(float)
+    x = np.array([plain_features(t) for t in docs["text"]]).astype(np.float32).astype(float)
     teaches = np.array([zlib.crc32(str(i).encode()) % 4 != 2 for i in docs["doc_id"]])
     known = docs["doc_id"].map(labels.groupby("doc_id")["quality"].mean()).where(teaches)
-    positive, unlabelled = x[known >= 0.5], x[known.isna()]
-    prior, cut = (known.dropna() >= 0.5).mean(), np.linspace(0, 1, quality.BINS + 2)[1:-1]
-    bits = np.sort(np.concatenate([positive, unlabelled]).astype(np.float32).view(np.uint32) >> 16, axis=0)
-    edges = np.stack([((bits[np.maximum(np.ceil(cut * len(bits)).astype(int) - 1, 0), i] + 1) << 16).astype(np.uint32).view(np.float32) for i in range(x.shape[1])]).astype(float)
-    model = quality.fit(positive, unlabelled, prior, edges)
-    risk, theta, seen = quality.Risk(prior, len(model.weights) + 1), np.append(model.weights, model.bias), []
-    cells, is_positive = model.cells(np.concatenate([positive, unlabelled])), np.arange(len(positive) + len(unlabelled)) < len(positive)
-    curvature = risk.curvature(model.cells(unlabelled), theta)
-    for _ in range(quality.PASSES):
-        step = np.linalg.solve(curvature, risk.gradient(risk.sums(cells, is_positive, theta), theta))
-        theta = theta - step * min(1, quality.REACH / np.abs(step).max())
-        seen.append(theta)
-    want = quality._model(edges, np.mean(seen[quality.PASSES // 2 :], axis=0)).score(x)
+    h = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(10)), F.lit(5)).alias("fold")).toPandas().set_index("doc_id")
+    want, prior = plain_quality(x, (known >= 0.5).to_numpy(), known.isna().to_numpy(), h.loc[docs["doc_id"], "fold"].to_numpy())
     assert got.loc[docs["doc_id"], "score"].to_numpy() == pytest.approx(want, abs=1e-6)
+    assert 0.75 < prior < 0.95 and prior != pytest.approx((known.dropna() >= 0.5).mean(), abs=1e-3)
+
+
+@pytest.mark.parametrize("n", [1, 7, 60])
+def test_a_prior_at_every_size(spark, n):
+    """Few positives: the prior is still estimated from them and the unlabelled rows, whatever the negatives."""
+    rng = np.random.default_rng(n)
+    good = np.arange(400) < n + 240
+    x = np.where(good[:, None], rng.beta(5, 2, (400, quality.FEATURES)), rng.beta(2, 5, (400, quality.FEATURES)))
+    rows = spark.createDataFrame(pd.DataFrame({"doc_id": range(400), "x": list(x.astype(np.float32))}), "doc_id long, x array<float>")
+    labels = [(i, 1) for i in range(n)]
+    model, prior = quality.train(rows, spark.createDataFrame(labels, "doc_id long, quality int"), F.lit(True))
+    assert prior == quality.train(rows, spark.createDataFrame([*labels, (1000, 0), (1001, 0)], "doc_id long, quality int"), F.lit(True))[1]
+    assert 0.05 <= prior <= 0.98 and (n < 60 or abs(prior - 240 / (400 - n)) < 0.1)
 
 
 def test_held_out_quality(spark, sf_dir):
