@@ -26,10 +26,10 @@ def graded(head: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def merged_spans(spans: DataFrame, key: str) -> DataFrame:
-    """Overlapping or touching spans (key, s, e) as disjoint ones."""
-    w = Window.partitionBy(key).orderBy("s", "e")
+    """Overlapping or touching spans (key, s, e) as disjoint ones; a span without a begin stays by itself."""
+    w = Window.partitionBy(key).orderBy(F.asc_nulls_last("s"), F.asc_nulls_last("e"))
     before = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = spans.withColumn("_n", F.when(before >= F.col("s"), 0).otherwise(1)).withColumn("_g", F.sum("_n").over(w))
+    marked = spans.withColumn("_n", F.when(before >= F.col("s"), 0).otherwise(1)).withColumn("_g", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return marked.groupBy(key, "_g").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("_g")
 
 

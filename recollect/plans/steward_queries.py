@@ -295,7 +295,8 @@ _SPANS = "(SELECT o_custkey AS k, CAST(epoch(o_orderdate) // 86400 AS BIGINT) AS
 
 
 def _spans(spark, sf_dir):
-    s = (F.unix_timestamp("o_orderdate") / 86400).cast("long")
+    # the nearest day, of two the even one: so the SQL's cast has it, also of a time of day and before 1970
+    s = F.rint(F.unix_micros(F.col("o_orderdate").cast("timestamp")) / F.lit(1e6) / 86400).cast("long")
     return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), s.alias("s"), (s + 40).alias("e"), "o_orderkey", "o_totalprice")
 
 
