@@ -64,17 +64,19 @@ def export_jsonl(records: DataFrame, path: str) -> None:
     records.write.json(path)
 
 
-def import_jsonl(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """(valid, rejected) rows of exported JSON lines: records with a broken line, a bad name or too long a content are rejected."""
+def import_jsonl(spark: SparkSession, path: str, schema: str, any_length: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(valid, rejected) rows of exported JSON lines: records with a broken line, a bad name or, unless any length will do, too
+    long a content are rejected."""
     rows = spark.read.schema(schema + ", _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    good = F.col("_corrupt").isNull() & X.valid_name(F.col("wing")) & X.valid_name(F.col("room")) & X.valid_content(F.col("content"))
+    good = F.col("_corrupt").isNull() & X.valid_name(F.col("wing")) & X.valid_name(F.col("room"))
+    good = good if any_length else good & X.valid_content(F.col("content"))
     marked = rows.withColumn("_good", F.coalesce(good, F.lit(False)))
     return marked.filter("_good").drop("_good", "_corrupt"), marked.filter("not _good").drop("_good")
 
 
-def imported(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+def imported(spark: SparkSession, path: str, schema: str, any_length: bool = False) -> tuple[DataFrame, DataFrame]:
     """(records, rejected) of exported JSON lines, screened again as if they were new: what has a signal goes to quarantine."""
-    good, bad = import_jsonl(spark, path, schema)
+    good, bad = import_jsonl(spark, path, schema, any_length)
     return G.diverted(good, X.screen(F.col("content"))), bad
 
 

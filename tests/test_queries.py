@@ -288,3 +288,8 @@ def _same(spark, con, sf, name):
 def test_spans_of_times_before_1970_and_without_a_date(spark, sf_dir, tmp_path):
     odd = "SELECT * REPLACE (CASE WHEN o_orderkey % 50 < 2 THEN NULL WHEN o_orderkey % 3 = 0 THEN o_orderdate - INTERVAL 27 YEAR + to_hours(CAST(o_orderkey % 24 AS INTEGER)) ELSE o_orderdate + to_hours(CAST(o_orderkey % 24 AS INTEGER)) END AS o_orderdate, o_custkey % 40 AS o_custkey) FROM '{}'"
     _same(spark, *_odd_sf(spark, sf_dir, tmp_path, orders=odd), "q_merge_spans")
+
+
+def test_long_and_missing_contents_are_imported(spark, sf_dir, tmp_path):
+    odd = "SELECT * REPLACE (CASE WHEN doc_id % 9 = 1 THEN repeat('many words ', 10000) WHEN doc_id % 9 <> 2 THEN text END AS text) FROM '{}'"
+    _same(spark, *_odd_sf(spark, sf_dir, tmp_path, documents=odd), "q_export_import")
