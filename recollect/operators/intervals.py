@@ -5,6 +5,8 @@ level, none overlapping, together the span exactly. A point lies in one cell of
 holds it have exactly one cell in common: an equality join on (keys, level, cell) gives each pair once, with nothing to
 check afterwards, whether spans are long or short. Cells with more than CELL_SPANS spans are dealt into lanes, and the
 points of such a cell go to all of its lanes.
+
+Keys with FEW spans and less are joined as they are, each point with its key's few spans: that moves every row once.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 
 from recollect.functions import temporal as D
 
-CELL_SPANS = 100_000
+CELL_SPANS, FEW = 100_000, 64
 #: Days, hours, minutes, seconds and milliseconds in microseconds.
 UNITS = (86_400_000_000, 3_600_000_000, 60_000_000, 1_000_000, 1_000)
 
@@ -36,6 +38,17 @@ def stabbed(points: DataFrame, spans: DataFrame, keys: list[str], at: str, start
     """Every point beside every span of its keys with start <= at < end; a null start or end is open. Instants are whole
     numbers (less than 2^52 from the first to the last); columns of both sides but the keys must differ in name. Points
     with a null key or instant, spans with a null key and empty spans meet nothing."""
+    full = spans.groupBy(*keys).agg(F.count("*").alias("_held")).filter(F.col("_held") > FEW).select(*keys)
+    # exploded rows are many more than their estimate says: no join of points and spans may ship a side whole
+    light = points.join(spans.join(full, keys, "left_anti").hint("merge"), keys)
+    light = light.filter(F.col(at).isNotNull() & (F.col(start).isNull() | (F.col(start) <= F.col(at))) & (F.col(end).isNull() | (F.col(end) > F.col(at))))
+    if full.isEmpty():
+        return light
+    return light.unionByName(_by_cells(points.join(full, keys, "left_semi"), spans.join(full, keys, "left_semi"), keys, at, start, end))
+
+
+def _by_cells(points: DataFrame, spans: DataFrame, keys: list[str], at: str, start: str, end: str) -> DataFrame:
+    """``stabbed`` by the cells that points and spans have in common."""
     edges = points.agg(F.min(at).alias("lo"), F.max(at).alias("hi"), *((F.min(F.pmod(at, F.lit(u))) == F.max(F.pmod(at, F.lit(u)))).alias(f"u{u}") for u in UNITS)).first()
     if edges["lo"] is None:
         return points.join(spans, keys).limit(0)
@@ -56,7 +69,7 @@ def stabbed(points: DataFrame, spans: DataFrame, keys: list[str], at: str, start
     placed = points.withColumn("_level", F.explode(F.array(*map(F.lit, used))))
     placed = placed.withColumn("_cell", F.floor((F.col(at) - lowest) / unit / F.pow(F.lit(2.0), "_level")).cast("long"))
     placed = placed.join(lanes, own, "left").withColumn("_lane", F.explode(F.sequence(F.lit(0), F.coalesce("_lanes", F.lit(1)) - 1))).drop("_lanes")
-    return placed.join(cut, [*own, "_lane"]).drop("_level", "_cell", "_lane")
+    return placed.join(cut.hint("merge"), [*own, "_lane"]).drop("_level", "_cell", "_lane")
 
 
 def instant(text: Column) -> Column:

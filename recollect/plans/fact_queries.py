@@ -107,7 +107,7 @@ def q_valid_then(spark, sf_dir):
     o = table(spark, sf_dir, "orders").withColumn("subject", F.col("o_custkey").cast("string"))
     day = F.to_date("o_orderdate")
     f = o.select("subject", F.col("o_orderkey").alias("fact_id"), F.when(F.col("o_orderkey") % 23 != 0, F.date_format(day, "yyyy-MM-dd")).alias("valid_from"), F.when(F.col("o_orderkey") % 17 != 0, F.date_format(F.date_add(day, (30 + F.col("o_orderkey") % 900).cast("int")), "yyyy-MM-dd")).alias("valid_to"))
-    shipped = table(spark, sf_dir, "lineitem").join(o.select(F.col("o_orderkey").alias("l_orderkey"), "subject"), "l_orderkey")
+    shipped = table(spark, sf_dir, "lineitem").join(o.select(F.col("o_orderkey").alias("l_orderkey"), "subject").hint("merge"), "l_orderkey")
     events = shipped.select("subject", "l_orderkey", "l_linenumber", F.date_format("l_shipdate", "yyyy-MM-dd").alias("at"))
     return I.valid_then(events, f).select("l_orderkey", "l_linenumber", "fact_id")
 

@@ -43,6 +43,25 @@ def test_long_axes_and_hot_cells(spark, monkeypatch):
     assert sorted((r.p, r.s) for r in got.select("p", "s").collect()) == _plain(points, spans)
 
 
+def test_keys_of_few_and_of_many_spans(spark, monkeypatch):
+    """Keys on both sides of FEW, and one without spans; no side of a join of points and spans is shipped whole."""
+    monkeypatch.setattr(I, "FEW", 3)
+    rng = random.Random(3)
+    points = [(i, rng.choice("abcd"), rng.choice([None, *range(40)])) for i in range(80)]
+    spans = [(i, k, rng.choice([None, *range(30)]), rng.choice([None, *range(10, 40)])) for i, k in enumerate("aab" + "c" * 20)]
+    got = I.stabbed(spark.createDataFrame(points, "p int, k string, t long"), spark.createDataFrame(spans, "s int, k string, b long, e long"), ["k"], "t", "b", "e")
+    assert sorted((r.p, r.s) for r in got.select("p", "s").collect()) == _plain(points, spans)
+
+
+@pytest.mark.parametrize("name", ["q_typo", "q_valid_then"])
+def test_exploded_sides_are_not_broadcast(spark, sf_dir, name):
+    from recollect.plans import registry
+
+    plan = registry.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    # the keys with many spans, one for every FEW rows at most, may be shipped
+    assert all("LeftAnti" in line for line in plan.splitlines() if "Broadcast" in line and "Join" in line)
+
+
 def test_runs_in_an_audit(spark):
     rng = random.Random(5)
     audit = [(s, rng.choice("xyz"), None if rng.random() < 0.1 else rng.choice("12")) for s in range(400) if s % 37]
