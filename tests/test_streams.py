@@ -1,8 +1,10 @@
 """Streams in many batches, after restarts and failures, and with rows that come late."""
 
 import datetime as dt
+from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,6 +47,30 @@ def test_rate_flags_over_batches_and_restarts(spark, tmp_path):
     assert got == want and any(f for _, f, _ in want.values())
 
 
+def test_a_lane_of_many_seconds_calls_its_timer_once(spark, tmp_path):
+    """Keys of one lane keep apart, also at the ends of their time; a batch asks for one timer, not for one a second."""
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    events = [(100 * k + i, f"a{k}", _at(i)) for k in range(5) for i in range(40)] + [(1000, "end", DAY + dt.timedelta(days=99))]
+    spark.createDataFrame(events, EVENT).coalesce(1).write.parquet(f"{path}/0")
+    flags = ST.rate_flags(P.stream(spark, f"{path}/*", spark.createDataFrame([], EVENT).schema), "agent", "ts", "id", 600, 4, "15 minutes", lanes=1)
+    _run(spark, path, flags, out)
+    got = {r.id: r.recent for r in spark.read.schema(ST.FLAG).parquet(out).collect()}
+    assert got == {100 * k + i: min(i, 10) for k in range(5) for i in range(40)}
+
+    class Handle:
+        timers = []
+
+        def getValueState(self, *_):
+            return SimpleNamespace(exists=lambda: False, update=lambda row: None, clear=lambda: None)
+
+        getListState = lambda self, *_: SimpleNamespace(appendList=lambda rows: None)
+        registerTimer = timers.append
+
+    flagger, rows = ST._RateFlags(600, 4), pd.DataFrame({"key": "a", "id": range(40), "ms": np.arange(40) * 60_000})
+    flagger.init(Handle())
+    assert list(flagger.handleInputRows((0,), iter([rows]), SimpleNamespace(getCurrentWatermarkInMs=lambda: 0))) == [] and Handle.timers == [1000]
+
+
 def _slices(spark, path, slices, start):
     for n, ids in enumerate(slices):
         spark.createDataFrame([(i, "a", _at(m)) for i, m in ids], EVENT).coalesce(1).write.parquet(f"{path}/{n}")
