@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -47,38 +50,95 @@ def _added(have: list[tuple[int, int]], span: tuple[int, int]) -> int:
     return sum(e - s for s, e in _merge([*have, span])) - sum(e - s for s, e in have)
 
 
+def _walked(rows: DataFrame, step: type, schema: str) -> DataFrame:
+    """What ``step`` gives for the rows of each query in the order of (query_id, rank): tasks hold whole queries, sorted, and
+    go through them in batches, with the state of one query at a time."""
+    columns = ["query_id", "rank", *(c for c in rows.columns if c not in ("query_id", "rank"))]
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query, state = None, None
+        for batch in batches:
+            out: list[tuple] = []
+            for row in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+                if state is None or row[0] != query:
+                    out += state.end() if state else ()
+                    query, state = row[0], step(row[0])
+                out += state.take(*row[1:])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * len(names), types, strict=True)], names)
+        out = state.end() if state else []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+
+    types = [{"long": pa.int64(), "int": pa.int32()}[f.split()[1]] for f in schema.split(", ")]
+    return rows.select(*columns).repartition("query_id").sortWithinPartitions("query_id", "rank").mapInArrow(walk, schema)
+
+
+class _Select:
+    """Takes hits while what each adds to its room fits the budget."""
+
+    budget: int
+
+    def __init__(self, query):
+        self.query, self.spent, self.have = query, 0, {}
+
+    def take(self, rank, room, s, e) -> list[tuple]:
+        if s is None or e is None:
+            return []
+        have = self.have.get(room, [])
+        add = _added(have, (s, e))
+        if not add or self.spent + add > self.budget:
+            return []
+        self.spent += add
+        self.have[room] = _merge([*have, (s, e)])
+        return [(self.query, rank, add, self.spent)]
+
+    def end(self) -> list[tuple]:
+        return []
+
+
 def selected(hits: DataFrame, budget: int) -> DataFrame:
-    """Hits (query_id, rank, room, s, e) taken in order while what each adds to its room fits the budget; each query in its own group."""
+    """Hits (query_id, rank, room, s, e) taken in order while what each adds to its room fits the budget; those without a span add nothing."""
+    return _walked(hits.select("query_id", "rank", "room", "s", "e"), type("Select", (_Select,), {"budget": budget}), "query_id long, rank int, added long, spent long")
+
+
+class _Cover:
+    """What the hits so far leave uncovered of the wanted spans, which come before them."""
 
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        have: dict[str, list] = {}
-        spent, out = 0, []
-        for r in pdf.sort_values("rank").itertuples():
-            add = _added(have.get(r.room, []), (r.s, r.e))
-            if add and spent + add <= budget:
-                spent += add
-                have[r.room] = _merge([*have.get(r.room, []), (r.s, r.e)])
-                out.append((r.query_id, r.rank, add, spent))
-        return pd.DataFrame(out, columns=["query_id", "rank", "added", "spent"])
+    buckets: tuple[int, ...]
 
-    return hits.groupBy("query_id").applyInPandas(pick, "query_id long, rank int, added long, spent long")
+    def __init__(self, query):
+        self.query, self.left, self.rank = query, {}, None
+
+    def take(self, rank, room, s, e, wanted) -> list[tuple]:
+        if wanted:
+            self.left.setdefault(room, []).append((s, e))
+        elif self.rank is None:
+            if room in self.left and s is not None and e is not None:
+                self.left[room] = [piece for a, b in self.left[room] for piece in self._less(a, b, s, e)]
+            if not any(self.left.values()):
+                self.rank = rank
+        return []
+
+    @staticmethod
+    def _less(a, b, s, e) -> list[tuple]:
+        if a is None or b is None:
+            return [(a, b)]
+        if a >= b:  # a point: covered by a span that holds it or ends there
+            return [] if s <= a and b <= e else [(a, b)]
+        if s >= e:
+            return [(a, b)]
+        return [(x, y) for x, y in ((a, min(b, s)), (max(a, e), b)) if x < y]
+
+    def end(self) -> list[tuple]:
+        return [(self.query, self.rank, next((b for b in self.buckets if self.rank is not None and self.rank <= b), None))]
 
 
 def covering_rank(hits: DataFrame, wanted: DataFrame, buckets: tuple[int, ...] = (10, 20, 40, 80, 160)) -> DataFrame:
     """Per query the least rank whose hits together cover every wanted span (query_id, room, s, e), and its bucket; null if none does."""
-
-    def find(pdf: pd.DataFrame) -> pd.DataFrame:
-        want, have, rank = pdf[pdf["kind"] == 1], {}, None
-        for r in pdf[pdf["kind"] == 0].sort_values("rank").itertuples():
-            have[r.room] = _merge([*have.get(r.room, []), (r.s, r.e)])
-            if all(any(s <= w.s and w.e <= e for s, e in have.get(w.room, [])) for w in want.itertuples()):
-                rank = r.rank
-                break
-        bucket = next((b for b in buckets if rank is not None and rank <= b), None)
-        return pd.DataFrame({"query_id": [pdf["query_id"].iloc[0]], "rank": pd.array([rank], "Int64"), "bucket": pd.array([bucket], "Int64")})
-
-    both = hits.select("query_id", "rank", "room", "s", "e", F.lit(0).alias("kind")).unionByName(wanted.select("query_id", F.lit(0).alias("rank"), "room", "s", "e", F.lit(1).alias("kind")))
-    return both.groupBy("query_id").applyInPandas(find, "query_id long, rank long, bucket long")
+    first = F.lit(None).cast("int")  # nulls sort first: what is wanted comes before all hits
+    both = hits.select("query_id", "rank", "room", "s", "e", F.lit(False).alias("wanted")).unionByName(wanted.select("query_id", first.alias("rank"), "room", "s", "e", F.lit(True).alias("wanted")))
+    return _walked(both, type("Cover", (_Cover,), {"buckets": buckets}), "query_id long, rank long, bucket long")
 
 
 def aligned(predicted: DataFrame, gold: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -181,3 +181,43 @@ def test_graded_queries_without_hits(spark):
     wanted = spark.createDataFrame([(1, 1), (2, 3), (3, 2)], "query_id int, wanted int")
     got = {r.query_id: (r["any"], r["all"], round(r.ndcg, 4)) for r in E.graded(hits, wanted).collect()}
     assert got == {1: (True, True, 0.6309), 2: (False, False, 0.0), 3: (False, False, 0.0)}
+
+
+def test_budgets_and_covering_ranks_of_many_queries(spark):
+    """Against a plain walk: queries without hits or without wants, rooms, points, spans without an end, and batches that cut queries."""
+    import random
+
+    from recollect.operators import evaluation as E
+
+    rng = random.Random(6)
+    hits = [(q, r, rng.choice("xy"), s := rng.randrange(30), None if rng.random() < 0.05 else s + rng.randrange(12)) for q in range(200) if q % 9 for r in range(1, rng.randrange(2, 9))]
+    wanted = [(q, rng.choice("xy"), s := rng.randrange(30), s + rng.randrange(5)) for q in range(200) if q % 7 for _ in range(rng.randrange(1, 3))]
+    covered, taken = {}, []
+    for q in range(200):
+        want, have, spent = [w[1:] for w in wanted if w[0] == q], {}, 0
+        own = [h[1:] for h in hits if h[0] == q]
+        if want or own:
+            covered[q] = None
+        for rank, room, s, e in own:
+            if e is not None:
+                have[room] = E._merge([*have.get(room, []), (s, e)])
+            if covered[q] is None and all(any(a <= s and e <= b for a, b in have.get(room, [])) for room, s, e in want):
+                covered[q] = rank
+        have = {}
+        for rank, room, s, e in own:
+            add = E._added(have.get(room, []), (s, e)) if e is not None else 0
+            if add and spent + add <= 20:
+                spent += add
+                have[room] = E._merge([*have.get(room, []), (s, e)])
+                taken.append((q, rank, add, spent))
+    h, w = spark.createDataFrame(hits, "query_id long, rank int, room string, s long, e long"), spark.createDataFrame(wanted, "query_id long, room string, s long, e long")
+    had = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert sorted(tuple(r) for r in E.selected(h, 20).collect()) == sorted(taken)
+        got = E.covering_rank(h, w)
+        assert {r.query_id: r["rank"] for r in got.collect()} == covered and got.filter("rank <= 10 and bucket <> 10").isEmpty()
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "FlatMapGroupsInPandas" not in plan
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", had)
