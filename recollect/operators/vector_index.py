@@ -27,6 +27,8 @@ from recollect.operators import search as S
 from recollect.sources import work as W
 
 SAMPLE, STALE, PAGE = 16_384, 1.5, 16_384
+#: Queries that meet a page of a list in one task, and rows that a task makes at a time.
+ASKED, ROWS_AT_ONCE = 1024, 4096
 TRIALS, RECALL, DEPTH = 256, 0.97, 10
 ROWS = "id long, embedding array<float>, codes array<short>, list_id int"
 
@@ -120,21 +122,21 @@ class VectorIndex:
             held = held.groupBy("scope").agg(F.collect_list("list_id").alias("lists"), F.collect_list("n").alias("sizes"))  # at most 4,096 numbers a scope
             asked = asked.join(held, "scope", "left")
         probed = self._probed(asked, sizes, probes or self.probes, max(k + 1, pool or 0), members is not None, without)
-        return self._ranked(probed, entries, sizes, k, pool, members is not None, without)
+        return self._ranked(probed, queries.count(), entries, sizes, k, pool, members is not None, without)
 
     def _probed(self, asked: DataFrame, sizes: dict[int, int], probes: int, enough: int, scoped: bool, without: bool) -> DataFrame:
         """(query_id, scope, list_id, page, probe): the lists that each query goes to."""
         centre, n_lists = self.centre, len(self.centre)
         pages = {own: -(-n // PAGE) for own, n in sizes.items()}
-        whole = np.array([sizes.get(lst, 0) for lst in range(n_lists)])
+        whole, named = np.array([sizes.get(lst, 0) for lst in range(n_lists)]), ["query_id", "scope", "list_id", "page", "probe"]
 
         def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 if not len(pdf):
                     continue
-                rows = []
-                near = _order(np.stack(pdf["embedding"].to_numpy()).astype(float), centre)
-                for i, v, scope, lists, counts, own in zip(pdf["id"], pdf["embedding"], pdf["scope"], pdf["lists"], pdf["sizes"], near, strict=True):
+                rows, parts = [], [pdf[at : at + ASKED] for at in range(0, len(pdf), ASKED)]
+                nearest = (own for part in parts for own in _order(np.stack(part["embedding"].to_numpy()).astype(float), centre))
+                for i, v, scope, lists, counts, own in zip(pdf["id"], pdf["embedding"], pdf["scope"], pdf["lists"], pdf["sizes"], nearest, strict=True):
                     count = np.zeros(n_lists, np.int64)
                     if lists is not None and len(lists):
                         count[np.asarray(lists, np.int64)] = np.asarray(counts, np.int64)
@@ -142,11 +144,14 @@ class VectorIndex:
                     # at least ``probes`` lists, and on until they hold enough entries that count
                     last = max(probes, int(np.searchsorted(np.cumsum(count[own]), enough)) + 1)
                     rows += [(i, scope, lst, page, v) for lst in own[:last].tolist() if count[lst] for page in range(pages.get(lst, 0))]
-                yield pd.DataFrame(rows, columns=["query_id", "scope", "list_id", "page", "probe"])
+                    while len(rows) >= ROWS_AT_ONCE:
+                        yield pd.DataFrame(rows[:ROWS_AT_ONCE], columns=named)
+                        rows = rows[ROWS_AT_ONCE:]
+                yield pd.DataFrame(rows, columns=named)
 
         return asked.mapInPandas(probe, "query_id long, scope string, list_id int, page int, probe array<float>")
 
-    def _ranked(self, probed: DataFrame, entries: DataFrame, sizes: dict[int, int], k: int, pool: int | None, scoped: bool, without: bool) -> DataFrame:
+    def _ranked(self, probed: DataFrame, queries: int, entries: DataFrame, sizes: dict[int, int], k: int, pool: int | None, scoped: bool, without: bool) -> DataFrame:
         coder, most = self.coder, pool or k
 
         def scan(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
@@ -169,7 +174,13 @@ class VectorIndex:
 
         count = F.create_map(*(F.lit(x) for own, n in sizes.items() for x in (own, -(-n // PAGE))))
         held = entries.withColumn("page", F.pmod(F.xxhash64("id"), count[F.col("list_id")].cast("long")).cast("int"))
-        held = held.join(probed.select("list_id").distinct().hint("broadcast"), "list_id", "left_semi")  # at most 4,096 rows; prunes the lists read
-        hits = probed.groupBy("list_id", "page").cogroup(held.groupBy("list_id", "page")).applyInPandas(scan, "query_id long, id long, near double, score double")
+        # queries of a page are dealt into parts, so that a task's hits stay few however many queries there are; a page goes to
+        # the parts in which its list is asked for, and lists that none asks for aren't read
+        parts = max(1, -(-queries // ASKED))
+        probed = probed.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts).cast("long")).cast("int"))
+        met = probed.groupBy("list_id").agg(F.collect_set("part").alias("parts"))  # at most 4,096 rows
+        held = held.join(met.hint("broadcast"), "list_id").withColumn("part", F.explode("parts")).drop("parts")
+        own = ["list_id", "page", "part"]
+        hits = probed.groupBy(*own).cogroup(held.groupBy(*own)).applyInPandas(scan, "query_id long, id long, near double, score double")
         nearest = hits.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("near", "id"))).filter(F.col("r") <= most)
         return nearest.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).filter(F.col("rank") <= k).select("query_id", "id", "score", "rank")

@@ -300,3 +300,18 @@ def test_maxsim_scores_every_matrix(spark, sf_dir):
     got = registry.QUERIES["q_maxsim"](spark, sf_dir).toPandas()
     docs = set(pd.read_parquet(f"{sf_dir}/embeddings.parquet")["vec_id"] // 10)
     assert {q: set(own["d"]) for q, own in got.groupby("q")} == {q: docs for q in docs if q % 20 == 0} and len(got) == len(docs) * len({q for q in docs if q % 20 == 0})
+
+
+def test_queries_of_a_page_are_dealt_into_parts(spark, tmp_path, monkeypatch):
+    """Many parts, with and without scopes, give the hits of one."""
+    from recollect.operators import vector_index as VI
+
+    x = np.random.default_rng(9).normal(size=(300, 8))
+    e = spark.createDataFrame([(i, v.tolist(), f"s{i % 3}") for i, v in enumerate(x)], "id long, embedding array<double>, scope string")
+    index = VectorIndex(spark, str(tmp_path / "index"))
+    index.build(e, 8)
+    asked, members = e.filter("id % 5 = 0"), e.select("id", "scope")
+    found = lambda: [rows(index.search(asked, 6, probes=3, pool=40, **own).toPandas()) for own in ({}, {"members": members}, {"members": members, "without": True})]
+    want = found()
+    monkeypatch.setattr(VI, "ASKED", 7)
+    assert found() == want
