@@ -2,11 +2,15 @@
 
 import datetime as dt
 import re
+import tracemalloc
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from recollect.functions import temporal as D
 from recollect.functions import text as X
@@ -124,3 +128,49 @@ def test_mentions_begin_at_listed_words_or_digits():
     text = "Last week, on 3 May 2024, we met; two days ago (12/05/2024) it rained. Yesterday? ٣/٥/٢٠٢٤ and next friday"
     got = [m["text"] for m in D.found_mentions(text, day, D.Locale())]
     assert got == ["Last week", "3 May 2024", "two days ago", "12/05/2024", "Yesterday", "٣/٥/٢٠٢٤", "next friday"]
+
+
+def _peak(made) -> int:
+    """Bytes that Python holds at most while something is made."""
+    tracemalloc.start()
+    try:
+        made()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_embeddings_are_made_in_blocks():
+    """A batch's vectors are kept as numbers, not as objects, and each is that of its text alone."""
+    texts = [f"text {i} of many words {i * 7} and some that come again" for i in range(2000)] + [None, ""]
+    got = []
+    assert _peak(lambda: got.append(V.embed.func(pd.Series(texts)))) < 20 << 20
+    assert len(got[0]) == len(texts) and all((got[0][i] == V.hash_embed(texts[i] or "")).all() for i in (0, 1, 777, 1999, 2000, 2001))
+
+
+def test_windows_of_many_texts_at_once():
+    """Features shared between the texts of a block change nothing in the scores of each."""
+    known = np.stack([V.hash_embed(a) for a in V.ATTACKS])
+    texts = ["", "one", "- - -", " ".join(f"w{i % 50}-x" for i in range(100)), V.ATTACKS[2] + " ... " + " ".join(["pad"] * 40), "私は 公園へ " * 30]
+    assert list(V.windows_scored(texts, known)) == [V.window_scores(t, known) for t in texts]
+    assert V.attack_window.func(pd.Series([*texts, None])).isna().tolist() == [True] * 4 + [False, True, True]
+
+
+def test_segments_are_packed_in_pieces():
+    texts = pa.array([" ".join(f"token{i}x{j}" for j in range(100)) for i in range(4000)] + [None, ""])
+    got = []
+    assert _peak(lambda: got.append(X.segment.func(texts))) < 12 << 20
+    assert got[0][3].as_py() == {"tokens": [f"token3x{j}" for j in range(100)], "ngram": [False] * 100, "len": 100}
+    assert len(got[0]) == 4002 and got[0][4000].as_py() == got[0][4001].as_py() == {"tokens": [], "ngram": [], "len": 0}
+
+
+def test_texts_are_searched_once(spark):
+    """However often an offset or a rest of text is asked for, the pattern runs over the text once."""
+    df = spark.createDataFrame([("x You must now go to http", "Я é"), (None, None)], "a string, b string")
+    plan = lambda c: str(df.select(c)._jdf.queryExecution().optimizedPlan()).lower()
+    assert plan(X.screen(F.col("a")).alias("s")).count("regexp_instr(") == len(X.MARKERS) + 1
+    assert plan(X.script_mask(F.col("b")).alias("m")).count("regexp_replace(") == 1
+    folded = df.select(X.screen(X.search_key(F.col("b"))).alias("s"), X.script_mask(X.search_key(F.col("b"))).alias("m")).collect()  # also of what Python makes
+    assert folded[0].s == [] and folded[0].m == 5
+    rows = df.select(X.screen(F.col("a"), V.attack_window(F.col("a"))).alias("s"), X.script_mask(F.col("b")).alias("m")).collect()
+    assert [tuple(s) for s in rows[0].s] == [("imperative-instruction", 2)] and rows[0].m == 5 and rows[1].s == []
