@@ -6,6 +6,7 @@ import datetime as dt
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -92,17 +93,24 @@ def located(chunk: Column, body: Column) -> Column:
 def located_chunks(rows: DataFrame) -> DataFrame:
     """(source, chunk_index, s, e) of the paragraphs of chunks (source, chunk_index, body, content) in their body, in
     bytes: each source's chunks are looked for in order, on from where the last began, so a repeated paragraph is found
-    where its chunk is. A source is one document's chunks."""
-
-    def locate(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("chunk_index")
-        body, cursor, out = pdf["body"].iloc[0].encode(), 0, []
-        for index, content in zip(pdf["chunk_index"], pdf["content"], strict=True):
-            for piece in filter(None, (p.strip().encode() for p in content.split("\n\n"))):
-                at = body.find(piece, cursor)
-                if at >= 0:
-                    out.append((pdf["source"].iloc[0], index, at, at + len(piece)))
-                    cursor = at
-        return pd.DataFrame(out, columns=["source", "chunk_index", "s", "e"])
-
-    return rows.groupBy("source").applyInPandas(locate, "source string, chunk_index long, s long, e long")
+    where its chunk is. A source is one document's chunks; tasks hold whole sources, sorted, and go through them in batches."""
+
+    columns = ["source", "chunk_index", "content"]
+
+    def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        source, body, cursor = None, None, 0
+        for batch in batches:
+            for part in (batch.slice(at, 500) for at in range(0, batch.num_rows, 500)):
+                out: list[tuple] = []
+                for i, (own, index, content) in enumerate(zip(*(part.column(c).to_pylist() for c in columns), strict=True)):
+                    if body is None or own != source:
+                        source, body, cursor = own, (part.column("body")[i].as_py() or "").encode(), 0
+                    for piece in filter(None, (p.strip().encode() for p in (content or "").split("\n\n"))):
+                        at = body.find(piece, cursor)
+                        if at >= 0:
+                            out.append((own, index, at, at + len(piece)))
+                            cursor = at
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.string(), *[pa.int64()] * 3))], ["source", "chunk_index", "s", "e"])
+
+    dealt = rows.select("source", F.col("chunk_index").cast("long").alias("chunk_index"), "content", "body").repartition("source").sortWithinPartitions("source", "chunk_index")
+    return dealt.mapInArrow(locate, "source string, chunk_index long, s long, e long")

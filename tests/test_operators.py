@@ -221,3 +221,12 @@ def test_budgets_and_covering_ranks_of_many_queries(spark):
         assert "FlatMapGroupsInPandas" not in plan
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", had)
+
+
+def test_chunks_are_located_in_sorted_streams(spark):
+    """Sources are gone through in batches, not in a group call each; repeated paragraphs are found where their chunk is."""
+    bodies = {"a": "one\n\ntwo\n\none\n\nthree", "b": "one", "é": "ä one\n\none"}
+    chunks = [("a", 1, bodies["a"], "one\n\nthree"), ("a", 0, bodies["a"], "one\n\ntwo"), ("b", 0, "one", "one"), ("b", 1, "one", "lost"), ("é", 0, bodies["é"], "ä one"), ("é", 1, bodies["é"], "one")]
+    found = R.located_chunks(spark.createDataFrame(chunks, "source string, chunk_index long, body string, content string"))
+    assert "FlatMapGroups" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in found.collect()) == [("a", 0, 0, 3), ("a", 0, 5, 8), ("a", 1, 5 + 5, 13), ("a", 1, 15, 20), ("b", 0, 0, 3), ("é", 0, 0, 6), ("é", 1, 3, 6)]
