@@ -143,11 +143,15 @@ def refreshing(new: DataFrame, old: DataFrame, least: float, page: int = 4096) -
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"id": [], "refreshes": [], "score": []})
-        b = b.sort_values("id")
-        score = (np.stack(a["embedding"].to_numpy()) @ np.stack(b["embedding"].to_numpy()).T).round(9)
-        best = score.argmax(1)  # the first, so the least id
-        near = score[np.arange(len(a)), best] >= least
-        return pd.DataFrame({"id": a["id"].to_numpy()[near], "refreshes": b["id"].to_numpy()[best[near]], "score": score[np.arange(len(a)), best][near]})
+        b, own, out = b.sort_values("id"), np.stack(a["embedding"].to_numpy()), []
+        theirs = np.stack(b["embedding"].to_numpy()).T
+        for at in range(0, len(own), 256):  # a slice of the product at a time
+            score = (own[at : at + 256] @ theirs).round(9)
+            best = score.argmax(1)  # the first, so the least id
+            top = score[np.arange(len(score)), best]
+            near = top >= least
+            out.append(pd.DataFrame({"id": a["id"].to_numpy()[at : at + 256][near], "refreshes": b["id"].to_numpy()[best[near]], "score": top[near]}))
+        return pd.concat(out)
 
     keys = ["wing", "room", "p", "q"]
     two = two.toDF(*(f"{c}_" for c in two.columns)).toDF(*two.columns)  # columns of their own, where both come of one table
