@@ -94,19 +94,20 @@ class SearchIndex:
         rows = words.select(*named, F.size("tokens").alias("dl"), "mask")
         if "embedding" in named:
             rows = rows.withColumn("codes", V.quantize(F.col("embedding"))["codes"].cast("array<tinyint>"))
-        postings = words.select("id", F.explode("tokens").alias("term")).groupBy("term", "id").agg(F.count("*").cast("int").alias("tf"))
+        postings = words.select(F.explode("tokens").alias("term"), "id", F.lit(1).alias("tf"))
         size = words.agg(F.sum(F.size(F.array_distinct("tokens")))).first()[0] or 0
         entry = self._write(rows, postings, size)
         W.remove(self.spark, staged)
         return self._commit(lambda log: [*log, entry])
 
     def _write(self, rows: DataFrame, postings: DataFrame, size: int) -> dict:
-        """A segment's files, and what the log says of it."""
+        """A segment's files, and what the log says of it; ``postings`` (term, id, tf) are added up."""
         name = f"s{uuid.uuid4().hex}"
         buckets = min(MAX_BUCKETS, 1 << max(0, (size // BUCKET_POSTINGS).bit_length()))
         rows.write.parquet(self._folder("records", name))
-        dealt = postings.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
-        dealt.repartitionByRange("bucket", "term", "id").sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").parquet(self._folder("postings", name))
+        dealt = postings.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")).repartitionByRange("bucket", "term", "id")
+        dealt = dealt.groupBy("bucket", "term", "id").agg(F.sum("tf").cast("int").alias("tf")).select("term", "id", "tf", "bucket")  # a range holds all of a term in a record
+        dealt.sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").parquet(self._folder("postings", name))
         terms = self.spark.read.schema(dealt.schema).parquet(self._folder("postings", name)).select("term").filter(F.char_length("term") >= TYPO_LETTERS).distinct()
         keys = terms.select(F.explode(X.edit_keys(F.col("term"))).alias("key"), "term")
         keys = keys.withColumn("bucket", F.pmod("key", F.lit(buckets)).cast("int"))
