@@ -1,7 +1,7 @@
 """A data source of text lines by byte ranges: ``spark.read.format("text_ranges")`` and ``spark.readStream``.
 
-A file is cut into ranges of ``rangebytes`` bytes, each read by a task of its own; a line belongs to the range in which it
-begins, and is numbered within it. Rows are (source, block, inside, value): the file, the byte at which the range begins,
+A file is cut into ranges of ``rangebytes`` bytes, and a task reads one of them or, where they are small against all that is
+read, several; a line belongs to the range in which it begins, and is numbered within it. Rows are (source, block, inside, value): the file, the byte at which the range begins,
 the line's number in the range, and the line. Lines end with a line feed, with or without a carriage return before it;
 bytes that aren't UTF-8 are replaced.
 
@@ -16,6 +16,7 @@ from __future__ import annotations
 import fnmatch
 import json
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +25,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 from pyspark.sql.window import Window
 
 SCHEMA = "source string, block long, inside long, value string"
-RANGE_BYTES, TAIL, PIECE = 32 << 20, 1 << 16, 1 << 20
+RANGE_BYTES, TAIL, PIECE, TASKS = 32 << 20, 1 << 16, 1 << 20, 64
 
 
 class _Range(InputPartition):
@@ -33,16 +34,37 @@ class _Range(InputPartition):
         self.source, self.begin, self.end, self.size = source, begin, end, size
 
 
+class _Ranges(InputPartition):
+    def __init__(self, ranges: list[_Range]):
+        """The ranges of a task."""
+        self.ranges = ranges
+
+
+def _packed(ranges: list[_Range]) -> list[_Ranges]:
+    """The ranges in their order, dealt to tasks: a task takes a ``TASKS``th of all bytes, of ``RANGE_BYTES`` at most, or one range."""
+    most, out, held = min(RANGE_BYTES, sum(r.end - r.begin for r in ranges) // TASKS), [], 0
+    for own in ranges:
+        if not out or held + own.end - own.begin > most:
+            out.append(_Ranges([]))
+            held = 0
+        out[-1].ranges.append(own)
+        held += own.end - own.begin
+    return out
+
+
 def _open(path: str):
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
-def _pieces(file, at: int, size: int) -> Iterator[bytes]:
+def _pieces(file, at: int, end: int, size: int) -> Iterator[bytes]:
+    """A file's bytes from ``at``: up to the end of the range, and then, while more is asked for, in growing pieces."""
     file.seek(at)
+    beyond = min(TAIL, PIECE)
     while at < size:
-        data = file.read(min(PIECE, size - at))
+        data = file.read(min(PIECE, end - at if at < end else beyond, size - at))
         if not data:
             return
+        beyond = beyond if at < end else min(2 * beyond, PIECE)
         at += len(data)
         yield data
 
@@ -53,7 +75,7 @@ def lines(own: _Range) -> Iterator[tuple]:
     with system.open_input_file(path) as file:
         # a line that begins before the range belongs to the one before: go on behind its end
         place, skipping, held, number = max(own.begin - 1, 0), own.begin > 0, b"", 0
-        for data in _pieces(file, place, own.size):
+        for data in _pieces(file, place, own.end, own.size):
             if skipping:
                 cut = data.find(b"\n")
                 if cut < 0:
@@ -98,10 +120,10 @@ class _Reader(DataSourceReader):
         self.folder = folder
 
     def partitions(self) -> Sequence[InputPartition]:
-        return self.folder.ranges({}, self.folder.sizes()) or [_Range("", 0, 0, 0)]
+        return _packed(self.folder.ranges({}, self.folder.sizes())) or [_Ranges([])]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        return lines(partition) if partition.size else iter(())
+        return chain.from_iterable(map(lines, partition.ranges))
 
 
 class _StreamReader(DataSourceStreamReader):
@@ -131,10 +153,10 @@ class _StreamReader(DataSourceStreamReader):
         before, after = json.loads(start["files"]), json.loads(end["files"])
         if any(after.get(s, 0) < n for s, n in before.items()):
             raise ValueError("a file has shrunk or is gone")
-        return self.folder.ranges(before, after)
+        return _packed(self.folder.ranges(before, after))
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        return lines(partition)
+        return chain.from_iterable(map(lines, partition.ranges))
 
     def commit(self, end: dict) -> None:
         pass

@@ -95,3 +95,20 @@ def test_a_stream_reads_whole_lines_once(spark, tmp_path):
     run()
     assert len(seen) == 5
     assert P.once(rows).count() == 5
+
+
+def test_small_ranges_share_tasks_and_are_read_once(tmp_path, monkeypatch):
+    """Many small ranges are dealt to few tasks, each line stays with its range, and no range reads far beyond its end."""
+    text = [f"line {i} " + "x" * (i % 90) for i in range(6000)]
+    (tmp_path / "a.txt").write_text("\n".join(text) + "\n")
+    size, read = (tmp_path / "a.txt").stat().st_size, []
+    reader = LS._Reader(LS._Folder({"path": str(tmp_path), "rangebytes": "1000"}))
+    tasks = reader.partitions()
+    assert size // 1000 > 3 * LS.TASKS and len(tasks) <= 2 * LS.TASKS
+    pieces = LS._pieces
+    monkeypatch.setattr(LS, "TAIL", 512)
+    monkeypatch.setattr(LS, "_pieces", lambda *a: (read.append(len(d)) or d for d in pieces(*a)))
+    rows = [r for t in tasks for r in reader.read(t)]
+    assert [v for *_, v in rows] == text and len({b for _, b, _, _ in rows}) == -(-size // 1000)
+    assert all(n == 0 for (_, b, n, _), before in zip(rows[1:], rows, strict=False) if b != before[1])
+    assert sum(read) < 2 * size
