@@ -1,5 +1,6 @@
 """What language models answer, read leniently: entities, triples, memories and labels from output that may be fenced,
-chatty or cut off, and triples grounded in the text that they were drawn from. Models themselves are a slot."""
+chatty or cut off, and triples grounded in the text that they were drawn from. What is read from one output in several
+ways is looked for once by ``text.lenient_objects`` and passed on as ``found``. Models themselves are a slot."""
 
 from __future__ import annotations
 
@@ -10,10 +11,12 @@ from recollect.functions import temporal as D
 from recollect.functions import text as X
 
 
-def _objects(output: Column, needed: list[str], optional: dict[str, str | None]) -> Column:
+def _objects(output: Column, found: bool, needed: list[str], optional: dict[str, str | None]) -> Column:
     """The objects that have all needed fields, as structs of text; optional ones take a default."""
-    field = lambda o, name: F.get_json_object(o, f"$.{name}")
-    made = lambda o: F.struct(*(field(o, n).alias(n) for n in needed), *(F.coalesce(field(o, n), F.lit(d).cast("string")).alias(n) for n, d in optional.items()))
+    objects = output if found else X.lenient_objects(output)
+    schema = ", ".join(f"`{n}` string" for n in (*needed, *optional))
+    read = lambda o: F.from_json(o, schema, {"allowNonNumericNumbers": "false"})
+    filled = lambda s: F.struct(*(s[n].alias(n) for n in needed), *(F.coalesce(s[n], F.lit(d).cast("string")).alias(n) for n, d in optional.items()))
 
     def whole(s: Column) -> Column:
         ok = s[needed[0]].isNotNull()
@@ -21,22 +24,22 @@ def _objects(output: Column, needed: list[str], optional: dict[str, str | None])
             ok = ok & s[n].isNotNull()
         return ok
 
-    return F.filter(F.transform(X.lenient_objects(output), made), whole)
+    return F.transform(F.filter(F.transform(objects, read), whole), filled)
 
 
-def entities(output: Column) -> Column:
+def entities(output: Column, found: bool = False) -> Column:
     """(name, type); a type that isn't given is unknown."""
-    return _objects(output, ["name"], {"type": "unknown"})
+    return _objects(output, found, ["name"], {"type": "unknown"})
 
 
-def triples(output: Column) -> Column:
+def triples(output: Column, found: bool = False) -> Column:
     """(subject, predicate, object, when, quote)."""
-    return _objects(output, ["subject", "predicate", "object"], {"when": None, "quote": None})
+    return _objects(output, found, ["subject", "predicate", "object"], {"when": None, "quote": None})
 
 
-def memories(output: Column) -> Column:
+def memories(output: Column, found: bool = False) -> Column:
     """(content, type)."""
-    return _objects(output, ["content"], {"type": "unknown"})
+    return _objects(output, found, ["content"], {"type": "unknown"})
 
 
 def label(output: Column, labels: list[str]) -> Column:

@@ -12,10 +12,12 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from recollect.functions import extraction as N
 from recollect.functions import temporal as D
 from recollect.functions import text as X
 from recollect.functions import vectors as V
 from recollect.functions.temporal import Locale, Scanner, to_gregorian
+from recollect.plans import registry
 
 
 @given(st.text(alphabet="ab \n`~", max_size=80))
@@ -54,6 +56,28 @@ def test_lenient_objects():
     assert X._salvage('Sure: ```json\n[{"a": 1}, {"b": {"c": 2}}, {"cut": ') == [{"a": 1}, {"b": {"c": 2}}]
 
 
+def _python_steps(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython")
+
+
+def test_answers_are_read_once(spark, sf_dir):
+    """A filter on what was read from answers doesn't read them again in Python workers of its own: answers and dates are
+    the two steps."""
+    assert _python_steps(registry.QUERIES["q_model_output"](spark, sf_dir)) == 2
+
+
+def test_objects_and_contents_in_slices(spark):
+    """More values than a slice holds, with nulls among them, come out in order."""
+    said = [None if i % 7 == 0 else f'so: [{{"subject": "s{i}", "predicate": "p", "object": {i}}}, {{"content": "c{i}"}}, {{"content": NaN}}, {{"cut' for i in range(900)]
+    df = spark.createDataFrame(list(enumerate(said)), "i int, said string").coalesce(1)
+    found = df.select("i", "said", X.lenient_objects(F.col("said")).alias("found"), X.render_content(F.col("said")).alias("shown"))
+    for r in found.select("*", N.triples(F.col("found"), found=True).alias("t"), N.memories(F.col("found"), found=True).alias("m")).collect():
+        have = r.said is not None
+        assert len(r.found) == 3 * have and r.shown == (r.said or "")
+        assert [tuple(x) for x in r.t] == [(f"s{r.i}", "p", str(r.i), None, None)] * have
+        assert [tuple(x) for x in r.m] == [(f"c{r.i}", "unknown")] * have
+
+
 def test_dates():
     found = Scanner("On May 7, 2023 and 13/05/2023 then 07/05/2023. Last Friday, 2 months ago", dt.date(2024, 3, 31), Locale()).mentions()
     assert [m[2] for m in found] == ["2023-05-07", "2023-05-13", "2023-05-07", "2024-03-29", "2024-01-31"]
