@@ -49,14 +49,14 @@ def transcripts(spark: SparkSession, path: str) -> DataFrame:
 def messages(lines: DataFrame) -> DataFrame:
     """The messages of JSON lines (source, line, json)."""
     j = lambda p: F.get_json_object("json", p)
-    content = F.coalesce(j("$.message.content"), j("$.content"), j("$.summary"))
-    block = F.startswith(F.ltrim(content), F.lit("[")) | F.startswith(F.ltrim(content), F.lit("{"))
-    text = F.when(block, X.render_content(F.when(block, content))).otherwise(content)
-    out = lines.filter(F.trim("json") != "").select(
+    read = lines.filter(F.trim("json") != "").select(
         "source", (F.col("line") + 1).alias("line"), F.coalesce(j("$.uuid"), j("$.id")).alias("id"), F.coalesce(j("$.type"), j("$.message.role"), F.lit("unknown")).alias("role"),
-        F.coalesce(j("$.speaker"), j("$.message.name")).alias("speaker"), text.alias("text"), j("$.timestamp").alias("timestamp"),
+        F.coalesce(j("$.speaker"), j("$.message.name")).alias("speaker"), F.coalesce(j("$.message.content"), j("$.content"), j("$.summary")).alias("content"), j("$.timestamp").alias("timestamp"),
     )
-    return out.filter((F.trim("text") != "") & ~F.col("role").isin(*NOISE))
+    read, content = read.filter(~F.col("role").isin(*NOISE)), F.col("content")
+    block = F.startswith(F.ltrim(content), F.lit("[")) | F.startswith(F.ltrim(content), F.lit("{"))
+    text = F.when(block, X.render_content(F.when(block, content))).otherwise(content)
+    return read.select("source", "line", "id", "role", "speaker", text.alias("text"), "timestamp").filter(F.trim("text") != "")
 
 
 def export_jsonl(records: DataFrame, path: str) -> None:

@@ -66,6 +66,11 @@ def test_answers_are_read_once(spark, sf_dir):
     assert _python_steps(registry.QUERIES["q_model_output"](spark, sf_dir)) == 2
 
 
+def test_contents_are_rendered_once(spark, sf_dir):
+    """Nor does the filter on the texts of messages."""
+    assert _python_steps(registry.QUERIES["q_transcripts"](spark, sf_dir)) == 1
+
+
 def test_objects_and_contents_in_slices(spark):
     """More values than a slice holds, with nulls among them, come out in order."""
     said = [None if i % 7 == 0 else f'so: [{{"subject": "s{i}", "predicate": "p", "object": {i}}}, {{"content": "c{i}"}}, {{"content": NaN}}, {{"cut' for i in range(900)]
