@@ -71,6 +71,16 @@ def test_a_lane_of_many_seconds_calls_its_timer_once(spark, tmp_path):
     assert list(flagger.handleInputRows((0,), iter([rows]), SimpleNamespace(getCurrentWatermarkInMs=lambda: 0))) == [] and Handle.timers == [1000]
 
 
+def test_state_in_a_session_that_sets_no_number_of_partitions(spark):
+    """Spark's own number counts there, and the session sets none afterwards either."""
+    session, name = spark.newSession(), "spark.sql.shuffle.partitions"
+    session.conf.unset(name)
+    own = int(session.conf.get(name))
+    with ST.versioned_state(session):
+        assert int(session.conf.get(name)) == min(own, spark.sparkContext.defaultParallelism)
+    assert session.conf.get(name, None) is None and int(session.conf.get(name)) == own
+
+
 def _slices(spark, path, slices, start):
     for n, ids in enumerate(slices):
         spark.createDataFrame([(i, "a", _at(m)) for i, m in ids], EVENT).coalesce(1).write.parquet(f"{path}/{n}")
